@@ -338,9 +338,9 @@ def _pair_cells(df, by, key, vector, label, block_rows, histogram):
             out = []
             for kind, values in (("same", s), ("diff", d)):
                 # A pair counts from the first thousandth at or above its distance.
-                reach = np.ceil(np.round(values * 1000, 9)).astype("int64")
-                near = np.round(values, 3)
-                for name, marks in (("reach", reach), ("candidate", np.rint(near * 1000).astype("int64"))):
+                near = np.rint(values * 1000).astype("int64")
+                reach = np.where(values <= near / 1000.0, near, near + 1)
+                for name, marks in (("reach", reach), ("candidate", near)):
                     at, n = np.unique(marks, return_counts=True)
                     out.append(pd.DataFrame({"kind": kind, "mark": name, "milli": at, "n": n}))
             out = pd.concat(out)
