@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from frameloom.functions.scalar import clamp, col
+from frameloom.functions.scalar import clamp, col, let
 
 EPS = 1e-6
 
@@ -98,35 +98,42 @@ def cover_crop(
     wide = photo > frame
     w = F.least(F.when(wide, frame / photo).otherwise(1.0), F.lit(1.0))
     h = F.least(F.when(wide, F.lit(1.0)).otherwise(photo / frame), F.lit(1.0))
-    safe = pad_boxes(boxes)
 
-    def span(axis: str, extent: str) -> tuple[Column, Column]:
-        return (
-            F.array_min(F.transform(safe, lambda b: b[axis])),
-            F.array_max(F.transform(safe, lambda b: b[axis] + b[extent])),
+    def spans(safe: Column) -> Column:
+        def low(axis: str) -> Column:
+            return F.array_min(F.transform(safe, lambda b: b[axis]))
+
+        def high(axis: str, extent: str) -> Column:
+            return F.array_max(F.transform(safe, lambda b: b[axis] + b[extent]))
+
+        return F.struct(
+            w.alias("w"), h.alias("h"), low("x").alias("x0"), high("x", "w").alias("x1"),
+            low("y").alias("y0"), high("y", "h").alias("y1"),
         )
 
-    return box(
-        _window_start(w, *span("x", "w"), pull_x),
-        _window_start(h, *span("y", "h"), None),
-        w,
-        h,
+    return let(
+        let(pad_boxes(boxes), spans),
+        lambda s: box(
+            _window_start(s["w"], s["x0"], s["x1"], pull_x),
+            _window_start(s["h"], s["y0"], s["y1"], None),
+            s["w"],
+            s["h"],
+        ),
     )
 
 
 def crop_loss(boxes: Column | str, crop: Column | str) -> Column:
     """Share of the face area outside ``crop`` (a box), 0 without faces."""
-    faces, window = col(boxes), col(crop)
+    faces = col(boxes)
 
-    def kept(b: Column) -> Column:
+    def kept(b: Column, window: Column) -> Column:
         w = F.least(b["x"] + b["w"], window["x"] + window["w"]) - F.greatest(b["x"], window["x"])
         h = F.least(b["y"] + b["h"], window["y"] + window["h"]) - F.greatest(b["y"], window["y"])
         return F.when((w > 0) & (h > 0), w * h).otherwise(F.lit(0.0))
 
     whole = total(faces, lambda b: b["w"] * b["h"])
-    return F.when(whole > 0, clamp(1.0 - total(faces, kept) / whole, 0.0, 1.0)).otherwise(
-        F.lit(0.0)
-    )
+    inside = let(col(crop), lambda window: total(faces, lambda b: kept(b, window)))
+    return F.when(whole > 0, clamp(1.0 - inside / whole, 0.0, 1.0)).otherwise(F.lit(0.0))
 
 
 # Head size in units of the distance between the eyes.
@@ -200,17 +207,38 @@ def third_rule_crop(boxes: Column | str) -> Column:
     """Crop around all faces with a margin, its centre pulled to a third line; null without."""
     faces = col(boxes)
 
-    def along(axis: str, extent: str) -> tuple[Column, Column]:
+    def placed(s: Column) -> Column:
+        size = (s["high"] + (s["high"] - s["low"]) * GROUP_MARGIN) - (s["low"] - (s["high"] - s["low"]) * GROUP_MARGIN)
+        centre = (s["low"] + s["high"]) * 0.5
+        return let(
+            F.struct(size.alias("size"), centre.alias("centre"), s["low"].alias("low"), s["high"].alias("high")),
+            lambda v: let(
+                F.struct(
+                    v["size"].alias("size"),
+                    F.greatest(
+                        v["high"] - v["size"],
+                        F.least(v["low"], v["centre"] - nearest_third(v["centre"]) * v["size"]),
+                    ).alias("start"),
+                ),
+                lambda w: _unit_interval(w["start"], w["start"] + w["size"]),
+            ),
+        )
+
+    def along(axis: str, extent: str) -> Column:
         low = F.array_min(F.transform(faces, lambda b: F.greatest(F.lit(0.0), b[axis])))
         high = F.array_max(F.transform(faces, lambda b: F.least(F.lit(1.0), b[axis] + b[extent])))
-        size = (high + (high - low) * GROUP_MARGIN) - (low - (high - low) * GROUP_MARGIN)
-        centre = (low + high) * 0.5
-        wanted = centre - nearest_third(centre) * size
-        start = F.greatest(high - size, F.least(low, wanted))
-        return slide_into_unit(start, start + size)
-
-    (x0, x1), (y0, y1) = along("x", "w"), along("y", "h")
-    return F.when(F.size(faces) > 0, box(x0, y0, x1 - x0, y1 - y0))
+        return let(F.struct(low.alias("low"), high.alias("high")), placed)
+
+    whole = let(
+        F.struct(along("x", "w").alias("x"), along("y", "h").alias("y")),
+        lambda p: box(p["x"]["low"], p["y"]["low"], p["x"]["high"] - p["x"]["low"], p["y"]["high"] - p["y"]["low"]),
+    )
+    return F.when(F.size(faces) > 0, whole)
+
+
+def _unit_interval(low: Column, high: Column) -> Column:
+    start, end = slide_into_unit(low, high)
+    return F.struct(start.alias("low"), end.alias("high"))
 
 
 # -- description of a photo -------------------------------------------------- #

@@ -24,6 +24,11 @@ def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def let(value: Column, body) -> Column:
+    """Name an intermediate value: ``body`` receives it computed once, not copied into each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # -- paths ------------------------------------------------------------------ #
 def file_name(path: Column | str) -> Column:
     return F.element_at(F.split(col(path), "/"), -1)

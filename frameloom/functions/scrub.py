@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from frameloom.functions.scalar import col
 
@@ -79,7 +80,7 @@ def _clean(value, depth: int):
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def scrub_json(metadata: pd.Series) -> pd.Series:
     """Nested JSON text, scrubbed at every depth; a text that is no JSON object is redacted whole."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,8 +111,6 @@ def best_assignment(scored: DataFrame, by: Sequence[str], photo: str, slots: int
     Exact for any number of photos: some best matching only uses each slot's best ``slots``
     photos. Equal totals go to the smaller photo, slot by slot.
     """
-    import pandas as pd
-
     by = list(by)
     few = _contenders(scored, by, photo, slots)
     photo_type = scored.schema[photo].dataType.simpleString()
@@ -219,8 +218,6 @@ def frame_assignment(
     ``frames`` has (by, frame, frame_aspect, frame_area). Spreads with up to seven photos are
     solved exactly; larger ones are paired by aspect rank.
     """
-    import pandas as pd
-
     by = list(by)
     photo_type = spreads.schema[photo].dataType.simpleString()
     n_photos = spreads.groupBy(*by).agg(F.count(F.lit(1)).alias("__np"))

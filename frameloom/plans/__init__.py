@@ -1 +1,6 @@
+"""Registered queries over the given tables."""
 
+from frameloom.plans import albums, photos  # noqa: F401
+from frameloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
