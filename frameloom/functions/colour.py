@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from frameloom.functions.scalar import clamp, col
+from frameloom.functions.scalar import clamp, col, let
 
 # Base and accent colour of each event palette.
 PALETTES = {
@@ -18,15 +18,22 @@ PALETTES = {
 
 def hsv(r: Column | str, g: Column | str, b: Column | str) -> Column:
     """Hue in degrees, saturation and value from 0..255 channels."""
-    red, green, blue = (col(c) / 255.0 for c in (r, g, b))
-    top, bottom = F.greatest(red, green, blue), F.least(red, green, blue)
-    spread = top - bottom
+    scaled = F.struct(*[(col(c) / 255.0).alias(n) for c, n in ((r, "r"), (g, "g"), (b, "b"))])
+    bounds = lambda c: F.struct(
+        c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b"),
+        F.greatest(c["r"], c["g"], c["b"]).alias("top"), F.least(c["r"], c["g"], c["b"]).alias("low"),
+    )
+    return let(let(scaled, bounds), _hue_saturation)
+
+
+def _hue_saturation(c: Column) -> Column:
+    top, spread = c["top"], c["top"] - c["low"]
     sector = (
-        F.when(top == red, (green - blue) / spread)
-        .when(top == green, (blue - red) / spread + 2.0)
-        .otherwise((red - green) / spread + 4.0)
+        F.when(top == c["r"], (c["g"] - c["b"]) / spread)
+        .when(top == c["g"], (c["b"] - c["r"]) / spread + 2.0)
+        .otherwise((c["r"] - c["g"]) / spread + 4.0)
     )
-    turn = F.when(sector < 0, sector / 6.0 + 1.0).otherwise(sector / 6.0)
+    turn = let(sector, lambda x: F.when(x < 0, x / 6.0 + 1.0).otherwise(x / 6.0))
     return F.struct(
         F.when(spread == 0, F.lit(0.0)).otherwise(turn * 360.0).alias("hue"),
         F.when(top == 0, F.lit(0.0)).otherwise(spread / top).alias("s"),
@@ -39,7 +46,10 @@ def colour_event(r: Column | str, g: Column | str, b: Column | str) -> Column:
 
     The closeness to a hue centre is deliberately not circular.
     """
-    c = hsv(r, g, b)
+    return let(hsv(r, g, b), _rule)
+
+
+def _rule(c: Column) -> Column:
     hue, s, v = c["hue"], c["s"], c["v"]
 
     def strength(sat: Column) -> Column:
@@ -69,15 +79,15 @@ def colour_event(r: Column | str, g: Column | str, b: Column | str) -> Column:
 
 def colour_event_name(event: Column, minimum: float = 0.45) -> Column:
     """Event name when the colour is telling enough, else null."""
-    sure = (event["event"] != "Ceremony") & (event["confidence"] >= minimum)
-    return F.when(sure, event["event"])
+    return let(
+        event, lambda e: F.when((e["event"] != "Ceremony") & (e["confidence"] >= minimum), e["event"])
+    )
 
 
 def loose_event_name(r: Column | str, g: Column | str, b: Column | str) -> Column:
     """The one event recognised from hue, saturation and value alone, else null."""
-    c = hsv(r, g, b)
-    haldi = (c["s"] >= 0.35) & (c["v"] >= 0.4) & c["hue"].between(40.0, 70.0)
-    return F.when(haldi, F.lit("Haldi"))
+    haldi = lambda c: (c["s"] >= 0.35) & (c["v"] >= 0.4) & c["hue"].between(40.0, 70.0)
+    return let(hsv(r, g, b), lambda c: F.when(haldi(c), F.lit("Haldi")))
 
 
 def tint(channel: Column | str, lighten: float = 0.66) -> Column:
@@ -93,14 +103,15 @@ def to_hex(r: Column | str, g: Column | str, b: Column | str) -> Column:
 
 def themed_background(event: Column, lighten: float = 0.62, minimum: float = 0.5) -> Column:
     """struct(background, accent) as hex for a confident event with a palette, else null."""
-    out = F.lit(None).cast("struct<background:string,accent:string>")
+    pairs = []
     for name, (base, accent) in PALETTES.items():
         pair = F.struct(
             to_hex(*[tint(F.lit(c), lighten) for c in base]).alias("background"),
             to_hex(*[F.lit(c) for c in accent]).alias("accent"),
         )
-        out = F.when((event["event"] == name) & (event["confidence"] >= minimum), pair).otherwise(out)
-    return out
+        pairs += [F.lit(name), pair]
+    palette = F.create_map(*pairs)
+    return let(event, lambda e: F.when(e["confidence"] >= minimum, palette[e["event"]]))
 
 
 # -- edit recipe ------------------------------------------------------------- #

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.functions.colour import colour_event, colour_event_name, loose_event_name
-from frameloom.functions.scalar import any_of
+from frameloom.functions.scalar import any_of, let
 from frameloom.operators.ordered import OrderedGroups
 
 # The keyword vocabulary of each event.
@@ -39,48 +39,55 @@ SAMPLE = 8
 MIN_SATURATION, MIN_VALUE, MIN_COLOURFUL = 0.25, 0.20, 0.04
 
 
-def label_vote(labels: Column, confidences: Column | None = None) -> Column:
-    """struct(event, score) of the best event, or null: one pass over the arrays of a row.
+def label_votes(df: DataFrame, keys: Sequence[str], labels: str, confidences: str | None = None) -> DataFrame:
+    """(keys, event, score) of the best event per row; rows without any match are absent.
 
     A label counts for every event one of whose keywords it contains; a missing confidence
-    is 1. Ties go to the event seen first, then to vocabulary order.
+    is 1. Ties go to the event seen first, then to vocabulary order. Labels are exploded and
+    summed with map-side combine, so a row may have any number of them.
     """
-    count = F.size(labels)
-    given = F.coalesce(confidences, F.array().cast("array<double>")) if confidences is not None else F.array().cast("array<double>")
-    padded = F.transform(
-        F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),
-        lambda i: F.coalesce(F.get(given, i.cast("int")), F.lit(1.0)),
+    keys = list(keys)
+    zipped = F.arrays_zip(F.col(labels).alias("t"), F.col(confidences).alias("c")) if confidences else F.transform(
+        F.col(labels), lambda t: F.struct(t.alias("t"), F.lit(None).cast("double").alias("c"))
     )
-    texts = F.transform(labels, lambda t: F.lower(t))
-    tallies = []
-    for n, (event, keywords) in enumerate(EVENT_KEYWORDS.items()):
+    # Where there are more confidences than labels, the rest has no label and matches nothing.
+    each = df.select(*keys, zipped.alias("__z")).select(*keys, F.posexplode("__z").alias("__at", "__z")).select(
+        *keys, "__at", F.lower(F.col("__z.t")).alias("__t"), F.coalesce(F.col("__z.c"), F.lit(1.0)).alias("__c")
+    )
+    sums, order = [], []
+    for n, (event, words) in enumerate(EVENT_KEYWORDS.items()):
         # A keyword that contains another one adds nothing.
-        needed = [k for k in keywords if not any(o != k and o in k for o in keywords)]
-        hit = lambda t: any_of([t.contains(k) for k in needed])
-        weights = F.zip_with(texts, padded, lambda t, c: F.when(hit(t), c))
-        score = F.aggregate(weights, F.lit(0.0), lambda s, w: s + F.coalesce(w, F.lit(0.0)))
-        seen = F.array_position(F.transform(weights, lambda w: w.isNotNull()), True)
-        tallies.append(
+        needed = [k for k in words if not any(o != k and o in k for o in words)]
+        hit = any_of([F.col("__t").contains(k) for k in needed])
+        sums += [
+            F.sum(F.when(hit, F.col("__c"))).alias(f"__s{n}"),
+            F.min(F.when(hit, F.col("__at"))).alias(f"__f{n}"),
+        ]
+        order.append(
             F.when(
-                seen > 0,
-                F.struct(score.alias("score"), (-seen).alias("seen"), F.lit(-n).alias("ord"), F.lit(event).alias("event")),
+                F.col(f"__f{n}").isNotNull(),
+                F.struct(F.col(f"__s{n}").alias("score"), (-F.col(f"__f{n}")).alias("seen"), F.lit(-n).alias("ord"), F.lit(event).alias("event")),
             )
         )
-    best = F.array_max(F.array_compact(F.array(*tallies)))
-    return F.when(count > 0, F.when(best.isNotNull(), F.struct(best["event"].alias("event"), best["score"].alias("score"))))
+    tallied = each.groupBy(*keys).agg(*sums).select(*keys, F.greatest(*order).alias("__best"))
+    return tallied.filter(F.col("__best").isNotNull()).select(
+        *keys, F.col("__best.event").alias("event"), F.col("__best.score").alias("score")
+    )
 
 
-def photo_event(vote: Column, colours: Column, minimum: float = MIN_LABEL_SCORE) -> Column:
+def photo_event(event: Column, score: Column, colours: Column, minimum: float = MIN_LABEL_SCORE) -> Column:
     """struct(event, confidence, source): labels if they decide, else first colour, else nothing."""
-    first = F.get(colours, F.lit(0))
-    by_colour = colour_event(first["r"], first["g"], first["b"])
 
     def result(event: Column, confidence: Column, source: str) -> Column:
         return F.struct(event.alias("event"), confidence.alias("confidence"), F.lit(source).alias("source"))
 
+    def by_colour(first: Column) -> Column:
+        return let(colour_event(first["r"], first["g"], first["b"]), lambda e: result(e["event"], e["confidence"], "color"))
+
+    first = F.get(colours, F.lit(0))
     return (
-        F.when(vote["score"] >= minimum, result(vote["event"], F.least(F.lit(1.0), vote["score"] / 2.0), "labels"))
-        .when(first.isNotNull(), result(by_colour["event"], by_colour["confidence"], "color"))
+        F.when(score >= minimum, result(event, F.least(F.lit(1.0), score / 2.0), "labels"))
+        .when(first.isNotNull(), let(first, by_colour))
         .otherwise(result(F.lit("Ceremony"), F.lit(0.0), "unknown"))
     )
 

@@ -167,15 +167,14 @@ def rank_fractions(df: DataFrame, by: Sequence[str], value: str, name: str) -> D
     Works on counts per distinct value, so a huge group of equal values is one row.
     """
     by = list(by)
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
-    sizes = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
-    running = OrderedGroups(counts, by, [F.col(value)]).running_sum(F.col("__c"), "__upto").df
-    share = running.join(sizes, by).select(
-        *by, value,
-        F.when(F.col("__n") <= 1, F.lit(0.5))
-        .otherwise((F.col("__upto") - F.col("__c") + (F.col("__c") - 1) / 2.0) / (F.col("__n") - 1)).alias(name),
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__ties"))
+    sizes = counts.groupBy(*by).agg(F.sum("__ties").alias("__size"))
+    running = OrderedGroups(counts, by, [F.col(value)]).running_sum(F.col("__ties"), "__upto").df
+    first = F.col("__upto") - F.col("__ties")
+    share = F.when(F.col("__size") <= 1, F.lit(0.5)).otherwise(
+        (first + (F.col("__ties") - 1) / 2.0) / (F.col("__size") - 1)
     )
-    return df.join(share, [*by, value])
+    return df.join(running.join(sizes, by).select(*by, value, share.alias(name)), [*by, value])
 
 
 def pair_by_rank(

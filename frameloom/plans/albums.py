@@ -401,22 +401,22 @@ def _keywords_sql():
     return f"(VALUES {', '.join(pairs)}) k(event, ord, word)"
 
 
-WORDS = f"""words AS (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS label, generate_subscripts(string_split(text, ' '), 1) AS at FROM documents),
-  hits AS (SELECT DISTINCT doc_id, lang, at, event, ord, CASE WHEN at % 4 = 0 THEN 1e0 ELSE (1 + at % 8) / 8e0 END AS conf FROM words JOIN {_keywords_sql()} ON contains(lower(label), word)),
-  scores AS (SELECT doc_id, any_value(lang) AS lang, event, any_value(ord) AS ord, sum(conf) AS score, min(at) AS seen FROM hits GROUP BY doc_id, event),
+WORDS = f"""words AS (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS label, generate_subscripts(string_split(text, ' '), 1) AS spot FROM documents),
+  hits AS (SELECT DISTINCT doc_id, lang, spot, event, ord, CASE WHEN spot % 4 = 0 THEN 1e0 ELSE (1 + spot % 8) / 8e0 END AS conf FROM words JOIN {_keywords_sql()} ON contains(lower(label), word)),
+  scores AS (SELECT doc_id, any_value(lang) AS lang, event, any_value(ord) AS ord, sum(conf) AS score, min(spot) AS seen FROM hits GROUP BY doc_id, event),
   votes AS (SELECT doc_id, event, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, seen, ord) AS r FROM scores) WHERE r = 1)"""
 
 
 def label_votes(spark, d):
     # Every fourth label lacks its confidence.
-    labels = F.split("text", " ")
-    sure = F.transform(labels, lambda _, i: F.when((i + 1) % 4 != 0, (1 + (i + 1) % 8) / 8.0))
-    return table(spark, d, "documents").select("doc_id", "lang", E.label_vote(labels, sure).alias("vote"))
+    docs = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("labels"))
+    sure = F.transform("labels", lambda _, i: F.when((i + 1) % 4 != 0, (1 + (i + 1) % 8) / 8.0))
+    return E.label_votes(docs.withColumn("sure", sure), ["doc_id"], "labels", "sure")
 
 
 @query("A8_label_vote", f"WITH {WORDS} SELECT doc_id, event, score FROM votes")
 def label_vote(spark, d):
-    return label_votes(spark, d).filter(F.col("vote").isNotNull()).select("doc_id", "vote.event", "vote.score")
+    return label_votes(spark, d)
 
 
 PHOTO_EVENTS = f"""WITH {WORDS}, cols AS (SELECT doc_id AS id, CAST(doc_id * 37 % 256 AS INTEGER) AS r, CAST(doc_id * 91 % 256 AS INTEGER) AS g, CAST(doc_id * 53 % 256 AS INTEGER) AS b FROM documents WHERE doc_id % 3 > 0)
@@ -427,11 +427,12 @@ PHOTO_EVENTS = f"""WITH {WORDS}, cols AS (SELECT doc_id AS id, CAST(doc_id * 37
 
 
 def photo_events(spark, d):
-    votes = label_votes(spark, d).select("doc_id", "vote")
+    votes = label_votes(spark, d)
     one = F.struct(*[(F.col("doc_id") * m % 256).cast("int").alias(c) for m, c in ((37, "r"), (91, "g"), (53, "b"))])
     colours = F.when(F.col("doc_id") % 3 > 0, F.array(one)).otherwise(F.array().cast("array<struct<r:int,g:int,b:int>>"))
     docs = table(spark, d, "documents").select("doc_id", F.concat("lang", F.lit("/"), "source").alias("grp"))
-    return docs.join(votes, "doc_id").select("doc_id", "grp", E.photo_event(F.col("vote"), colours, minimum=20.0).alias("e"))
+    named = E.photo_event(F.col("event"), F.col("score"), colours, minimum=20.0)
+    return docs.join(votes, "doc_id", "left").select("doc_id", "grp", named.alias("e"))
 
 
 @query("A9_photo_event", PHOTO_EVENTS + "SELECT doc_id, event, confidence, source FROM photo_events")
@@ -442,7 +443,7 @@ def photo_event(spark, d):
 GROUP_EVENTS = """, tally AS (SELECT grp, event, sum(confidence) AS total, min(doc_id) AS first_doc FROM photo_events WHERE confidence > 0 GROUP BY grp, event),
   sizes AS (SELECT grp, count(*) AS n, max(CASE WHEN confidence > 0 AND source = 'labels' THEN 2 WHEN confidence > 0 THEN 1 ELSE 0 END) AS src FROM photo_events GROUP BY grp),
   best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY total DESC, first_doc) AS r FROM tally) WHERE r = 1),
-  group_events AS (SELECT s.grp, coalesce(b.event, 'Ceremony') AS event, coalesce(least(1e0, b.total / s.n), 0e0) AS confidence, CASE s.src WHEN 2 THEN 'labels' WHEN 1 THEN 'color' ELSE 'unknown' END AS source
+  group_events AS (SELECT s.grp, coalesce(b.event, 'Ceremony') AS event, CASE WHEN b.total IS NULL THEN 0e0 ELSE least(1e0, b.total / s.n) END AS confidence, CASE s.src WHEN 2 THEN 'labels' WHEN 1 THEN 'color' ELSE 'unknown' END AS source
     FROM sizes s LEFT JOIN best b ON b.grp = s.grp)"""
 
 

@@ -213,13 +213,12 @@ def hamming_pairs(spark, d):
 
 @query(
     "J3_hamming_pairs_loose",
-    with_views(V.HASHES) + """, u AS (SELECT DISTINCT hash FROM hashes WHERE path LIKE '%-0')
+    with_views(V.HASHES) + """, u AS (SELECT DISTINCT hash FROM hashes)
     SELECT x.hash AS a, y.hash AS b, CAST(bit_count(xor(x.hash, y.hash)) AS BIGINT) AS distance
     FROM u x JOIN u y ON x.hash < y.hash AND bit_count(xor(x.hash, y.hash)) <= 18""",
 )
 def hamming_pairs_loose(spark, d):
-    first = V.hashes(spark, d).filter(F.col("path").endswith("-0"))
-    return D.hamming_pairs(first, "path", "hash", 18).select("a", "b", "distance")
+    return D.hamming_pairs(V.hashes(spark, d), "path", "hash", 18).select("a", "b", "distance")
 
 
 FOUNDERS = """, items AS (SELECT hash, min(path) AS p FROM hashes GROUP BY hash),
