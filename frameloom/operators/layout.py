@@ -242,7 +242,7 @@ def frame_assignment(
     exact = p.join(f, by).select(*by, F.explode(solve("ps", "fs")).alias("m")).select(
         *by, F.col("m.frame").alias("frame"), F.col("m.photo").alias(photo)
     )
-    big_photos, big_frames = ranked_photos.filter(~small), ranked_frames.filter(~small)
+    big_photos, big_frames = ranked_photos.filter(~small).drop("__n"), ranked_frames.filter(~small).drop("__n")
     rough = pair_by_rank(big_photos, big_frames, by, photo, aspect, photo_order, "frame", "frame_aspect")
     return exact.unionByName(rough.filter(F.col("frame").isNotNull()).select(*by, F.col("frame").cast("int").alias("frame"), photo))
 

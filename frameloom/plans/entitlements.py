@@ -472,7 +472,7 @@ def pending(spark, d):
 @query(
     "M5_flat_placements",
     """WITH p AS (SELECT o_orderkey AS spread, unnest([0, 1, 2]) AS i, o_custkey FROM orders), z AS (SELECT *, (spread + i * 2) % 3 AS z_index FROM p)
-    SELECT spread, CAST(row_number() OVER (PARTITION BY spread ORDER BY z_index, i) - 1 AS INTEGER) AS layer, concat(spread, '/', i) AS path, i * 100 AS frame_x, o_custkey AS frame_w, i / 10e0 AS crop_x, z_index FROM z""",
+    SELECT spread, CAST(row_number() OVER (PARTITION BY spread ORDER BY z_index, i) - 1 AS INTEGER) AS layer, concat(spread, '/', i) AS path, CAST(i * 100 AS BIGINT) AS frame_x, o_custkey AS frame_w, i / 10e0 AS crop_x, z_index FROM z""",
 )
 def placements(spark, d):
     one = lambda i: F.struct(
@@ -504,7 +504,7 @@ def label_cluster(spark, d):
 
 
 COMMANDS = """cmds AS (SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'suspend' WHEN 'view' THEN 'revoke' WHEN 'purchase' THEN 'disable' WHEN 'signup' THEN 'publish' ELSE CASE WHEN event_id % 2 = 0 THEN 'enable' ELSE 'yank' END END AS command,
-  event_id % 1500 AS target_id, ts AS at, user_id AS actor FROM events),
+  event_id % 1500 AS target_id, ts AS happened, user_id AS actor FROM events),
   ok AS (SELECT *, CASE command WHEN 'suspend' THEN 'license' WHEN 'revoke' THEN 'license' WHEN 'disable' THEN 'user' WHEN 'enable' THEN 'user' ELSE 'release' END AS target_type,
     CASE command WHEN 'suspend' THEN 'SUSPENDED' WHEN 'revoke' THEN 'REVOKED' WHEN 'disable' THEN 'DISABLED' WHEN 'enable' THEN 'ACTIVE' WHEN 'publish' THEN 'PUBLISHED' ELSE 'YANKED' END AS to_status FROM cmds WHERE NOT (command = 'disable' AND target_id = actor)),
   hit AS (SELECT * FROM ok WHERE (target_type = 'license' AND target_id IN (SELECT o_orderkey FROM orders)) OR (target_type = 'user' AND target_id IN (SELECT c_custkey FROM customer)) OR (target_type = 'release' AND target_id IN (SELECT o_orderkey FROM orders))),
@@ -534,8 +534,8 @@ def licence_status(spark, d):
 
 @query(
     "M7_closed_seats",
-    M7 + """, shut AS (SELECT target_id, min(at) AS at FROM hit WHERE command = 'revoke' GROUP BY target_id)
-    SELECT licence, device, part, CASE WHEN status = 'ACTIVE' AND s.at IS NOT NULL THEN 'DEACTIVATED' ELSE status END AS status, CASE WHEN status = 'ACTIVE' AND s.at IS NOT NULL THEN s.at ELSE deactivated_at END AS deactivated_at FROM activations LEFT JOIN shut s ON s.target_id = licence""",
+    M7 + """, shut AS (SELECT target_id, min(happened) AS happened FROM hit WHERE command = 'revoke' GROUP BY target_id)
+    SELECT licence, device, part, CASE WHEN status = 'ACTIVE' AND s.happened IS NOT NULL THEN 'DEACTIVATED' ELSE status END AS status, CASE WHEN status = 'ACTIVE' AND s.happened IS NOT NULL THEN s.happened ELSE deactivated_at END AS deactivated_at FROM activations LEFT JOIN shut s ON s.target_id = licence""",
 )
 def closed_seats(spark, d):
     return applied(spark, d)["activations"].select("licence", "device", "part", "status", "deactivated_at")
@@ -548,7 +548,7 @@ def user_status(spark, d):
 
 @query(
     "M7_revoked_sessions",
-    M7 + ", off AS (SELECT target_id, min(at) AS at FROM hit WHERE command = 'disable' GROUP BY target_id) SELECT event_id AS session, coalesce(revoked_at, at) AS revoked_at FROM toks LEFT JOIN off ON target_id = user_id",
+    M7 + ", off AS (SELECT target_id, min(happened) AS happened FROM hit WHERE command = 'disable' GROUP BY target_id) SELECT event_id AS session, coalesce(revoked_at, happened) AS revoked_at FROM toks LEFT JOIN off ON target_id = user_id",
 )
 def revoked_sessions(spark, d):
     return applied(spark, d)["sessions"].select("session", "revoked_at")
@@ -556,7 +556,7 @@ def revoked_sessions(spark, d):
 
 @query(
     "M7_release_status",
-    M7 + ", pub AS (SELECT target_id, arg_max(at, seq) AS at FROM hit WHERE command = 'publish' GROUP BY target_id) SELECT release, coalesce(to_status, status) AS status, coalesce(at, published_at) AS published_at FROM releases LEFT JOIN finals f ON f.target_type = 'release' AND f.target_id = release LEFT JOIN pub ON pub.target_id = release",
+    M7 + ", pub AS (SELECT target_id, arg_max(happened, seq) AS happened FROM hit WHERE command = 'publish' GROUP BY target_id) SELECT release, coalesce(to_status, status) AS status, coalesce(happened, published_at) AS published_at FROM releases LEFT JOIN finals f ON f.target_type = 'release' AND f.target_id = release LEFT JOIN pub ON pub.target_id = release",
 )
 def release_status(spark, d):
     return applied(spark, d)["releases"].select("release", "status", "published_at")

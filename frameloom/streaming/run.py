@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +44,11 @@ def analyse_new_files(
     """Analyse new or changed files only, batch by batch; results go to an append-only cache.
 
     ``files`` streams (namespace, path, size, mtime_s). Each batch drops what the cache already has
-    with the same signature, so a file that comes again unchanged is not analysed again. A batch
-    that is retried overwrites its own folder, so nothing is stored twice.
+    with the same signature, so a file that comes again unchanged is not analysed again, by this
+    stream or another one. A batch that is retried overwrites its own folder, so nothing is
+    stored twice.
     """
+    tag = md5(progress.encode()).hexdigest()[:12]
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
@@ -54,8 +57,9 @@ def analyse_new_files(
         fresh = df.dropDuplicates([*KEY, *SIGNATURE])
         if system.exists(place):
             known = spark.read.option("basePath", cache_folder).parquet(cache_folder)
-            fresh = to_recompute(fresh, known.filter(F.col("batch") < number).select(*KEY, *SIGNATURE))
-        analyse(fresh).write.mode("overwrite").parquet(f"{cache_folder}/batch={number}")
+            mine = (F.col("run") == tag) & (F.col("batch") >= number)
+            fresh = to_recompute(fresh, known.filter(~mine).select(*KEY, *SIGNATURE))
+        analyse(fresh).write.mode("overwrite").parquet(f"{cache_folder}/run={tag}/batch={number}")
 
     query = files.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(batch).start()
     query.awaitTermination()
