@@ -86,20 +86,10 @@ def _window_start(size: Column, low: Column, high: Column, pull: str | None) ->
     return F.least(F.greatest(wanted, F.lit(0.0)), slack)
 
 
-def cover_crop(
-    photo_aspect: Column | str,
-    frame_aspect: Column | str,
-    boxes: Column | str,
-    pull_x: str | None = None,
-) -> Column:
-    """Crop that fills the frame and keeps padded faces in view; pull_x: low, high or None."""
-    photo = F.when(col(photo_aspect) > 0, col(photo_aspect)).otherwise(1.0)
-    frame = F.when(col(frame_aspect) > 0, col(frame_aspect)).otherwise(1.0)
-    wide = photo > frame
-    w = F.least(F.when(wide, frame / photo).otherwise(1.0), F.lit(1.0))
-    h = F.least(F.when(wide, F.lit(1.0)).otherwise(photo / frame), F.lit(1.0))
+def padded_span(boxes: Column | str) -> Column:
+    """struct(x0, x1, y0, y1) around all padded boxes, null ends without boxes."""
 
-    def spans(safe: Column) -> Column:
+    def ends(safe: Column) -> Column:
         def low(axis: str) -> Column:
             return F.array_min(F.transform(safe, lambda b: b[axis]))
 
@@ -107,17 +97,36 @@ def cover_crop(
             return F.array_max(F.transform(safe, lambda b: b[axis] + b[extent]))
 
         return F.struct(
-            w.alias("w"), h.alias("h"), low("x").alias("x0"), high("x", "w").alias("x1"),
-            low("y").alias("y0"), high("y", "h").alias("y1"),
+            low("x").alias("x0"), high("x", "w").alias("x1"), low("y").alias("y0"), high("y", "h").alias("y1")
         )
 
+    return let(pad_boxes(boxes), ends)
+
+
+def cover_crop(
+    photo_aspect: Column | str,
+    frame_aspect: Column | str,
+    boxes: Column | str | None = None,
+    pull_x: str | None = None,
+    span: Column | None = None,
+) -> Column:
+    """Crop that fills the frame and keeps padded faces in view; pull_x: low, high or None.
+
+    ``span`` is the ``padded_span`` of the boxes, for callers that crop one photo many times.
+    """
+    photo = F.when(col(photo_aspect) > 0, col(photo_aspect)).otherwise(1.0)
+    frame = F.when(col(frame_aspect) > 0, col(frame_aspect)).otherwise(1.0)
+    wide = photo > frame
+    w = F.least(F.when(wide, frame / photo).otherwise(1.0), F.lit(1.0))
+    h = F.least(F.when(wide, F.lit(1.0)).otherwise(photo / frame), F.lit(1.0))
+    span = padded_span(boxes) if span is None else span
     return let(
-        let(pad_boxes(boxes), spans),
-        lambda s: box(
-            _window_start(s["w"], s["x0"], s["x1"], pull_x),
-            _window_start(s["h"], s["y0"], s["y1"], None),
-            s["w"],
-            s["h"],
+        F.struct(w.alias("w"), h.alias("h"), span.alias("s")),
+        lambda v: box(
+            _window_start(v["w"], v["s"]["x0"], v["s"]["x1"], pull_x),
+            _window_start(v["h"], v["s"]["y0"], v["s"]["y1"], None),
+            v["w"],
+            v["h"],
         ),
     )
 

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.functions.boxes import cover_crop, crop_loss, orientation
-from frameloom.operators.ordered import OrderedGroups, first_row, top_n
+from frameloom.functions.boxes import cover_crop, crop_loss, orientation, padded_span
+from frameloom.operators.ordered import HOT_ROWS, MAX_HOT_GROUPS, OrderedGroups, first_row, hot_groups, top_n
 
 # The five default slots (name, aspect, ideal compositions, face range).
 SLOTS = (
@@ -41,6 +41,7 @@ def slot_structs(slots: Sequence[tuple] = SLOTS) -> Column:
 
 def slot_score(
     composition: Column, faces: Column, aspect: Column, boxes: Column, slot: Column, recent: Column | None = None,
+    span: Column | None = None,
 ) -> Column:
     """How well a photo fits a slot; cropping through faces costs most."""
     relative = F.create_map(*[F.lit(x) for p in RELATIVES.items() for x in p])[composition]
@@ -58,8 +59,8 @@ def slot_score(
     if recent is not None:
         fresh = (F.size(recent) > 0) & ~F.array_contains(recent, composition)
         score = score + F.when(fresh, W_VARIETY).otherwise(0.0)
-    loss = crop_loss(boxes, cover_crop(aspect, slot["aspect"], boxes))
-    return score - loss * W_SAFETY
+    loss = crop_loss(boxes, cover_crop(aspect, slot["aspect"], boxes, span=span))
+    return score - F.when(F.size(boxes) > 0, loss * W_SAFETY).otherwise(0.0)
 
 
 def score_slots(df: DataFrame, slots: Sequence[tuple] = SLOTS) -> DataFrame:
@@ -67,8 +68,11 @@ def score_slots(df: DataFrame, slots: Sequence[tuple] = SLOTS) -> DataFrame:
 
     Expects composition, face_count, aspect and boxes. The slots are exploded from a literal.
     """
-    each = df.withColumn("__s", F.explode(slot_structs(slots)))
-    score = slot_score(F.col("composition"), F.col("face_count"), F.col("aspect"), F.col("boxes"), F.col("__s"))
+    # What depends on the photo alone is computed before it meets the slots.
+    each = df.withColumn("__span", padded_span("boxes")).withColumn("__s", F.explode(slot_structs(slots)))
+    score = slot_score(
+        F.col("composition"), F.col("face_count"), F.col("aspect"), F.col("boxes"), F.col("__s"), span=F.col("__span")
+    )
     return each.select(*df.columns, F.col("__s.slot").alias("slot"), F.col("__s.name").alias("slot_name"), score.alias("score"))
 
 
@@ -187,15 +191,16 @@ def pair_by_rank(
     order with a null slot.
     """
     by = list(by)
+    hot, hot_slots = hot_groups(photos, by), hot_groups(slots, by)
     counts = slots.groupBy(*by).agg(F.count(F.lit(1)).alias("__m"))
-    placed = OrderedGroups(photos, by, [F.col(photo_order), F.col(photo)]).position("__p").df.join(counts, by, "left")
+    placed = OrderedGroups(photos, by, [F.col(photo_order), F.col(photo)], hot=hot).position("__p").df.join(counts, by, "left")
     inside = placed.filter(F.col("__p") < F.col("__m"))
     extra = placed.filter((F.col("__p") >= F.col("__m")) | F.col("__m").isNull())
     # Fewer photos than slots: only the first slots are filled.
     n = photos.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    used = OrderedGroups(slots, by, [F.col(slot)]).position("__p").df.join(n, by).filter(F.col("__p") < F.col("__n")).drop("__p")
-    one = OrderedGroups(inside.drop("__m"), by, [F.col(photo_aspect), F.col("__p")]).position("__k").df
-    two = OrderedGroups(used, by, [F.col(slot_aspect), F.col(slot)]).position("__k").df
+    used = OrderedGroups(slots, by, [F.col(slot)], hot=hot_slots).position("__p").df.join(n, by).filter(F.col("__p") < F.col("__n")).drop("__p")
+    one = OrderedGroups(inside.drop("__m"), by, [F.col(photo_aspect), F.col("__p")], hot=hot).position("__k").df
+    two = OrderedGroups(used, by, [F.col(slot_aspect), F.col(slot)], hot=hot_slots).position("__k").df
     pairs = two.select(*by, "__k", slot).join(one.select(*by, "__k", photo), [*by, "__k"])
     return pairs.select(*by, slot, photo).unionByName(
         extra.select(*by, F.lit(None).cast(slots.schema[slot].dataType).alias(slot), photo)
@@ -248,7 +253,10 @@ def frame_assignment(
 
 
 def _cheapest(photos, frames) -> list[dict]:
-    """Exhaustive search over at most seven photos; the first of equal pairings wins."""
+    """Exhaustive search over at most seven photos; the first of equal pairings wins.
+
+    Totals that differ by rounding noise only (nine places) count as equal.
+    """
     from itertools import permutations
 
     import numpy as np
@@ -262,7 +270,7 @@ def _cheapest(photos, frames) -> list[dict]:
     totals = np.zeros(len(ways))
     for row in range(len(frames)):
         totals = totals + cost[row, ways[:, row]]
-    best = ways[int(np.argmin(totals))]
+    best = ways[int(np.argmin(np.round(totals, 9)))]
     return [{"frame": f["frame"], "photo": photos[i]["photo"]} for f, i in zip(frames, best)]
 
 
@@ -327,7 +335,10 @@ def pace_counts(df: DataFrame, by: Sequence[str], total: str, per_spread: str, c
     )
     if paced is None:
         return uniform
-    return uniform.unionByName(_repair(_apportion(paced, by, weights, spread), by, cap))
+    # How many spreads a section gets is known before any of them is made.
+    big = paced.filter(F.col("N") > HOT_ROWS).orderBy(F.col("N").desc()).limit(MAX_HOT_GROUPS)
+    hot = [tuple(r) for r in big.select(*by).collect()]
+    return uniform.unionByName(_repair(_apportion(paced, by, weights, spread), by, cap, hot))
 
 
 def _apportion(paced: DataFrame, by: list[str], weights: tuple, spread: Column) -> DataFrame:
@@ -357,15 +368,15 @@ def _apportion(paced: DataFrame, by: list[str], weights: tuple, spread: Column)
     return rows.select(*by, "spread", (pick(floors) + (ahead < shortfall).cast("int")).cast("long").alias("photos"))
 
 
-def _repair(counts: DataFrame, by: list[str], cap: int) -> DataFrame:
+def _repair(counts: DataFrame, by: list[str], cap: int, hot: list[tuple]) -> DataFrame:
     """Move units until every count lies in 1..cap: from the fullest, then to the emptiest."""
-    counts = _level(counts, by, need=F.greatest(F.lit(0), 1 - F.col("photos")), down=True, bound=1)
+    counts = _level(counts, by, need=F.greatest(F.lit(0), 1 - F.col("photos")), down=True, bound=1, hot=hot)
     counts = counts.withColumn("photos", F.greatest(F.col("photos"), F.lit(1)))
-    counts = _level(counts, by, need=F.greatest(F.lit(0), F.col("photos") - cap), down=False, bound=cap)
+    counts = _level(counts, by, need=F.greatest(F.lit(0), F.col("photos") - cap), down=False, bound=cap, hot=hot)
     return counts.withColumn("photos", F.least(F.col("photos"), F.lit(cap)).cast("long"))
 
 
-def _level(counts: DataFrame, by: list[str], need: Column, down: bool, bound: int) -> DataFrame:
+def _level(counts: DataFrame, by: list[str], need: Column, down: bool, bound: int, hot: list[tuple]) -> DataFrame:
     """Take ``need`` units per section from the fullest spreads (or give them to the emptiest).
 
     Working one unit at a time flattens the counts to a level; what is left over goes to the
@@ -374,18 +385,18 @@ def _level(counts: DataFrame, by: list[str], need: Column, down: bool, bound: in
     sections = counts.groupBy(*by).agg(F.sum(need).alias("__need"), F.max("photos").alias("__top"), F.min("photos").alias("__low"))
     sections = sections.filter(F.col("__need") > 0)
     # Candidate levels: between the bound and the extreme count of the section.
-    far = F.col("__top") if down else F.col("__low")
-    levels = sections.withColumn("level", F.explode(F.sequence(*( (F.lit(bound).cast("long"), F.greatest(far, F.lit(bound))) if down else (F.least(far, F.lit(bound)), F.lit(bound).cast("long")) ))))
+    edge = F.lit(bound).cast("long")
+    span = (edge, F.greatest("__top", edge)) if down else (F.least("__low", edge), edge)
+    levels = sections.withColumn("level", F.explode(F.sequence(*span)))
     histogram = counts.groupBy(*by, "photos").agg(F.count(F.lit(1)).alias("__c"))
-    moved = F.greatest(F.lit(0), (F.col("photos") - F.col("level")) if down else (F.col("level") - F.col("photos"))) * F.col("__c")
+    over = F.col("photos") - F.col("level") if down else F.col("level") - F.col("photos")
     fits = (
-        levels.join(histogram, by).groupBy(*by, "level", "__need").agg(F.sum(moved).alias("__moved"))
+        levels.join(histogram, by).groupBy(*by, "level", "__need")
+        .agg(F.sum(F.greatest(F.lit(0), over) * F.col("__c")).alias("__moved"))
         .filter(F.col("__moved") <= F.col("__need"))
     )
     pick = F.min if down else F.max
-    chosen = fits.groupBy(*by).agg(pick(F.struct("level", "__moved", "__need")).alias("__l")) if down else fits.groupBy(*by).agg(
-        F.max(F.struct("level", "__moved", "__need")).alias("__l")
-    )
+    chosen = fits.groupBy(*by).agg(pick(F.struct("level", "__moved", "__need")).alias("__l"))
     chosen = chosen.select(*by, F.col("__l.level").alias("level"), (F.col("__l.__need") - F.col("__l.__moved")).alias("__left"))
     placed = counts.join(chosen, by, "left")
     at_level = (F.col("photos") >= F.col("level")) if down else (F.col("photos") <= F.col("level"))
@@ -394,7 +405,7 @@ def _level(counts: DataFrame, by: list[str], need: Column, down: bool, bound: in
     flat = F.when(at_level, F.col("level")).otherwise(F.col("photos"))
     placed = placed.withColumn("__flat", F.coalesce(flat, F.col("photos")))
     ranked = OrderedGroups(
-        placed.withColumn("__at", F.coalesce(at_level & room, F.lit(False)).cast("int")), by, [F.col("spread")]
+        placed.withColumn("__at", F.coalesce(at_level & room, F.lit(False)).cast("int")), by, [F.col("spread")], hot=hot
     ).running_sum(F.col("__at"), "__rank").df
     step = F.when((F.col("__at") == 1) & (F.col("__rank") <= F.col("__left")), 1).otherwise(0)
     return ranked.select(*by, "spread", (F.col("__flat") - step if down else F.col("__flat") + step).cast("long").alias("photos"))
@@ -518,7 +529,7 @@ def sheet_fill(entries: DataFrame, by: Sequence[str], order: list[Column], copie
     by = list(by)
     capacity = cols * rows
     wanted = top_n(entries.filter(F.col(copies) > 0), by, order, capacity)
-    ends = OrderedGroups(wanted, by, order).running_sum(F.col(copies), "__end").df
+    ends = OrderedGroups(wanted, by, order, hot=[]).running_sum(F.col(copies), "__end").df
     start = (F.col("__end") - F.col(copies)).cast("long")
     last = F.least(F.col("__end").cast("long"), F.lit(capacity).cast("long")) - 1
     tiles = ends.filter(start < capacity).withColumn("tile", F.explode(F.sequence(start, last)))

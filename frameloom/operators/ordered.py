@@ -48,7 +48,9 @@ class OrderedGroups:
     """Rows of ``df`` in ``order`` inside each ``by`` group.
 
     ``order`` must be a strict order inside a group (end it with a unique key). Each
-    method adds a column and returns ``self``; ``df`` is the result so far.
+    method adds a column and returns ``self``; ``df`` is the result so far. Callers that know the
+    hot groups already, measured on these rows or a superset, or that have bounded the groups
+    themselves, pass ``hot`` and save the counting job.
     """
 
     def __init__(
@@ -57,10 +59,12 @@ class OrderedGroups:
         by: Sequence[str],
         order: Sequence[Column],
         hot_rows: int | None = None,
+        hot: list[tuple] | None = None,
     ) -> None:
         self.by = list(by)
         self.order = list(order)
-        hot = hot_groups(df, self.by, hot_rows)
+        if hot is None:
+            hot = hot_groups(df, self.by, hot_rows)
         self.sliced = bool(hot)
         self.columns = df.columns
         if self.sliced:
@@ -100,21 +104,21 @@ class OrderedGroups:
         One row per (hot group, slot) is aggregated, so the broadcast is bounded by the
         number of slots plus the number of hot groups. Ordinary groups have no slots.
         """
-        names = [f"__k{i}" for i in range(len(self.by))]
+        names = [f"__carry_k{i}" for i in range(len(self.by))]
         keys = [F.col(c).alias(k) for c, k in zip(self.by, names)]
         slots = (
             self._df.filter(F.col(_SLOT) >= 0)
-            .groupBy(*keys, F.col(_SLOT).alias("__kslot"))
+            .groupBy(*keys, F.col(_SLOT).alias("__carry_slot"))
             .agg(*aggs)
         )
-        before = Window.partitionBy(*names).orderBy("__kslot").rowsBetween(
+        before = Window.partitionBy(*names).orderBy("__carry_slot").rowsBetween(
             Window.unboundedPreceding, -1
         )
-        carry = slots.select(*names, "__kslot", *[e.over(before).alias(n) for n, e in carried])
+        carry = slots.select(*names, "__carry_slot", *[e.over(before).alias(n) for n, e in carried])
         left = self._df
-        on = [left[_SLOT] == carry["__kslot"]]
+        on = [left[_SLOT] == carry["__carry_slot"]]
         on += [left[c].eqNullSafe(carry[k]) for c, k in zip(self.by, names)]
-        return left.join(F.broadcast(carry), on, "left").drop("__kslot", *names)
+        return left.join(F.broadcast(carry), on, "left").drop("__carry_slot", *names)
 
     # -- columns ----------------------------------------------------------- #
     def position(self, name: str = "pos") -> OrderedGroups:
@@ -123,10 +127,10 @@ class OrderedGroups:
         if not self.sliced:
             self._df = self._df.withColumn(name, local)
             return self
-        joined = self._carry([F.count(F.lit(1)).alias("__n")], [("__before", F.sum("__n"))])
+        joined = self._carry([F.count(F.lit(1)).alias("__carry_n")], [("__carry_in", F.sum("__carry_n"))])
         self._df = (
-            joined.withColumn(name, local + F.coalesce(F.col("__before"), F.lit(0)))
-            .drop("__before")
+            joined.withColumn(name, local + F.coalesce(F.col("__carry_in"), F.lit(0)))
+            .drop("__carry_in")
         )
         return self
 
@@ -136,11 +140,11 @@ class OrderedGroups:
         if not self.sliced:
             self._df = self._df.withColumn(name, F.sum(value).over(window))
             return self
-        self._df = self._df.withColumn("__v", value)
-        joined = self._carry([F.sum("__v").alias("__s")], [("__before", F.sum("__s"))])
+        self._df = self._df.withColumn("__carry_v", value)
+        joined = self._carry([F.sum("__carry_v").alias("__carry_s")], [("__carry_in", F.sum("__carry_s"))])
         self._df = (
-            joined.withColumn(name, F.sum("__v").over(window) + F.coalesce("__before", F.lit(0)))
-            .drop("__v", "__before")
+            joined.withColumn(name, F.sum("__carry_v").over(window) + F.coalesce("__carry_in", F.lit(0)))
+            .drop("__carry_v", "__carry_in")
         )
         return self
 
@@ -150,18 +154,18 @@ class OrderedGroups:
             self._df = self._df.withColumn(name, F.lag(column).over(self._local()))
             return self
         # The last row of a slot: its local position is the slot size minus one.
-        tagged = self._df.withColumn("__rn", F.row_number().over(self._local()))
+        tagged = self._df.withColumn("__carry_rn", F.row_number().over(self._local()))
         self._df = tagged
-        last = F.max(F.struct(F.col("__rn"), F.col(column).alias("__v"))).alias("__last")
-        joined = self._carry([last], [("__in", F.last("__last"))])
+        last = F.max(F.struct(F.col("__carry_rn"), F.col(column).alias("__carry_v"))).alias("__carry_last")
+        joined = self._carry([last], [("__carry_in", F.last("__carry_last"))])
         self._df = (
             joined.withColumn(
                 name,
-                F.when(F.col("__rn") == 1, F.col("__in")["__v"]).otherwise(
+                F.when(F.col("__carry_rn") == 1, F.col("__carry_in")["__carry_v"]).otherwise(
                     F.lag(column).over(self._local())
                 ),
             )
-            .drop("__rn", "__in")
+            .drop("__carry_rn", "__carry_in")
         )
         return self
 
@@ -174,30 +178,30 @@ class OrderedGroups:
         return self._df.drop(_SLOT)
 
 
+# Up to here Spark prunes row_number() <= n on the map side, before the shuffle.
+MAP_SIDE_LIMIT = 1_000
+
+
 def top_n(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, salts: int = 64
 ) -> DataFrame:
-    """First ``n`` rows per group. Two steps, so a hot group never meets in one task.
+    """First ``n`` rows per group; a hot group never meets in one task.
 
-    The first step keeps n rows per (group, salt); the second sees at most n * salts.
+    For a small ``n`` every map task already sends at most n rows per group. A larger one takes
+    two steps: n rows per (group, salt), then at most n * salts rows per group.
     """
     by = list(by)
-    salted = df.withColumn(
-        "__salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if not _is_map(df, c)]), F.lit(salts))
-    )
-    some = Window.partitionBy(*by, "__salt").orderBy(*order)
+    if n <= 0:
+        return df.limit(0)
     every = Window.partitionBy(*by).orderBy(*order)
-    return (
-        salted.withColumn("__rn", F.row_number().over(some))
-        .filter(F.col("__rn") <= n)
-        .withColumn("__rn", F.row_number().over(every))
-        .filter(F.col("__rn") <= n)
-        .drop("__salt", "__rn")
-    )
-
-
-def _is_map(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() in ("map", "variant")
+    if n > MAP_SIDE_LIMIT:
+        plain = [F.col(c) for c in df.columns if df.schema[c].dataType.typeName() not in ("map", "variant")]
+        some = Window.partitionBy(*by, "__salt").orderBy(*order)
+        df = (
+            df.withColumn("__salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
+            .withColumn("__rn", F.row_number().over(some)).filter(F.col("__rn") <= n).drop("__salt", "__rn")
+        )
+    return df.withColumn("__rn", F.row_number().over(every)).filter(F.col("__rn") <= n).drop("__rn")
 
 
 def first_row(df: DataFrame, by: Sequence[str], key: Column, largest: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.functions.quality import BEST, CATEGORIES, Weights, category, quality_tier
-from frameloom.operators.ordered import OrderedGroups, first_row, top_n
+from frameloom.operators.ordered import OrderedGroups, first_row, hot_groups, top_n
 
 # Sizes of the automatic sections.
 HIGHLIGHTS, CLOSING, FAMILY_FACES, PORTRAIT_FACES = 24, 8, 3, 1
@@ -124,8 +124,11 @@ def time_order(time: str, path: str) -> list[Column]:
     return [F.col(time).asc_nulls_first(), F.col(path)]
 
 
-def ranked(df: DataFrame, by: Sequence[str], order: list[Column], name: str = "pos", hot_rows: int | None = None) -> DataFrame:
-    return OrderedGroups(df, by, order, hot_rows).position(name).df
+def ranked(
+    df: DataFrame, by: Sequence[str], order: list[Column], name: str = "pos",
+    hot_rows: int | None = None, hot: list[tuple] | None = None,
+) -> DataFrame:
+    return OrderedGroups(df, by, order, hot_rows, hot).position(name).df
 
 
 def spread_selection(df: DataFrame, by: Sequence[str], path: str, score: str, count: int = 9, spread: bool = True) -> DataFrame:
@@ -140,8 +143,8 @@ def spread_selection(df: DataFrame, by: Sequence[str], path: str, score: str, co
     keep = count * SHORTLIST_FACTOR if spread else count
     short = top_n(df, by, [F.col(score).desc(), F.col(path)], keep)
     # At most ``keep`` rows per group from here on, so plain windows are bounded.
-    by_quality = OrderedGroups(short, by, [F.col(score).desc(), F.col(path)]).position("__q").df
-    by_path = OrderedGroups(by_quality, by, [F.col(path)]).position("__p").df
+    by_quality = ranked(short, by, [F.col(score).desc(), F.col(path)], "__q", hot=[])
+    by_path = ranked(by_quality, by, [F.col(path)], "__p", hot=[])
     sizes = short.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     placed = by_path.join(sizes, by)
     few = placed.filter((F.col("__n") <= count) | F.lit(not spread)).withColumn("pick", F.col("__q"))
@@ -206,7 +209,7 @@ def has_only(present: Column, label: Column | str) -> Column:
 # -- sections ------------------------------------------------------------------ #
 def rule_sections(
     photos: DataFrame, specs: Sequence[Mapping], by: Sequence[str], path: str, score: str, present: str,
-    eligible: Column | None = None, events: DataFrame | None = None,
+    eligible: Column | None = None, events: DataFrame | None = None, hot: list[tuple] | None = None,
 ) -> DataFrame:
     """Sections from rules, as (by, ordinal, section, pos, path).
 
@@ -217,6 +220,8 @@ def rule_sections(
     """
     by = list(by)
     pool = photos if eligible is None else photos.filter(eligible)
+    if hot is None:
+        hot = hot_groups(pool, by)
     parts = []
     for n, spec in enumerate(specs):
         kind, limit = spec["kind"], spec.get("limit")
@@ -241,7 +246,8 @@ def rule_sections(
                 limit = 1 if limit is None else min(limit, 1)
             if limit is not None:
                 part = top_n(part, by, quality_order(score, path), limit)
-            part = ranked(part, by, quality_order(score, path)).select(*by, F.col(path).alias("path"), "pos")
+            known = hot if limit is None else []
+            part = ranked(part, by, quality_order(score, path), hot=known).select(*by, F.col(path).alias("path"), "pos")
         parts.append(
             part.select(
                 *by, F.lit(n).alias("ordinal"), F.lit(spec["name"]).alias("section"),
@@ -272,8 +278,8 @@ def sticky_edits(
     return ranked(joined, by, order).select(*by, "pos", "path")
 
 
-def _section(df: DataFrame, by: list[str], n: int, name: str, path: str, order: list[Column], hot_rows=None) -> DataFrame:
-    return ranked(df, by, order, hot_rows=hot_rows).select(
+def _section(df: DataFrame, by: list[str], n: int, name: str, path: str, order: list[Column], hot: list[tuple]) -> DataFrame:
+    return ranked(df, by, order, hot=hot).select(
         *by, F.lit(n).alias("ordinal"), F.lit(name).alias("section"), "pos", F.col(path).alias("path")
     )
 
@@ -285,13 +291,16 @@ def story(
     by = list(by)
     q, t = quality_order(score, path), time_order(time, path)
     front = cover(pool, by, path, score, best, faces)
+    # Measured once: every section is a part of the pool, and the short ones are cut already.
+    hot, short = hot_groups(pool, by), []
+    faces_on = F.coalesce(F.col(face_count), F.lit(0))
     parts = [
-        _section(front, by, 0, "Cover", path, q),
-        _section(highlights(pool, by, path, score, best, front), by, 1, "Highlights", path, q),
-        _section(pool, by, 2, "Ceremony", path, t),
-        _section(pool.filter(F.coalesce(F.col(face_count), F.lit(0)) >= FAMILY_FACES), by, 3, "Family", path, q),
-        _section(pool.filter(F.coalesce(F.col(face_count), F.lit(0)) == PORTRAIT_FACES), by, 4, "Portraits", path, q),
-        _section(closing(pool, by, time, path), by, 5, "Closing", path, t),
+        _section(front, by, 0, "Cover", path, q, short),
+        _section(highlights(pool, by, path, score, best, front), by, 1, "Highlights", path, q, short),
+        _section(pool, by, 2, "Ceremony", path, t, hot),
+        _section(pool.filter(faces_on >= FAMILY_FACES), by, 3, "Family", path, q, hot),
+        _section(pool.filter(faces_on == PORTRAIT_FACES), by, 4, "Portraits", path, q, hot),
+        _section(closing(pool, by, time, path), by, 5, "Closing", path, t, short),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -314,17 +323,18 @@ def story_with_people(pool: DataFrame, by: Sequence[str], path: str, score: str,
     couple = has_all(F.col(present), F.lit(["bride", "groom"]))
     key = F.struct((~couple).cast("int").alias("c"), (-F.coalesce(F.col(score), F.lit(0.0))).alias("q"), F.col(path).alias("p"))
     front = first_row(pool, by, key)
-    people = rule_sections(pool, PERSON_SECTIONS, by, path, score, present).withColumn(
+    hot, short = hot_groups(pool, by), []
+    people = rule_sections(pool, PERSON_SECTIONS, by, path, score, present, hot=hot).withColumn(
         "ordinal", F.col("ordinal") + 1
     )
     rest = top_n(pool.join(front.select(*by, path), [*by, path], "left_anti"), by, q, HIGHLIGHTS)
     n = len(PERSON_SECTIONS)
     parts = [
-        _section(front, by, 0, "Cover", path, q),
+        _section(front, by, 0, "Cover", path, q, short),
         people,
-        _section(rest, by, n + 1, "Highlights", path, q),
-        _section(pool, by, n + 2, "Ceremony", path, t),
-        _section(closing(pool, by, time, path), by, n + 3, "Closing", path, t),
+        _section(rest, by, n + 1, "Highlights", path, q, short),
+        _section(pool, by, n + 2, "Ceremony", path, t, hot),
+        _section(closing(pool, by, time, path), by, n + 3, "Closing", path, t, short),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -86,7 +86,7 @@ def highlights(spark, d):
 @query("T4_closing", ALBUM + POOLS + "SELECT project, path, pos FROM last_ones")
 def closing(spark, d):
     last = sel.closing(V.album(spark, d), ["project"], "taken", "path")
-    return sel.ranked(last, ["project"], sel.time_order("taken", "path")).select("project", "path", "pos")
+    return sel.ranked(last, ["project"], sel.time_order("taken", "path"), hot=[]).select("project", "path", "pos")
 
 
 @query("T5_cover", ALBUM + POOLS + "SELECT project, path, quality FROM covers")

@@ -606,17 +606,17 @@ def crop_sql(pull=None):
 
 @query(
     "P16_cover_crop",
-    BOXES + crop_sql() + "SELECT path, round(cx, 6) AS x, round(cy, 6) AS y, round(cw, 6) AS w, round(ch, 6) AS h FROM crops",
+    BOXES + crop_sql() + "SELECT path, round(cx, 9) AS x, round(cy, 9) AS y, round(cw, 9) AS w, round(ch, 9) AS h FROM crops",
 )
 def cover_crop(spark, d):
     df = V.boxed(spark, d).withColumn("c", B.cover_crop("aspect", "frame_aspect", B.clip_boxes("boxes")))
-    return df.select("path", *[F.round(F.col(f"c.{s}"), 6).alias(s) for s in ("x", "y", "w", "h")])
+    return df.select("path", *[F.round(F.col(f"c.{s}"), 9).alias(s) for s in ("x", "y", "w", "h")])
 
 
-@query("P16_cover_crop_pulled", BOXES + crop_sql("high") + "SELECT path, round(cx, 6) AS x, round(cy, 6) AS y FROM crops")
+@query("P16_cover_crop_pulled", BOXES + crop_sql("high") + "SELECT path, round(cx, 9) AS x, round(cy, 9) AS y FROM crops")
 def cover_crop_pulled(spark, d):
     df = V.boxed(spark, d).withColumn("c", B.cover_crop("aspect", "frame_aspect", B.clip_boxes("boxes"), pull_x="high"))
-    return df.select("path", *[F.round(F.col(f"c.{s}"), 6).alias(s) for s in ("x", "y")])
+    return df.select("path", *[F.round(F.col(f"c.{s}"), 9).alias(s) for s in ("x", "y")])
 
 
 @query(

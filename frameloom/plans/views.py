@@ -9,7 +9,7 @@ from frameloom.functions.boxes import box
 from frameloom.functions.quality import is_usable, quality_score
 from frameloom.operators.duplicates import rerank
 from frameloom.operators.selection import inventory
-from frameloom.plans.registry import table
+from frameloom.plans.registry import spread_out, table
 
 # -- photos: one line item is one photo ------------------------------------------- #
 MEDIA = """media AS (SELECT concat('s', l_suppkey, '/', l_orderkey, '-', l_linenumber, '-', l_partkey, '-',
@@ -24,7 +24,8 @@ MEDIA = """media AS (SELECT concat('s', l_suppkey, '/', l_orderkey, '-', l_linen
 
 def media(spark: SparkSession, d: str) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    return table(spark, d, "lineitem").withColumns(
+    rows = spread_out(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+    return rows.withColumns(
         {
             "path": F.concat(
                 F.lit("s"), "l_suppkey", F.lit("/"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"),
