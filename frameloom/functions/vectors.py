@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from frameloom.functions.scalar import col
+from frameloom.functions.scalar import col, let
 
 
 def as_double(v: Column | str) -> Column:
@@ -17,14 +17,18 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(v: Column | str) -> Column:
-    d = as_double(v)
-    return F.sqrt(dot(d, d))
+    return let(as_double(v), lambda d: F.sqrt(dot(d, d)))
 
 
 def unit(v: Column | str) -> Column:
-    """Unit vector; a zero vector stays zero."""
-    d, n = as_double(v), norm(v)
-    return F.when(n == 0, d).otherwise(F.transform(d, lambda x: x / n))
+    """Unit vector; a zero vector stays zero. The length is computed once per row."""
+
+    def scaled(s: Column) -> Column:
+        return F.when(s["n"] == 0, s["d"]).otherwise(F.transform(s["d"], lambda x: x / s["n"]))
+
+    return let(
+        let(as_double(v), lambda d: F.struct(d.alias("d"), F.sqrt(dot(d, d)).alias("n"))), scaled
+    )
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -39,13 +43,16 @@ def median_hash(v: Column | str, bits: int = 63) -> Column:
     keep the sign bit free; pass 64 for the full width.
     """
     vec = col(v)
-    n = F.size(vec)
     # Even length: the middle pair straddles the median. Odd: the middle element is it.
-    edge = F.element_at(F.array_sort(vec), F.floor((n + 1) / 2).cast("int"))
-    flags = F.transform(F.slice(vec, 1, bits), lambda x: (x > edge).cast("long"))
-    return F.aggregate(
-        F.reverse(flags), F.lit(0).cast("long"), lambda acc, bit: F.shiftleft(acc, 1).bitwiseOR(bit)
-    )
+    middle = F.floor((F.size(vec) + 1) / 2).cast("int")
+
+    def packed(edge: Column) -> Column:
+        flags = F.transform(F.slice(vec, 1, bits), lambda x: (x > edge).cast("long"))
+        return F.aggregate(
+            F.reverse(flags), F.lit(0).cast("long"), lambda acc, bit: F.shiftleft(acc, 1).bitwiseOR(bit)
+        )
+
+    return let(F.element_at(F.sort_array(vec), middle), packed)
 
 
 def hamming(a: Column | str, b: Column | str) -> Column:

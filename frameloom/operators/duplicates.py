@@ -18,7 +18,7 @@ BUCKET_PAIRS = 4_000_000
 # three times as large, so the number of passes grows with the logarithm of the data.
 FIRST_PASS = 200_000
 # Up to this many distinct hashes, comparing blocks is cheaper than the band index.
-FEW = 5_000
+FEW = 20_000
 
 
 def _bands(free: list[int]) -> list[int]:

@@ -131,37 +131,41 @@ def best_assignment(scored: DataFrame, by: Sequence[str], photo: str, slots: int
 
 
 def _best_matching(cells, slots: int) -> list[dict]:
-    """Best matching of a few (slot, photo, score) cells: states are the sets of used photos."""
+    """Best matching of a few (slot, photo, score) cells; a state is the set of used photos."""
+    names = sorted({c["photo"] for c in cells})
+    bit = {p: 1 << n for n, p in enumerate(names)}
     per_slot: dict[int, list] = {}
     for c in cells:
-        per_slot.setdefault(c["slot"], []).append((c["photo"], c["score"]))
-    photos = {p for options in per_slot.values() for p, _ in options}
-    must = min(len(per_slot), len(photos))
-    states = {frozenset(): (0, 0.0, ())}
+        per_slot.setdefault(c["slot"], []).append((bit[c["photo"]], c["score"]))
+    order = sorted(per_slot)
+    must = min(len(order), len(names))
+    # used photos -> (total, picks); the number of set bits is the number of filled slots.
+    states = {0: (0.0, ())}
 
     def better(new, old):
-        if new[0] != old[0]:
+        if abs(new[0] - old[0]) > 1e-9:
             return new[0] > old[0]
-        if abs(new[1] - old[1]) > 1e-9:
-            return new[1] > old[1]
-        return new[2] < old[2]
+        return new[1] < old[1]
 
-    order = sorted(per_slot)
     for n, slot in enumerate(order):
         grown: dict = {}
-        for used, (filled, total, picks) in states.items():
-            options = [(used | {p}, (filled + 1, total + s, (*picks, (slot, p, s)))) for p, s in per_slot[slot] if p not in used]
-            if filled + len(order) - n - 1 >= must:
-                options.append((used, (filled, total, picks)))
-            for key, value in options:
-                if key not in grown or better(value, grown[key]):
-                    grown[key] = value
+        left = len(order) - n - 1
+        for used, (total, picks) in states.items():
+            for mark, score in per_slot[slot]:
+                if not used & mark:
+                    value = (total + score, (*picks, (slot, mark, score)))
+                    key = used | mark
+                    if key not in grown or better(value, grown[key]):
+                        grown[key] = value
+            # Leaving the slot empty must still allow the required number of slots.
+            if used.bit_count() + left >= must and (used not in grown or better((total, picks), grown[used])):
+                grown[used] = (total, picks)
         states = grown
     best = None
-    for value in states.values():
-        if best is None or better(value, best):
+    for used, value in states.items():
+        if used.bit_count() == must and (best is None or better(value, best)):
             best = value
-    return [{"slot": s, "photo": p, "score": v} for s, p, v in best[2]]
+    return [{"slot": s, "photo": names[m.bit_length() - 1], "score": v} for s, m, v in best[1]]
 
 
 # -- ranks ------------------------------------------------------------------------ #
@@ -343,29 +347,38 @@ def pace_counts(df: DataFrame, by: Sequence[str], total: str, per_spread: str, c
 
 def _apportion(paced: DataFrame, by: list[str], weights: tuple, spread: Column) -> DataFrame:
     """Largest-remainder counts per spread; ties in the remainder go to the earlier spread."""
-    n, size = F.col("N"), len(weights)
-    # How many of the first k spreads have beat c.
-    upto = lambda k, c: F.floor((k + (size - 1 - c)) / size)
-    # The sum runs in spread order in full cycles first, then the rest.
-    scale = F.col("T") / reduce(lambda a, b: a + b, [upto(n, c) * F.lit(w) for c, w in enumerate(weights)])
-    raw = [scale * F.lit(w) for w in weights]
-    floors = [F.floor(r) for r in raw]
-    rest = [r - f for r, f in zip(raw, floors)]
-    shortfall = F.col("T") - reduce(lambda a, b: a + b, [upto(n, c) * f for c, f in enumerate(floors)])
-    rows = paced.select("*", spread)
-    beat = F.col("spread") % size
-    pick = lambda values: reduce(
-        lambda acc, cv: F.when(beat == cv[0], cv[1]).otherwise(acc), list(enumerate(values))[1:], values[0]
+    size = len(weights)
+    beats = F.lit(list(range(size)))
+
+    def before(k: Column, c: Column) -> Column:
+        """How many of the first ``k`` spreads have beat ``c``."""
+        return F.floor((k + (size - 1) - c) / size)
+
+    # Everything that depends on the section alone is an array over the four beats.
+    known = (
+        paced.withColumn("W", F.lit([float(w) for w in weights]))
+        .withColumn("M", F.transform(beats, lambda c: before(F.col("N"), c)))
+        .withColumn("scale", F.col("T") / F.aggregate(F.zip_with("M", "W", lambda m, w: m * w), F.lit(0.0), lambda a, x: a + x))
+        .withColumn("raw", F.transform("W", lambda w: w * F.col("scale")))
+        .withColumn("low", F.transform("raw", lambda r: F.floor(r)))
+        .withColumn("rest", F.zip_with("raw", "low", lambda r, f: F.round(r - f, 9)))
+        .withColumn(
+            "short", F.col("T") - F.aggregate(F.zip_with("M", "low", lambda m, f: m * f), F.lit(0).cast("long"), lambda a, x: a + x)
+        )
     )
-    own_rest = pick(rest)
-    ahead = reduce(
-        lambda a, b: a + b,
-        [
-            F.when(r > own_rest, upto(n, c)).when(r == own_rest, upto(F.col("spread"), c)).otherwise(0)
-            for c, r in enumerate(rest)
-        ],
+    rows = known.select("*", spread).withColumn("beat", (F.col("spread") % size).cast("int"))
+    rows = rows.withColumn("own", F.get("rest", F.col("beat")))
+    # Spreads served before this one: larger remainders anywhere, equal ones further left.
+    ahead = F.aggregate(
+        F.transform(
+            beats,
+            lambda c: F.when(F.get("rest", c) > F.col("own"), F.get("M", c))
+            .when(F.get("rest", c) == F.col("own"), before(F.col("spread"), c)).otherwise(0),
+        ),
+        F.lit(0).cast("long"), lambda a, x: a + x,
     )
-    return rows.select(*by, "spread", (pick(floors) + (ahead < shortfall).cast("int")).cast("long").alias("photos"))
+    extra = (ahead < F.col("short")).cast("int")
+    return rows.select(*by, "spread", (F.get("low", F.col("beat")) + extra).cast("long").alias("photos"))
 
 
 def _repair(counts: DataFrame, by: list[str], cap: int, hot: list[tuple]) -> DataFrame:

@@ -168,27 +168,37 @@ def average_linkage_clusters(
 
 
 def _finish(mean, size, limit: float):
-    """Average linkage over weighted rows of one group; returns the row each belongs to."""
+    """Average linkage over weighted rows of one group; returns the row each belongs to.
+
+    Every row remembers its nearest partner, so a merge only looks again at the rows it touched.
+    """
     import numpy as np
 
     n = len(mean)
     root = np.arange(n)
-    mean = np.array(mean, float)
-    size = np.array(size, float)
+    mean, size = np.array(mean, float), np.array(size, float)
     gap = 1.0 - mean @ mean.T
     np.fill_diagonal(gap, np.inf)
-    while n > 1:
-        i, j = divmod(int(np.argmin(gap)), n)
-        if not gap[i, j] <= limit:
-            break
-        i, j = min(i, j), max(i, j)
+    if n < 2:
+        return root
+    best = gap.argmin(axis=1)
+    near = gap[root, best]
+    while True:
+        i = int(near.argmin())
+        if not near[i] <= limit:
+            return root
+        i, j = min(i, int(best[i])), max(i, int(best[i]))
         mean[i] = (mean[i] * size[i] + mean[j] * size[j]) / (size[i] + size[j])
         size[i] += size[j]
         root[root == j] = i
         gap[j, :] = gap[:, j] = np.inf
         open_ = np.isfinite(gap[i])
         gap[i, open_] = gap[open_, i] = 1.0 - mean[open_] @ mean[i]
-    return root
+        near[j] = np.inf
+        again = np.flatnonzero((best == i) | (best == j) | (gap[i] < near))
+        again = np.union1d(again[np.isfinite(near[again])], [i])
+        best[again] = gap[again].argmin(axis=1)
+        near[again] = gap[again, best[again]]
 
 
 def centroids(df: DataFrame, by: Sequence[str], vector: str, dim: int) -> DataFrame:

@@ -13,7 +13,8 @@ from frameloom.operators import duplicates as D
 from frameloom.operators import selection as sel
 from frameloom.plans import views as V
 from frameloom.plans.registry import query, table, with_views
-from frameloom.sources import cache, scan, sinks, vision
+from frameloom.session import scratch_dir
+from frameloom.sources import cache, manifest_files, scan, sinks, vision
 
 PHOTOS = with_views(*V.PHOTOS)
 MEDIA = with_views(V.MEDIA)
@@ -726,3 +727,26 @@ def content_profile(spark, d):
 def effective_ppi(spark, d):
     ppi = B.effective_ppi(F.col("p_size") * 100, F.col("p_retailprice"), (F.col("p_partkey") % 7) * 300, 900 + F.col("p_partkey") % 600, 300)
     return table(spark, d, "part").select("p_partkey", ppi.alias("ppi")).filter(F.col("ppi") < 150).withColumn("ppi", F.round("ppi", 6))
+
+
+# -- written and read back ---------------------------------------------------------------- #
+@query(
+    "S9_manifest_round_trip",
+    PHOTOS + "SELECT project, path, category, quality, usable, faces_detected, tier FROM records",
+)
+def manifest_round_trip(spark, d):
+    recs = V.records(spark, d).select(
+        F.col("project").cast("string").alias("project"), "path", "category", "quality", "usable", "faces_detected", "tier",
+        F.lit("dropped on reading").alias("unknown_field"),
+    )
+    folder = scratch_dir(spark, "manifest")
+    manifest_files.write_manifest({"photos": recs}, folder)
+    back = manifest_files.read_manifest(spark, folder)["photos"]
+    return back.select(F.col("project").cast("long").alias("project"), "path", "category", "quality", "usable", "faces_detected", "tier")
+
+
+@query("S10_write_by_category", PHOTOS + "SELECT category, path, quality FROM records")
+def write_by_category(spark, d):
+    folder = scratch_dir(spark, "sorted")
+    sinks.write_by_category(V.records(spark, d).select("path", "quality", "category"), folder)
+    return spark.read.parquet(folder).select("category", "path", "quality")
