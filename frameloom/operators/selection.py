@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from frameloom.functions.quality import BEST, CATEGORIES, Weights, category, quality_tier
 from frameloom.operators.ordered import OrderedGroups, first_row, hot_groups, top_n
@@ -143,17 +144,16 @@ def spread_selection(df: DataFrame, by: Sequence[str], path: str, score: str, co
     keep = count * SHORTLIST_FACTOR if spread else count
     short = top_n(df, by, [F.col(score).desc(), F.col(path)], keep)
     # At most ``keep`` rows per group from here on, so plain windows are bounded.
-    by_quality = ranked(short, by, [F.col(score).desc(), F.col(path)], "__q", hot=[])
-    by_path = ranked(by_quality, by, [F.col(path)], "__p", hot=[])
-    sizes = short.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    placed = by_path.join(sizes, by)
-    few = placed.filter((F.col("__n") <= count) | F.lit(not spread)).withColumn("pick", F.col("__q"))
+    group = Window.partitionBy(*by)
+    placed = (
+        ranked(ranked(short, by, [F.col(score).desc(), F.col(path)], "__q", hot=[]), by, [F.col(path)], "__p", hot=[])
+        .withColumn("__n", F.count(F.lit(1)).over(group))
+    )
     slot = F.floor(((F.col("__p") + 1) * count - 1) / F.col("__n")).cast("long")
-    many = placed.filter((F.col("__n") > count) & F.lit(spread)).withColumn("pick", slot)
+    by_rank = (F.col("__n") <= count) | F.lit(not spread)
+    placed = placed.withColumn("pick", F.when(by_rank, F.col("__q")).otherwise(slot))
     winner = F.struct((-F.col(score)).alias("q"), F.col("__p"))
-    many = first_row(many.withColumn("__key", winner), [*by, "pick"], F.col("__key"))
-    out = few.select(*df.columns, "pick").unionByName(many.select(*df.columns, "pick"))
-    return out
+    return first_row(placed, [*by, "pick"], winner).select(*df.columns, "pick")
 
 
 def highlights(df: DataFrame, by: Sequence[str], path: str, score: str, best: str, cover: DataFrame, limit: int = HIGHLIGHTS) -> DataFrame:

@@ -251,7 +251,8 @@ ACTIVATIONS = """activations AS (SELECT l_orderkey AS licence, l_suppkey AS devi
 
 def activations(spark: SparkSession, d: str) -> DataFrame:
     flag = F.col("l_returnflag")
-    return table(spark, d, "lineitem").select(
+    rows = spread_out(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey", "l_partkey")
+    return rows.select(
         F.col("l_orderkey").alias("licence"), F.col("l_suppkey").alias("device"),
         F.when(flag == "A", "ACTIVE").when(flag == "N", "DEACTIVATED").otherwise("REVOKED").alias("status"),
         F.col("l_shipdate").alias("activated_at"),
