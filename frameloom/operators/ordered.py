@@ -18,8 +18,8 @@ from pyspark.sql.window import Window
 
 from frameloom.session import cut
 
-# A group is hot above this many rows and above this share of the table. The share
-# bounds the number of hot groups by MAX_HOT_GROUPS whatever the data looks like.
+# A group is hot above this many rows. Only the MAX_HOT_GROUPS largest are sliced, which bounds
+# the key list; a group left out then holds at most one part in MAX_HOT_GROUPS of the table.
 HOT_ROWS = 2_000_000
 MAX_HOT_GROUPS = 2_000
 
