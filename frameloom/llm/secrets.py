@@ -1,0 +1,351 @@
+"""Secret scan: exact patterns, and a linear-chain conditional random field that adds spans of its own.
+
+The field tags every token of a line as begin, inside or outside of a secret from its shape, its neighbours
+and features of the file, and is decoded by Viterbi over the whole text. It is trained in numpy on a bounded,
+keyed sample of texts in which the patterns mark the secrets, so it finds values of secret shape that no
+pattern names. Pattern spans always stay.
+
+Decoding is exact but not done token by token: where outside beats the other tags by more than all transitions
+can make good, the best path is outside whatever stands around, so only the tokens between such points
+are decoded.
+
+Defined cases: a null or empty text has no spans; offsets count code points, ends are exclusive; repeated
+rows fare alike; other columns pass through; a sample without secrets gives patterns only.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from frameloom.llm.words import blocks, buffers, run_hashes
+
+#: Texts the field is trained on, at most.
+SAMPLE_TEXTS = 3000
+#: Tokens of a training window, and windows with and without a secret, at most.
+TRAIN_LENGTH, TRAIN_WINDOWS = 48, 2000
+KINDS = ("assign", "access", "hex", "crf")
+SPANS = "array<struct<kind:string,start:long,end:long>>"
+# fixed values
+_ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
+_ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
+_HEX = re.compile(rb"[0-9a-f]{16,}")
+_KEYS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "key", "auth", "bearer", "credential")
+
+# bytes: white space 0, parts of words 1, other characters 2
+_CLASS = np.full(256, 2, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_CLASS[48:58] = _CLASS[65:91] = _CLASS[97:123] = 1
+_CLASS[[ord(c) for c in "+/_-"]] = 1
+_CLASS[128:] = 1
+# what a token contains
+_A_TO_F, _LOWER, _UPPER, _DIGIT, _SIGN, _OTHER, _MARK = 1, 2, 4, 8, 16, 32, 64
+_FLAG = np.zeros(256, np.uint8)
+_FLAG[97:103], _FLAG[103:123], _FLAG[65:91], _FLAG[48:58] = _A_TO_F, _LOWER, _UPPER, _DIGIT
+_FLAG[[ord(c) for c in "+/_-"]] = _SIGN
+_FLAG[128:] = _OTHER
+_FLAG[(_CLASS == 2)] = _MARK
+
+
+def _shape(flags: int) -> int:
+    """Twelve kinds of token by the characters in it."""
+    lower, digit, upper, sign = flags & 3, flags & _DIGIT, flags & _UPPER, flags & _SIGN
+    if flags & _MARK:
+        return 0
+    if flags & _OTHER:
+        return 1
+    if not digit:
+        return 2 if sign else 3 if lower and not upper else 4 if lower else 5
+    if sign:
+        return 6
+    if not lower and not upper:
+        return 7
+    if not upper:
+        return 8 if not flags & _LOWER else 9
+    return 10 if not lower else 11
+
+
+_SHAPE = np.array([_shape(f) for f in range(128)], np.int64)
+_LENGTHS = np.array([4, 8, 12, 16, 24, 40])
+#: Category of a token as a neighbour: mark kinds by their byte, words by shape.
+_MARK_KIND = np.full(256, 4, np.int64)
+_MARK_KIND[ord(":")], _MARK_KIND[ord("=")], _MARK_KIND[ord('"')], _MARK_KIND[ord("'")] = 1, 2, 3, 3
+_NEAR = 17  # line edge, four mark kinds, twelve shapes
+_SIZES = (12 * 7, _NEAR, _NEAR, len(_KEYS) + 1, 4)
+_OFFSETS = np.concatenate([[0], np.cumsum(_SIZES)])
+
+
+def _key_hashes() -> np.ndarray:
+    data, at = buffers(pa.array(_KEYS))
+    return run_hashes(data, at[:-1], at[1:])
+
+
+_KEY_HASH = _key_hashes()
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """Tokens of a block of texts: places, first of a line, text number and five features each."""
+    kind = _CLASS[data]
+    first, last = kind > 0, kind > 0
+    same = (kind[1:] == kind[:-1]) & (kind[1:] == 1)
+    edge = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
+    same[edge - 1] = False
+    first[1:] &= ~same
+    last[:-1] &= ~same
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if not len(starts):
+        return {"starts": starts}
+    flags = np.bitwise_or.reduceat(_FLAG[data], starts)
+    shape = _SHAPE[flags]
+    text = np.searchsorted(offsets, starts, "right") - 1
+    breaks = np.concatenate([np.flatnonzero((data == 10) | (data == 13)), edge])
+    head = np.zeros(len(starts), bool)
+    head[0] = True
+    at = np.searchsorted(starts, np.sort(breaks))
+    head[at[at < len(starts)]] = True
+    mark = np.where(shape == 0, _MARK_KIND[data[starts]], 0)
+    near = np.where(shape == 0, mark, shape + 4)
+    before, after = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    before[1:] = np.where(head[1:], 0, near[:-1])
+    after[:-1] = np.where(head[1:], 0, near[1:])
+    # the name this token is assigned to: key, mark, token with at most two quotes between them
+    key = np.zeros(len(starts), np.int64)
+    tail = starts + 0
+    signs = np.flatnonzero((mark == 1) | (mark == 2))
+    line = np.cumsum(head)
+    for back in (1, 2):
+        owner = signs - back
+        fine = (owner >= 0) & (shape[owner] != 0) & (line[owner] == line[signs])
+        if back == 2:
+            fine &= mark[signs - 1] == 3
+        owner, of = owner[fine], signs[fine]
+        name = _KEY_HASH[:, None] == run_hashes(data, starts[owner], ends[owner])[None, :]
+        hit = name.any(0)
+        found, of = name.argmax(0)[hit] + 1, of[hit]
+        for ahead in (1, 2):
+            to = of + ahead
+            ok = to < len(starts)
+            if ahead == 2:
+                ok &= mark[np.minimum(of + 1, len(starts) - 1)] == 3
+            ok[ok] &= line[to[ok]] == line[of[ok]]
+            key[to[ok]] = found[ok]
+    del tail
+    marks = np.bincount(text, shape == 0, len(offsets) - 1) / np.maximum(np.bincount(text, minlength=len(offsets) - 1), 1)
+    named = np.bincount(text, key > 0, len(offsets) - 1) > 0
+    file = (marks > 0.25) * 2 + named
+    features = np.stack([
+        shape * 7 + np.searchsorted(_LENGTHS, ends - starts, "right"), before, after, key, file[text].astype(np.int64)
+    ]) + _OFFSETS[:-1, None]
+    return {"starts": starts, "ends": ends, "head": head, "text": text, "features": features}
+
+
+@dataclass
+class Field:
+    """Weights of a linear chain: emission by feature and tag, and tag to tag (outside, begin, inside)."""
+
+    emission: np.ndarray
+    move: np.ndarray
+
+
+def viterbi(score: np.ndarray, head: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The best tags of sequences laid end to end; ``head`` marks the first token of each."""
+    n = len(score)
+    out = np.zeros(n, np.int8)
+    other = np.array([[move[a, s] + move[s, b] - move[a, 0] - move[0, b] for a in range(3) for b in range(3)] for s in (1, 2)]).max()
+    ends = np.array([move[a, s] - move[a, 0] for s in (1, 2) for a in range(3)] + [move[s, b] - move[0, b] for s in (1, 2) for b in range(3)]).max()
+    sure = score[:, 0] - score[:, 1:].max(1) > max(other, ends, 0) + 1e-9
+    # a piece: tokens between sure points; the sure ones beside it are its fixed ends
+    unsure = np.flatnonzero(~sure)
+    if not len(unsure):
+        return out
+    cut = np.r_[True, (np.diff(unsure) > 1) | head[unsure[1:]]]
+    begin = unsure[cut]
+    length = np.diff(np.r_[np.flatnonzero(cut), len(unsure)])
+    order = np.argsort(-length, kind="stable")
+    begin, length = begin[order], length[order]
+    stop = begin + length
+    value = score[begin] + np.where(head[begin][:, None], 0, move[0][None, :])
+    back = [np.zeros((len(begin), 3), np.int8)]
+    final = np.zeros((len(begin), 3))
+    for step in range(int(length[0])):
+        if step:
+            active = int(np.searchsorted(-length, -step, "left"))
+            path = value[:active, :, None] + move[None]
+            back.append(path.argmax(1).astype(np.int8))
+            value = path.max(1) + score[begin[:active] + step]
+        done = length == step + 1
+        final[done] = value[done[: len(value)]] if len(value) < len(done) else value[done]
+    closed = (stop < n) & ~head[np.minimum(stop, n - 1)]
+    tag = (final + np.where(closed[:, None], move[:, 0][None, :], 0)).argmax(1)
+    for step in range(int(length[0]) - 1, -1, -1):
+        active = np.flatnonzero(length > step)
+        out[begin[active] + step] = tag[active]
+        if step:
+            tag[active] = back[step][active, tag[active]]
+    return out
+
+
+def base_spans(text: bytes) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) in bytes of what the patterns find."""
+    found = []
+    if b":" in text or b"=" in text:
+        found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+    if b"AKIA" in text:
+        found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
+    found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    return found
+
+
+def _value_spans(text: bytes) -> list[tuple[int, int]]:
+    """The secret itself, without the name it is assigned to."""
+    found = [m.span(2) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+    return found + [m.span() for m in _ACCESS.finditer(text)] + [m.span() for m in _HEX.finditer(text)]
+
+
+def fit(texts: list[str | None], seed: int = 1, steps: int = 120) -> Field | None:
+    """Maximum likelihood by Adam over windows of tokens, half of them with a secret where there are enough."""
+    rng = np.random.default_rng(seed)
+    feats, tags, heads = [], [], []
+    data, offsets = buffers(pa.array(texts, pa.string()))
+    for a, b in blocks(offsets, 1 << 20):
+        part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        t = tokens(part, at)
+        if not len(t["starts"]):
+            continue
+        tag = np.zeros(len(t["starts"]), np.int64)
+        for i in range(b - a):
+            for s, e in _value_spans(part[at[i] : at[i + 1]].tobytes()):
+                lo = np.searchsorted(t["ends"], s + at[i], "right")
+                hi = np.searchsorted(t["starts"], e + at[i], "left")
+                tag[lo:hi] = 2
+                tag[lo : lo + 1] = 1
+        feats.append(t["features"])
+        tags.append(tag)
+        heads.append(t["head"])
+    if not tags or not np.concatenate(tags).any():
+        return None
+    feats, tags, heads = np.concatenate(feats, 1), np.concatenate(tags), np.concatenate(heads)
+    lines = np.flatnonzero(heads)
+    begin = np.concatenate([np.arange(a, b, TRAIN_LENGTH) for a, b in zip(lines, np.r_[lines[1:], len(tags)])])
+    stop = np.minimum(begin + TRAIN_LENGTH, np.r_[begin[1:], len(tags)])
+    secret = np.add.reduceat(tags > 0, begin) > 0
+    with_, without = np.flatnonzero(secret), np.flatnonzero(~secret)
+    rows = np.concatenate([rng.permutation(with_)[:TRAIN_WINDOWS], rng.permutation(without)[:TRAIN_WINDOWS]])
+    grid = begin[rows, None] + np.arange(TRAIN_LENGTH)
+    inside = grid < stop[rows, None]
+    grid = np.minimum(grid, len(tags) - 1)
+    x, y = feats[:, grid].copy(), np.where(inside, tags[grid], 0)
+    hidden = rng.random(len(rows)) < 0.5  # shape must be able to stand without the name
+    x[3][hidden] = _OFFSETS[3]
+    emission, move = np.zeros((_OFFSETS[-1], 3)), np.zeros((3, 3))
+    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emission, move)]
+    one = np.eye(3)[y] * inside[..., None]
+    gold_move = np.einsum("nla,nlb->ab", one[:, :-1], one[:, 1:])
+    flat = x.reshape(len(x), -1)
+    for step in range(1, steps + 1):
+        score = emission[x].sum(0)
+        alpha, beta = np.zeros_like(score), np.zeros_like(score)
+        alpha[:, 0] = score[:, 0]
+        for l in range(1, TRAIN_LENGTH):
+            new = np.logaddexp.reduce(alpha[:, l - 1, :, None] + move, axis=1) + score[:, l]
+            alpha[:, l] = np.where(inside[:, l, None], new, alpha[:, l - 1])
+        z = np.logaddexp.reduce(alpha[:, -1], axis=1)
+        pair = np.zeros((3, 3))
+        for l in range(TRAIN_LENGTH - 2, -1, -1):
+            ahead = score[:, l + 1] + beta[:, l + 1]
+            on = inside[:, l + 1]
+            joint = np.exp(alpha[:, l, :, None] + move + ahead[:, None, :] - z[:, None, None]) * on[:, None, None]
+            pair += joint.sum(0)
+            beta[:, l] = np.where(on[:, None], np.logaddexp.reduce(move + ahead[:, None, :], axis=2), beta[:, l + 1] * 0)
+        marginal = np.exp(alpha + beta - z[:, None, None]) * inside[..., None]
+        delta = (one - marginal).reshape(-1, 3)
+        grad = np.stack([sum(np.bincount(f, delta[:, s], len(emission)) for f in flat) for s in range(3)], 1)
+        for value, g, (m, v) in ((emission, grad - 0.02 * emission, state[0]), (move, gold_move - pair - 0.02 * move, state[1])):
+            m += 0.1 * (g - m)
+            v += 0.02 * (g * g - v)
+            value += 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-8)
+    return Field(emission, move)
+
+
+def find(texts: pa.Array, field: Field | None) -> list[list[tuple[str, int, int]]]:
+    """(kind, start, end) of every text in code points, by start, then kind."""
+    data, offsets = buffers(texts)
+    out: list[list[tuple[str, int, int]]] = []
+    for a, b in blocks(offsets, 1 << 20):
+        part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        whole = [part[at[i] : at[i + 1]].tobytes() for i in range(b - a)]
+        spans = [base_spans(t) for t in whole]
+        t = tokens(part, at) if field is not None else {"starts": ()}
+        if len(t["starts"]):
+            score = sum(field.emission[f] for f in t["features"])
+            tag = viterbi(score, t["head"], field.move)
+            hit = np.flatnonzero(tag)
+            opens = (tag[hit] == 1) | np.r_[True, np.diff(hit) > 1] | t["head"][hit] if len(hit) else hit
+            first = hit[opens] if len(hit) else hit
+            last = hit[np.r_[np.flatnonzero(opens)[1:], len(hit)] - 1] if len(hit) else hit
+            for i, j in zip(first, last):
+                n = int(t["text"][i])
+                s, e = int(t["starts"][i] - at[n]), int(t["ends"][j] - at[n])
+                if not any(s < y and x < e for x, k, y in spans[n] if k < 3):
+                    spans[n].append((s, 3, e))
+        for text, found in zip(whole, spans):
+            plain = not found or text.isascii()
+            place = (lambda x: x) if plain else (lambda x, t=text: len(t[:x].decode("utf-8", "replace")))
+            out.append([(KINDS[k], place(s), place(e)) for s, k, e in sorted(found)])
+    return out
+
+
+def fit_on(documents: DataFrame, doc: str = "doc_id", text: str = "text", sample: int = SAMPLE_TEXTS, seed: int = 1) -> Field | None:
+    """Fit on the ``sample`` rows with the smallest keyed hash of their id; no more texts reach the driver."""
+    key = F.xxhash64(F.col(doc), F.lit(seed))
+    ids = documents.select(F.col(doc).alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
+    rows = documents.select(F.col(doc).alias("id"), F.col(text).alias("text"), key.alias("key")).join(F.broadcast(ids), "id")
+    table = rows.orderBy("key", "id", F.xxhash64("text")).limit(sample).toArrow()
+    return fit(table["text"].to_pylist())
+
+
+def spans_column(field: Field | None, text: Column) -> Column:
+    """Every span of a text, by start, then kind."""
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    @F.arrow_udf(SPANS)
+    def spans(texts: pa.Array) -> pa.Array:
+        rows = [[{"kind": k, "start": s, "end": e} for k, s, e in found] for found in find(texts, field)]
+        return pa.array(rows, kind)
+
+    return spans.asNondeterministic()(text)
+
+
+def listed(spans: Column) -> Column:
+    """kind:start:end of the spans, joined with commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def masked_column(field: Field | None, text: Column, mask: str = "[secret]") -> Column:
+    """The text with every span (joined where they overlap) replaced by ``mask``."""
+
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array) -> pa.Array:
+        out = []
+        for t, found in zip(texts.to_pylist(), find(texts, field)):
+            if t is not None and found:
+                pieces, at = [], 0
+                for _, s, e in found:
+                    if s >= at:
+                        pieces += [t[at:s], mask]
+                    at = max(at, e)
+                t = "".join([*pieces, t[at:]])
+            out.append(t)
+        return pa.array(out, pa.string())
+
+    return masked.asNondeterministic()(text)
+
+
+def find_secrets(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every document with ``spans``."""
+    return documents.withColumn("spans", spans_column(fit_on(documents, doc, text), F.col(text)))
