@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from frameloom.llm import lines, packing, queries, toxicity
+from frameloom.llm import jaccard, lines, packing, queries, secrets, toxicity
 from frameloom.llm.store import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,6 +27,27 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     )
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by five-word shingles (Jaccard 0.75 or more) the smallest doc_id stays."""
+    docs = docs.select(*COLUMNS)
+    found = jaccard.jaccard_components(docs)
+    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang", "n_chars"))
+    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").withColumn("at", first).where("at = 1")
+    return kept.select(*COLUMNS).unionAll(docs.where("doc_id IS NULL"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets become ``[secret]``; every document stays."""
+    field = secrets.fit_on(docs)
+    masked = docs.select(*COLUMNS).withColumn("clean", secrets.masked_column(field, F.col("text")))
+    changed = ~F.col("clean").eqNullSafe(F.col("text"))
+    return masked.select(
+        "doc_id", F.col("clean").alias("text"), "lang", "source",
+        F.when(changed, F.length("clean")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"),
+    )
+
+
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bins of 2,048 words, no two documents of a source or of equal texts together."""
     return packing.pack(
@@ -36,6 +58,8 @@ def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", drop_boilerplate_lines),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("secret_scan", mask_secrets),
     ("best_fit_packing", pack_bins),
 ]
 
