@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import jaccard, lines, packing, secrets, toxicity
+from frameloom.llm import jaccard, licences, lines, packing, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,15 +91,21 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_secret_scan")
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of secrets in every document."""
-    found = secrets.find_secrets(table(spark, folder, "documents").select("doc_id", "text"))
+    found = secret_scan.find_secrets(table(spark, folder, "documents").select("doc_id", "text"))
     count = lambda *kinds: F.size(F.filter("spans", lambda s: s["kind"].isin(*kinds))).cast("long")
     return found.select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
-        F.sha2(secrets.listed(F.filter("spans", lambda s: s["kind"] != "crf")), 256).alias("base_sha256"),
-        secrets.listed(F.col("spans")).alias("spans"), count("crf").alias("n_added"),
+        F.sha2(secret_scan.listed(F.filter("spans", lambda s: s["kind"] != "crf")), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"), count("crf").alias("n_added"),
     )
 
 
+@query("op8_licence_scan", licences.oracle())
+def op8_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and texts in every document."""
+    return licences.licences(table(spark, folder, "documents"))
+
+
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's score, from labels that are not held out."""
