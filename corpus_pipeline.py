@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from frameloom.llm import jaccard, lines, packing, queries, secrets, toxicity
+from frameloom.llm import jaccard, lines, packing, queries, secret_scan, toxicity
 from frameloom.llm.store import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -39,8 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets become ``[secret]``; every document stays."""
-    field = secrets.fit_on(docs)
-    masked = docs.select(*COLUMNS).withColumn("clean", secrets.masked_column(field, F.col("text")))
+    field = secret_scan.fit_on(docs)
+    masked = docs.select(*COLUMNS).withColumn("clean", secret_scan.masked_column(field, F.col("text")))
     changed = ~F.col("clean").eqNullSafe(F.col("text"))
     return masked.select(
         "doc_id", F.col("clean").alias("text"), "lang", "source",
