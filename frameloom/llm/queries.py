@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import jaccard, licences, lines, packing, secret_scan, toxicity
+from frameloom.llm import fingerprints, jaccard, licences, lines, packing, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,6 +100,12 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op6_document_fingerprints")
+def op6_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Multiset fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprints.fingerprints(table(spark, folder, "documents"))
+
+
 @query("op8_licence_scan", licences.oracle())
 def op8_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licence phrases and texts in every document."""
