@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import fingerprints, jaccard, licences, lines, packing, secret_scan, toxicity
+from frameloom.llm import fingerprints, jaccard, licences, lines, near_vectors, packing, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +63,12 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("row.page_id", "host", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op2_embedding_near_dedup")
+def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector with its links (cosine 0.98 or more, equal labels) and its component."""
+    return near_vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
 def word_count(text: str):
     """Words between white space."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
