@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import fingerprints, jaccard, licences, lines, near_vectors, packing, secret_scan, toxicity
+from frameloom.llm import fingerprints, jaccard, licences, lines, near_vectors, packing, repeats, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,6 +112,12 @@ def op6_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, folder, "documents"))
 
 
+@query("op7_suffix_array_dedup")
+def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every passage of 50 words or more that stands in another document too."""
+    return repeats.repeats(table(spark, folder, "documents"))
+
+
 @query("op8_licence_scan", licences.oracle())
 def op8_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licence phrases and texts in every document."""
