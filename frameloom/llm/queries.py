@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import fingerprints, jaccard, licences, lines, near_vectors, packing, repeats, secret_scan, toxicity
+from frameloom.llm import fingerprints, jaccard, licences, lines, near_vectors, packing, pieces, repeats, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,6 +124,20 @@ def op8_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.licences(table(spark, folder, "documents"))
 
 
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in pieces with merge-dropout (0.1, seed 1), and whether they decode to the text."""
+    vocabulary = pieces.read_model()
+    ids = pieces.encode_column(vocabulary, F.col("text"), pieces.DROPOUT, seed=1)
+    coded = table(spark, folder, "documents").select("doc_id", "text", ids.alias("ids"))
+    back = coded.withColumn("back", pieces.decode_column(vocabulary, F.col("ids")))
+    return back.select(
+        "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.hex(F.xxhash64("ids")).alias("ids_hash"),
+        F.col("back").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's score, from labels that are not held out."""
