@@ -207,7 +207,7 @@ def _value_spans(text: bytes) -> list[tuple[int, int]]:
     return found + [m.span() for m in _ACCESS.finditer(text)] + [m.span() for m in _HEX.finditer(text)]
 
 
-def fit(texts: list[str | None], seed: int = 1, steps: int = 120) -> Field | None:
+def fit(texts: list[str | None], seed: int = 1, steps: int = 160) -> Field | None:
     """Maximum likelihood by Adam over windows of tokens, half of them with a secret where there are enough."""
     rng = np.random.default_rng(seed)
     feats, tags, heads = [], [], []
@@ -240,9 +240,9 @@ def fit(texts: list[str | None], seed: int = 1, steps: int = 120) -> Field | Non
     inside = grid < stop[rows, None]
     grid = np.minimum(grid, len(tags) - 1)
     x, y = feats[:, grid].copy(), np.where(inside, tags[grid], 0)
-    hidden = rng.random(len(rows)) < 0.5  # shape must be able to stand without the name
-    x[3][hidden] = _OFFSETS[3]
-    emission, move = np.zeros((_OFFSETS[-1], 3)), np.zeros((3, 3))
+    hidden = rng.random(len(rows)) < 0.5  # shape must be able to stand without neighbours, name and file
+    x[1:, hidden] = _OFFSETS[-1]  # the last weight stays 0
+    emission, move = np.zeros((_OFFSETS[-1] + 1, 3)), np.zeros((3, 3))
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emission, move)]
     one = np.eye(3)[y] * inside[..., None]
     gold_move = np.einsum("nla,nlb->ab", one[:, :-1], one[:, 1:])
@@ -269,6 +269,7 @@ def fit(texts: list[str | None], seed: int = 1, steps: int = 120) -> Field | Non
             m += 0.1 * (g - m)
             v += 0.02 * (g * g - v)
             value += 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-8)
+        emission[-1] = 0
     return Field(emission, move)
 
 
