@@ -93,7 +93,3 @@ def release_problem(url: Column | str, notes_url: Column | str, digest: Column |
         .when(bad_digest, "sha256")
     )
 
-
-def same_values(left: dict[str, Column]) -> Column:
-    """Conjunction of equality tests."""
-    return all_of([F.col(name) == value for name, value in left.items()])

@@ -36,11 +36,11 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1.0 - dot(a, b)
 
 
-def median_hash(v: Column | str, bits: int = 63) -> Column:
+def median_hash(v: Column | str, bits: int = 64) -> Column:
     """Bit i is set when element i lies above the median of the vector.
 
-    With an even length that is the upper half, so no average of floats is needed. 63 bits
-    keep the sign bit free; pass 64 for the full width.
+    With an even length that is the upper half, so no average of floats is needed. Bit 63 is
+    the sign of the number.
     """
     vec = col(v)
     # Even length: the middle pair straddles the median. Odd: the middle element is it.
@@ -55,10 +55,6 @@ def median_hash(v: Column | str, bits: int = 63) -> Column:
     return let(F.element_at(F.sort_array(vec), middle), packed)
 
 
-def hamming(a: Column | str, b: Column | str) -> Column:
-    return F.bit_count(col(a).bitwiseXOR(col(b))).cast("long")
-
-
 # Distance limits of the known embedding models.
 THRESHOLDS = {"arcface": 0.55, "insightface": 0.55, "buffalo_l": 0.55, "sface": 0.40}
 DEFAULT_THRESHOLD = 0.55

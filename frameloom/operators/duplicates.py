@@ -14,11 +14,12 @@ from frameloom.session import cut
 BANDS = 8
 # Pairs one bucket may cost before its members are split further.
 BUCKET_PAIRS = 4_000_000
+# Splits of a bucket by its remaining bits; the table of choices has 56 ** DEPTH rows at most. At five bits
+# 16 bits are then open. A bucket that is still busy is dealt to SALTS tasks.
+DEPTH, SALTS = 2, 32
 # Distinct hashes settled in the first pass of the founder search; each later pass is
 # three times as large, so the number of passes grows with the logarithm of the data.
 FIRST_PASS = 200_000
-# Up to this many distinct hashes, comparing blocks is cheaper than the band index.
-FEW = 20_000
 
 
 def _bands(free: list[int]) -> list[int]:
@@ -75,21 +76,19 @@ def hamming_join(
     distance: int,
     bits: int = 64,
     bucket_pairs: int = BUCKET_PAIRS,
-    cells: bool = False,
 ) -> DataFrame:
     """Exact pairs (a, b, distance) of hashes at most ``distance`` bits apart.
 
     Both sides are one-column frames of distinct hashes (column ``hash``). Up to 7 bits the
     join runs on shared bands, and a bucket that too many hashes share is split again by
-    its remaining bits. Looser limits (or ``cells``, for a few thousand rows) compare blocks
-    of bounded size.
+    its remaining bits. Looser limits compare blocks of bounded size.
     """
     if distance == 0:
         same = left.join(right, "hash", "left_semi")
         return same.select(
             F.col("hash").alias("a"), F.col("hash").alias("b"), F.lit(0).cast("long").alias("distance")
         )
-    if cells or distance >= BANDS:
+    if distance >= BANDS:
         return _cells(left, right, distance)
     a = left.select(F.col("hash").alias("a"))
     b = right.select(F.col("hash").alias("b"))
@@ -121,28 +120,33 @@ def _meet(a: DataFrame, b: DataFrame, keys: list[str], bits: int, distance: int,
 
     a, b = spread(a, "a"), spread(b, "b").drop(bands)
     on = [*keys, choice, bucket]
-    # Two more levels leave at most 16 free bits at the usual limit: a bounded bucket.
-    busy = None
-    if depth < 2:
-        load = (
-            a.groupBy(*on).agg(F.count(F.lit(1)).alias("na"))
-            .join(b.groupBy(*on).agg(F.count(F.lit(1)).alias("nb")), on)
-            .filter(F.col("na") * F.col("nb") > limit)
-            .select(*on)
-        )
-        load = cut(load)
-        busy = load if load.take(1) else None
+    load = (
+        a.groupBy(*on).agg(F.count(F.lit(1)).alias("na"))
+        .join(b.groupBy(*on).agg(F.count(F.lit(1)).alias("nb")), on)
+        .filter(F.col("na") * F.col("nb") > limit)
+        .select(*on)
+    )
+    load = cut(load)
+    busy = load if load.take(1) else None
     plain = a if busy is None else a.join(busy, on, "left_anti")
     difference = F.col("a").bitwiseXOR(F.col("b"))
-    found = (
-        plain.join(b, on)
-        .withColumn("distance", F.bit_count(difference).cast("long"))
-        .filter(F.col("distance") <= distance)
-        .filter(F.col(choice) == _first_choice(difference, F.col(bands), distance))
-        .select("a", "b", "distance", *keys)
-    )
+
+    def near(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.withColumn("distance", F.bit_count(difference).cast("long"))
+            .filter(F.col("distance") <= distance)
+            .filter(F.col(choice) == _first_choice(difference, F.col(bands), distance))
+            .select("a", "b", "distance", *keys)
+        )
+
+    found = near(plain.join(b, on))
     if busy is None:
         return found
+    if depth == DEPTH:
+        # What is left open tells too few apart to split further: one side is dealt to salts, the other copied.
+        left = a.join(busy, on, "left_semi").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+        right = b.join(busy, on, "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return found.unionByName(near(left.join(right, [*on, "salt"])))
     crowded_a = a.join(busy, on, "left_semi").drop(bands)
     crowded_b = b.join(busy, on, "left_semi")
     here = table.withColumnRenamed(bands, "__here")
@@ -198,8 +202,7 @@ def hamming_pairs(df: DataFrame, path: str, hash_col: str, distance: int, bits:
     Copies of one hash are collapsed first: a burst of identical files stays one row.
     """
     items = cut(distinct_hashes(df, path, hash_col))
-    few = items.count() <= FEW
-    pairs = hamming_join(items.select("hash"), items.select("hash"), distance, bits, cells=few)
+    pairs = hamming_join(items.select("hash"), items.select("hash"), distance, bits)
     pairs = pairs.filter(F.col("a") < F.col("b"))
     left = items.select(F.col("hash").alias("a"), F.col("first_path").alias("path_a"), F.col("copies").alias("copies_a"))
     right = items.select(F.col("hash").alias("b"), F.col("first_path").alias("path_b"), F.col("copies").alias("copies_b"))
@@ -225,7 +228,6 @@ def near_duplicate_groups(
         return df.filter(F.lit(False)).select(
             F.col(path).alias("path"), F.col(path).alias("representative"), F.lit(True).alias("is_representative")
         )
-    few = total <= FEW
     founders = None
     low = None
     for high in [*_cut_points(items, total, first_pass), None]:
@@ -235,12 +237,12 @@ def near_duplicate_groups(
         if high is not None:
             batch = batch.filter(F.col("first_path") < high)
         if founders is not None:
-            near = hamming_join(batch.select("hash"), founders.select("hash"), distance, bits, cells=few)
+            near = hamming_join(batch.select("hash"), founders.select("hash"), distance, bits)
             batch = batch.join(near.select(F.col("a").alias("hash")).distinct(), "hash", "left_anti")
-        fresh = _founders(cut(batch), distance, bits, few)
+        fresh = _founders(cut(batch), distance, bits)
         founders = fresh if founders is None else cut(founders.unionByName(fresh))
         low = high
-    near = hamming_join(items.select("hash"), founders.select("hash"), distance, bits, cells=few)
+    near = hamming_join(items.select("hash"), founders.select("hash"), distance, bits)
     owner = (
         near.join(founders.select(F.col("hash").alias("b"), F.col("first_path").alias("founder")), "b")
         .groupBy(F.col("a").alias("hash"))
@@ -265,10 +267,10 @@ def _cut_points(items: DataFrame, total: int, first_pass: int) -> list:
     return sorted(set(cuts))
 
 
-def _founders(nodes: DataFrame, distance: int, bits: int, few: bool) -> DataFrame:
+def _founders(nodes: DataFrame, distance: int, bits: int) -> DataFrame:
     """Founders among ``nodes`` alone, by rounds that settle all independent rows at once."""
     paths = nodes.select("hash", "first_path")
-    pairs = hamming_join(paths.select("hash"), paths.select("hash"), distance, bits, cells=few)
+    pairs = hamming_join(paths.select("hash"), paths.select("hash"), distance, bits)
     one = paths.select(F.col("hash").alias("a"), F.col("first_path").alias("pa"))
     two = paths.select(F.col("hash").alias("b"), F.col("first_path").alias("pb"))
     edges = cut(

@@ -185,35 +185,67 @@ def usage_payload(counts: DataFrame, machine: str, event: str, count: str) -> Da
     return counts.groupBy(machine).agg(F.map_from_entries(entries).alias("counts"), F.sum(count).cast("long").alias("total"))
 
 
-# -- sequential rules: the same step serves batch and stream ---------------------------- #
-def limiter_step(limit: int, window: float):
-    """A fixed window that opens at the first hit; every hit counts, a reset clears it."""
-
-    def step(state, row):
-        t = row["t"]
-        if row["reset"]:
-            return None, {**row, "allowed": True, "remaining": limit, "retry_after": 0}
-        count, start = state if state is not None else (0, t)
-        if t - start >= window:
-            count, start = 0, t
-        count += 1
-        out = {
-            **row, "allowed": count <= limit, "remaining": max(0, limit - count),
-            "retry_after": max(1, int(window - (t - start))),
-        }
-        return (count, start), out
+# -- sequential rules ------------------------------------------------------------------- #
+LIMITER_FIELDS = "allowed boolean, remaining long, retry_after long"
 
-    return step
 
+def limiter_windows(times, resets, fresh, window: float, opened: tuple[int, float] | None):
+    """Place of every hit in its window, and when that window opened.
 
-LIMITER_FIELDS = "allowed boolean, remaining long, retry_after long"
+    A window opens at the first hit after the last one has run out or was reset, so the next opening is one
+    search away: the loop runs once per window, not per hit. ``fresh`` marks rows that begin a key.
+    ``opened`` is (hits so far, opening) of a window that is still open; its successor comes back as the third
+    value.
+    """
+    import numpy as np
+
+    n = len(times)
+    place, opening = np.zeros(n, np.int64), np.zeros(n)
+    bounds = np.append(np.flatnonzero(resets | fresh), n)
+    at = 0
+    while at < n:
+        if fresh[at]:
+            opened = None
+        if resets[at]:
+            opened, at = None, at + 1
+            continue
+        before, since = opened or (0, times[at])
+        bound = int(bounds[np.searchsorted(bounds, at, "right")])
+        stop = at + int(np.searchsorted(times[at:bound], since + window, "left"))
+        while stop < bound and times[stop] - since < window:  # the sum may have been rounded
+            stop += 1
+        if stop == at:  # the window that was open has run out
+            opened = None
+            continue
+        place[at:stop] = before + np.arange(1, stop - at + 1)
+        opening[at:stop] = since
+        opened, at = ((before + stop - at, since) if stop == bound else None), stop
+    return place, opening, opened
+
+
+def limiter_frame(pdf, fresh, limit: int, window: float, opened):
+    """Verdicts for rows (key, ord, t, reset) in order, and the window that stays open."""
+    import numpy as np
+    import pandas as pd
+
+    times, resets = pdf["t"].to_numpy(float), pdf["reset"].to_numpy(bool)
+    place, opening, opened = limiter_windows(times, resets, fresh, window, opened)
+    wait = np.maximum(1, np.trunc(window - (times - opening)))
+    out = pd.DataFrame(
+        {
+            "key": pdf["key"].to_numpy(), "ord": pdf["ord"].to_numpy(), "allowed": resets | (place <= limit),
+            "remaining": np.where(resets, limit, np.maximum(0, limit - place)), "retry_after": np.where(resets, 0, wait).astype("int64"),
+        }
+    )
+    return out, opened
 
 
 def rate_limit(hits: DataFrame, key: str, time: Column, order: str, limit: int, window: float, reset: Column | None = None) -> DataFrame:
     """Verdict per hit: columns key, order, allowed, remaining, retry_after.
 
     After a pause of a whole window the next hit always opens a new one, so each key is first cut
-    at such pauses into independent runs and a busy key spreads over many tasks.
+    at such pauses into independent runs and a busy key spreads over many tasks. A run streams through
+    in batches; what is carried between them is one open window.
     """
     rows = hits.select(
         F.col(key).alias("key"), F.col(order).alias("ord"), time.cast("double").alias("t"),
@@ -222,14 +254,19 @@ def rate_limit(hits: DataFrame, key: str, time: Column, order: str, limit: int,
     walk = OrderedGroups(rows, ["key"], [F.col("t"), F.col("ord")]).previous("t", "__before")
     walk.running_sum(F.when(F.col("t") - F.col("__before") >= window, 1).otherwise(0), "run")
     schema = f"key {rows.schema['key'].dataType.simpleString()}, ord {rows.schema['ord'].dataType.simpleString()}, {LIMITER_FIELDS}"
-    inner = limiter_step(limit, window)
-
-    def step(state, row):
-        state, out = inner(state, row)
-        return state, {n: out[n] for n in ("key", "ord", "allowed", "remaining", "retry_after")}
-
     rows = walk.df.select("key", "run", "ord", "t", "reset")
-    return fold_sorted(rows, ["key", "run"], ["t", "ord"], step, schema).select(
+    placed = rows.repartition("key", "run").sortWithinPartitions("key", "run", "t", "ord")
+
+    def judge(batches):
+        last, opened = None, None
+        for pdf in batches:
+            fresh = ((pdf["key"] != pdf["key"].shift()) | (pdf["run"] != pdf["run"].shift())).to_numpy(bool)
+            fresh[0] = (pdf["key"].iloc[0], pdf["run"].iloc[0]) != last
+            last = (pdf["key"].iloc[-1], pdf["run"].iloc[-1])
+            out, opened = limiter_frame(pdf, fresh, limit, window, opened)
+            yield out
+
+    return placed.mapInPandas(judge, schema).select(
         F.col("key").alias(key), F.col("ord").alias(order), "allowed", "remaining", "retry_after"
     )
 

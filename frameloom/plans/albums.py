@@ -10,7 +10,7 @@ from frameloom.operators import selection as sel
 from frameloom.operators import timeline as T
 from frameloom.plans import views as V
 from frameloom.plans.photos import PHOTOS, answers
-from frameloom.plans.registry import query, spread_out, table, with_views
+from frameloom.plans.registry import query, table, with_views
 from frameloom.sources.vision import parse_vision_json
 
 ALBUM = with_views(V.ALBUM)
@@ -260,11 +260,11 @@ def story_with_people(spark, d):
 @query(
     "U4_referenced_assets",
     "WITH story AS (" + STORY + """), spreads AS (SELECT o_custkey AS project, o_orderkey AS path, o_orderkey AS pos FROM orders),
-    seen AS (SELECT project, path, min((src, ordinal, pos)) AS place FROM (SELECT project, path, 0 AS src, ordinal, pos FROM story WHERE ordinal IN (1, 3) UNION ALL SELECT project, path, 1, 0, pos FROM spreads) GROUP BY project, path)
+    seen AS (SELECT project, path, min((src, ordinal, pos)) AS place FROM (SELECT project, path, 0 AS src, ordinal, pos FROM story UNION ALL SELECT project, path, 1, 0, pos FROM spreads) GROUP BY project, path)
     SELECT project, row_number() OVER (PARTITION BY project ORDER BY place, path) - 1 AS pos, path FROM seen""",
 )
 def referenced(spark, d):
-    story = story_sections(spark, d).filter(F.col("ordinal").isin(1, 3))
+    story = story_sections(spark, d)
     spreads = V.album(spark, d).select("project", F.lit(0).alias("ordinal"), F.col("path").alias("pos"), "path")
     return sel.referenced_assets(story, spreads, ["project"])
 
@@ -409,7 +409,7 @@ WORDS = f"""words AS (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS la
 
 def label_votes(spark, d):
     # Every fourth label lacks its confidence.
-    docs = spread_out(table(spark, d, "documents"), "doc_id").select("doc_id", F.split("text", " ").alias("labels"))
+    docs = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("labels"))
     sure = F.transform("labels", lambda _, i: F.when((i + 1) % 4 != 0, (1 + (i + 1) % 8) / 8.0))
     return E.label_votes(docs.withColumn("sure", sure), ["doc_id"], "labels", "sure")
 
@@ -459,19 +459,20 @@ def group_event(spark, d):
 
 @query(
     "A11_event_name",
-    PHOTO_EVENTS + GROUP_EVENTS + """, moods AS (SELECT event, confidence, s, v, hue, id FROM named WHERE id % 3 > 0),
-    firsts AS (SELECT concat(lang, '/', source) AS grp, min(doc_id) AS idx FROM documents WHERE doc_id % 3 > 0 GROUP BY 1)
+    PHOTO_EVENTS + GROUP_EVENTS + """, moods AS (SELECT event, confidence, s, v, hue, id FROM named),
+    firsts AS (SELECT concat(lang, '/', source) AS grp, min(doc_id) AS idx FROM documents GROUP BY 1)
     SELECT g.grp, coalesce(CASE WHEN g.confidence > 0.6e0 THEN g.event END, CASE WHEN m.event <> 'Ceremony' AND m.confidence >= 0.45e0 THEN m.event END,
       CASE WHEN m.s >= 0.35e0 AND m.v >= 0.4e0 AND m.hue BETWEEN 40 AND 70 THEN 'Haldi' END, concat('Event ', f.idx + 1)) AS name
-    FROM group_events g JOIN firsts f ON f.grp = g.grp JOIN moods m ON m.id = f.idx""",
+    FROM group_events g LEFT JOIN firsts f ON f.grp = g.grp LEFT JOIN moods m ON m.id = f.idx""",
 )
 def event_name(spark, d):
     groups = group_events(spark, d)
-    firsts = table(spark, d, "documents").filter(F.col("doc_id") % 3 > 0).groupBy(F.concat("lang", F.lit("/"), "source").alias("grp")).agg(F.min("doc_id").alias("idx"))
-    rgb = [(F.col("idx") * m % 256).cast("int") for m in (37, 91, 53)]
+    firsts = table(spark, d, "documents").groupBy(F.concat("lang", F.lit("/"), "source").alias("grp")).agg(F.min("doc_id").alias("idx"))
+    # A group whose first document has no colour goes by its number.
+    rgb = [F.when(F.col("idx") % 3 > 0, F.col("idx") * m % 256).cast("int") for m in (37, 91, 53)]
     # The vote is weakened here so that the colour rules and the number get their turn.
     sure = F.when(F.col("confidence") > 0.6, F.col("confidence")).otherwise(0.0)
-    return groups.join(firsts, "grp").select("grp", E.event_name(F.col("event"), sure, *rgb, F.col("idx")).alias("name"))
+    return groups.join(firsts, "grp", "left").select("grp", E.event_name(F.col("event"), sure, *rgb, F.col("idx")).alias("name"))
 
 
 @query(

@@ -65,13 +65,13 @@ def client_state(spark, d):
 
 # Each event presents a token: its number is a fingerprint of the row.
 TOKENS = """toks AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 DAY END AS revoked_at, CASE WHEN event_id % 5 = 0 THEN event_id + 1 END AS replaced_by,
-  ts + INTERVAL 1 DAY * (event_id % 40) AS expires, CASE WHEN user_id % 4 = 0 THEN 'DISABLED' ELSE 'ACTIVE' END AS user_status FROM events WHERE event_id % 7 > 0)"""
+  ts + INTERVAL 1 DAY * (event_id % 40) AS expires, CASE WHEN user_id % 4 = 0 THEN 'DISABLED' ELSE 'ACTIVE' END AS user_status FROM events)"""
 MOMENT = "TIMESTAMP '2024-01-20'"
 
 
 def tokens(spark, d):
     k = F.col("event_id")
-    return table(spark, d, "events").filter(k % 7 > 0).select(
+    return table(spark, d, "events").select(
         k, "user_id", F.when(k % 3 == 0, F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("revoked_at"), F.when(k % 5 == 0, k + 1).alias("replaced_by"),
         (F.col("ts") + F.make_dt_interval((k % 40).cast("int"))).alias("expires"), F.when(F.col("user_id") % 4 == 0, "DISABLED").otherwise("ACTIVE").alias("user_status"),
     )
@@ -80,12 +80,14 @@ def tokens(spark, d):
 @query(
     "P29_token_outcome",
     with_views(TOKENS) + f"""SELECT e.event_id, coalesce(revoked_at IS NULL AND replaced_by IS NULL AND {MOMENT} < expires, false) AS usable, CASE WHEN t.event_id IS NULL THEN 'unknown' WHEN replaced_by IS NOT NULL THEN 'reused'
-    WHEN revoked_at IS NOT NULL THEN 'revoked' WHEN {MOMENT} >= expires THEN 'expired' WHEN user_status <> 'ACTIVE' THEN 'user_unavailable' ELSE 'ok' END AS outcome FROM events e LEFT JOIN toks t ON t.event_id = e.event_id""",
+    WHEN revoked_at IS NOT NULL THEN 'revoked' WHEN {MOMENT} >= expires THEN 'expired' WHEN user_status <> 'ACTIVE' THEN 'user_unavailable' ELSE 'ok' END AS outcome FROM events e LEFT JOIN toks t ON t.event_id = CASE WHEN e.event_id % 7 = 0 THEN -1 - e.event_id ELSE e.event_id END""",
 )
 def token_outcome(spark, d):
     t = tokens(spark, d).withColumn("known", F.lit(True))
     moment = F.lit("2024-01-20").cast("timestamp_ntz")
-    joined = table(spark, d, "events").select("event_id").join(t, "event_id", "left")
+    # Every seventh presentation shows a token that was never given out.
+    shown = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, -1 - F.col("event_id")).otherwise(F.col("event_id")).alias("shown"))
+    joined = shown.join(t.withColumnRenamed("event_id", "shown"), "shown", "left")
     usable = L.token_usable_at(F.col("revoked_at"), F.col("replaced_by"), F.col("expires"), moment) & F.col("known")
     outcome = L.token_outcome(F.col("known"), F.col("replaced_by"), F.col("revoked_at"), F.col("expires"), F.col("user_status") == "ACTIVE", moment)
     return joined.select("event_id", F.coalesce(usable, F.lit(False)).alias("usable"), outcome.alias("outcome"))

@@ -247,12 +247,15 @@ def near_duplicates_loose(spark, d):
 URL_SUFFIX = """CASE WHEN regexp_extract(url, '[^/]*$') LIKE '%.%' THEN lower(regexp_extract(regexp_extract(url, '[^/]*$'), '[^.](\\.[^.]+)$', 1)) ELSE '' END"""
 
 
+# The listing lies below a root with signs that mean something in a pattern and a name that is excluded.
 @query(
     "S1_scan_media",
-    f"SELECT url FROM pages WHERE {URL_SUFFIX} IN ('.html') AND len(list_intersect(string_split(lower(url), '/'), ['fr', 'es'])) = 0",
+    f"""SELECT url, concat('file:/d/fr (1+)/[a]/', url) AS path FROM pages WHERE {URL_SUFFIX} IN ('.html') AND len(list_intersect(string_split(lower(url), '/'), ['fr', 'es', 'fr (1+)'])) = 0""",
 )
 def scan_media(spark, d):
-    return table(spark, d, "pages").filter(scan.is_media("url", [".HTML"], ["FR", "es"])).select("url").orderBy("url")
+    root = "/d/fr (1+)/[a]"
+    files = table(spark, d, "pages").select("url", F.concat(F.lit(f"file:{root}/"), "url").alias("path"))
+    return files.filter(scan.is_media(scan.below_root("path", root), [".HTML"], ["FR", "es", "FR (1+)"])).orderBy("path")
 
 
 @query(
@@ -325,12 +328,15 @@ def all_valid(spark, d):
 @query(
     "S8_upsert_cache",
     CACHES + """SELECT namespace, path, size, mtime_s, payload FROM v1 WHERE doc_id % 3 <> 0
-    UNION ALL SELECT namespace, path, size, mtime_s, payload FROM v2 WHERE doc_id % 3 = 0""",
+    UNION ALL SELECT namespace, path, size, mtime_s, concat(payload, '-second') FROM v2 WHERE doc_id % 3 = 0""",
 )
 def upsert(spark, d):
     old, new = _versions(spark, d)
-    fresh = new.filter(F.col("path").cast("long") % 3 == 0)
-    return cache.upsert_cache(old, fresh)
+    fresh = new.filter(F.col("path").cast("long") % 3 == 0).withColumn("put", F.lit(2))
+    # Every key is put twice; the later entry, though of an older file, wins.
+    again = fresh.withColumns({"put": F.lit(1), "mtime_s": F.col("mtime_s") + 5})
+    both = again.unionByName(fresh.withColumn("payload", F.concat("payload", F.lit("-second"))))
+    return cache.upsert_cache(old, both, "put")
 
 
 @query(

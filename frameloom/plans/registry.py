@@ -35,14 +35,3 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
-
-def spread_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a table that arrives in fewer pieces than there are cores to all of them.
-
-    A table of many files is left as it is. ``keys`` should tell rows apart, so that no hot key
-    gathers them again.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)

@@ -9,7 +9,7 @@ from frameloom.functions.boxes import box
 from frameloom.functions.quality import is_usable, quality_score
 from frameloom.operators.duplicates import rerank
 from frameloom.operators.selection import inventory
-from frameloom.plans.registry import spread_out, table
+from frameloom.plans.registry import table
 
 # -- photos: one line item is one photo ------------------------------------------- #
 MEDIA = """media AS (SELECT concat('s', l_suppkey, '/', l_orderkey, '-', l_linenumber, '-', l_partkey, '-',
@@ -24,7 +24,7 @@ MEDIA = """media AS (SELECT concat('s', l_suppkey, '/', l_orderkey, '-', l_linen
 
 def media(spark: SparkSession, d: str) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    rows = spread_out(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
+    rows = table(spark, d, "lineitem")
     return rows.withColumns(
         {
             "path": F.concat(
@@ -186,8 +186,8 @@ def faces(spark: SparkSession, d: str) -> DataFrame:
 HASHES = """hashes AS (SELECT concat('v', lpad(CAST(vec_id AS VARCHAR), 7, '0'), '-', k) AS path,
     xor(h, (CASE WHEN k = 0 THEN 0 ELSE (1::BIGINT << CAST((vec_id * 7) % 60 AS INT)) END)
        | (CASE WHEN k < 2 THEN 0 ELSE (3::BIGINT << CAST((vec_id * 11 + 3) % 60 AS INT)) END)) AS hash
-  FROM (SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i:
-      CASE WHEN embedding[i] > list_sort(embedding)[32] THEN 1::BIGINT << CAST(i - 1 AS INT) ELSE 0 END))::BIGINT AS h FROM embeddings),
+  FROM (SELECT vec_id, list_reduce(list_transform(range(1, 65), lambda i:
+      CASE WHEN embedding[i] <= list_sort(embedding)[32] THEN 0::BIGINT WHEN i = 64 THEN (-9223372036854775807 - 1)::BIGINT ELSE 1::BIGINT << CAST(i - 1 AS INT) END), lambda x, y: x | y) AS h FROM embeddings),
     (SELECT unnest(range(0, 3)) AS k))"""
 
 
@@ -251,7 +251,7 @@ ACTIVATIONS = """activations AS (SELECT l_orderkey AS licence, l_suppkey AS devi
 
 def activations(spark: SparkSession, d: str) -> DataFrame:
     flag = F.col("l_returnflag")
-    rows = spread_out(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey", "l_partkey")
+    rows = table(spark, d, "lineitem")
     return rows.select(
         F.col("l_orderkey").alias("licence"), F.col("l_suppkey").alias("device"),
         F.when(flag == "A", "ACTIVE").when(flag == "N", "DEACTIVATED").otherwise("REVOKED").alias("status"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.operators.ordered import first_row
+
 KEY = ["namespace", "path"]
 SIGNATURE = ["size", "mtime_s"]
 
@@ -30,7 +32,13 @@ def all_valid(files: DataFrame, cache: DataFrame) -> DataFrame:
     )
 
 
-def upsert_cache(cache: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Fresh entries replace those with the same key. A file without a signature is not stored."""
+def upsert_cache(cache: DataFrame, fresh: DataFrame, order: str | None = None) -> DataFrame:
+    """Fresh entries replace those with the same key. A file without a signature is not stored.
+
+    Where a key comes more than once the entry with the largest ``order`` is stored (without one: the
+    latest signature).
+    """
     new = fresh.filter(F.col("size").isNotNull() & F.col("mtime_s").isNotNull())
+    rank = F.struct(*([order] if order else []), "mtime_s", "size", "payload")
+    new = first_row(new, KEY, rank, largest=True)
     return cache.join(new.select(*KEY), KEY, "left_anti").unionByName(new.select(*cache.columns))

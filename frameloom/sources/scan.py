@@ -37,12 +37,20 @@ def scan_media(spark: SparkSession, root: str, suffixes: Iterable[str] = MEDIA_S
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     )
-    head = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    relative = F.element_at(F.split(F.col("path"), head, 2), -1)
-    kept = files.withColumn("__rel", relative).filter(is_media("__rel", suffixes, exclude)).drop("__rel")
+    kept = files.withColumn("__rel", below_root("path", root)).filter(is_media("__rel", suffixes, exclude)).drop("__rel")
     return kept.orderBy("path")
 
 
+def below_root(path: Column | str, root: str) -> Column:
+    """The part of ``path`` below ``root``, which is taken literally; a path elsewhere is kept whole.
+
+    A scheme and host before the root, as listings add them, do not count.
+    """
+    p, head = col(path), root.rstrip("/").split("://")[-1].removeprefix("file:") + "/"
+    at = F.instr(p, head)
+    return F.when(at > 0, F.substring(p, at + F.lit(len(head)), F.length(p))).otherwise(p)
+
+
 def scan_with_limit(files: DataFrame, limit: int, path: str = "path") -> DataFrame:
     """The first ``limit`` files in path order; 0 keeps all."""
     ordered = files.orderBy(path)

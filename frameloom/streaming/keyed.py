@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from frameloom.operators.entitlements import LIMITER_FIELDS, flush_step, limiter_step, seat_step
+from frameloom.operators.entitlements import LIMITER_FIELDS, flush_step, limiter_frame, seat_step
 
 IDLE = "1 hour"
 
@@ -70,7 +70,30 @@ def limit_stream(
     )
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = f"key {types['key']}, ord {types['ord']}, {LIMITER_FIELDS}"
-    return stateful(rows, "key", ["t", "ord"], limiter_step(limit, window), schema, "ts", max(idle_ms, int(window * 1000)), tuple)
+    quiet_ms = max(idle_ms, int(window * 1000))
+
+    def judge(group, batches, state):
+        import numpy as np
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        opened = state.get if state.exists else None
+        pdf = pd.concat(list(batches)).sort_values(["t", "ord"], ignore_index=True)
+        out, opened = limiter_frame(pdf, np.zeros(len(pdf), bool), limit, window, opened)
+        if opened is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((int(opened[0]), float(opened[1])))
+            last = int(pdf["ts"].max().value // 1_000_000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + quiet_ms)
+        yield out
+
+    return rows.groupBy("key").applyInPandasWithState(
+        judge, schema, "hits long, since double", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def seat_stream(events: DataFrame, licence: str, device: str, action: str, order: str, seat_limit: Column) -> DataFrame:

@@ -56,9 +56,8 @@ def test_join_is_exact(spark, data, distance, limit):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-@pytest.mark.parametrize("few,first_pass", [(10**6, 10**6), (0, 60)])
-def test_groups_equal_the_sequential_rule(frame, data, monkeypatch, few, first_pass):
-    monkeypatch.setattr(D, "FEW", few)
+@pytest.mark.parametrize("first_pass", [10**6, 60])
+def test_groups_equal_the_sequential_rule(frame, data, first_pass):
     got = {r.path: r.representative for r in D.near_duplicate_groups(frame, "path", "hash", 5, first_pass=first_pass).collect()}
     assert got == brute_groups(data, 5)
 
