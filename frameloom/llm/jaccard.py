@@ -8,7 +8,8 @@ either side cannot reach the overlap needed.
 
 Equal sets collapse first. Then each document is compared with the first document under each of its
 n-grams (as many pairs as rows), and what links becomes one component; only pairs of different components that
-no step has compared are made explicit. So a heap of near copies costs its size, not its pairs.
+no step has compared are made explicit. So a heap of near copies costs its size, not its pairs. In both steps a pair
+is compared only if the early n-grams it shares leave the overlap within reach.
 
 Defined cases: null and empty texts have no n-grams and link with nothing; fewer words than five are one
 n-gram of their own; rows with one id are one node; a null id keeps a null component; other columns
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.llm.graph import components
@@ -191,6 +192,17 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _reachable() -> Column:
+    """May two sets with ``shared`` tokens in both prefixes overlap enough?
+
+    Of the two prefixes take the one whose last token comes first: all that the other set shares up to there is
+    in its prefix too, so the overlap is at most ``shared`` and what lies behind that prefix.
+    """
+    behind = F.ceil(F.greatest("n_a", "n_b") * 3 / 4) - 1
+    alike = 4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")
+    return alike & (7 * (F.col("shared") + behind) >= 3 * (F.col("n_a") + F.col("n_b")))
+
+
 def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; links are exact."""
     docs = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -203,7 +215,7 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text")
 
     rows = (
         _sets(docs.where("doc_id IS NOT NULL"), classes, prefix=True).join(reps, "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("rep"), "n", F.posexplode("tokens").alias("pos", "token"))
+        .select(F.col("doc_id").alias("rep"), "n", F.explode("tokens").alias("token"))
     )
     under = Window.partitionBy("token")
     met = stored(
@@ -211,31 +223,33 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text")
         .withColumn("last", F.max("rep").over(under)).where("first.rep < last").drop("last"),
         "met",
     )
-    live = met.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(_sets(docs.join(live, "doc_id", "left_semi"), classes, prefix=False), "sets")
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Links among ``pairs``; only their texts are read again."""
+        ends = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        sets = stored(_sets(docs.join(ends, "doc_id", "left_semi"), classes, prefix=False), "sets")
+        return stored(_verify(pairs, sets), "found")
 
-    alike = lambda x, y: 4 * F.least(x, y) >= 3 * F.greatest(x, y)
     pairs = stored(
-        met.where(F.col("rep") != F.col("first.rep")).where(alike(F.col("n"), F.col("first.n")))
-        .select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct(),
+        met.where(F.col("rep") != F.col("first.rep"))
+        .groupBy(F.col("first.rep").alias("a"), F.col("rep").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b"))
+        .agg(F.count("*").alias("shared")).where(_reachable()).select("a", "b").distinct(),
         "pairs",
     )
-    links = stored(_verify(pairs, sets), "found")
-    part = components(links)
+    part = components(compared(pairs))
 
-    # pairs of different components that share an early token and were not compared
-    placed = met.select("token", "rep", "n", "pos").join(part, F.col("rep") == F.col("id"), "left")
-    placed = placed.select("token", "rep", "n", "pos", F.coalesce("component_id", "rep").alias("part"))
+    # pairs of different components that share early tokens and were not compared
+    placed = met.select("token", "rep", "n").join(part, F.col("rep") == F.col("id"), "left")
+    placed = placed.select("token", "rep", "n", F.coalesce("component_id", "rep").alias("part"))
     mixed = placed.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("token")
-    placed = placed.join(mixed, "token", "left_semi")
-    left, right = (placed.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "pos", "part"))) for s in "ab")
-    # seen from the first token two sets share, what remains must reach the overlap needed
-    reach = 7 * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= 3 * (F.col("n_a") + F.col("n_b"))
+    placed = stored(placed.join(mixed, "token", "left_semi"), "mixed")
+    left, right = (placed.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "part"))) for s in "ab")
     rest = (
-        left.join(right, "token").where("rep_a < rep_b AND part_a != part_b").where(reach)
-        .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        left.join(right, "token").where("rep_a < rep_b AND part_a != part_b")
+        .where(4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
+        .groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("shared"))
+        .where(_reachable()).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     )
-    more = stored(_verify(stored(rest, "rest"), sets), "found")
+    more = compared(stored(rest, "rest"))
     part = components(part.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionAll(more))
 
     own = equal.join(part, F.col("rep") == F.col("id"), "left").select(
