@@ -342,30 +342,33 @@ def seat_history(events: DataFrame, licence: str, device: str, action: str, orde
     )
 
 
-def token_history(presented: DataFrame, session: str, token: str, order: str, time: str, expires: str) -> DataFrame:
-    """Outcome of each presentation of a refresh token: ok, reused, revoked or expired.
+def token_history(presented: DataFrame, session: str, token: str, order: str, time: str, expires: str, available: str | None = None) -> DataFrame:
+    """Outcome of each presentation of a refresh token: ok, reused, revoked, expired or user_unavailable.
 
     The first presentation of a live token spends it. Presenting a spent token again burns the
     whole session; a successor inherits the expiry of the session. The earliest second
-    presentation decides the moment of the burn, so no row waits for another.
+    presentation decides the moment of the burn, so no row waits for another. So does the first live token
+    that comes while the account is not ``available`` (a flag per row).
     """
-    two = top_n(presented.select(session, token, order, time, expires), [session, token], [F.col(order)], 2)
+    rows = presented.withColumn("__ok", F.lit(True) if available is None else F.coalesce(F.col(available), F.lit(False)))
+    two = top_n(rows.select(session, token, order, time, expires, "__ok"), [session, token], [F.col(order)], 2)
     per_token = two.groupBy(session, token).agg(
-        F.min(F.struct(order, time, expires)).alias("__one"), F.max(order).alias("__two"), F.count(F.lit(1)).alias("__n")
+        F.min(F.struct(order, time, expires, "__ok")).alias("__one"), F.max(order).alias("__two"), F.count(F.lit(1)).alias("__n")
     )
+    live = F.col("__one")[time] < F.col("__one")[expires]
     per_token = per_token.select(
-        session, token, F.col("__one")[order].alias("__first"),
-        (F.col("__one")[time] < F.col("__one")[expires]).alias("__alive"),
-        F.when(F.col("__n") > 1, F.col("__two")).alias("__again"),
+        session, token, F.col("__one")[order].alias("__first"), (live & F.col("__one")["__ok"]).alias("__alive"),
+        F.when(live & ~F.col("__one")["__ok"], F.col("__one")[order]).when(live & (F.col("__n") > 1), F.col("__two")).alias("__again"),
     )
-    burn = per_token.filter("__alive").groupBy(session).agg(F.min("__again").alias("__burn"))
-    rows = presented.join(per_token, [session, token]).join(burn, session, "left")
+    burn = per_token.groupBy(session).agg(F.min("__again").alias("__burn"))
+    rows = rows.join(per_token, [session, token]).join(burn, session, "left")
     burned = F.coalesce(F.col(order) > F.col("__burn"), F.lit(False))
     spent_in_time = F.col("__alive") & (F.col("__burn").isNull() | (F.col("__first") < F.col("__burn")))
     outcome = (
         F.when(spent_in_time & (F.col(order) > F.col("__first")), "reused")
         .when(burned, "revoked")
         .when(F.col(time) >= F.col(expires), "expired")
+        .when(~F.col("__ok"), "user_unavailable")
         .otherwise("ok")
     )
     return rows.select(*presented.columns, outcome.alias("outcome"))

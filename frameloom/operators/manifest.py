@@ -149,7 +149,8 @@ def apply_commands(
     commands (seq, command, target_id, at, actor), the last per target counts for its status. Revoking a licence
     closes its active seats, disabling a user revokes the live sessions, publishing stamps the
     time. Nobody disables their own account. Keys: licence, (licence, device), user, (session,
-    user), release.
+    user), release. A licence gets the time of its last revoke. Audit rows say more as JSON: version and channel of
+    a release, the number of sessions a disable revoked (the first of a user takes them all).
     """
     spec = F.create_map(*[F.lit(x) for name, (kind, _, _) in COMMANDS.items() for x in (name, kind)])
     status = F.create_map(*[F.lit(x) for name, (_, to, _) in COMMANDS.items() for x in (name, to)])
@@ -190,11 +191,24 @@ def apply_commands(
         "published_at", F.coalesce("__at", "published_at")
     ).select(*releases.columns)
 
-    audit = on_licence.unionByName(on_user).unionByName(on_release).select(
-        "seq", "actor", "action", "target_type", "target_id", "at"
+    revoked = on_licence.filter(F.col("command") == "revoke").groupBy(F.col("target_id").alias("licence")).agg(
+        F.max_by("at", "seq").alias("revoked_at")
+    )
+    # the first disable finds the live sessions; later ones find none
+    taken = live_sessions(sessions).join(
+        on_user.filter(F.col("command") == "disable").groupBy(F.col("target_id").alias("user")).agg(F.min_by("seq", F.struct("at", "seq")).alias("seq")), "user"
+    ).groupBy("seq").agg(F.count(F.lit(1)).alias("__n"))
+    about_user = F.when(F.col("command") == "disable", F.to_json(F.struct(F.coalesce("__n", F.lit(0)).cast("long").alias("sessions_revoked"))))
+    named = releases.select(F.col("release").alias("target_id"), F.col("release").cast("string").alias("version"), F.col("channel").alias("__channel"))
+    about_release = F.to_json(F.struct("version", F.col("__channel").alias("channel")))
+    audit = (
+        on_licence.withColumn("metadata", F.lit(None).cast("string"))
+        .unionByName(on_user.join(taken, "seq", "left").withColumn("metadata", about_user).drop("__n"))
+        .unionByName(on_release.join(named, "target_id").withColumn("metadata", about_release).drop("version", "__channel"))
+        .select("seq", "actor", "action", "target_type", "target_id", "at", "metadata")
     )
     return {
-        "licences": updated(licences, on_licence, "licence"),
+        "licences": updated(licences, on_licence, "licence").join(revoked, "licence", "left"),
         "activations": seats,
         "users": updated(users, on_user, "user"),
         "sessions": live,
@@ -203,6 +217,43 @@ def apply_commands(
     }
 
 
+def live_sessions(sessions: DataFrame) -> DataFrame:
+    return sessions.filter(F.col("revoked_at").isNull())
+
+
+def deactivate_devices(commands: DataFrame, activations: DataFrame, devices: DataFrame) -> dict[str, DataFrame]:
+    """Close one seat each: the active activation of (licence, device), its device and an audit row.
+
+    commands (seq, licence, device, at, actor); a command without an active activation is refused. Of several for
+    one seat the first counts.
+    """
+    seats = activations.filter(F.col("status") == "ACTIVE").select("licence", "device").distinct()
+    first = first_row(commands, ["licence", "device"], F.col("seq"))
+    done = first.join(seats, ["licence", "device"], "left_semi")
+    refused = commands.join(done.select("seq"), "seq", "left_anti")
+
+    def closed(table: DataFrame, keys: list[str], when: DataFrame, hit: Column) -> DataFrame:
+        joined = table.join(when, keys, "left")
+        change = F.col("__at").isNotNull() & hit
+        return joined.withColumns(
+            {
+                "deactivated_at": F.when(change, F.col("__at")).otherwise(F.col("deactivated_at")),
+                "status": F.when(change, "DEACTIVATED").otherwise(F.col("status")),
+            }
+        ).select(*table.columns)
+
+    seat = done.select("licence", "device", F.col("at").alias("__at"))
+    device = done.groupBy("device").agg(F.max_by("at", "seq").alias("__at"))
+    audit = done.select(
+        "seq", "actor", F.lit("LICENSE_DEVICE_DEACTIVATED").alias("action"), F.lit("license_activation").alias("target_type"),
+        F.to_json(F.struct(F.col("licence").cast("string").alias("license_id"), F.col("device").cast("string").alias("device_id"))).alias("metadata"), "at",
+    )
+    return {
+        "activations": closed(activations, ["licence", "device"], seat, F.col("status") == "ACTIVE"),
+        "devices": closed(devices, ["device"], device, F.lit(True)), "audit": audit, "refused": refused.select("seq"),
+    }
+
+
 def partial_update(table: DataFrame, changes: DataFrame, key: str, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(table, audit): only supplied fields change; the audit row lists them sorted.
 

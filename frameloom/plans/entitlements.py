@@ -381,28 +381,32 @@ def seat_history(spark, d):
 
 
 # A session (user) presents numbered tokens; a repeat of a spent one burns the session.
-PRESENTED = """pr AS (SELECT event_id, user_id, event_id // 3 AS token, ts, (SELECT min(ts) FROM events) + INTERVAL 1 DAY * (5 + user_id % 30) AS expires FROM events),
-  bur AS (SELECT *, min(event_id) OVER (PARTITION BY user_id, token) AS first_id, row_number() OVER (PARTITION BY user_id, token ORDER BY event_id) AS k, first_value(ts) OVER (PARTITION BY user_id, token ORDER BY event_id) < expires AS alive FROM pr),
-  b AS (SELECT user_id, min(event_id) AS burn FROM bur WHERE k >= 2 AND alive GROUP BY user_id)"""
+PRESENTED = """pr AS (SELECT event_id, user_id, event_id // 3 AS token, ts, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (5 + user_id % 30) AS expires, user_id % 11 > 0 OR event_id % 2 = 0 AS available FROM events),
+  bur AS (SELECT *, min(event_id) OVER (PARTITION BY user_id, token) AS first_id, row_number() OVER (PARTITION BY user_id, token ORDER BY event_id) AS k, first_value(ts) OVER (PARTITION BY user_id, token ORDER BY event_id) < expires AS fresh,
+    first_value(available) OVER (PARTITION BY user_id, token ORDER BY event_id) AS first_ok FROM pr),
+  b AS (SELECT user_id, min(event_id) AS burn FROM bur WHERE fresh AND (k >= 2 AND first_ok OR k = 1 AND NOT first_ok) GROUP BY user_id)"""
 
 
 def presented(spark, d):
-    ev = table(spark, d, "events")
     # Few users meet a token twice by chance, so three consecutive events share one.
-    start = ev.agg(F.min("ts").alias("m")).scalar()
-    return ev.select(
-        "event_id", "user_id", F.floor(F.col("event_id") / 3).alias("token"), "ts",
-        (start + F.make_dt_interval((5 + F.col("user_id") % 30).cast("int"))).alias("expires"),
+    return table(spark, d, "events").select("event_id", "user_id", "ts", *presented_columns())
+
+
+def presented_columns():
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    return (
+        F.floor(F.col("event_id") / 3).alias("token"), (start + F.make_dt_interval((5 + F.col("user_id") % 30).cast("int"))).alias("expires"),
+        ((F.col("user_id") % 11 > 0) | (F.col("event_id") % 2 == 0)).alias("available"),
     )
 
 
 @query(
     "ST4_token_reuse",
-    with_views(PRESENTED) + """SELECT event_id, CASE WHEN alive AND (burn IS NULL OR first_id < burn) AND event_id > first_id THEN 'reused' WHEN event_id > burn THEN 'revoked' WHEN ts >= expires THEN 'expired' ELSE 'ok' END AS outcome
+    with_views(PRESENTED) + """SELECT event_id, CASE WHEN fresh AND first_ok AND (burn IS NULL OR first_id < burn) AND event_id > first_id THEN 'reused' WHEN event_id > burn THEN 'revoked' WHEN ts >= expires THEN 'expired' WHEN NOT available THEN 'user_unavailable' ELSE 'ok' END AS outcome
     FROM bur LEFT JOIN b ON b.user_id = bur.user_id""",
 )
 def token_reuse(spark, d):
-    return E.token_history(presented(spark, d), "user_id", "token", "event_id", "ts", "expires").select("event_id", "outcome")
+    return E.token_history(presented(spark, d), "user_id", "token", "event_id", "ts", "expires", "available").select("event_id", "outcome")
 
 
 FLUSH = """WITH RECURSIVE c AS (SELECT event_id, user_id, event_id % 6 AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
@@ -529,9 +533,48 @@ def applied(spark, d):
 M7 = with_views(V.LICENCES, V.ACTIVATIONS, USERS, RELEASES, TOKENS, COMMANDS)
 
 
-@query("M7_licence_status", M7 + "SELECT licence, coalesce(to_status, status) AS status FROM licences LEFT JOIN finals ON target_type = 'license' AND target_id = licence")
+@query(
+    "M7_licence_status",
+    M7 + """, rev AS (SELECT target_id, arg_max(happened, seq) AS revoked_at FROM hit WHERE command = 'revoke' GROUP BY target_id)
+    SELECT licence, coalesce(to_status, status) AS status, revoked_at FROM licences LEFT JOIN finals f ON f.target_type = 'license' AND f.target_id = licence LEFT JOIN rev ON rev.target_id = licence""",
+)
 def licence_status(spark, d):
-    return applied(spark, d)["licences"].select("licence", "status")
+    return applied(spark, d)["licences"].select("licence", "status", "revoked_at")
+
+
+DEVICES = "devs AS (SELECT s_suppkey AS device, 'ACTIVE' AS status, NULL::TIMESTAMP AS deactivated_at FROM supplier)"
+CLOSE = "cl AS (SELECT event_id AS seq, event_id % 1500 AS licence, user_id % 10 AS device, ts AS happened, user_id AS actor FROM events)"
+CLOSED = with_views(V.ACTIVATIONS, DEVICES, CLOSE) + """, firsts AS (SELECT licence, device, min(seq) AS seq, arg_min(happened, seq) AS happened, arg_min(actor, seq) AS actor FROM cl GROUP BY licence, device),
+  done AS (SELECT * FROM firsts WHERE (licence, device) IN (SELECT licence, device FROM activations WHERE status = 'ACTIVE'))"""
+
+
+def device_commands(spark, d):
+    cmds = table(spark, d, "events").select(
+        F.col("event_id").alias("seq"), (F.col("event_id") % 1500).alias("licence"), (F.col("user_id") % 10).alias("device"), F.col("ts").alias("at"), F.col("user_id").alias("actor")
+    )
+    devices = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("device"), F.lit("ACTIVE").alias("status"), F.lit(None).cast("timestamp_ntz").alias("deactivated_at")
+    )
+    return M.deactivate_devices(cmds, V.activations(spark, d), devices)
+
+
+@query("M7_closed_devices", CLOSED + " SELECT v.device, CASE WHEN x.happened IS NULL THEN status ELSE 'DEACTIVATED' END AS status, x.happened AS deactivated_at FROM devs v LEFT JOIN (SELECT device, arg_max(happened, seq) AS happened FROM done GROUP BY device) x ON x.device = v.device")
+def closed_devices(spark, d):
+    return device_commands(spark, d)["devices"]
+
+
+@query(
+    "M7_closed_device_seats",
+    CLOSED + """ SELECT a.licence, a.device, part, CASE WHEN a.status = 'ACTIVE' AND x.seq IS NOT NULL THEN 'DEACTIVATED' ELSE a.status END AS status,
+    CASE WHEN a.status = 'ACTIVE' AND x.seq IS NOT NULL THEN x.happened ELSE deactivated_at END AS deactivated_at FROM activations a LEFT JOIN done x ON x.licence = a.licence AND x.device = a.device""",
+)
+def closed_device_seats(spark, d):
+    return device_commands(spark, d)["activations"].select("licence", "device", "part", "status", "deactivated_at")
+
+
+@query("M7_device_audit", CLOSED + """ SELECT seq, actor, concat('{"license_id":"', licence, '","device_id":"', device, '"}') AS metadata FROM done""")
+def device_audit(spark, d):
+    return device_commands(spark, d)["audit"].select("seq", "actor", "metadata")
 
 
 @query(
@@ -566,10 +609,13 @@ def release_status(spark, d):
 
 @query(
     "M7_audit_rows",
-    M7 + """SELECT seq, actor, CASE command WHEN 'suspend' THEN 'LICENSE_SUSPENDED' WHEN 'revoke' THEN 'LICENSE_REVOKED' WHEN 'disable' THEN 'USER_DISABLED' WHEN 'enable' THEN 'USER_ENABLED' WHEN 'publish' THEN 'RELEASE_PUBLISHED' ELSE 'RELEASE_YANKED' END AS action, target_type, target_id FROM hit""",
+    M7 + """SELECT seq, actor, CASE command WHEN 'suspend' THEN 'LICENSE_SUSPENDED' WHEN 'revoke' THEN 'LICENSE_REVOKED' WHEN 'disable' THEN 'USER_DISABLED' WHEN 'enable' THEN 'USER_ENABLED' WHEN 'publish' THEN 'RELEASE_PUBLISHED' ELSE 'RELEASE_YANKED' END AS action, target_type, target_id,
+    CASE WHEN command = 'disable' THEN concat('{"sessions_revoked":', CASE WHEN seq = o.one THEN coalesce(l.n, 0) ELSE 0 END, '}') WHEN target_type = 'release' THEN concat('{"version":"', r.release, '","channel":"', r.channel, '"}') END AS metadata
+    FROM hit LEFT JOIN (SELECT target_id AS user, arg_min(seq, (happened, seq)) AS one FROM hit WHERE command = 'disable' GROUP BY 1) o ON o.user = target_id AND target_type = 'user'
+    LEFT JOIN (SELECT user_id, count(*) AS n FROM toks WHERE revoked_at IS NULL GROUP BY 1) l ON l.user_id = target_id LEFT JOIN releases r ON r.release = target_id AND target_type = 'release'""",
 )
 def audit_rows(spark, d):
-    return applied(spark, d)["audit"].select("seq", "actor", "action", "target_type", "target_id")
+    return applied(spark, d)["audit"].select("seq", "actor", "action", "target_type", "target_id", "metadata")
 
 
 CHANGES = "ch AS (SELECT event_id AS release, CASE WHEN event_id % 2 = 0 THEN event_type END AS channel, CASE WHEN event_id % 3 = 0 THEN props END AS notes FROM events)"

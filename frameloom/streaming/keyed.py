@@ -117,16 +117,21 @@ def token_step(state, row):
         outcome = "revoked"
     elif row["t"] >= row["expires_t"]:
         outcome = "expired"
+    elif not row.get("available", True):
+        outcome, burned = "user_unavailable", True
     else:
         outcome, spent = "ok", [*spent, token]
     return (spent, burned), {**row, "outcome": outcome}
 
 
-def token_stream(presented: DataFrame, session: str, token: str, order: str, time: Column, expires: Column) -> DataFrame:
+def token_stream(
+    presented: DataFrame, session: str, token: str, order: str, time: Column, expires: Column, available: Column | None = None,
+) -> DataFrame:
     """Outcome of each presented refresh token; a session's tokens share its expiry."""
     rows = presented.select(
         F.col(session).alias("session"), F.col(token).alias("token"), F.col(order).alias("ord"),
         time.cast("double").alias("t"), expires.cast("double").alias("expires_t"),
+        (F.lit(True) if available is None else F.coalesce(available, F.lit(False))).alias("available"),
     )
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = f"session {types['session']}, token {types['token']}, ord {types['ord']}, outcome string"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.functions.scrub import scrub_json
+from frameloom.operators.ordered import first_row
 from frameloom.session import scratch_dir
 from frameloom.sources.cache import KEY, SIGNATURE, to_recompute
 
@@ -33,6 +34,31 @@ def drain(stream: DataFrame, label: str, mode: str = "append", folder: str | Non
     return spark.read.schema(stream.schema).parquet(f"{place}/rows")
 
 
+def drain_latest(stream: DataFrame, label: str, keys: list[str] | None) -> DataFrame:
+    """Process everything available and return the last word on every row, open windows included.
+
+    With ``keys`` each batch reports what has changed (state ends with the watermark) and the last report of a key
+    counts. Without, for aggregates that cannot report changes, the last batch reports everything. A retried
+    batch overwrites its own folder.
+    """
+    spark = stream.sparkSession
+    place = scratch_dir(spark, label)
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.withColumn("__batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{place}/rows/__part={number}")
+
+    query = (
+        stream.writeStream.outputMode("update" if keys else "complete").option("checkpointLocation", f"{place}/_progress")
+        .trigger(availableNow=True).foreachBatch(batch).start()
+    )
+    query.awaitTermination()
+    rows = spark.read.parquet(f"{place}/rows").drop("__part")
+    if keys:
+        return first_row(rows, keys, F.col("__batch"), largest=True).select(*stream.columns)
+    last = rows.agg(F.max("__batch").alias("__batch"))
+    return rows.join(last, "__batch", "left_semi").select(*stream.columns)
+
+
 def append_audit(entries: DataFrame, metadata: str) -> DataFrame:
     """Audit entries with scrubbed metadata, ready for an append-only sink."""
     return entries.withColumn(metadata, scrub_json(metadata))
