@@ -95,19 +95,16 @@ def _nearest(clusters: DataFrame, by: list[str], limit: float, key_type: str, bl
 
 def average_linkage_clusters(
     df: DataFrame, by: Sequence[str], key: str, vector: str, limit: float, dim: int,
-    block_rows: int = BLOCK_ROWS, local_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Average-linkage clusters cut at ``limit``: rows of ``df`` plus ``cluster`` (its smallest key).
 
     ``df`` holds unit vectors. The mean distance of two clusters is one minus the dot product of
     their mean vectors, so a cluster is one row (sum, size) however many faces it has. Each round
-    merges all mutually nearest clusters, which gives the same tree as merging one pair at a time;
-    a cluster with nothing inside ``limit`` is final and leaves the rounds. Groups small enough
-    for one task are finished there.
+    merges all mutually nearest clusters of all groups, which gives the same tree as merging one pair at a
+    time; a cluster with nothing inside ``limit`` is final and leaves the rounds. Groups of every size
+    go the same way.
     """
-    import numpy as np
-    import pandas as pd
-
     by = list(by)
     key_type = df.schema[key].dataType.simpleString()
     faces = df.select(*by, F.col(key).alias("face"), F.col(vector).alias("mean"))
@@ -118,10 +115,6 @@ def average_linkage_clusters(
     owner = faces.join(start, [*by, "mean"]).select(*by, "face", "cluster")
     active = start
     while True:
-        sizes = active.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")) if by else active.agg(F.count(F.lit(1)).alias("__n"))
-        biggest = sizes.agg(F.max("__n")).first()[0] or 0
-        if biggest <= max(local_rows, 1):
-            break
         near = _nearest(active, by, limit, key_type, block_rows)
         pick = F.struct("distance", F.least("cluster", "other"), F.greatest("cluster", "other"))
         near = cut(near.groupBy(*by, "cluster").agg(F.min_by(F.struct("other", "distance"), pick).alias("to")))
@@ -131,8 +124,7 @@ def average_linkage_clusters(
             near.join(back, [*by, "cluster", "other"]).filter(F.col("cluster") < F.col("other"))
         )
         if not merges.take(1):
-            active = active.limit(0)
-            break
+            return df.join(owner.withColumnRenamed("face", key), [*by, key])
         moved = merges.select(*by, F.col("other").alias("cluster"), F.col("cluster").alias("into"))
         owner = cut(
             owner.join(moved, [*by, "cluster"], "left")
@@ -146,60 +138,6 @@ def average_linkage_clusters(
             .select(*by, "cluster", "size", F.array(*[F.col(f"s{i}") / F.col("size") for i in range(dim)]).alias("mean"))
         )
 
-    # What is left fits one task per group.
-    def finish(group, pdf):
-        pdf = pdf.sort_values("cluster", ignore_index=True)
-        root = _finish(np.vstack(pdf["mean"].to_numpy()), pdf["size"].to_numpy(float), limit)
-        out = pd.DataFrame({"cluster": pdf["cluster"], "into": pdf["cluster"].to_numpy()[root]})
-        for n, value in zip(by, group):
-            out[n] = value
-        return out[[*by, "cluster", "into"]]
-
-    by_types = [f"{c} {df.schema[c].dataType.simpleString()}" for c in by]
-    schema = ", ".join([*by_types, f"cluster {key_type}", f"into {key_type}"])
-    rows = active if by else active.withColumn("__all", F.lit(0))
-    merged = rows.groupBy(*(by or ["__all"])).applyInPandas(
-        lambda k, pdf: finish(k[: len(by)], pdf), schema
-    )
-    owner = owner.join(merged, [*by, "cluster"], "left").select(
-        *by, F.col("face").alias(key), F.coalesce("into", "cluster").alias("cluster")
-    )
-    return df.join(owner, [*by, key])
-
-
-def _finish(mean, size, limit: float):
-    """Average linkage over weighted rows of one group; returns the row each belongs to.
-
-    Every row remembers its nearest partner, so a merge only looks again at the rows it touched.
-    """
-    import numpy as np
-
-    n = len(mean)
-    root = np.arange(n)
-    mean, size = np.array(mean, float), np.array(size, float)
-    gap = 1.0 - mean @ mean.T
-    np.fill_diagonal(gap, np.inf)
-    if n < 2:
-        return root
-    best = gap.argmin(axis=1)
-    near = gap[root, best]
-    while True:
-        i = int(near.argmin())
-        if not near[i] <= limit:
-            return root
-        i, j = min(i, int(best[i])), max(i, int(best[i]))
-        mean[i] = (mean[i] * size[i] + mean[j] * size[j]) / (size[i] + size[j])
-        size[i] += size[j]
-        root[root == j] = i
-        gap[j, :] = gap[:, j] = np.inf
-        open_ = np.isfinite(gap[i])
-        gap[i, open_] = gap[open_, i] = 1.0 - mean[open_] @ mean[i]
-        near[j] = np.inf
-        again = np.flatnonzero((best == i) | (best == j) | (gap[i] < near))
-        again = np.union1d(again[np.isfinite(near[again])], [i])
-        best[again] = gap[again].argmin(axis=1)
-        near[again] = gap[again, best[again]]
-
 
 def centroids(df: DataFrame, by: Sequence[str], vector: str, dim: int) -> DataFrame:
     """Normalised mean of unit vectors per group, one aggregate per element: a single shuffle."""

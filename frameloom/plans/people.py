@@ -98,28 +98,31 @@ def labelled_clusters(spark, d):
     return sel.ranked(named, [], P.review_order("cluster")).select("cluster", "label", "size", "pos")
 
 
-# Saved labels are the centroids of every other face; clusters are all faces of a label.
-J5_SQL = """WITH RECURSIVE """ + V.FACES + CENTROIDS + """, halves AS (SELECT label, i, avg(v[i]) AS m FROM faces, (SELECT unnest(range(1, 65)) AS i) WHERE vec_id % 2 = 0 GROUP BY label, i),
-  saved AS (SELECT label AS ordinal, concat('person ', label) AS name, list(m / n ORDER BY i) AS c FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY label)) AS n FROM halves) GROUP BY label),
-  near AS (SELECT ordinal, name, k.label AS cluster, 1e0 - list_sum(list_transform(range(1, 65), lambda i: s.c[i] * k.c[i])) AS distance FROM saved s, cents k),
+# A hundred consecutive faces are a project. Its saved labels are the centroids of every other face, its clusters all
+# faces of a label.
+J5_SQL = """WITH RECURSIVE """ + V.FACES + """, spread AS (SELECT vec_id // 100 AS project, vec_id, label, i, v[i] AS x FROM faces, (SELECT unnest(range(1, 65)) AS i)),
+  means AS (SELECT project, label, i, avg(x) AS m, avg(x) FILTER (vec_id % 2 = 0) AS half FROM spread GROUP BY ALL),
+  cents AS (SELECT project, label, list(m ORDER BY i) AS c, sqrt(sum(m * m)) AS n FROM means GROUP BY ALL),
+  saved AS (SELECT project, label, list(half ORDER BY i) AS c, sqrt(sum(half * half)) AS n FROM means WHERE half IS NOT NULL GROUP BY ALL),
+  near AS (SELECT s.project, s.label AS ordinal, k.label AS cluster, 1e0 - list_sum(list_transform(range(1, 65), lambda i: s.c[i] / s.n * (k.c[i] / k.n))) AS distance FROM saved s JOIN cents k ON k.project = s.project),
   cand AS (SELECT * FROM near WHERE distance <= 1.05e0),
-  walk AS (SELECT -1 AS ordinal, []::INTEGER[] AS taken, NULL::VARCHAR AS name, NULL::INTEGER AS cluster, NULL::DOUBLE AS distance
-    UNION ALL SELECT w.ordinal + 1, CASE WHEN c.cluster IS NULL THEN w.taken ELSE list_append(w.taken, c.cluster) END, c.name, c.cluster, c.distance
-    FROM walk w LEFT JOIN LATERAL (SELECT * FROM cand x WHERE x.ordinal = w.ordinal + 1 AND NOT list_contains(w.taken, x.cluster) ORDER BY x.distance, x.cluster DESC LIMIT 1) c ON true
-    WHERE w.ordinal < (SELECT max(ordinal) FROM saved))
-  SELECT ordinal, name AS label, cluster, round(distance, 6) AS distance FROM walk WHERE cluster IS NOT NULL"""
+  walk AS (SELECT project, -1 AS ordinal, []::INTEGER[] AS taken, NULL::INTEGER AS cluster, NULL::DOUBLE AS distance FROM (SELECT DISTINCT project FROM saved)
+    UNION ALL SELECT project, ordinal + 1, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, pick, gap FROM (
+      SELECT w.project, w.ordinal, w.taken, arg_min(c.cluster, (c.distance, -c.cluster)) AS pick, min(c.distance) AS gap
+      FROM walk w LEFT JOIN cand c ON c.project = w.project AND c.ordinal = w.ordinal + 1 AND NOT list_contains(w.taken, c.cluster)
+      WHERE w.ordinal < 60 GROUP BY w.project, w.ordinal, w.taken))
+  SELECT project, ordinal, concat('person ', ordinal) AS label, cluster, round(distance, 6) AS distance FROM walk WHERE cluster IS NOT NULL"""
 
 
 @query("J5_nearest_label", J5_SQL)
 def nearest_label(spark, d):
-    f = V.faces(spark, d)
-    saved = P.centroids(f.filter(F.col("vec_id") % 2 == 0), ["label"], "v", V.DIM).select(
-        F.col("label").alias("ordinal"), F.concat(F.lit("person "), F.col("label").cast("string")).alias("label"), "centroid"
+    f = V.faces(spark, d).withColumn("project", F.floor(F.col("vec_id") / 100))
+    saved = P.centroids(f.filter(F.col("vec_id") % 2 == 0), ["project", "label"], "v", V.DIM).select(
+        "project", F.col("label").alias("ordinal"), F.concat(F.lit("person "), F.col("label").cast("string")).alias("label"), "centroid"
     )
-    clusters = P.centroids(f, ["label"], "v", V.DIM).select(F.col("label").alias("cluster"), "centroid")
-    one = F.lit(1).alias("project")
-    bound = P.nearest_labels(saved.select("*", one), clusters.select("*", one), ["project"], 1.05)
-    return bound.select("ordinal", "label", "cluster", F.round("distance", 6).alias("distance"))
+    clusters = P.centroids(f, ["project", "label"], "v", V.DIM).select("project", F.col("label").alias("cluster"), "centroid")
+    bound = P.nearest_labels(saved, clusters, ["project"], 1.05)
+    return bound.select("project", "ordinal", "label", "cluster", F.round("distance", 6).alias("distance"))
 
 
 @query(
@@ -131,30 +134,56 @@ def thresholds(spark, d):
     return table(spark, d, "part").select("p_partkey", threshold_for(F.get(names, (F.col("p_partkey") % 5).cast("int"))).alias("threshold"))
 
 
-# -- clusters: iterative, so they are checked against brute force in the tests ------- #
-def clustered(spark, d, limit=LIMIT):
-    f = V.faces(spark, d)
-    return P.average_linkage_clusters(f, [], "vec_id", "v", limit, V.DIM)
+# -- clusters: 25 consecutive vectors are the faces of one project -------------------- #
+NEAR = 0.9
+LINKAGE = "WITH RECURSIVE " + V.FACES + f""", placed AS (SELECT *, vec_id // 25 AS project, row_number() OVER (PARTITION BY vec_id // 25 ORDER BY vec_id) AS i FROM faces),
+  pairs AS (SELECT x.project, x.i, y.i AS j, 1e0 - {DOT} AS d FROM placed x JOIN placed y ON x.project = y.project AND x.i < y.i),
+  walk AS (SELECT project, 0 AS step, list(vec_id ORDER BY i) AS cl FROM placed GROUP BY project
+    UNION ALL SELECT project, step + 1, list_transform(cl, lambda c: CASE WHEN c = b THEN a ELSE c END) FROM (
+      SELECT project, step, cl, a, b, row_number() OVER (PARTITION BY project ORDER BY d, a, b) AS r FROM (
+        SELECT w.project, w.step, w.cl, least(w.cl[p.i], w.cl[p.j]) AS a, greatest(w.cl[p.i], w.cl[p.j]) AS b, avg(d) AS d
+        FROM walk w JOIN pairs p ON p.project = w.project AND w.cl[p.i] <> w.cl[p.j] GROUP BY ALL) WHERE d <= {NEAR}e0) WHERE r = 1),
+  last AS (SELECT project, arg_max(cl, step) AS cl FROM walk GROUP BY project),
+  grouped AS (SELECT p.project, p.vec_id, p.image, p.label, cl[i] AS cluster FROM placed p JOIN last USING (project))"""
+
+
+def clustered(spark, d):
+    f = V.faces(spark, d).withColumn("project", F.floor(F.col("vec_id") / 25))
+    return cut(P.average_linkage_clusters(f, ["project"], "vec_id", "v", NEAR, V.DIM).select("project", "vec_id", "image", "label", "cluster"))
 
 
-@query("C2_average_linkage")
+CLUSTER_PROFILES = ", profiles AS (SELECT project, cluster, count(*) AS size, count(DISTINCT image) AS photos, min(image) AS representative FROM grouped GROUP BY project, cluster)"
+
+
+@query(
+    "C2_average_linkage",
+    LINKAGE + CLUSTER_PROFILES + """ SELECT project, row_number() OVER (PARTITION BY project ORDER BY size DESC, representative, cluster) - 1 AS cluster_id, cluster, size, photos, representative FROM profiles WHERE size >= 2""",
+)
 def clusters(spark, d):
-    c = clustered(spark, d).select("vec_id", "image", "cluster")
-    return P.numbered_clusters(P.cluster_profiles(c, ["cluster"], "image"), []).select(
-        "cluster_id", "cluster", "size", "photos", "representative"
-    )
+    profiles_ = P.cluster_profiles(clustered(spark, d), ["project", "cluster"], "image")
+    return P.numbered_clusters(profiles_, ["project"]).select("project", "cluster_id", "cluster", "size", "photos", "representative")
 
 
-@query("C5_group_by_person")
+@query(
+    "C5_group_by_person",
+    LINKAGE + CLUSTER_PROFILES + """, named AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY size DESC, representative, cluster) AS n FROM profiles),
+    kept AS (SELECT project, cluster, concat('Person ', n) AS person FROM named WHERE photos >= 3)
+    SELECT DISTINCT g.project, person, image FROM grouped g JOIN kept k ON k.project = g.project AND k.cluster = g.cluster
+    UNION ALL SELECT DISTINCT project, 'Everyone', image FROM grouped WHERE project NOT IN (SELECT project FROM kept)""",
+)
 def by_person(spark, d):
-    c = cut(clustered(spark, d, 0.75).select("vec_id", "image", "cluster"))
-    return P.group_by_person(c, c, [], "image")
+    c = clustered(spark, d)
+    return P.group_by_person(c, c, ["project"], "image")
 
 
-@query("A21_purity")
+@query(
+    "A21_purity",
+    LINKAGE + """, n AS (SELECT project, cluster, label, count(*) AS n FROM grouped GROUP BY ALL), m AS (SELECT project, cluster, max(n) AS major, sum(n) AS n FROM n GROUP BY ALL)
+    SELECT count(*) AS clusters_found, round(sum(major) / sum(n), 6) AS purity, (SELECT count(DISTINCT label) FROM faces) AS true_people FROM m""",
+)
 def purity(spark, d):
-    c = clustered(spark, d, 0.75)
-    return P.purity(c, "cluster", "label").withColumn("purity", F.round("purity", 6))
+    # A cluster is known by its smallest face, so its name is unique over all projects.
+    return P.purity(clustered(spark, d), "cluster", "label").withColumn("purity", F.round("purity", 6))
 
 
 @query(

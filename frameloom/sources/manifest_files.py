@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 BOX = "struct<x:double,y:double,w:double,h:double>"
@@ -39,11 +40,12 @@ def write_manifest(parts: Mapping[str, DataFrame], folder: str, mode: str = "ove
 
 def read_manifest(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """All parts; a missing one is an empty table, a missing field is null."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
     out = {}
     for name, schema in PARTS.items():
-        place = f"{folder.rstrip('/')}/{name}"
-        path = hadoop(place)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        out[name] = spark.read.schema(schema).json(place) if there else spark.createDataFrame([], schema)
+        try:
+            out[name] = spark.read.schema(schema).json(f"{folder.rstrip('/')}/{name}")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            out[name] = spark.createDataFrame([], schema)
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from hashlib import md5
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,16 @@ def append_audit(entries: DataFrame, metadata: str) -> DataFrame:
     return entries.withColumn(metadata, scrub_json(metadata))
 
 
+def known_results(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The cache so far, or None before its first batch."""
+    try:
+        return spark.read.option("basePath", folder).parquet(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def analyse_new_files(
     files: DataFrame, analyse: Callable[[DataFrame], DataFrame], cache_folder: str, progress: str,
 ) -> None:
@@ -78,11 +89,9 @@ def analyse_new_files(
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        place = spark._jvm.org.apache.hadoop.fs.Path(cache_folder)
-        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
         fresh = df.dropDuplicates([*KEY, *SIGNATURE])
-        if system.exists(place):
-            known = spark.read.option("basePath", cache_folder).parquet(cache_folder)
+        known = known_results(spark, cache_folder)
+        if known is not None:
             mine = (F.col("run") == tag) & (F.col("batch") >= number)
             fresh = to_recompute(fresh, known.filter(~mine).select(*KEY, *SIGNATURE))
         analyse(fresh).write.mode("overwrite").parquet(f"{cache_folder}/run={tag}/batch={number}")

@@ -41,10 +41,10 @@ def vectors_of(df):
     return [r.id for r in rows], np.array([r.v for r in rows]), rows
 
 
-@pytest.mark.parametrize("block,local", [(2000, 2000), (16, 4), (1000, 4)])
-def test_average_linkage_equals_the_definition(faces, block, local):
+@pytest.mark.parametrize("block", [2000, 16])
+def test_average_linkage_equals_the_definition(faces, block):
     ids, v, _ = vectors_of(faces)
-    out = P.average_linkage_clusters(faces, [], "id", "v", 0.4, 6, block_rows=block, local_rows=local)
+    out = P.average_linkage_clusters(faces, [], "id", "v", 0.4, 6, block_rows=block)
     got = {}
     for r in out.collect():
         got.setdefault(r.cluster, set()).add(r.id)
@@ -54,7 +54,7 @@ def test_average_linkage_equals_the_definition(faces, block, local):
 
 def test_average_linkage_per_project(faces):
     two = faces.withColumn("project", F.col("id") % 2)
-    out = P.average_linkage_clusters(two, ["project"], "id", "v", 0.4, 6, block_rows=16, local_rows=4)
+    out = P.average_linkage_clusters(two, ["project"], "id", "v", 0.4, 6, block_rows=16)
     for project in (0, 1):
         ids, v, _ = vectors_of(faces.filter(F.col("id") % 2 == project))
         got = {}
