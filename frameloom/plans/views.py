@@ -168,7 +168,7 @@ SHOTS = "shots AS (SELECT user_id AS project, event_id AS path, ts AS captured_a
 
 # -- faces as vectors --------------------------------------------------------------------- #
 DIM = 64
-FACES = """faces AS (SELECT vec_id, vec_id % 100 AS image, label, list_transform(e, lambda x: x / sqrt(n2)) AS v
+FACES = """faces AS (SELECT vec_id, vec_id // 4 AS image, label, list_transform(e, lambda x: x / sqrt(n2)) AS v
   FROM (SELECT vec_id, label, e, list_sum(list_transform(e, lambda x: x * x)) AS n2
     FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)) WHERE n2 > 0)"""
 
@@ -177,7 +177,7 @@ def faces(spark: SparkSession, d: str) -> DataFrame:
     from frameloom.operators.people import unit_vectors
 
     rows = table(spark, d, "embeddings").select(
-        "vec_id", (F.col("vec_id") % 100).alias("image"), "label", F.col("embedding").alias("v")
+        "vec_id", F.floor(F.col("vec_id") / 4).alias("image"), "label", F.col("embedding").alias("v")
     )
     return unit_vectors(rows, "v")
 
