@@ -6,10 +6,10 @@ that met are compared in tries: the partners of a document stand in a trie of or
 counts the overlap of every shared path once and leaves a subtree as soon as the n-grams that remain on
 either side cannot reach the overlap needed.
 
-Equal sets collapse first. Then each document is compared with the first document under each of its
-n-grams (as many pairs as rows), and what links becomes one component; only pairs of different components that
+Equal sets collapse first. Then each document is compared with the head of each of its n-grams,
+one of the documents that share it (as many pairs as rows), and what links becomes one component; only pairs of different components that
 no step has compared are made explicit. So a heap of near copies costs its size, not its pairs. In both steps a pair
-is compared only if the early n-grams it shares leave the overlap within reach.
+is compared only if its early n-grams, by number and place, leave the overlap within reach.
 
 Defined cases: null and empty texts have no n-grams and link with nothing; fewer words than five are one
 n-gram of their own; rows with one id are one node; a null id keeps a null component; other columns
@@ -215,12 +215,12 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text")
 
     rows = (
         _sets(docs.where("doc_id IS NOT NULL"), classes, prefix=True).join(reps, "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("rep"), "n", F.explode("tokens").alias("token"))
+        .select(F.col("doc_id").alias("rep"), "n", F.posexplode("tokens").alias("pos", "token"))
     )
     under = Window.partitionBy("token")
     met = stored(
-        rows.withColumn("first", F.min(F.struct("rep", "n")).over(under))
-        .withColumn("last", F.max("rep").over(under)).where("first.rep < last").drop("last"),
+        rows.withColumn("holders", F.count("*").over(under)).withColumn("low", F.min("rep").over(under))
+        .withColumn("high", F.max("rep").over(under)).where("low < high").drop("low", "high"),
         "met",
     )
     def compared(pairs: DataFrame) -> DataFrame:
@@ -229,25 +229,35 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text")
         sets = stored(_sets(docs.join(ends, "doc_id", "left_semi"), classes, prefix=False), "sets")
         return stored(_verify(pairs, sets), "found")
 
+    # the head of an n-gram: of the documents that hold it the one that meets others most often, which in a
+    # heap of near copies is the text they were made from
+    meets = met.groupBy("rep").agg((-F.sum("holders")).alias("meets"))
+    headed = met.join(meets, "rep").withColumn("head", F.min(F.struct("meets", "rep", "n")).over(under))
     pairs = stored(
-        met.where(F.col("rep") != F.col("first.rep"))
-        .groupBy(F.col("first.rep").alias("a"), F.col("rep").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b"))
+        headed.where(F.col("rep") != F.col("head.rep"))
+        .groupBy(F.col("head.rep").alias("a"), F.col("rep").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b"))
         .agg(F.count("*").alias("shared")).where(_reachable()).select("a", "b").distinct(),
         "pairs",
     )
     part = components(compared(pairs))
 
     # pairs of different components that share early tokens and were not compared
-    placed = met.select("token", "rep", "n").join(part, F.col("rep") == F.col("id"), "left")
-    placed = placed.select("token", "rep", "n", F.coalesce("component_id", "rep").alias("part"))
+    placed = met.select("token", "rep", "n", "pos").join(part, F.col("rep") == F.col("id"), "left")
+    placed = placed.select("token", "rep", "n", "pos", F.coalesce("component_id", "rep").alias("part"))
     mixed = placed.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("token")
     placed = stored(placed.join(mixed, "token", "left_semi"), "mixed")
-    left, right = (placed.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "part"))) for s in "ab")
+    left, right = (placed.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "pos", "part"))) for s in "ab")
+    # two sets with the overlap needed share two tokens (one, where a prefix ends sooner) among the first
+    # n - needed + 2 of each; behind these places nothing has to meet
+    needed = F.ceil(3 * (F.col("n_a") + F.col("n_b")) / 7)
+    early = (F.col("pos_a") <= F.col("n_a") - needed + 1) & (F.col("pos_b") <= F.col("n_b") - needed + 1)
+    sure = F.least(F.lit(2), needed - F.ceil(F.greatest("n_a", "n_b") * 3 / 4) + 1)
     rest = (
         left.join(right, "token").where("rep_a < rep_b AND part_a != part_b")
-        .where(4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
+        .where(4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")).where(early)
         .groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("shared"))
-        .where(_reachable()).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        .where(F.col("shared") >= sure).select("a", "b").distinct()
+        .join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
     more = compared(stored(rest, "rest"))
     part = components(part.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionAll(more))
