@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.functions.boxes import cover_crop, crop_loss, orientation, padded_span
-from frameloom.operators.ordered import HOT_ROWS, MAX_HOT_GROUPS, OrderedGroups, first_row, hot_groups, top_n
+from frameloom.operators.ordered import HOT_ROWS, HotGroups, OrderedGroups, first_row, hot_groups, listed_groups, top_n
 
 # The five default slots (name, aspect, ideal compositions, face range).
 SLOTS = (
@@ -340,8 +340,7 @@ def pace_counts(df: DataFrame, by: Sequence[str], total: str, per_spread: str, c
     if paced is None:
         return uniform
     # How many spreads a section gets is known before any of them is made.
-    big = paced.filter(F.col("N") > HOT_ROWS).orderBy(F.col("N").desc()).limit(MAX_HOT_GROUPS)
-    hot = [tuple(r) for r in big.select(*by).collect()]
+    hot = listed_groups(paced.filter(F.col("N") > HOT_ROWS).select(*by))
     return uniform.unionByName(_repair(_apportion(paced, by, weights, spread), by, cap, hot))
 
 
@@ -381,7 +380,7 @@ def _apportion(paced: DataFrame, by: list[str], weights: tuple, spread: Column)
     return rows.select(*by, "spread", (F.get("low", F.col("beat")) + extra).cast("long").alias("photos"))
 
 
-def _repair(counts: DataFrame, by: list[str], cap: int, hot: list[tuple]) -> DataFrame:
+def _repair(counts: DataFrame, by: list[str], cap: int, hot: HotGroups) -> DataFrame:
     """Move units until every count lies in 1..cap: from the fullest, then to the emptiest."""
     counts = _level(counts, by, need=F.greatest(F.lit(0), 1 - F.col("photos")), down=True, bound=1, hot=hot)
     counts = counts.withColumn("photos", F.greatest(F.col("photos"), F.lit(1)))
@@ -389,7 +388,7 @@ def _repair(counts: DataFrame, by: list[str], cap: int, hot: list[tuple]) -> Dat
     return counts.withColumn("photos", F.least(F.col("photos"), F.lit(cap)).cast("long"))
 
 
-def _level(counts: DataFrame, by: list[str], need: Column, down: bool, bound: int, hot: list[tuple]) -> DataFrame:
+def _level(counts: DataFrame, by: list[str], need: Column, down: bool, bound: int, hot: HotGroups) -> DataFrame:
     """Take ``need`` units per section from the fullest spreads (or give them to the emptiest).
 
     Working one unit at a time flattens the counts to a level; what is left over goes to the
@@ -542,7 +541,7 @@ def sheet_fill(entries: DataFrame, by: Sequence[str], order: list[Column], copie
     by = list(by)
     capacity = cols * rows
     wanted = top_n(entries.filter(F.col(copies) > 0), by, order, capacity)
-    ends = OrderedGroups(wanted, by, order, hot=[]).running_sum(F.col(copies), "__end").df
+    ends = OrderedGroups(wanted, by, order, hot=HotGroups(None, False)).running_sum(F.col(copies), "__end").df
     start = (F.col("__end") - F.col(copies)).cast("long")
     last = F.least(F.col("__end").cast("long"), F.lit(capacity).cast("long")) - 1
     tiles = ends.filter(start < capacity).withColumn("tile", F.explode(F.sequence(start, last)))

@@ -18,30 +18,33 @@ from pyspark.sql.window import Window
 
 from frameloom.session import cut
 
-# A group is hot above this many rows. Only the MAX_HOT_GROUPS largest are sliced, which bounds
-# the key list; a group left out then holds at most one part in MAX_HOT_GROUPS of the table.
+# A group is hot above this many rows: what one task sorts with ease.
 HOT_ROWS = 2_000_000
-MAX_HOT_GROUPS = 2_000
 
 _SLOT = "__slot"
 
 
-def hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int | None = None) -> list[tuple]:
-    """Keys of the groups too big for one task; never more than MAX_HOT_GROUPS."""
+class HotGroups:
+    """Keys of the groups too big for one task, as a table of their own; false if there are none."""
+
+    def __init__(self, keys: DataFrame | None, some: bool) -> None:
+        self.keys, self.some = keys, some
+
+    def __bool__(self) -> bool:
+        return self.some
+
+
+def hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int | None = None) -> HotGroups:
+    """All groups of more than ``hot_rows`` rows; the keys stay in Spark, however many there are."""
     floor = HOT_ROWS if hot_rows is None else hot_rows
     if not by:
-        # The whole table is one group: stop counting as soon as it is known to be big.
-        return [()] if df.limit(floor + 1).count() > floor else []
+        return HotGroups(None, df.count() > floor)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > floor)
-    biggest = sizes.orderBy(F.col("__n").desc()).limit(MAX_HOT_GROUPS)
-    return [tuple(r[c] for c in by) for r in biggest.collect()]
+    return listed_groups(sizes.select(*by))
 
 
-def _same(by: Sequence[str], key: tuple) -> Column:
-    test = F.lit(True)
-    for name, value in zip(by, key):
-        test = test & F.col(name).eqNullSafe(F.lit(value))
-    return test
+def listed_groups(keys: DataFrame) -> HotGroups:
+    return HotGroups(keys, bool(keys.take(1)))
 
 
 class OrderedGroups:
@@ -59,7 +62,7 @@ class OrderedGroups:
         by: Sequence[str],
         order: Sequence[Column],
         hot_rows: int | None = None,
-        hot: list[tuple] | None = None,
+        hot: HotGroups | None = None,
     ) -> None:
         self.by = list(by)
         self.order = list(order)
@@ -71,16 +74,12 @@ class OrderedGroups:
             df = self._slice(df, hot)
         self._df = df
 
-    def _slice(self, df: DataFrame, hot: list[tuple]) -> DataFrame:
+    def _slice(self, df: DataFrame, hot: HotGroups) -> DataFrame:
         if self.by:
-            spark = df.sparkSession
-            schema = df.select(*self.by).schema
-            # At most MAX_HOT_GROUPS keys, so the broadcast has a fixed bound.
-            keys = spark.createDataFrame(hot, schema).withColumn("__hot", F.lit(True))
-            on = [df[c].eqNullSafe(keys[c]) for c in self.by]
-            tagged = df.join(F.broadcast(keys), on, "left").select(
-                *[df[c] for c in df.columns], keys["__hot"]
-            )
+            names = [f"__hot_k{i}" for i in range(len(self.by))]
+            keys = hot.keys.select(*[F.col(c).alias(k) for c, k in zip(self.by, names)], F.lit(True).alias("__hot"))
+            on = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(self.by, names)]
+            tagged = df.join(keys, on, "left").drop(*names)
             cold = tagged.filter(F.col("__hot").isNull()).drop("__hot").withColumn(_SLOT, F.lit(-1))
             busy = tagged.filter(F.col("__hot")).drop("__hot")
         else:
@@ -101,8 +100,8 @@ class OrderedGroups:
     def _carry(self, aggs: list[Column], carried: list[tuple[str, Column]]) -> DataFrame:
         """Add to every hot row the state carried in from the earlier slots of its group.
 
-        One row per (hot group, slot) is aggregated, so the broadcast is bounded by the
-        number of slots plus the number of hot groups. Ordinary groups have no slots.
+        One row per (hot group, slot) is aggregated; ordinary groups have no slots. A slot is a bounded part
+        of a group, so the join meets no hot key.
         """
         names = [f"__carry_k{i}" for i in range(len(self.by))]
         keys = [F.col(c).alias(k) for c, k in zip(self.by, names)]
@@ -118,7 +117,7 @@ class OrderedGroups:
         left = self._df
         on = [left[_SLOT] == carry["__carry_slot"]]
         on += [left[c].eqNullSafe(carry[k]) for c, k in zip(self.by, names)]
-        return left.join(F.broadcast(carry), on, "left").drop("__carry_slot", *names)
+        return left.join(carry, on, "left").drop("__carry_slot", *names)
 
     # -- columns ----------------------------------------------------------- #
     def position(self, name: str = "pos") -> OrderedGroups:

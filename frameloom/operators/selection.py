@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from frameloom.functions.quality import BEST, CATEGORIES, Weights, category, quality_tier
-from frameloom.operators.ordered import OrderedGroups, first_row, hot_groups, top_n
+from frameloom.operators.ordered import HotGroups, OrderedGroups, first_row, hot_groups, top_n
 
 # Sizes of the automatic sections.
 HIGHLIGHTS, CLOSING, FAMILY_FACES, PORTRAIT_FACES = 24, 8, 3, 1
@@ -127,7 +127,7 @@ def time_order(time: str, path: str) -> list[Column]:
 
 def ranked(
     df: DataFrame, by: Sequence[str], order: list[Column], name: str = "pos",
-    hot_rows: int | None = None, hot: list[tuple] | None = None,
+    hot_rows: int | None = None, hot: HotGroups | None = None,
 ) -> DataFrame:
     return OrderedGroups(df, by, order, hot_rows, hot).position(name).df
 
@@ -146,7 +146,7 @@ def spread_selection(df: DataFrame, by: Sequence[str], path: str, score: str, co
     # At most ``keep`` rows per group from here on, so plain windows are bounded.
     group = Window.partitionBy(*by)
     placed = (
-        ranked(ranked(short, by, [F.col(score).desc(), F.col(path)], "__q", hot=[]), by, [F.col(path)], "__p", hot=[])
+        ranked(ranked(short, by, [F.col(score).desc(), F.col(path)], "__q", hot=HotGroups(None, False)), by, [F.col(path)], "__p", hot=HotGroups(None, False))
         .withColumn("__n", F.count(F.lit(1)).over(group))
     )
     slot = F.floor(((F.col("__p") + 1) * count - 1) / F.col("__n")).cast("long")
@@ -209,7 +209,7 @@ def has_only(present: Column, label: Column | str) -> Column:
 # -- sections ------------------------------------------------------------------ #
 def rule_sections(
     photos: DataFrame, specs: Sequence[Mapping], by: Sequence[str], path: str, score: str, present: str,
-    eligible: Column | None = None, events: DataFrame | None = None, hot: list[tuple] | None = None,
+    eligible: Column | None = None, events: DataFrame | None = None, hot: HotGroups | None = None,
 ) -> DataFrame:
     """Sections from rules, as (by, ordinal, section, pos, path).
 
@@ -246,7 +246,7 @@ def rule_sections(
                 limit = 1 if limit is None else min(limit, 1)
             if limit is not None:
                 part = top_n(part, by, quality_order(score, path), limit)
-            known = hot if limit is None else []
+            known = hot if limit is None else HotGroups(None, False)
             part = ranked(part, by, quality_order(score, path), hot=known).select(*by, F.col(path).alias("path"), "pos")
         parts.append(
             part.select(
@@ -278,7 +278,7 @@ def sticky_edits(
     return ranked(joined, by, order).select(*by, "pos", "path")
 
 
-def _section(df: DataFrame, by: list[str], n: int, name: str, path: str, order: list[Column], hot: list[tuple]) -> DataFrame:
+def _section(df: DataFrame, by: list[str], n: int, name: str, path: str, order: list[Column], hot: HotGroups) -> DataFrame:
     return ranked(df, by, order, hot=hot).select(
         *by, F.lit(n).alias("ordinal"), F.lit(name).alias("section"), "pos", F.col(path).alias("path")
     )
