@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from frameloom.functions.scalar import all_of, col, valid_sha256, valid_url
+from frameloom.functions.scalar import col, valid_sha256, valid_url
 
 # Days of trial, of grace without a check, and between checks.
 TRIAL_DAYS, GRACE_DAYS, RECHECK_DAYS = 14, 21, 7
