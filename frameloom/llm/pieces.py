@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
+import types
 import zlib
 from dataclasses import dataclass, field
 from hashlib import blake2b
@@ -185,6 +187,14 @@ class Encoder:
         return np.frombuffer(self.mark.join(done), np.int32)
 
 
+def _kept(name: tuple, make):
+    """The encoder of this worker process, so that its caches outlive a task; one at a time is kept."""
+    holder = sys.modules.setdefault("_frameloom_pieces", types.ModuleType("_frameloom_pieces"))
+    if getattr(holder, "name", None) != name:
+        holder.name, holder.encoder = name, make()
+    return holder.encoder
+
+
 def decode(vocabulary: Vocabulary, ids: np.ndarray | list[int]) -> str:
     """The text that the ids spell."""
     return b"".join([vocabulary.spelled[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
@@ -192,13 +202,12 @@ def decode(vocabulary: Vocabulary, ids: np.ndarray | list[int]) -> str:
 
 def encode_column(vocabulary: Vocabulary, text: Column, dropout: float = DROPOUT, seed: int = 0, variants: int = VARIANTS) -> Column:
     """Ids of every text, as array<int>."""
-    made: list[Encoder] = []
+    name = (zlib.crc32(repr(sorted(vocabulary.pieces.items())).encode()), dropout, seed, variants)
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        if not made:
-            made.append(Encoder(vocabulary, dropout, seed, variants))
-        ids = [made[0].encode(t.as_py()) if t.is_valid else np.zeros(0, np.int32) for t in texts]
+        encoder = _kept(name, lambda: Encoder(vocabulary, dropout, seed, variants))
+        ids = [encoder.encode(t.as_py()) if t.is_valid else np.zeros(0, np.int32) for t in texts]
         ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
         values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
         return pa.ListArray.from_arrays(pa.array(ends), values, mask=texts.is_null() if texts.null_count else None)
