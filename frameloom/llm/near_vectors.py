@@ -69,7 +69,7 @@ def _cells(x: np.ndarray, grid: np.ndarray, radius: float) -> Iterator[tuple[np.
     yield np.arange(n), home
     for mask in range(1, 1 << int(grid.max(initial=0))):
         picked = np.array([mask >> k & 1 for k in range(dims)], bool)
-        fits = (used | ~picked[None, :]).all(1) & ((away**2 * picked).sum(1) <= radius**2 + SLACK)
+        fits = (used | ~picked[None, :]).all(1) & ((away**2 * picked).sum(1) <= radius**2 + 2 * SLACK)
         cell = home + (step * power * picked).sum(1)
         rows = np.flatnonzero(fits & (cell > home))
         if len(rows):
@@ -130,7 +130,7 @@ def _tile(rows: dict[str, np.ndarray], block: int, threshold: float, budget: flo
     for a in range(0, len(left), 512):
         i = left[a : a + 512]
         lo, hi = edges[block], edges[block + 1]
-        near = _distance(x[i, lo:hi], x[right, lo:hi]) <= budget * (hi - lo) / size + SLACK
+        near = _distance(x[i, lo:hi], x[right, lo:hi]) <= budget * (hi - lo) / size + 2 * SLACK
         if same:
             near &= right[None, :] > i[:, None]
         near &= rows["home"][i][:, None] | rows["home"][right][None, :]  # two visitors meet elsewhere
@@ -139,7 +139,8 @@ def _tile(rows: dict[str, np.ndarray], block: int, threshold: float, budget: flo
             u, v = i[p[s : s + (1 << 16)]], right[q[s : s + (1 << 16)]]
             good = np.einsum("ij,ij->i", raw[u], raw[v]) / (norm[u] * norm[v]) >= threshold
             u, v = u[good], v[good]
-            first = np.ones(len(u), bool)  # in no earlier block
+            # in this block and in no earlier one, by one and the same sum
+            first = ((x[u, lo:hi] - x[v, lo:hi]) ** 2).sum(1) <= budget * (hi - lo) / size + SLACK
             for e, (lo2, hi2) in enumerate(zip(edges[:block], edges[1 : block + 1])):
                 d = ((x[u, lo2:hi2] - x[v, lo2:hi2]) ** 2).sum(1)
                 first &= d > budget * (hi2 - lo2) / size + SLACK
