@@ -51,7 +51,9 @@ def drop_boilerplate(
     told = pages.select("key", "tag", "host", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: ~_blank(x)), _hash))).alias("line"))
     found = told.join(boilerplate(pages, "host", "lines", ratio, min_pages), ["host", "line"], "left_semi")
     per_page = found.groupBy(F.col("key").alias("k"), F.col("tag").alias("t")).agg(F.collect_set("line").alias("bad"))
-    met = pages.join(per_page, F.col("key").eqNullSafe(F.col("k")) & (F.col("tag") == F.col("t")), "left")
+    # the lines are cut anew after the join, so that texts move once
+    met = pages.drop("lines").join(per_page, F.col("key").eqNullSafe(F.col("k")) & (F.col("tag") == F.col("t")), "left")
+    met = met.withColumn("lines", F.split(F.coalesce(F.col(f"row.`{text}`"), F.lit("")), "\n"))
     gone = lambda x: ~_blank(x) & F.array_contains("bad", _hash(x))
     kept = F.when(F.col("bad").isNull(), F.col(f"row.`{text}`")).otherwise(F.array_join(F.filter("lines", lambda x: ~gone(x)), "\n"))
     return met.select(
