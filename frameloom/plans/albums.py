@@ -10,7 +10,7 @@ from frameloom.operators import selection as sel
 from frameloom.operators import timeline as T
 from frameloom.plans import views as V
 from frameloom.plans.photos import PHOTOS, answers
-from frameloom.plans.registry import query, table, with_views
+from frameloom.plans.registry import dealt, query, table, with_views
 from frameloom.sources.vision import parse_vision_json
 
 ALBUM = with_views(V.ALBUM)
@@ -409,7 +409,7 @@ WORDS = f"""words AS (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS la
 
 def label_votes(spark, d):
     # Every fourth label lacks its confidence.
-    docs = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("labels"))
+    docs = dealt(table(spark, d, "documents"), "doc_id").select("doc_id", F.split("text", " ").alias("labels"))
     sure = F.transform("labels", lambda _, i: F.when((i + 1) % 4 != 0, (1 + (i + 1) % 8) / 8.0))
     return E.label_votes(docs.withColumn("sure", sure), ["doc_id"], "labels", "sure")
 

@@ -35,3 +35,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """A given table that is one file of one row group, which Spark cannot split, dealt to all cores by ``keys``.
+
+    Only for the bindings of such files, ahead of heavy work per row; no operator does this, and a table
+    of as many files as cores is read as it is. ``keys`` should tell rows apart.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)

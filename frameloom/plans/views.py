@@ -9,7 +9,7 @@ from frameloom.functions.boxes import box
 from frameloom.functions.quality import is_usable, quality_score
 from frameloom.operators.duplicates import rerank
 from frameloom.operators.selection import inventory
-from frameloom.plans.registry import table
+from frameloom.plans.registry import dealt, table
 
 # -- photos: one line item is one photo ------------------------------------------- #
 MEDIA = """media AS (SELECT concat('s', l_suppkey, '/', l_orderkey, '-', l_linenumber, '-', l_partkey, '-',
@@ -24,7 +24,7 @@ MEDIA = """media AS (SELECT concat('s', l_suppkey, '/', l_orderkey, '-', l_linen
 
 def media(spark: SparkSession, d: str) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    rows = table(spark, d, "lineitem")
+    rows = dealt(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
     return rows.withColumns(
         {
             "path": F.concat(
@@ -251,7 +251,7 @@ ACTIVATIONS = """activations AS (SELECT l_orderkey AS licence, l_suppkey AS devi
 
 def activations(spark: SparkSession, d: str) -> DataFrame:
     flag = F.col("l_returnflag")
-    rows = table(spark, d, "lineitem")
+    rows = dealt(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey", "l_partkey")
     return rows.select(
         F.col("l_orderkey").alias("licence"), F.col("l_suppkey").alias("device"),
         F.when(flag == "A", "ACTIVE").when(flag == "N", "DEACTIVATED").otherwise("REVOKED").alias("status"),
