@@ -113,7 +113,7 @@ def average_linkage_clusters(
         faces.groupBy(*by, "mean").agg(F.min("face").alias("cluster"), F.count(F.lit(1)).alias("size"))
     )
     owner = faces.join(start, [*by, "mean"]).select(*by, "face", "cluster")
-    active = start
+    active, steps = start, []
     while True:
         near = _nearest(active, by, limit, key_type, block_rows)
         pick = F.struct("distance", F.least("cluster", "other"), F.greatest("cluster", "other"))
@@ -124,12 +124,9 @@ def average_linkage_clusters(
             near.join(back, [*by, "cluster", "other"]).filter(F.col("cluster") < F.col("other"))
         )
         if not merges.take(1):
-            return df.join(owner.withColumnRenamed("face", key), [*by, key])
+            break
         moved = merges.select(*by, F.col("other").alias("cluster"), F.col("cluster").alias("into"))
-        owner = cut(
-            owner.join(moved, [*by, "cluster"], "left")
-            .select(*by, "face", F.coalesce("into", "cluster").alias("cluster"))
-        )
+        steps.append(moved)
         alive = active.join(near.select(*by, "cluster"), [*by, "cluster"], "left_semi")
         joined = alive.join(moved, [*by, "cluster"], "left").withColumn("cluster", F.coalesce("into", "cluster"))
         sums = [F.sum(F.col("mean")[i] * F.col("size")).alias(f"s{i}") for i in range(dim)]
@@ -138,6 +135,10 @@ def average_linkage_clusters(
             .select(*by, "cluster", "size", F.array(*[F.col(f"s{i}") / F.col("size") for i in range(dim)]).alias("mean"))
         )
 
+    for moved in steps:  # who ended where, one equi-join per round
+        owner = owner.join(moved, [*by, "cluster"], "left").select(*by, "face", F.coalesce("into", "cluster").alias("cluster"))
+    return df.join(owner.withColumnRenamed("face", key), [*by, key])
+
 
 def centroids(df: DataFrame, by: Sequence[str], vector: str, dim: int) -> DataFrame:
     """Normalised mean of unit vectors per group, one aggregate per element: a single shuffle."""
