@@ -7,25 +7,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from frameloom.session import scratch_dir
+from frameloom.session import stored
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: executors can be lost, work is not redone.
-
-    The shuffle files behind it are of no use once the table stands, so they are removed with the write.
-    """
-    spark = df.sparkSession
-    path, before = scratch_dir(spark, label), spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["per_batch", "stored"]
 
 
 def per_batch(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
