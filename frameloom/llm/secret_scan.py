@@ -16,6 +16,7 @@ rows fare alike; other columns pass through; a sample without secrets gives patt
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -302,12 +303,20 @@ def find(texts: pa.Array, field: Field | None) -> list[list[tuple[str, int, int]
 
 
 def fit_on(documents: DataFrame, doc: str = "doc_id", text: str = "text", sample: int = SAMPLE_TEXTS, seed: int = 1) -> Field | None:
-    """Fit on the ``sample`` rows with the smallest keyed hash of their id; no more texts reach the driver."""
+    """Fit on the ``sample`` rows with the smallest keyed hash of their id, in one task; only weights reach the driver."""
     key = F.xxhash64(F.col(doc), F.lit(seed))
     ids = documents.select(F.col(doc).alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
     rows = documents.select(F.col(doc).alias("id"), F.col(text).alias("text"), key.alias("key")).join(F.broadcast(ids), "id")
-    table = rows.orderBy("key", "id", F.xxhash64("text")).limit(sample).toArrow()
-    return fit(table["text"].to_pylist())
+    chosen = rows.orderBy("key", "id", F.xxhash64("text")).limit(sample).select("key", F.col("id").cast("string"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = sorted((k, i, t or "") for b in batches for k, i, t in zip(*(c.to_pylist() for c in b.columns)))
+        field = fit([t for _, _, t in texts], seed) if texts else None
+        if field is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([field.emission.tobytes()], pa.binary()), pa.array([field.move.tobytes()], pa.binary())], ["emission", "move"])
+
+    made = chosen.repartition(1).mapInArrow(run, "emission binary, move binary").collect()
+    return Field(*(np.frombuffer(made[0][c]).reshape(-1, 3) for c in ("emission", "move"))) if made else None
 
 
 def spans_column(field: Field | None, text: Column) -> Column:

@@ -13,6 +13,7 @@ label 1 (0 without labels).
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,7 +73,8 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 def _unique_words(data, offsets):
     """Words of a block: (first words of texts, number of each word, starts and ends of the distinct words)."""
     starts, ends, first = spans(data, offsets, _LETTER)
-    _, at, number = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    pieces = [run_hashes(data, starts[i : i + 50_000], ends[i : i + 50_000]) for i in range(0, len(starts), 50_000)]
+    _, at, number = np.unique(np.concatenate([np.zeros(0, U64), *pieces]), return_index=True, return_inverse=True)
     return first, number, starts[at], ends[at]
 
 
@@ -156,7 +158,12 @@ def fit(texts: list[str], toxic: list[int], seed: int = 1, rounds: int = 8, step
     for turn in range(rounds):
         # the worst windows of every text, and some at random; from a toxic text only the worst teach
         weights = (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float64)
-        word = np.append(np.bincount(owner, weights[bucket], len(starts)) / size, 0.0)
+        word = np.zeros(len(starts) + 1)
+        for i in range(0, len(owner), 1_000_000):
+            first_word = int(owner[i])
+            some = np.bincount(owner[i : i + 1_000_000] - first_word, weights[bucket[i : i + 1_000_000]])
+            word[first_word : first_word + len(some)] += some
+        word[:-1] /= size
         score = word[words].sum(1) / filled
         by_score = np.lexsort((-score, text))
         rank = np.empty(len(text), np.int64)
@@ -166,7 +173,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 1, rounds: int = 8, step
         lot = np.empty(len(text), np.int64)
         lot[by_luck] = np.arange(len(text)) - np.searchsorted(text[by_luck], text[by_luck])
         if turn == 0:
-            chosen = lot < 24
+            chosen = lot < 12
         else:
             top = score >= np.repeat(score[by_score][rank[by_score] == 0], np.bincount(text, minlength=len(label))[np.unique(text)]) - 1e-6
             chosen = np.where(label[text] == 1, top, (rank < 6) | (lot < 6))
@@ -180,10 +187,8 @@ def fit(texts: list[str], toxic: list[int], seed: int = 1, rounds: int = 8, step
         flat[flat < 0] = len(used)
         counts = grams[used + 1] - grams[used]
         heads = np.concatenate([[0], np.cumsum(counts)])
-        own = np.repeat(np.arange(len(used)), counts)
+        own = np.repeat(np.arange(len(used), dtype=np.int32), counts)
         part = bucket[np.arange(heads[-1]) - heads[own] + grams[used][own]]
-        by_bucket = np.argsort(part, kind="stable")
-        bucket_heads = np.flatnonzero(np.r_[True, np.diff(part[by_bucket]) != 0]) if len(part) else np.zeros(0, np.int64)
         by_word = np.argsort(flat, kind="stable")
         word_heads = np.flatnonzero(np.r_[True, np.diff(flat[by_word]) != 0])
         some, share_of = counts > 0, (1 / size[used, None]).astype(np.float32)
@@ -191,8 +196,8 @@ def fit(texts: list[str], toxic: list[int], seed: int = 1, rounds: int = 8, step
         for _ in range(steps):
             t += 1
             vector = np.zeros((len(used) + 1, DIMENSIONS), np.float32)
-            if len(part):
-                vector[:-1][some] = np.add.reduceat(vectors[part], heads[:-1][some])
+            for d in range(DIMENSIONS if len(part) else 0):  # one dimension at a time: bounded memory
+                vector[:-1, d][some] = np.add.reduceat(vectors[:, d][part], heads[:-1][some])
             vector[:-1] *= share_of
             mean = vector[flat].reshape(len(rows), WINDOW, DIMENSIONS).sum(1) / length
             logit = mean @ softmax + bias
@@ -203,9 +208,9 @@ def fit(texts: list[str], toxic: list[int], seed: int = 1, rounds: int = 8, step
             back = np.repeat((p @ softmax.T) / length, WINDOW, axis=0)[by_word]
             grad_word = np.zeros((len(used) + 1, DIMENSIONS), np.float32)
             grad_word[flat[by_word][word_heads]] = np.add.reduceat(back, word_heads)
-            grad = 1e-6 * vectors
-            if len(part):
-                grad[part[by_bucket][bucket_heads]] += np.add.reduceat((grad_word[:-1] * share_of)[own[by_bucket]], bucket_heads)
+            grad, each = 1e-6 * vectors, grad_word[:-1] * share_of
+            for d in range(DIMENSIONS if len(part) else 0):
+                grad[:, d] += np.bincount(part, each[:, d][own], BUCKETS)
             for (value, g, rate), (m, v) in zip(((vectors, grad, 0.05), (softmax, mean.T @ p, 0.05), (bias, p.sum(0), 0.05)), state):
                 m += 0.1 * (g - m)
                 v += 0.02 * (g * g - v)
@@ -249,8 +254,8 @@ def is_held_out(doc_id: int) -> bool:
 def fit_on(documents: DataFrame, labels: DataFrame, clean: int = SAMPLE_CLEAN, toxic: int = SAMPLE_TOXIC, seed: int = 1) -> Model:
     """Fit on a keyed sample of at most ``toxic`` and ``clean`` labelled rows that are not held out.
 
-    The sample's ids are chosen from the labels alone, so the texts are read once; what reaches the
-    driver is bounded by ``toxic`` + ``clean`` texts.
+    The sample's ids are chosen from the labels alone, so the texts are read once. One task fits the
+    ``toxic`` + ``clean`` texts; only the weights reach the driver.
     """
     rows = labels.where(~held_out("doc_id") & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -261,10 +266,16 @@ def fit_on(documents: DataFrame, labels: DataFrame, clean: int = SAMPLE_CLEAN, t
         picked = some if picked is None else picked.unionAll(some)
     found = (
         documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id")
-        .agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).toArrow()
+        .agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
     )
-    order = np.argsort(np.asarray(found["doc_id"]))
-    return fit([found["text"][int(i)].as_py() or "" for i in order], [found["toxic"][int(i)].as_py() for i in order], seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((i, t or "", y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns)))
+        model = fit([r[1] for r in rows], [r[2] for r in rows], seed)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["weights", "bias"])
+
+    made = found.select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "weights binary, bias double").collect()
+    return Model(np.frombuffer(made[0]["weights"]), made[0]["bias"]) if made else fit([], [])
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
