@@ -225,7 +225,7 @@ def fit(texts: list[str | None], seed: int = 1, steps: int = 160) -> Field | Non
                 hi = np.searchsorted(t["starts"], e + at[i], "left")
                 tag[lo:hi] = 2
                 tag[lo : lo + 1] = 1
-        feats.append(t["features"])
+        feats.append(t["features"].astype(np.int16))
         tags.append(tag)
         heads.append(t["head"])
     if not tags or not np.concatenate(tags).any():
