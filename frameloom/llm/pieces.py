@@ -35,7 +35,7 @@ DROPOUT = 0.1
 #: Texts are dealt to so many variants of a seed; each has a cache of its own.
 VARIANTS = 1
 #: Stretches a worker keeps for each variant.
-CACHE = 400_000
+CACHE = 300_000
 _STRETCH = re.compile(r" *[^\W\d_\u00b2]+| *(?:[^\w ]|[\d_\u00b2])+| +")
 _MASK = (1 << 64) - 1
 
