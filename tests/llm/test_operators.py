@@ -384,6 +384,25 @@ def test_agendas_agree(vocabulary):
         assert pieces._merged(vocabulary, text, 77, 1 << 30) == pieces._merged_long(vocabulary, text, 77, 1 << 30)
 
 
+def test_dropout_varies(vocabulary):
+    """Occurrences of one stretch, in one text and in several, have skips of their own, as single merging gives them."""
+    rng = random.Random(3)
+    words_ = ["the", "reading", "é\n\n", "12 ", "x" * 60, "stationers", "\U0001f600a"]
+    texts = ["the " * 400, *(" ".join(rng.choice(words_) for _ in range(50)) for _ in range(40)), "a ▁ the ▁"]
+    encoder = pieces.Encoder(vocabulary, 0.2, seed=7)
+    for t in texts:
+        key, want = pieces.text_key(t, 7), []
+        for i, s in enumerate(encoder._stretches(t)):
+            mark = s == pieces.MARK
+            want += [vocabulary.byte_ids[x] for x in s.encode()] if mark else pieces.segment(vocabulary, s.replace(" ", pieces.MARK), 0.2, pieces.place_key(key, i))
+        assert encoder.encode(t).tolist() == want
+    whole = vocabulary.pieces["▁the"][0]
+    merged = encoder.encode(texts[0]).tolist().count(whole)
+    assert 100 < merged < 390  # neither always nor never
+    first = [encoder.encode(f"the {i}").tolist()[0] == whole for i in range(200)]
+    assert any(first) and not all(first)
+
+
 # 10
 
 
