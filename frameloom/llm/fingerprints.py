@@ -2,9 +2,10 @@
 
 A text is the multiset of its paragraphs; a paragraph is a line, cut further after words that their own hash
 selects, so an edit touches the pieces around it only. Each piece hashes to a wide vector of +1 and -1; the
-fingerprint is the sum of the vectors modulo 2^16 per lane. Sums do not depend on the order, a piece is put in or
+fingerprint is the sum of the vectors in 32 bits per lane. Sums do not depend on the order, a piece is put in or
 taken out by adding or subtracting its vector, and the squared distance of two sums estimates how many pieces
-differ, which gives the likeness.
+differ, which gives the likeness. A column value has less than 2^31 bytes and so at most 2^30 pieces: no lane
+can wrap, however often a piece is repeated, and equality and likeness hold for the whole sums.
 
 Defined cases: null and empty texts have no pieces, the zero fingerprint and likeness 1 with each other;
 white space between words does not count; repeated rows have equal fingerprints; other columns are not read.
@@ -31,7 +32,7 @@ FLUSH_BYTES = 2 << 20
 
 
 def vectors(texts: list[str | None] | pa.Array) -> np.ndarray:
-    """Lane sums (not yet reduced) of every text."""
+    """Lane sums of every text."""
     column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
     data, offsets = buffers(column)
     out = np.zeros((len(offsets) - 1, LANES), np.int32)
@@ -58,13 +59,13 @@ def vectors(texts: list[str | None] | pa.Array) -> np.ndarray:
 
 
 def encoded(sums: np.ndarray) -> list[str]:
-    """Lanes modulo 2^16 as base64."""
-    return [base64.b64encode(row.tobytes()).decode() for row in sums.astype("<u2")]
+    """Lanes of 32 bits as base64."""
+    return [base64.b64encode(row.tobytes()).decode() for row in sums.astype("<i4")]
 
 
 def decoded(fingerprint: str) -> np.ndarray:
     """Signed lanes of a fingerprint."""
-    return np.frombuffer(base64.b64decode(fingerprint), "<i2").astype(np.int32)
+    return np.frombuffer(base64.b64decode(fingerprint), "<i4").astype(np.int64)
 
 
 def edited_by(fingerprint: str, put: list[str] = (), taken: list[str] = ()) -> str:
@@ -78,7 +79,7 @@ def edited_by(fingerprint: str, put: list[str] = (), taken: list[str] = ()) -> s
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """1 for equal multisets, about 0 for disjoint ones: 1 - |a - b|^2 / (|a|^2 + |b|^2), row by row."""
-    a, b = a.astype(np.int16).astype(float), b.astype(np.int16).astype(float)
+    a, b = a.astype(float), b.astype(float)
     size = (a * a).sum(1) + (b * b).sum(1)
     return np.clip(1 - ((a - b) ** 2).sum(1) / np.maximum(size, 1), 0, 1)
 

@@ -303,6 +303,16 @@ def test_fingerprint_algebra():
     assert fingerprints.edited_by(print_of(whole), taken=["three four"]) == print_of(less)
 
 
+def test_fingerprints_of_many_equal_lines():
+    print_of = lambda t: fingerprints.encoded(fingerprints.vectors([t]))[0]
+    for n in (32_768, 65_536):
+        assert len({print_of(x) for x in ("", "}\n" * n, "0\n" * n, "}\n" * 2 * n)}) == 4
+        assert fingerprints.edited_by(print_of("}\n" * n), taken=["}\n" * n]) == print_of("")
+    long, less, other = (fingerprints.vectors([t]) for t in ("}\n" * 40_000, "}\n" * 30_000, "0\n" * 40_000))
+    assert fingerprints.likeness(long, less)[0] > 0.9 and fingerprints.likeness(long, other)[0] < 0.3
+    assert (fingerprints.decoded(print_of("}\n" * 40_000)) == long[0]).all()
+
+
 # 7
 
 
