@@ -3,7 +3,7 @@
 The field tags every token of a line as begin, inside or outside of a secret from its shape, its neighbours
 and features of the file, and is decoded by Viterbi over the whole text. It is trained in numpy on a bounded,
 keyed sample of texts in which the patterns mark the secrets, so it finds values of secret shape that no
-pattern names. Pattern spans always stay.
+pattern names. Pattern spans always stay; a span of the field goes only where they cover all of it.
 
 Decoding is exact but not done token by token: where outside beats the other tags by more than all transitions
 can make good, the best path is outside whatever stands around, so only the tokens between such points
@@ -274,6 +274,14 @@ def fit(texts: list[str | None], seed: int = 1, steps: int = 160) -> Field | Non
     return Field(emission, move)
 
 
+def _covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether the pattern spans together hold all of a span."""
+    for s, k, e in sorted(spans):
+        if k < 3 and s <= start < e:
+            start = e
+    return start >= end
+
+
 def find(texts: pa.Array, field: Field | None) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end) of every text in code points, by start, then kind."""
     data, offsets = buffers(texts)
@@ -293,7 +301,7 @@ def find(texts: pa.Array, field: Field | None) -> list[list[tuple[str, int, int]
             for i, j in zip(first, last):
                 n = int(t["text"][i])
                 s, e = int(t["starts"][i] - at[n]), int(t["ends"][j] - at[n])
-                if not any(s < y and x < e for x, k, y in spans[n] if k < 3):
+                if not _covered(s, e, spans[n]):
                     spans[n].append((s, 3, e))
         for text, found in zip(whole, spans):
             plain = not found or text.isascii()

@@ -275,6 +275,25 @@ def test_secrets(spark):
     assert secret_scan.find_secrets(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_secret_wider_than_its_pattern(spark):
+    """The field's span stays where patterns hold a part of it, and the whole secret is masked."""
+    rng, texts = random.Random(4), []
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
+    for i in range(300):
+        w = [rng.choice("of the onand stti thren ouble".split()) for _ in range(rng.randrange(5, 40))]
+        if i % 3 == 0:
+            value = "".join(rng.choice(letters) for _ in range(rng.randrange(14, 30)))
+            w.insert(rng.randrange(len(w)), rng.choice(["token: ", 'password = "', "api_key="]) + value)
+        texts.append(" ".join(w))
+    field = secret_scan.fit(texts)
+    text = "of the key: 0123456789abcdefXYZ987Qrs onand"
+    assert secret_scan.find(pa.array([text]), field) == [[("hex", 12, 28), ("crf", 12, 37)]]
+    out = frame(spark, [(1, text)]).select(secret_scan.masked_column(field, F.col("text")).alias("m")).first()
+    assert out["m"] == "of the key: [secret] onand"
+    assert secret_scan._covered(3, 20, [(9, 2, 20), (0, 0, 9)]) and not secret_scan._covered(3, 20, [(0, 0, 9), (10, 2, 20)])
+    assert not secret_scan._covered(3, 20, [(0, 3, 30)])
+
+
 # 6
 
 
