@@ -2,7 +2,7 @@
 
 The field tags every token of a line as begin, inside or outside of a secret from its shape, its neighbours
 and features of the file, and is decoded by Viterbi over the whole text. It is trained in numpy on a bounded,
-keyed sample of texts in which the patterns mark the secrets, so it finds values of secret shape that no
+keyed sample of different texts with and without secrets, which the patterns mark, so it finds values of secret shape that no
 pattern names. Pattern spans always stay; a span of the field goes only where they cover all of it.
 
 Decoding is exact but not done token by token: where outside beats the other tags by more than all transitions
@@ -10,7 +10,7 @@ can make good, the best path is outside whatever stands around, so only the toke
 are decoded.
 
 Defined cases: a null or empty text has no spans; offsets count code points, ends are exclusive; repeated
-rows fare alike; other columns pass through; a sample without secrets gives patterns only.
+rows fare alike; other columns pass through; a table where no pattern is found gives patterns only.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.llm.store import stored
 from frameloom.llm.words import blocks, buffers, run_hashes
 
-#: Texts the field is trained on, at most.
+#: Texts the field is trained on, at most: half of them with a secret, half without.
 SAMPLE_TEXTS = 3000
 #: Tokens of a training window, and windows with and without a secret, at most.
 TRAIN_LENGTH, TRAIN_WINDOWS = 48, 2000
@@ -311,15 +312,26 @@ def find(texts: pa.Array, field: Field | None) -> list[list[tuple[str, int, int]
 
 
 def fit_on(documents: DataFrame, doc: str = "doc_id", text: str = "text", sample: int = SAMPLE_TEXTS, seed: int = 1) -> Field | None:
-    """Fit on the ``sample`` rows with the smallest keyed hash of their id, in one task; only weights reach the driver."""
-    key = F.xxhash64(F.col(doc), F.lit(seed))
-    ids = documents.select(F.col(doc).alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
-    rows = documents.select(F.col(doc).alias("id"), F.col(text).alias("text"), key.alias("key")).join(F.broadcast(ids), "id")
-    chosen = rows.orderBy("key", "id", F.xxhash64("text")).limit(sample).select("key", F.col("id").cast("string"), "text")
+    """Fit on up to half of ``sample`` different texts in which a pattern is found and as many in which none is, those
+    with the smallest keyed hash, in one task; only weights reach the driver. Copies count once."""
+
+    @F.arrow_udf("boolean")
+    def holds(texts: pa.Array) -> pa.Array:
+        data, offsets = buffers(texts)
+        return pa.array([bool(base_spans(data[a:b].tobytes())) for a, b in zip(offsets, offsets[1:])], pa.bool_())
+
+    tag = F.xxhash64(F.col(text), F.lit(seed))
+    told = documents.where(F.col(text).isNotNull()).select(tag.alias("tag"), F.col(doc).alias("id"), holds(F.col(text)).alias("secret"))
+    told = stored(told.groupBy("tag").agg(F.min("id").alias("id"), F.max("secret").alias("secret")), "secret-sample")
+    some = lambda secret: told.where(F.col("secret") == secret).orderBy("tag").limit(sample // 2)
+    ids = some(True).unionAll(some(False)).select("tag", "id")
+    rows = documents.select(tag.alias("key"), F.col(doc).alias("of"), F.col(text).alias("text"))
+    found = rows.join(F.broadcast(ids), (F.col("key") == F.col("tag")) & F.col("of").eqNullSafe(F.col("id")))
+    chosen = found.groupBy("key").agg(F.max("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = sorted((k, i, t or "") for b in batches for k, i, t in zip(*(c.to_pylist() for c in b.columns)))
-        field = fit([t for _, _, t in texts], seed) if texts else None
+        texts = sorted((k, t) for b in batches for k, t in zip(*(c.to_pylist() for c in b.columns)))
+        field = fit([t for _, t in texts], seed) if texts else None
         if field is not None:
             yield pa.RecordBatch.from_arrays([pa.array([field.emission.tobytes()], pa.binary()), pa.array([field.move.tobytes()], pa.binary())], ["emission", "move"])
 

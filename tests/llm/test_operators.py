@@ -294,6 +294,20 @@ def test_secret_wider_than_its_pattern(spark):
     assert not secret_scan._covered(3, 20, [(0, 3, 30)])
 
 
+def test_rare_secrets_train_the_field(spark):
+    """A sample that is small beside the table still holds its secrets, and copies do not fill it."""
+    rng = random.Random(5)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
+    rows = [(i, f"of the onand {i} stti" if i % 2 else "the same clean text") for i in range(4000)]
+    for i in rng.sample(range(4000), 60):
+        value = "".join(rng.choice(letters) for _ in range(rng.randrange(14, 30)))
+        rows[i] = (i, f"of {rng.choice(['token: ', 'api_key=', 'secret: '])}{value} the {i}")
+    rows += [(None, "a text without an id"), (5000, None)]
+    field = secret_scan.fit_on(frame(spark, rows), sample=120)
+    assert secret_scan.find(pa.array(["of pwd: Zq81Lm7NpR04aTr5vWqE the 7"]), field) == [[("crf", 8, 28)]]
+    assert secret_scan.fit_on(frame(spark, [r for r in rows if not secret_scan.base_spans((r[1] or "").encode())])) is None
+
+
 # 6
 
 
