@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than 8 % of the documents of their source go; every document stays."""
-    done = lines.drop_boilerplate(docs.select(*COLUMNS), "doc_id", "source", "text")
+    """Lines on more than 8 % of the different texts of their source go; every document stays."""
+    done = lines.drop_boilerplate(docs.select(*COLUMNS), "doc_id", "source", "text", distinct=True)
     return done.select(
         "row.doc_id", F.col("kept").alias("text"), "row.lang", "row.source",
         F.when(F.col("n_dropped") > 0, F.length("kept")).otherwise(F.col("row.n_chars")).cast("long").alias("n_chars"),

@@ -3,7 +3,8 @@
 Defined cases: a null host is a host of its own (the empty name, which it shares); a null text has no
 lines and stays null; blank lines are never dropped; lines are compared without the blanks around them
 (space, tab, carriage return); a line counts once per page however often it stands there; repeated
-rows count as pages of their own and fare alike; other columns pass through untouched.
+rows count as pages of their own and fare alike; other columns pass through untouched. With ``distinct``
+equal texts of a host count as one page, so that copies of a page do not make its lines boilerplate.
 """
 
 from __future__ import annotations
@@ -25,19 +26,28 @@ def _blank(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r")) == ""
 
 
-def boilerplate(pages: DataFrame, host: str, lines: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, line) hashes above the ratio. Counts are summed on the map side, so a hot host does no harm."""
+def boilerplate(
+    pages: DataFrame, host: str, lines: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, text_tag: str | None = None
+) -> DataFrame:
+    """(host, line) hashes above the ratio. Counts are summed on the map side, so a hot host does no harm.
+
+    ``text_tag`` names a hash of host and text: rows that agree in it count as one page.
+    """
+    tag = [] if text_tag is None else [F.col(text_tag).alias("tag")]
     told = pages.select(
-        F.col(host).alias("host"),
+        F.col(host).alias("host"), *tag,
         F.explode(F.array_distinct(F.transform(F.filter(lines, lambda x: ~_blank(x)), _hash))).alias("line"),
     )
+    seen = pages.select(F.col(host).alias("host"), *tag)
+    if tag:
+        told, seen = told.distinct(), seen.distinct()
     often = told.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    total = pages.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("total"))
+    total = seen.groupBy("host").agg(F.count("*").alias("total"))
     return often.join(total, "host").where(F.col("n") > F.lit(ratio) * F.col("total")).select("host", "line")
 
 
 def drop_boilerplate(
-    df: DataFrame, key: str, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES
+    df: DataFrame, key: str, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False
 ) -> DataFrame:
     """``df`` as one struct column ``row``, with ``kept`` (the text without boilerplate lines), ``n_lines``
     (not blank) and ``n_dropped``.
@@ -49,7 +59,7 @@ def drop_boilerplate(
         F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"),
     )
     told = pages.select("key", "tag", "host", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: ~_blank(x)), _hash))).alias("line"))
-    found = told.join(boilerplate(pages, "host", "lines", ratio, min_pages), ["host", "line"], "left_semi")
+    found = told.join(boilerplate(pages, "host", "lines", ratio, min_pages, "tag" if distinct else None), ["host", "line"], "left_semi")
     per_page = found.groupBy(F.col("key").alias("k"), F.col("tag").alias("t")).agg(F.collect_set("line").alias("bad"))
     # the lines are cut anew after the join, so that texts move once
     met = pages.drop("lines").join(per_page, F.col("key").eqNullSafe(F.col("k")) & (F.col("tag") == F.col("t")), "left")

@@ -51,6 +51,19 @@ def test_stages(spark):
     assert {r["doc_id"] for r in five.collect()} == {r["doc_id"] for r in four.collect()}
 
 
+def test_copies_keep_their_lines(spark):
+    """A third of a source are copies of one clean text: line dedup leaves it whole, and one of them stays."""
+    page = "\n".join(f"line {k} of a clean page that was copied often" for k in range(6))
+    rows = [(i, page if i % 3 == 0 else f"menu of the site\nown words of document {i} and {i * 7} more of it", "en", "s", 1) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    two = pipeline.drop_boilerplate_lines(spark, docs, FOLDER)
+    got = {r["doc_id"]: r["text"] for r in two.collect()}
+    assert all(got[i] == page for i in range(0, 90, 3))
+    assert all(got[i] == rows[i][1].split("\n")[1] for i in range(90) if i % 3)  # the menu still goes
+    kept = {r["doc_id"]: r["text"] for r in pipeline.drop_near_duplicates(spark, two, FOLDER).collect()}
+    assert [i for i in kept if i % 3 == 0] == [0] and kept[0] == page
+
+
 def test_run_and_empty(spark):
     assert pipeline.run(spark, FOLDER).count() > 0
     docs = queries.table(spark, FOLDER, "documents").limit(0)
