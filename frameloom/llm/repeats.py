@@ -2,8 +2,8 @@
 
 A suffix is kept only at minimisers: the smallest eight-word hash of every 32 consecutive ones. Two equal
 passages of 50 words or more choose the same minimisers, the first within 31 words, so 19 words at least follow
-it. The kept suffixes of all documents are ordered by those 19 words; neighbours that agree and belong to
-different documents extend: to the right by the whole 50 words from the minimiser, to the left, where the last minimiser did
+it. The kept suffixes of all documents are grouped by a 64-bit hash of those 19 words, which stands in for sorting
+them and comparing neighbours; suffixes that agree and belong to different documents extend: to the right by the whole 50 words from the minimiser, to the left, where the last minimiser did
 not reach, by every 50-word window that begins up to 31 words before it. A word is in a repeat exactly if
 some 50-word window over it stands in another document. Windows that overlap or touch are one span.
 
