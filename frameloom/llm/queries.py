@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import fingerprints, jaccard, licences, lines, near_vectors, packing, pieces, repeats, secret_scan, toxicity
+from frameloom.llm import (
+    fingerprints, importance, jaccard, licences, lines, near_vectors, packing, pieces, repeats, secret_scan, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +148,9 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op11_importance_resampling", importance.oracle())
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's weight towards the benchmark's words, its score and its rank in the draw of a tenth."""
+    return importance.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
