@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm import (
-    fingerprints, importance, jaccard, licences, lines, near_vectors, packing, pieces, repeats, secret_scan, toxicity,
+    fingerprints, importance, jaccard, licences, lines, near_vectors, packing, personal, pieces, repeats, secret_scan,
+    toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +155,9 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's weight towards the benchmark's words, its score and its rank in the draw of a tenth."""
     return importance.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_personal_data", personal.oracle())
+def op12_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Mail addresses, network addresses, card and phone numbers of every document, and account, call and social security numbers."""
+    return personal.personal(table(spark, folder, "documents"))
