@@ -20,6 +20,8 @@ tables give no rows, or gains against a target of nothing; other columns are not
 from __future__ import annotations
 
 import itertools
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -104,14 +106,12 @@ class Dictionary:
         return crc, ends - starts, starts
 
 
-_OWN: list[Dictionary] = []
-
-
 def own_dictionary() -> Dictionary:
-    """The dictionary of this worker; it lives from task to task."""
-    if not _OWN:
-        _OWN.append(Dictionary())
-    return _OWN[0]
+    """The dictionary of this worker process; it outlives a task."""
+    holder = sys.modules.setdefault("_frameloom_words", types.ModuleType("_frameloom_words"))
+    if not hasattr(holder, "dictionary"):
+        holder.dictionary = Dictionary()
+    return holder.dictionary
 
 
 def _slices(text: bytes) -> Iterator[bytes]:

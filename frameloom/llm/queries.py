@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm import (
-    fingerprints, importance, jaccard, licences, lines, near_vectors, packing, personal, pieces, repeats, secret_scan,
-    toxicity,
+    fingerprints, importance, jaccard, licences, lines, near_vectors, packing, personal, pieces, prefix_trie, repeats,
+    secret_scan, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,9 @@ def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
 def op12_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Mail addresses, network addresses, card and phone numbers of every document, and account, call and social security numbers."""
     return personal.personal(table(spark, folder, "documents"))
+
+
+@query("op13_prefix_trie", prefix_trie.oracle())
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
