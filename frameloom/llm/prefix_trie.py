@@ -299,7 +299,8 @@ def prefix_trie(
         if late:
             ends = ends.coalesce(1)
         else:
-            ends = ends.repartitionByRange(1 + max(4 * n // ROWS, size // BYTES), "codes")
+            # with FEW strings a partition on average, a round leaves a small share of them
+            ends = ends.repartitionByRange(1 + min(n // FEW, max(4 * n // ROWS, size // BYTES)), "codes")
         rounds.append(stored(forests(ends.sortWithinPartitions("codes"), True, late), "forest"))
     closed = rounds[0]
     for more in rounds[1:]:
