@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from frameloom.functions.scalar import role_tokens
 from frameloom.functions.vectors import cosine_distance, norm, unit
+from frameloom.operators import pivots
 from frameloom.operators.blocks import BLOCK_ROWS, per_cell
 from frameloom.operators.ordered import OrderedGroups
 from frameloom.session import cut
@@ -59,38 +60,41 @@ def cosine_pairs(df: DataFrame, by: Sequence[str], key: str, vector: str, limit:
 
 
 # -- clusters ------------------------------------------------------------------ #
-def _nearest(clusters: DataFrame, by: list[str], limit: float, key_type: str, block_rows: int) -> DataFrame:
-    """Nearest other cluster within ``limit`` by mean distance, one row per cluster and cell."""
+def _finished(active: DataFrame, by: list[str], limit: float, key_type: str) -> DataFrame:
+    """(by, cluster, into): average linkage to its end in groups that one task holds, by their matrix."""
     import numpy as np
     import pandas as pd
 
-    by_types = [f"{c} {clusters.schema[c].dataType.simpleString()}" for c in by]
+    schema = ", ".join([*(f"{c} {active.schema[c].dataType.simpleString()}" for c in by), f"cluster {key_type}", f"into {key_type}"])
 
-    def kernel(group, one, two, diagonal):
-        x, y = one["cluster"].to_numpy(), two["cluster"].to_numpy()
-        gap = 1.0 - _matrix(one, "mean") @ _matrix(two, "mean").T
-        if diagonal:
+    def run(group, pdf):
+        pdf = pdf.sort_values("cluster")
+        keys, size, mean = pdf["cluster"].to_numpy(), pdf["size"].to_numpy().astype(float), _matrix(pdf, "mean")
+        own = np.arange(len(keys))
+        live = own
+        while len(live) > 1:
+            gap = 1.0 - mean[live] @ mean[live].T
             np.fill_diagonal(gap, np.inf)
-
-        def best(table, mine, others):
-            if not len(others) or not len(mine):
-                return pd.DataFrame({"cluster": mine[:0], "other": mine[:0], "distance": []})
-            # Equal distances are broken by key, the same way from both sides.
-            order = np.argsort(others, kind="stable")
-            at = order[np.argmin(table[:, order], axis=1)]
-            d = table[np.arange(len(mine)), at]
-            ok = d <= limit
-            return pd.DataFrame({"cluster": mine[ok], "other": others[at][ok], "distance": d[ok]})
-
-        out = best(gap, x, y)
-        if not diagonal:
-            out = pd.concat([out, best(gap.T, y, x)])
+            near = np.argmin(gap, axis=1)  # of equals the smaller key, as rows are in key order
+            at = np.arange(len(live))
+            pairs = np.flatnonzero((near[near] == at) & (at < near) & (gap[at, near] <= limit))
+            if not len(pairs):
+                break
+            a, b = live[pairs], live[near[pairs]]
+            mean[a] = (mean[a] * size[a, None] + mean[b] * size[b, None]) / (size[a] + size[b])[:, None]
+            size[a] += size[b]
+            into = np.arange(len(keys))
+            into[b] = a
+            own = into[own]
+            near_enough = (gap[at, near] <= limit) | np.isin(live, a)
+            live = np.setdiff1d(live[near_enough], b)
+        moved = np.flatnonzero(keys[own] != keys)
+        out = pd.DataFrame({"cluster": keys[moved], "into": keys[own[moved]]})
         for n, value in zip(by, group):
             out[n] = value
-        return out[[*by, "cluster", "other", "distance"]]
+        return out[[*by, "cluster", "into"]]
 
-    schema = ", ".join([*by_types, f"cluster {key_type}", f"other {key_type}", "distance double"])
-    return per_cell(clusters, by, "cluster", ["mean"], kernel, schema, block_rows)
+    return active.select(*by, "cluster", "size", "mean").groupBy(*by).applyInPandas(run, schema)
 
 
 def average_linkage_clusters(
@@ -100,10 +104,10 @@ def average_linkage_clusters(
     """Average-linkage clusters cut at ``limit``: rows of ``df`` plus ``cluster`` (its smallest key).
 
     ``df`` holds unit vectors. The mean distance of two clusters is one minus the dot product of
-    their mean vectors, so a cluster is one row (sum, size) however many faces it has. Each round
-    merges all mutually nearest clusters of all groups, which gives the same tree as merging one pair at a
-    time; a cluster with nothing inside ``limit`` is final and leaves the rounds. Groups of every size
-    go the same way.
+    their mean vectors, so a cluster is one row (sum, size) however many faces it has. While a group has more than
+    ``block_rows`` clusters it goes through rounds over all tasks: each merges all its mutually nearest
+    clusters, found by pivots, which gives the same tree as merging one pair at a time; a cluster with nothing inside ``limit`` is
+    final and leaves. What fits in one task is merged there to the end, by the same rule.
     """
     by = list(by)
     key_type = df.schema[key].dataType.simpleString()
@@ -112,22 +116,29 @@ def average_linkage_clusters(
     start = cut(
         faces.groupBy(*by, "mean").agg(F.min("face").alias("cluster"), F.count(F.lit(1)).alias("size"))
     )
-    owner = faces.join(start, [*by, "mean"]).select(*by, "face", "cluster")
+    match = [F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*by, "mean")]
+    joined = faces.alias("f").join(start.alias("s"), match)
+    owner = joined.select(*(F.col(f"f.{c}") for c in by), "f.face", "s.cluster")
     active, steps = start, []
     while True:
-        near = _nearest(active, by, limit, key_type, block_rows)
-        pick = F.struct("distance", F.least("cluster", "other"), F.greatest("cluster", "other"))
-        near = cut(near.groupBy(*by, "cluster").agg(F.min_by(F.struct("other", "distance"), pick).alias("to")))
-        near = near.select(*by, "cluster", F.col("to.other").alias("other"))
+        counts = active.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        large = cut(counts.where(F.col("n") > block_rows).select(*by, F.lit(True).alias("large")))
+        some = bool(large.take(1))
+        many = (active.join(large.drop("large"), by, "left_semi") if by else active) if some else None
+        few = (active.join(large.drop("large"), by, "left_anti") if by else active.limit(0)) if some else active
+        steps.append(cut(_finished(few, by, limit, key_type)))
+        if many is None:
+            break
+        near = cut(pivots.nearest(many, by, limit, block_rows))
         back = near.select(*by, F.col("cluster").alias("other"), F.col("other").alias("cluster"))
-        merges = cut(
+        moved = cut(
             near.join(back, [*by, "cluster", "other"]).filter(F.col("cluster") < F.col("other"))
+            .select(*by, F.col("other").alias("cluster"), F.col("cluster").alias("into"))
         )
-        if not merges.take(1):
+        if not moved.take(1):
             break
-        moved = merges.select(*by, F.col("other").alias("cluster"), F.col("cluster").alias("into"))
         steps.append(moved)
-        alive = active.join(near.select(*by, "cluster"), [*by, "cluster"], "left_semi")
+        alive = many.join(near.select(*by, "cluster"), [*by, "cluster"], "left_semi")
         joined = alive.join(moved, [*by, "cluster"], "left").withColumn("cluster", F.coalesce("into", "cluster"))
         sums = [F.sum(F.col("mean")[i] * F.col("size")).alias(f"s{i}") for i in range(dim)]
         active = cut(

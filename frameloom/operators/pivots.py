@@ -1,0 +1,100 @@
+"""Exact nearest-neighbour search inside groups of any size, by distances to pivots.
+
+A few rows of a group are its pivots. Rows are ordered by their nearest pivot and the distance to it and cut into
+blocks of bounded size, so a block is a shell of close rows; it is known by the range of its distances to every
+pivot. The search inside the own block gives every row an upper bound. By the triangle inequality a block
+can hold something nearer only where, for every pivot, the row's distance is within reach of the block's range; the row
+visits those blocks and no other. A cell holds one block and the visitors from one other block.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from frameloom.operators.ordered import OrderedGroups
+from frameloom.session import cut
+
+PIVOTS = 8
+
+
+def _length(vector: Column) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
+
+
+def _apart(a: Column, b: Column) -> Column:
+    return _length(F.zip_with(a, b, lambda x, y: x - y))
+
+
+def best_in_cell(queries, members, limit: float):
+    """Positions of the queries, and their nearest member within ``limit``; ties go to the smaller key."""
+    import numpy as np
+
+    members = members.sort_values("cluster")
+    gap = 1.0 - np.vstack(queries["mean"].to_numpy()) @ np.vstack(members["mean"].to_numpy()).T
+    gap[queries["cluster"].to_numpy()[:, None] == members["cluster"].to_numpy()[None, :]] = np.inf
+    at = np.argmin(gap, axis=1)
+    best = gap[np.arange(len(at)), at]
+    found = np.flatnonzero(best <= limit)
+    return found, members["cluster"].to_numpy()[at[found]], best[found]
+
+
+def placed_by_pivots(rows: DataFrame, by: list[str], block_rows: int, pivots: int = PIVOTS) -> DataFrame:
+    """``rows`` (by, cluster, mean) with distances to the pivots (``far``), length and block."""
+    chosen = [F.min_by("mean", F.xxhash64(F.lit(s), "cluster")).alias(f"p{s}") for s in range(pivots)]
+    marks = rows.groupBy(*by).agg(*chosen).select(*by, F.array(*(f"p{s}" for s in range(pivots))).alias("pivots"))
+    met = rows.join(marks, by) if by else rows.crossJoin(F.broadcast(marks))  # one row a group; without groups one row
+    far = met.withColumn("far", F.transform("pivots", lambda p: _apart(F.col("mean"), p))).drop("pivots")
+    near = F.array_min("far")
+    far = far.withColumn("length", _length(F.col("mean"))).withColumn("home", F.array_position("far", near)).withColumn("reach", near)
+    order = OrderedGroups(far, by, [F.col("home"), F.col("reach"), F.col("cluster")]).position("place").df
+    return order.withColumn("block", F.floor(F.col("place") / block_rows)).drop("place", "home", "reach")
+
+
+def nearest(rows: DataFrame, by: Sequence[str], limit: float, block_rows: int, pivots: int = PIVOTS) -> DataFrame:
+    """(by, cluster, other, distance): of every row the nearest other row by 1 - dot product, within ``limit``.
+
+    ``rows`` has (by, cluster, mean), means no longer than 1. Equal distances are broken by the pair of keys, the same
+    way from both sides.
+    """
+    import pandas as pd
+
+    by = list(by)
+    key = rows.schema["cluster"].dataType.simpleString()
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by), f"cluster {key}", f"other {key}", "distance double"])
+    placed = cut(placed_by_pivots(rows.select(*by, "cluster", "mean"), by, block_rows, pivots))
+
+    def out(group, queries, members):
+        at, other, distance = best_in_cell(queries, members, limit)
+        frame = pd.DataFrame({"cluster": queries["cluster"].to_numpy()[at], "other": other, "distance": distance})
+        for name, value in zip(by, group):
+            frame[name] = value
+        return frame[[*by, "cluster", "other", "distance"]]
+
+    inside = cut(placed.select(*by, "block", "cluster", "mean").groupBy(*by, "block").applyInPandas(lambda k, pdf: out(k[:-1], pdf, pdf), schema))
+    ranges = placed.groupBy(*by, "block").agg(
+        F.max("length").alias("longest"),
+        *(f(F.get("far", F.lit(j))).alias(f"{n}{j}") for j in range(pivots) for n, f in (("low", F.min), ("high", F.max))),
+    ).withColumnRenamed("block", "to")
+    told = placed.join(inside.select(*by, "cluster", "distance"), [*by, "cluster"], "left")
+    bound = F.coalesce("distance", F.lit(limit))
+    budget = F.sqrt(F.greatest(F.col("length") ** 2 + F.col("longest") ** 2 - 2 * (1 - bound), F.lit(0.0))) + 1e-9
+    met = (told.join(ranges, by) if by else told.crossJoin(ranges)).where("block != to").withColumn("budget", budget)
+    reached = F.lit(True)
+    for j in range(pivots):
+        own = F.get("far", F.lit(j))
+        reached = reached & (own - F.col("budget") <= F.col(f"high{j}")) & (own + F.col("budget") >= F.col(f"low{j}"))
+    visits = cut(met.where(reached).select(*by, "to", F.col("block").alias("own"), "cluster", "mean"))
+    homes = placed.select(*by, F.col("block").alias("to"), "cluster", "mean")
+    members = visits.select(*by, "to", "own").distinct().join(homes, [*by, "to"])
+    cells = visits.withColumn("visits", F.lit(True)).unionByName(members.withColumn("visits", F.lit(False)))
+
+    def cell(group, pdf):
+        return out(group[:-2], pdf[pdf["visits"]], pdf[~pdf["visits"]])
+
+    outside = cells.groupBy(*by, "to", "own").applyInPandas(cell, schema)
+    pick = F.struct("distance", F.least("cluster", "other"), F.greatest("cluster", "other"))
+    best = inside.unionByName(outside).groupBy(*by, "cluster").agg(F.min_by(F.struct("other", "distance"), pick).alias("to"))
+    return best.select(*by, "cluster", "to.other", "to.distance")

@@ -98,9 +98,9 @@ def labelled_clusters(spark, d):
     return sel.ranked(named, [], P.review_order("cluster")).select("cluster", "label", "size", "pos")
 
 
-# A hundred consecutive faces are a project. Its saved labels are the centroids of every other face, its clusters all
+# The faces of every second known person are a project, which grows with the table. Its saved labels are the centroids of every other face, its clusters all
 # faces of a label.
-J5_SQL = """WITH RECURSIVE """ + V.FACES + """, spread AS (SELECT vec_id // 100 AS project, vec_id, label, i, v[i] AS x FROM faces, (SELECT unnest(range(1, 65)) AS i)),
+J5_SQL = """WITH RECURSIVE """ + V.FACES + """, spread AS (SELECT (label % 2)::BIGINT AS project, vec_id, label, i, v[i] AS x FROM faces, (SELECT unnest(range(1, 65)) AS i)),
   means AS (SELECT project, label, i, avg(x) AS m, avg(x) FILTER (vec_id % 2 = 0) AS half FROM spread GROUP BY ALL),
   cents AS (SELECT project, label, list(m ORDER BY i) AS c, sqrt(sum(m * m)) AS n FROM means GROUP BY ALL),
   saved AS (SELECT project, label, list(half ORDER BY i) AS c, sqrt(sum(half * half)) AS n FROM means WHERE half IS NOT NULL GROUP BY ALL),
@@ -116,7 +116,7 @@ J5_SQL = """WITH RECURSIVE """ + V.FACES + """, spread AS (SELECT vec_id // 100
 
 @query("J5_nearest_label", J5_SQL)
 def nearest_label(spark, d):
-    f = V.faces(spark, d).withColumn("project", F.floor(F.col("vec_id") / 100))
+    f = V.faces(spark, d).withColumn("project", (F.col("label") % 2).cast("long"))
     saved = P.centroids(f.filter(F.col("vec_id") % 2 == 0), ["project", "label"], "v", V.DIM).select(
         "project", F.col("label").alias("ordinal"), F.concat(F.lit("person "), F.col("label").cast("string")).alias("label"), "centroid"
     )
@@ -134,9 +134,9 @@ def thresholds(spark, d):
     return table(spark, d, "part").select("p_partkey", threshold_for(F.get(names, (F.col("p_partkey") % 5).cast("int"))).alias("threshold"))
 
 
-# -- clusters: 25 consecutive vectors are the faces of one project -------------------- #
-NEAR = 0.9
-LINKAGE = "WITH RECURSIVE " + V.FACES + f""", placed AS (SELECT *, vec_id // 25 AS project, row_number() OVER (PARTITION BY vec_id // 25 ORDER BY vec_id) AS i FROM faces),
+# -- clusters: the faces of every fourth known person are one project, which grows with the table ------ #
+NEAR = 0.75
+LINKAGE = "WITH RECURSIVE " + V.FACES + f""", placed AS (SELECT *, (label % 4)::BIGINT AS project, row_number() OVER (PARTITION BY label % 4 ORDER BY vec_id) AS i FROM faces),
   pairs AS (SELECT x.project, x.i, y.i AS j, 1e0 - {DOT} AS d FROM placed x JOIN placed y ON x.project = y.project AND x.i < y.i),
   walk AS (SELECT project, 0 AS step, list(vec_id ORDER BY i) AS cl FROM placed GROUP BY project
     UNION ALL SELECT project, step + 1, list_transform(cl, lambda c: CASE WHEN c = b THEN a ELSE c END) FROM (
@@ -148,7 +148,7 @@ LINKAGE = "WITH RECURSIVE " + V.FACES + f""", placed AS (SELECT *, vec_id // 25
 
 
 def clustered(spark, d):
-    f = V.faces(spark, d).withColumn("project", F.floor(F.col("vec_id") / 25))
+    f = V.faces(spark, d).withColumn("project", (F.col("label") % 4).cast("long"))
     return cut(P.average_linkage_clusters(f, ["project"], "vec_id", "v", NEAR, V.DIM).select("project", "vec_id", "image", "label", "cluster"))
 
 
