@@ -152,8 +152,18 @@ def test_scrubbing(spark):
         "in /home/amy/app.log and /Users/bob/x": "in /home/<user>/app.log and /Users/<user>/x",
         "at E:\\a b\\notes.txt end": "at <path> end",
         "plain text": "plain text",
+        'say "E:\\one two\\b.png" and F:/c d/e.TIF.': 'say "<photo.png>" and <photo.tif>.',
+        "D:\\a b G:\\c.txt x": "<path> x",
+        "<D:\\a.txt>": "<D:\\a.txt>",
+        "xD:\\abc": "xD:\\abc",
+        "H:\\ab I:\\cd\te": "<path> <path>\te",
+        "/srv/x.jpegs /srv/y.jpeg": "<photo.jpeg>",
+        "": "",
     }
     df = spark.createDataFrame([(k,) for k in lines], "t string")
+    assert spark.createDataFrame([(None,)], "t string").select(scrub_text("t"), scrub_json("t")).first() == (None, None)
+    odd = {"{": "[redacted]", "7": "[redacted]", '{"b":1,"a":[1.5,"x\\"y",null,{}]}': '{"b":1,"a":[1.5,"x\\"y",null,{}]}', "[]": "[]"}
+    assert [r[0] for r in spark.createDataFrame([(k,) for k in odd], "t string").select(scrub_json("t")).collect()] == list(odd.values())
     assert [r[0] for r in df.select(scrub_text("t")).collect()] == list(lines.values())
     deep = {"a": {"b": {"c": {"d": {"e": {"f": {"g": 1}}}}}}, "Token": "x", "list": [{"my_secret": 1, "ok": "v" * 2001}]}
     out = json.loads(spark.createDataFrame([(json.dumps(deep),)], "j string").select(scrub_json("j")).first()[0])
