@@ -298,11 +298,16 @@ def _founders(nodes: DataFrame, distance: int, bits: int) -> DataFrame:
 def rerank(df: DataFrame, group: str, path: str, quality: str) -> DataFrame:
     """Mark the best of each group: highest quality, then smallest path; unscored last.
 
-    The winner per group is an aggregate, so a group of any size combines on the map side.
+    The winner per group is an aggregate, so a group of any size combines on the map side. A row without a group
+    stands for itself.
     """
     key = F.struct((-F.coalesce(F.col(quality), F.lit(-1.0))).alias("q"), F.col(path).alias("p"))
-    best = df.groupBy(group).agg(F.min_by(path, key).alias("representative"), F.count(F.lit(1)).alias("group_size"))
-    return df.join(best, group).withColumn("is_representative", F.col(path) == F.col("representative"))
+    grouped, alone = df.where(F.col(group).isNotNull()), df.where(F.col(group).isNull())
+    best = grouped.groupBy(group).agg(F.min_by(path, key).alias("representative"), F.count(F.lit(1)).alias("group_size"))
+    marked = grouped.join(best, group).unionByName(
+        alone.withColumns({"representative": F.col(path), "group_size": F.lit(1).cast("long")})
+    )
+    return marked.withColumn("is_representative", F.col(path) == F.col("representative"))
 
 
 def duplicate_listing(df: DataFrame, group: str, path: str) -> DataFrame:

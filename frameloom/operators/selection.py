@@ -111,9 +111,16 @@ def optional_filters(df: DataFrame, wanted: Mapping[str, object]) -> DataFrame:
 
 
 def require_faces(df: DataFrame, by: Sequence[str], has_face: str) -> DataFrame:
-    """Keep face photos; a group without any face is kept whole."""
-    any_face = df.groupBy(*by).agg(F.max(has_face).alias("__any"))
-    return df.join(any_face, list(by)).filter(F.col(has_face) | ~F.col("__any")).drop("__any")
+    """Keep face photos; a group without any face is kept whole. An unknown face is none; rows without a group are a group."""
+    return _flagged_or_all(df, list(by), has_face)
+
+
+def _flagged_or_all(df: DataFrame, by: list[str], flag: str) -> DataFrame:
+    """Rows with the flag; all rows of a group where no row has it. A missing flag counts as no, a missing key as a key."""
+    has = F.coalesce(F.col(flag), F.lit(False))
+    some = df.groupBy(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(by))).agg(F.max(has).alias("__any"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)), F.lit(True))
+    return df.join(some, same).filter(has | ~F.col("__any")).drop("__any", *(f"__by{i}" for i in range(len(by))))
 
 
 # -- rankings ------------------------------------------------------------------ #
@@ -158,14 +165,10 @@ def spread_selection(df: DataFrame, by: Sequence[str], path: str, score: str, co
 
 def highlights(df: DataFrame, by: Sequence[str], path: str, score: str, best: str, cover: DataFrame, limit: int = HIGHLIGHTS) -> DataFrame:
     """The strongest photos per group without the cover; from the best shots if there are any."""
-    by = list(by)
-    return top_n(_best_pool(df, by, best).join(cover.select(*by, path), [*by, path], "left_anti"),
-                 by, quality_order(score, path), limit)
-
-
-def _best_pool(df: DataFrame, by: list[str], best: str) -> DataFrame:
-    any_best = df.groupBy(*by).agg(F.max(best).alias("__any"))
-    return df.join(any_best, by).filter(F.col(best) | ~F.col("__any")).drop("__any")
+    keys = [*by, path]
+    front = cover.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)))
+    return top_n(_flagged_or_all(df, list(by), best).join(front, same, "left_anti"), list(by), quality_order(score, path), limit)
 
 
 def closing(df: DataFrame, by: Sequence[str], time: str, path: str, count: int = CLOSING) -> DataFrame:
@@ -175,7 +178,7 @@ def closing(df: DataFrame, by: Sequence[str], time: str, path: str, count: int =
 
 def cover(df: DataFrame, by: Sequence[str], path: str, score: str, best: str, faces: str, prefer_faces: bool = True) -> DataFrame:
     """One photo per group: a best shot with faces if possible, then by quality."""
-    pool = _best_pool(df, list(by), best)
+    pool = _flagged_or_all(df, list(by), best)
     face_first = (~F.coalesce(F.col(faces), F.lit(False)) if prefer_faces else F.lit(False)).cast("int")
     key = F.struct(face_first.alias("f"), (-F.coalesce(F.col(score), F.lit(0.0))).alias("q"), F.col(path).alias("p"))
     return first_row(pool, list(by), key)

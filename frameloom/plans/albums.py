@@ -94,6 +94,37 @@ def cover(spark, d):
     return sel.cover(V.album(spark, d), ["project"], "path", "quality", "is_best_shot", "faces_detected").select("project", "path", "quality")
 
 
+# The same with verdicts that are missing, in whole projects too, and photos that belong to no project.
+HOLES = """, holes AS (SELECT * REPLACE (CASE WHEN project % 5 <> 0 THEN project END AS project,
+    CASE WHEN project % 3 <> 0 AND path % 10 <> 1 THEN is_best_shot END AS is_best_shot, CASE WHEN path % 10 <> 2 THEN faces_detected END AS faces_detected) FROM album)"""
+HOLE_POOLS = HOLES + """, pools AS (SELECT *, max(coalesce(is_best_shot, false)) OVER (PARTITION BY project) AS any_best FROM holes),
+  covers AS (SELECT project, path, quality FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY coalesce(faces_detected, false) DESC, coalesce(quality, 0) DESC, path) AS r
+    FROM pools WHERE coalesce(is_best_shot, false) OR NOT any_best) WHERE r = 1),
+  lights AS (SELECT p.project, p.path, row_number() OVER (PARTITION BY p.project ORDER BY coalesce(p.quality, 0) DESC, p.path) - 1 AS pos FROM pools p
+    ANTI JOIN covers c ON c.project IS NOT DISTINCT FROM p.project AND c.path = p.path WHERE coalesce(is_best_shot, false) OR NOT any_best)"""
+
+
+def album_with_holes(spark, d):
+    end, project = F.col("path") % 10, F.col("project")
+    return V.album(spark, d).select(
+        "path", "quality", F.when(project % 5 != 0, project).alias("project"),
+        F.when((project % 3 != 0) & (end != 1), F.col("is_best_shot")).alias("is_best_shot"),
+        F.when(end != 2, F.col("faces_detected")).alias("faces_detected"),
+    )
+
+
+@query("T3_highlights_missing", ALBUM + HOLE_POOLS + "SELECT project, path FROM lights WHERE pos < 24")
+def highlights_missing(spark, d):
+    df = album_with_holes(spark, d)
+    front = sel.cover(df, ["project"], "path", "quality", "is_best_shot", "faces_detected")
+    return sel.highlights(df, ["project"], "path", "quality", "is_best_shot", front).select("project", "path")
+
+
+@query("T5_cover_missing", ALBUM + HOLE_POOLS + "SELECT project, path, quality FROM covers")
+def cover_missing(spark, d):
+    return sel.cover(album_with_holes(spark, d), ["project"], "path", "quality", "is_best_shot", "faces_detected").select("project", "path", "quality")
+
+
 @query(
     "T7_browse_order",
     """WITH f AS (SELECT doc_id, concat(CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END, '-', doc_id, '.JPG') AS name, doc_id % 4 AS c FROM documents)

@@ -116,6 +116,19 @@ def require_faces(spark, d):
     return sel.require_faces(V.media(spark, d), ["dup_group"], "faces_detected").select("path")
 
 
+@query(
+    "P32_require_faces_missing",
+    MEDIA + """, holes AS (SELECT path, CASE WHEN l_linenumber % 7 <> 0 THEN dup_group END AS g, CASE WHEN l_linenumber % 3 <> 0 AND l_orderkey % 5 <> 0 THEN faces_detected END AS f FROM media)
+    SELECT path FROM (SELECT *, max(coalesce(f, false)) OVER (PARTITION BY g) AS any_face FROM holes) WHERE coalesce(f, false) OR NOT any_face""",
+)
+def require_faces_missing(spark, d):
+    holes = V.media(spark, d).select(
+        "path", F.when(F.col("l_linenumber") % 7 != 0, F.col("dup_group")).alias("g"),
+        F.when((F.col("l_linenumber") % 3 != 0) & (F.col("l_orderkey") % 5 != 0), F.col("faces_detected")).alias("f"),
+    )
+    return sel.require_faces(holes, ["g"], "f").select("path")
+
+
 @query("P33_records", PHOTOS + "SELECT path, category, tier, is_best_shot, is_duplicate FROM records")
 def records(spark, d):
     return V.records(spark, d).select("path", "category", "tier", "is_best_shot", "is_duplicate")
@@ -196,6 +209,20 @@ def rerank(spark, d):
     return D.rerank(docs, "h", "path", "quality").select("path", "representative", "is_representative")
 
 
+@query(
+    "W3_rerank_missing",
+    """WITH d AS (SELECT CASE WHEN d.doc_id % 3 <> 0 THEN md5(text) END AS h, lpad(CAST(d.doc_id AS VARCHAR), 9, '0') AS path, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+    SELECT path, first_value(path) OVER w AS representative, row_number() OVER w = 1 AS is_representative, count(*) OVER (PARTITION BY coalesce(h, path)) AS group_size FROM d
+    WINDOW w AS (PARTITION BY coalesce(h, path) ORDER BY coalesce(quality, -1) DESC, path)""",
+)
+def rerank_missing(spark, d):
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select(
+        F.when(F.col("doc_id") % 3 != 0, F.md5("text")).alias("h"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"),
+        F.col("quality").cast("double"),
+    )
+    return D.rerank(docs, "h", "path", "quality").select("path", "representative", "is_representative", "group_size")
+
+
 @query("U6_duplicate_set", PHOTOS + "SELECT path FROM ranked WHERE is_duplicate")
 def duplicate_set(spark, d):
     return D.duplicate_paths(V.ranked_media(spark, d), "path")
