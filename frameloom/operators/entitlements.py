@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.functions.licence import licence_reject_reason
-from frameloom.operators.ordered import OrderedGroups, first_row, fold_sorted, top_n
+from frameloom.operators.ordered import OrderedGroups, first_row, top_n
+from frameloom.operators.slots import fold_slots
 
 # The closed vocabulary of usage events.
 USAGE_EVENTS = (
@@ -186,89 +187,42 @@ def usage_payload(counts: DataFrame, machine: str, event: str, count: str) -> Da
 
 
 # -- sequential rules ------------------------------------------------------------------- #
-LIMITER_FIELDS = "allowed boolean, remaining long, retry_after long"
-
-
-def limiter_windows(times, resets, fresh, window: float, opened: tuple[int, float] | None):
-    """Place of every hit in its window, and when that window opened.
-
-    A window opens at the first hit after the last one has run out or was reset, so the next opening is one
-    search away: the loop runs once per window, not per hit. ``fresh`` marks rows that begin a key.
-    ``opened`` is (hits so far, opening) of a window that is still open; its successor comes back as the third
-    value.
-    """
-    import numpy as np
-
-    n = len(times)
-    place, opening = np.zeros(n, np.int64), np.zeros(n)
-    bounds = np.append(np.flatnonzero(resets | fresh), n)
-    at = 0
-    while at < n:
-        if fresh[at]:
-            opened = None
-        if resets[at]:
-            opened, at = None, at + 1
-            continue
-        before, since = opened or (0, times[at])
-        bound = int(bounds[np.searchsorted(bounds, at, "right")])
-        stop = at + int(np.searchsorted(times[at:bound], since + window, "left"))
-        while stop < bound and times[stop] - since < window:  # the sum may have been rounded
-            stop += 1
-        if stop == at:  # the window that was open has run out
-            opened = None
-            continue
-        place[at:stop] = before + np.arange(1, stop - at + 1)
-        opening[at:stop] = since
-        opened, at = ((before + stop - at, since) if stop == bound else None), stop
-    return place, opening, opened
-
-
-def limiter_frame(pdf, fresh, limit: int, window: float, opened):
-    """Verdicts for rows (key, ord, t, reset) in order, and the window that stays open."""
-    import numpy as np
-    import pandas as pd
-
-    times, resets = pdf["t"].to_numpy(float), pdf["reset"].to_numpy(bool)
-    place, opening, opened = limiter_windows(times, resets, fresh, window, opened)
-    wait = np.maximum(1, np.trunc(window - (times - opening)))
-    out = pd.DataFrame(
-        {
-            "key": pdf["key"].to_numpy(), "ord": pdf["ord"].to_numpy(), "allowed": resets | (place <= limit),
-            "remaining": np.where(resets, limit, np.maximum(0, limit - place)), "retry_after": np.where(resets, 0, wait).astype("int64"),
-        }
-    )
-    return out, opened
+def limiter_fold(limit: int, window: float) -> Callable:
+    """Hits of one key: how many stand in the open window, and when it opened."""
+
+    def fold(columns, start, stop, opened, out):
+        hits, since = opened or (0, 0.0)
+        for i in range(start, stop):
+            t = columns["t"][i]
+            if columns["reset"][i]:
+                hits, since, verdict = 0, 0.0, (True, limit, 0)
+            else:
+                if not hits or t - since >= window:
+                    hits, since = 0, t
+                hits += 1
+                verdict = (hits <= limit, max(0, limit - hits), max(1, int(window - (t - since))))
+            if out:
+                out[0][i], out[1][i], out[2][i] = verdict
+        return [hits, since] if hits else None
+
+    return fold
 
 
 def rate_limit(hits: DataFrame, key: str, time: Column, order: str, limit: int, window: float, reset: Column | None = None) -> DataFrame:
     """Verdict per hit: columns key, order, allowed, remaining, retry_after.
 
-    After a pause of a whole window the next hit always opens a new one, so each key is first cut
-    at such pauses into independent runs and a busy key spreads over many tasks. A run streams through
-    in batches; what is carried between them is one open window.
+    A busy key is read in slots, with or without pauses; a slot forgets its entry at the first pause of a window or
+    where the windows from two entries open at one hit.
     """
+    import pyarrow as pa
+
     rows = hits.select(
         F.col(key).alias("key"), F.col(order).alias("ord"), time.cast("double").alias("t"),
         (F.lit(False) if reset is None else F.coalesce(reset, F.lit(False))).alias("reset"),
     )
-    walk = OrderedGroups(rows, ["key"], [F.col("t"), F.col("ord")]).previous("t", "__before")
-    walk.running_sum(F.when(F.col("t") - F.col("__before") >= window, 1).otherwise(0), "run")
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, ord {rows.schema['ord'].dataType.simpleString()}, {LIMITER_FIELDS}"
-    rows = walk.df.select("key", "run", "ord", "t", "reset")
-    placed = rows.repartition("key", "run").sortWithinPartitions("key", "run", "t", "ord")
-
-    def judge(batches):
-        last, opened = None, None
-        for pdf in batches:
-            fresh = ((pdf["key"] != pdf["key"].shift()) | (pdf["run"] != pdf["run"].shift())).to_numpy(bool)
-            fresh[0] = (pdf["key"].iloc[0], pdf["run"].iloc[0]) != last
-            last = (pdf["key"].iloc[-1], pdf["run"].iloc[-1])
-            out, opened = limiter_frame(pdf, fresh, limit, window, opened)
-            yield out
-
-    return placed.mapInPandas(judge, schema).select(
-        F.col("key").alias(key), F.col("ord").alias(order), "allowed", "remaining", "retry_after"
-    )
+    fields = [("allowed", pa.bool_()), ("remaining", pa.int64()), ("retry_after", pa.int64())]
+    done = fold_slots(rows, ["key"], ["t", "ord"], limiter_fold(limit, window), fields)
+    return done.select(F.col("key").alias(key), F.col("ord").alias(order), *(n for n, _ in fields))
 
 
 # Scope, limit and window of the login policy; the address gets four times as much.
@@ -293,34 +247,39 @@ def login_verdicts(attempts: DataFrame, email: str, ip: str, time: Column, order
     return attempts.join(by_email, order).join(by_ip, order)
 
 
-def seat_step(state, row):
-    """Seat of one licence: active devices so far and whether it was revoked."""
-    active, revoked = state if state is not None else ((), False)
-    action, device = row["action"], row["device"]
-    if action == "revoke":
-        verdict = "already_revoked" if revoked else "revoked"
-        active, revoked = (), True
-    elif action == "deactivate":
-        verdict = "released" if device in active else "ignored"
-        active = tuple(d for d in active if d != device)
-    elif revoked:
-        verdict = "refused"
-    elif device in active:
-        verdict = "reused"
-    elif len(active) >= row["seat_limit"]:
-        verdict = "limit"
-    else:
-        verdict, active = "activated", (*active, device)
-    return (active, revoked), {**row, "verdict": verdict, "active_seats": len(active)}
+def seat_fold(columns, start, stop, state, out):
+    """Seats of one licence: active devices in order of activation, and whether it was revoked."""
+    active, revoked = state or ([], False)
+    active = dict.fromkeys(active)
+    for i in range(start, stop):
+        action, device = columns["action"][i], columns["device"][i]
+        if action == "revoke":
+            verdict = "already_revoked" if revoked else "revoked"
+            active, revoked = {}, True
+        elif action == "deactivate":
+            verdict = "released" if device in active else "ignored"
+            active.pop(device, None)
+        elif revoked:
+            verdict = "refused"
+        elif device in active:
+            verdict = "reused"
+        elif len(active) >= columns["seat_limit"][i]:
+            verdict = "limit"
+        else:
+            verdict, active[device] = "activated", None
+        if out:
+            out[0][i], out[1][i] = verdict, len(active)
+    return [sorted(active, key=repr), revoked]
 
 
 def seat_history(events: DataFrame, licence: str, device: str, action: str, order: str, seat_limit: Column) -> DataFrame:
     """Verdict and active seats after each event of a licence.
 
-    Seats depend on every event before, so a licence is read in order, streaming through one task
-    with a state no larger than its seat limit. Nothing can happen to a revoked licence any more,
-    so its later events are judged apart and in parallel.
+    A licence is read in order, a busy one in slots that start from each other's ends; the state is no larger than the
+    seat limit. Nothing can happen to a revoked licence any more, so its later events are judged apart.
     """
+    import pyarrow as pa
+
     rows = events.select(
         F.col(licence).alias("licence"), F.col(device).alias("device"), F.col(action).alias("action"),
         F.col(order).alias("ord"), seat_limit.cast("long").alias("seat_limit"),
@@ -329,9 +288,7 @@ def seat_history(events: DataFrame, licence: str, device: str, action: str, orde
     rows = rows.join(end, "licence", "left")
     before = rows.filter(F.col("__end").isNull() | (F.col("ord") <= F.col("__end"))).drop("__end")
     after = rows.filter(F.col("ord") > F.col("__end")).drop("__end")
-    types = {f.name: f.dataType.simpleString() for f in before.schema}
-    schema = ", ".join([f"{n} {t}" for n, t in types.items()] + ["verdict string", "active_seats long"])
-    live = fold_sorted(before, ["licence"], ["ord"], seat_step, schema)
+    live = fold_slots(before, ["licence"], ["ord"], seat_fold, [("verdict", pa.string()), ("active_seats", pa.int64())])
     late = after.withColumn(
         "verdict",
         F.when(F.col("action") == "revoke", "already_revoked").when(F.col("action") == "deactivate", "ignored").otherwise("refused"),
@@ -374,18 +331,26 @@ def token_history(presented: DataFrame, session: str, token: str, order: str, ti
     return rows.select(*presented.columns, outcome.alias("outcome"))
 
 
-def flush_step(state, row):
+def flush_fold(columns, start, stop, pending, out):
     """Usage total of one machine: emitted and cleared whenever it reaches the limit."""
-    total = (state or 0) + max(0, int(row["count"]))
-    sent = total if total >= FLUSH_AT else 0
-    return (0 if sent else total), {**row, "flushed": sent, "pending": 0 if sent else total}
+    pending, counts = pending or 0, columns["count"]
+    for i in range(start, stop):
+        pending += max(0, counts[i] or 0)
+        sent = pending if pending >= FLUSH_AT else 0
+        pending -= sent
+        if out:
+            out[0][i], out[1][i] = sent, pending
+    return pending
 
 
 def counter_flushes(events: DataFrame, machine: str, order: str, count: str) -> DataFrame:
-    """Running usage total per machine: what each event sends and what stays pending."""
+    """Running usage total per machine: what each event sends and what stays pending.
+
+    What is pending lies below the limit, so a slot of a busy machine has that many ways to be entered and
+    all of them are followed at once.
+    """
+    import pyarrow as pa
+
     rows = events.select(F.col(machine).alias("machine"), F.col(order).alias("ord"), F.col(count).cast("long").alias("count"))
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([f"{n} {t}" for n, t in types.items()] + ["flushed long", "pending long"])
-    return fold_sorted(rows, ["machine"], ["ord"], flush_step, schema).select(
-        F.col("machine").alias(machine), F.col("ord").alias(order), "flushed", "pending"
-    )
+    done = fold_slots(rows, ["machine"], ["ord"], flush_fold, [("flushed", pa.int64()), ("pending", pa.int64())], range(FLUSH_AT))
+    return done.select(F.col("machine").alias(machine), F.col("ord").alias(order), "flushed", "pending")

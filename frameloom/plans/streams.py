@@ -32,7 +32,7 @@ def seats(spark, d):
     e = F.col("event_type")
     action = F.when((e == "error") & (F.col("event_id") % 20 == 0), "revoke").when(e.isin("purchase", "error"), "deactivate").otherwise("activate")
     rows = events_stream(spark, d).withColumns({"device": F.col("event_id") % 5, "action": action})
-    done = run.drain(keyed.seat_stream(rows, "user_id", "device", "action", "event_id", F.lit(2)), "seats")
+    done = run.drain(keyed.seat_stream(rows, "user_id", "device", "action", "event_id", F.lit(2), "ts"), "seats")
     return done.select(F.col("ord").alias("event_id"), "verdict", "active_seats")
 
 
@@ -40,14 +40,13 @@ def seats(spark, d):
 def tokens(spark, d):
     rows = events_stream(spark, d).select("event_id", "user_id", "ts", *presented_columns())
     rows = rows.withColumn("expires", F.col("expires").cast("timestamp"))
-    seconds = lambda c: F.unix_micros(F.col(c)) / F.lit(1e6)
-    out = keyed.token_stream(rows, "user_id", "token", "event_id", seconds("ts"), seconds("expires"), F.col("available"))
+    out = keyed.token_stream(rows, "user_id", "token", "event_id", "ts", "expires", F.col("available"))
     return run.drain(out, "tokens").select(F.col("ord").alias("event_id"), "outcome")
 
 
 @query("ST5_flush_stream", ORACLES["ST5_counter_flush"])
 def flushes(spark, d):
-    out = keyed.flush_stream(events_stream(spark, d), "user_id", "event_id", F.col("event_id") % 6)
+    out = keyed.flush_stream(events_stream(spark, d), "user_id", "event_id", F.col("event_id") % 6, "ts")
     return run.drain(out, "flushes").select(F.col("machine").alias("user_id"), F.col("ord").alias("event_id"), "flushed", "pending")
 
 

@@ -9,141 +9,120 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from frameloom.operators.entitlements import LIMITER_FIELDS, flush_step, limiter_frame, seat_step
+from frameloom.operators.entitlements import flush_fold, limiter_fold, seat_fold
 
-IDLE = "1 hour"
-
-
-def _names(schema: str) -> list[str]:
-    return [part.strip().split(" ")[0] for part in schema.split(",")]
+#: Counters are swept when idle for an hour; seats, sessions and usage totals when idle for half a year.
+IDLE_MS, KEPT_MS = 3_600_000, 183 * 86_400_000
 
 
 def stateful(
-    rows: DataFrame, key: str, order: list[str], step: Callable, schema: str,
-    time: str | None = None, idle_ms: int | None = None, carry: Callable = lambda s: s,
+    rows: DataFrame, key: str, order: list[str], fold: Callable, results: list[tuple[str, str]], carried: list[str],
+    time: str, idle_ms: int = IDLE_MS,
 ) -> DataFrame:
-    """Run ``step(state, row) -> (state, out)`` per key over a stream.
+    """Fold the rows of every key over a stream, micro-batch by micro-batch, in order inside each.
 
-    Rows of one micro-batch are put in order per key. State is one small JSON text. With ``time``
-    (a watermarked column) and ``idle_ms``, the state of a key that stays quiet is dropped.
-    ``carry`` restores tuples that JSON turned into lists.
+    ``fold`` is that of the batch operator. State is one small JSON text a key; the state of a key that stays quiet for
+    ``idle_ms`` behind the watermark of ``time`` is swept.
     """
     import pandas as pd
 
-    out_names = _names(schema)
-    timed = time is not None and idle_ms is not None
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*(f"{n} {types[n]}" for n in carried), *(f"{n} {t}" for n, t in results)])
 
     def run(group, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
-        kept = json.loads(state.get[0]) if state.exists else None
-        kept = carry(kept) if kept is not None else None
         pdf = pd.concat(list(batches)).sort_values(order)
-        out = []
-        for row in pdf.to_dict("records"):
-            kept, produced = step(kept, row)
-            if produced is not None:
-                out.append({n: produced[n] for n in out_names})
-        if kept is None:
-            state.remove()
-        else:
+        columns = {n: pdf[n].tolist() for n in pdf.columns}
+        out = [[None] * len(pdf) for _ in results]
+        kept = fold(columns, 0, len(pdf), json.loads(state.get[0]) if state.exists else None, out)
+        if kept is not None:
             state.update((json.dumps(kept),))
-            if timed:
-                last = int(pdf[time].max().value // 1_000_000)
-                state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(out, columns=out_names)
+            last = int(pdf[time].max().value // 1_000_000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({**{n: columns[n] for n in carried}, **{n: o for (n, _), o in zip(results, out)}})
 
-    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
-    return rows.groupBy(key).applyInPandasWithState(run, schema, "kept string", "append", timeout)
+    return rows.groupBy(key).applyInPandasWithState(run, schema, "kept string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def limit_stream(
     hits: DataFrame, key: str, time: str, order: str, limit: int, window: float,
-    reset: Column | None = None, late: str = "10 minutes", idle_ms: int = 3_600_000,
+    reset: Column | None = None, late: str = "10 minutes", idle_ms: int = IDLE_MS,
 ) -> DataFrame:
-    """Rate-limit verdict per hit; counters idle for an hour are swept."""
+    """Rate-limit verdict per hit; counters idle for an hour (or a longer window) are swept."""
     rows = hits.withWatermark(time, late).select(
         F.col(key).alias("key"), F.col(order).alias("ord"), F.col(time).alias("ts"),
         (F.unix_micros(F.col(time)) / F.lit(1_000_000.0)).alias("t"),
         (F.lit(False) if reset is None else F.coalesce(reset, F.lit(False))).alias("reset"),
     )
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"key {types['key']}, ord {types['ord']}, {LIMITER_FIELDS}"
-    quiet_ms = max(idle_ms, int(window * 1000))
-
-    def judge(group, batches, state):
-        import numpy as np
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        opened = state.get if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(["t", "ord"], ignore_index=True)
-        out, opened = limiter_frame(pdf, np.zeros(len(pdf), bool), limit, window, opened)
-        if opened is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((int(opened[0]), float(opened[1])))
-            last = int(pdf["ts"].max().value // 1_000_000)
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + quiet_ms)
-        yield out
-
-    return rows.groupBy("key").applyInPandasWithState(
-        judge, schema, "hits long, since double", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    results = [("allowed", "boolean"), ("remaining", "long"), ("retry_after", "long")]
+    return stateful(rows, "key", ["t", "ord"], limiter_fold(limit, window), results, ["key", "ord"], "ts", max(idle_ms, int(window * 1000)))
 
 
-def seat_stream(events: DataFrame, licence: str, device: str, action: str, order: str, seat_limit: Column) -> DataFrame:
+def seat_stream(
+    events: DataFrame, licence: str, device: str, action: str, order: str, seat_limit: Column, time: str,
+    late: str = "10 minutes", idle_ms: int = KEPT_MS,
+) -> DataFrame:
     """Seat verdict and active seats after each event of a licence."""
-    rows = events.select(
+    rows = events.withWatermark(time, late).select(
         F.col(licence).alias("licence"), F.col(device).alias("device"), F.col(action).alias("action"),
-        F.col(order).alias("ord"), seat_limit.cast("long").alias("seat_limit"),
+        F.col(order).alias("ord"), seat_limit.cast("long").alias("seat_limit"), F.col(time).alias("ts"),
     )
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([f"{n} {t}" for n, t in types.items()] + ["verdict string", "active_seats long"])
-    return stateful(rows, "licence", ["ord"], seat_step, schema, carry=lambda s: (tuple(s[0]), s[1]))
-
-
-def token_step(state, row):
-    """One session: which tokens are spent, and whether the session was burned."""
-    spent, burned = state if state is not None else ([], False)
-    token = row["token"]
-    if token in spent:
-        outcome, burned = "reused", True
-    elif burned:
-        outcome = "revoked"
-    elif row["t"] >= row["expires_t"]:
-        outcome = "expired"
-    elif not row.get("available", True):
-        outcome, burned = "user_unavailable", True
-    else:
-        outcome, spent = "ok", [*spent, token]
-    return (spent, burned), {**row, "outcome": outcome}
+    results = [("verdict", "string"), ("active_seats", "long")]
+    return stateful(rows, "licence", ["ord"], seat_fold, results, ["licence", "device", "action", "ord", "seat_limit"], "ts", idle_ms)
+
+
+def token_fold(columns, start, stop, state, out):
+    """One session: its spent tokens, and whether it was burned, which settles every later presentation."""
+    spent, burned = state or ([], False)
+    spent = set(spent)
+    for i in range(start, stop):
+        token = columns["token"][i]
+        if token in spent:
+            outcome, burned = "reused", True
+        elif burned:
+            outcome = "revoked"
+        elif columns["t"][i] >= columns["expires_t"][i]:
+            outcome = "expired"
+        elif not columns["available"][i]:
+            outcome, burned = "user_unavailable", True
+        else:
+            outcome = "ok"
+            spent.add(token)
+        if out:
+            out[0][i] = outcome
+    return [sorted(spent), burned]
 
 
 def token_stream(
-    presented: DataFrame, session: str, token: str, order: str, time: Column, expires: Column, available: Column | None = None,
+    presented: DataFrame, session: str, token: str, order: str, time: str, expires: str, available: Column | None = None,
+    late: str = "10 minutes", idle_ms: int = KEPT_MS,
 ) -> DataFrame:
-    """Outcome of each presented refresh token; a session's tokens share its expiry."""
-    rows = presented.select(
-        F.col(session).alias("session"), F.col(token).alias("token"), F.col(order).alias("ord"),
-        time.cast("double").alias("t"), expires.cast("double").alias("expires_t"),
+    """Outcome of each presented refresh token; a session's tokens share its expiry.
+
+    Spent tokens are kept as long as the session is in use. A session that stays quiet for ``idle_ms`` (longer than any
+    session lives) is swept with its tokens, so the state holds living sessions only.
+    """
+    seconds = lambda c: F.unix_micros(F.col(c)) / F.lit(1e6)
+    rows = presented.withWatermark(time, late).select(
+        F.col(session).alias("session"), F.col(token).alias("token"), F.col(order).alias("ord"), F.col(time).alias("ts"),
+        seconds(time).alias("t"), seconds(expires).alias("expires_t"),
         (F.lit(True) if available is None else F.coalesce(available, F.lit(False))).alias("available"),
     )
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"session {types['session']}, token {types['token']}, ord {types['ord']}, outcome string"
-    return stateful(rows, "session", ["ord"], token_step, schema)
+    return stateful(rows, "session", ["ord"], token_fold, [("outcome", "string")], ["session", "token", "ord"], "ts", idle_ms)
 
 
-def flush_stream(events: DataFrame, machine: str, order: str, count: Column) -> DataFrame:
+def flush_stream(
+    events: DataFrame, machine: str, order: str, count: Column, time: str, late: str = "10 minutes", idle_ms: int = KEPT_MS,
+) -> DataFrame:
     """What each usage event makes its machine send, and what stays pending."""
-    rows = events.select(F.col(machine).alias("machine"), F.col(order).alias("ord"), count.cast("long").alias("count"))
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"machine {types['machine']}, ord {types['ord']}, flushed long, pending long"
-    return stateful(rows, "machine", ["ord"], flush_step, schema)
+    rows = events.withWatermark(time, late).select(
+        F.col(machine).alias("machine"), F.col(order).alias("ord"), count.cast("long").alias("count"), F.col(time).alias("ts"),
+    )
+    return stateful(rows, "machine", ["ord"], flush_fold, [("flushed", "long"), ("pending", "long")], ["machine", "ord"], "ts", idle_ms)
 
 
 def windowed_counts(events: DataFrame, time: str, event: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

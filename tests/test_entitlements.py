@@ -56,15 +56,16 @@ def test_admission_against_history(spark, hot):
 
 
 def test_tokens_against_a_loop(spark):
-    from frameloom.streaming.keyed import token_step
+    from frameloom.streaming.keyed import token_fold
 
     rnd = random.Random(6)
     rows = [(rnd.randrange(40), rnd.randrange(30), i, float(i), 150.0) for i in range(300)]
     df = spark.createDataFrame(rows, "s int, tok int, seq int, t double, e double")
     state, want = {}, {}
     for s, tok, i, t, e in rows:
-        state[s], out = token_step(state.get(s), {"token": tok, "t": t, "expires_t": e})
-        want[i] = out["outcome"]
+        told = [[None]]
+        state[s] = token_fold({"token": [tok], "t": [t], "expires_t": [e], "available": [True]}, 0, 1, state.get(s), told)
+        want[i] = told[0][0]
     assert {"ok", "reused", "revoked", "expired"} == set(want.values())
     got = {r.seq: r.outcome for r in E.token_history(df, "s", "tok", "seq", "t", "e").collect()}
     assert got == want

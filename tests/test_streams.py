@@ -61,7 +61,7 @@ def test_seats_over_batches_equal_batch(spark, folder):
         action = F.when(F.col("ord") % 97 == 96, "revoke").when(F.col("ord") % 3 == 2, "deactivate").otherwise("activate")
         return df.withColumns({"device": F.col("ord") % 5, "action": action})
 
-    out = run.drain(keyed.seat_stream(shape(stream(spark, folder)), "key", "device", "action", "ord", F.lit(2)), "s")
+    out = run.drain(keyed.seat_stream(shape(stream(spark, folder)), "key", "device", "action", "ord", F.lit(2), "ts"), "s")
     batch = E.seat_history(shape(spark.createDataFrame(folder[1], SCHEMA)), "key", "device", "action", "ord", F.lit(2))
     want = {r.ord: (r.verdict, r.active_seats) for r in batch.collect()}
     assert {r.ord: (r.verdict, r.active_seats) for r in out.collect()} == want
