@@ -27,6 +27,38 @@ def rate_limit(spark, d):
     return done.select(F.col("key").alias("user_id"), F.col("ord").alias("event_id"), "allowed", "remaining", "retry_after")
 
 
+@query("ST2_login_stream", ORACLES["ST2_login_policy"])
+def logins(spark, d):
+    rows = events_stream(spark, d).withColumn("ip", F.concat(F.lit("10.0.0."), (F.col("user_id") % 7).cast("string")))
+    by_email, by_ip = keyed.login_streams(rows, "user_id", "ip", "ts", "event_id", F.col("event_type") == "purchase")
+    email = run.drain(by_email, "logins").where("ord % 2 = 0").select(
+        (F.col("ord") / 2).cast("long").alias("event_id"), F.col("allowed").alias("email_allowed"), F.col("remaining").alias("email_remaining")
+    )
+    ip = run.drain(by_ip, "logins").select(
+        F.col("ord").alias("event_id"), F.col("allowed").alias("ip_allowed"), F.col("remaining").alias("ip_remaining")
+    )
+    return email.join(ip, "event_id")
+
+
+@query(
+    "ST9_state_sweep",
+    """WITH l AS (SELECT user_id, max(ts) AS l FROM events GROUP BY user_id), w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM events),
+    k AS (SELECT count(*) AS users, count(*) FILTER (l + INTERVAL 2 DAY > w) AS kept FROM l, w)
+    SELECT unnest(['limits', 'seats', 'totals']) AS state, users, kept FROM k""",
+)
+def sweep(spark, d):
+    """Keys with state when the stream ends: users that were quiet for two days have none left."""
+    idle, rows = 2 * 86_400_000, events_stream(spark, d)
+    streams = {
+        "limits": keyed.limit_stream(rows, "user_id", "ts", "event_id", 3, 3600, idle_ms=idle),
+        "seats": keyed.seat_stream(rows.withColumn("action", F.lit("activate")), "user_id", "event_type", "action", "event_id", F.lit(2), "ts", idle_ms=idle),
+        "totals": keyed.flush_stream(rows, "user_id", "event_id", F.col("event_id") % 6, "ts", idle_ms=idle),
+    }
+    users = table(spark, d, "events").agg(F.count_distinct("user_id")).first()[0]
+    left = [(name, users, run.state_left(stream, "sweep")) for name, stream in streams.items()]
+    return spark.createDataFrame(left, "state string, users long, kept long")
+
+
 @query("ST3_seat_stream", ORACLES["ST3_seat_history"])
 def seats(spark, d):
     e = F.col("event_type")
@@ -41,7 +73,8 @@ def tokens(spark, d):
     rows = events_stream(spark, d).select("event_id", "user_id", "ts", *presented_columns())
     rows = rows.withColumn("expires", F.col("expires").cast("timestamp"))
     out = keyed.token_stream(rows, "user_id", "token", "event_id", "ts", "expires", F.col("available"))
-    return run.drain(out, "tokens").select(F.col("ord").alias("event_id"), "outcome")
+    with run.keyed_state(spark):
+        return run.drain(out, "tokens").select(F.col("ord").alias("event_id"), "outcome")
 
 
 @query("ST5_flush_stream", ORACLES["ST5_counter_flush"])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from frameloom.operators.entitlements import flush_fold, limiter_fold, seat_fold
+from frameloom.operators.entitlements import POLICY, flush_fold, limiter_fold, seat_fold
 
 #: Counters are swept when idle for an hour; seats, sessions and usage totals when idle for half a year.
 IDLE_MS, KEPT_MS = 3_600_000, 183 * 86_400_000
@@ -103,16 +103,67 @@ def token_stream(
 ) -> DataFrame:
     """Outcome of each presented refresh token; a session's tokens share its expiry.
 
-    Spent tokens are kept as long as the session is in use. A session that stays quiet for ``idle_ms`` (longer than any
-    session lives) is swept with its tokens, so the state holds living sessions only.
+    Spent tokens are a map state, one entry a token, so a batch reads and writes the tokens it holds and no others. A
+    timer sweeps a session that stays quiet for ``idle_ms`` (longer than any session lives), so the state holds living
+    sessions only. The session has to name the RocksDB state store (``run.keyed_state``).
     """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
     seconds = lambda c: F.unix_micros(F.col(c)) / F.lit(1e6)
     rows = presented.withWatermark(time, late).select(
         F.col(session).alias("session"), F.col(token).alias("token"), F.col(order).alias("ord"), F.col(time).alias("ts"),
         seconds(time).alias("t"), seconds(expires).alias("expires_t"),
         (F.lit(True) if available is None else F.coalesce(available, F.lit(False))).alias("available"),
     )
-    return stateful(rows, "session", ["ord"], token_fold, [("outcome", "string")], ["session", "token", "ord"], "ts", idle_ms)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    class Sessions(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.spent = handle.getMapState("spent", f"token {types['token']}", "t double")
+            self.burned = handle.getValueState("burned", "burned boolean")
+
+        def handleInputRows(self, key, batches, timers):
+            pdf = pd.concat(list(batches)).sort_values("ord")
+            columns = {n: pdf[n].tolist() for n in pdf.columns}
+            known = {k for k in set(columns["token"]) if self.spent.containsKey((k,))}
+            was_burned = self.burned.exists()
+            out = [[None] * len(pdf)]
+            spent, burned = token_fold(columns, 0, len(pdf), (known, was_burned), out)
+            for k in set(spent) - known:
+                self.spent.updateValue((k,), (columns["t"][0],))
+            if burned and not was_burned:
+                self.burned.update((True,))
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            last = int(pdf["ts"].max().value // 1_000_000)
+            self.handle.registerTimer(max(last, timers.getCurrentWatermarkInMs()) + idle_ms)
+            yield pd.DataFrame({"session": columns["session"], "token": columns["token"], "ord": columns["ord"], "outcome": out[0]})
+
+        def handleExpiredTimer(self, key, timers, expired):
+            self.spent.clear()
+            self.burned.clear()
+            yield pd.DataFrame({"session": [], "token": [], "ord": [], "outcome": []})
+
+        def close(self):
+            pass
+
+    return rows.groupBy("session").transformWithStateInPandas(
+        statefulProcessor=Sessions(), outputStructType=f"session {types['session']}, token {types['token']}, ord {types['ord']}, outcome string",
+        outputMode="append", timeMode="eventTime",
+    )
+
+
+def login_streams(attempts: DataFrame, email: str, ip: str, time: str, order: str, success: Column) -> tuple[DataFrame, DataFrame]:
+    """The login policy as two streams of verdicts, by account and by address; a success clears the account's counter."""
+    hits = attempts.withColumn("__ok", F.coalesce(success, F.lit(False)))
+    parts = F.explode(F.when(F.col("__ok"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    doubled = hits.withColumn("__part", parts).withColumn("__seq", F.col(order) * 2 + F.col("__part"))
+    limit, window = POLICY["login:email"]
+    by_email = limit_stream(doubled, email, time, "__seq", limit, window, F.col("__part") == 1)
+    limit, window = POLICY["login:ip"]
+    return by_email, limit_stream(hits, ip, time, order, limit, window)
 
 
 def flush_stream(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from hashlib import md5
 
 from pyspark.errors import AnalysisException
@@ -35,6 +36,34 @@ def drain(stream: DataFrame, label: str, mode: str = "append", folder: str | Non
     return spark.read.schema(stream.schema).parquet(f"{place}/rows")
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, which map states and timers need."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, before)
+
+
+def state_left(stream: DataFrame, label: str) -> int:
+    """Process everything available; how many keys still have state after the last sweep."""
+    place = scratch_dir(stream.sparkSession, label)
+    query = (
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/_progress")
+        .trigger(availableNow=True).start(f"{place}/rows")
+    )
+    query.awaitTermination()
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]][-1]
+
+
 def drain_latest(stream: DataFrame, label: str, keys: list[str] | None) -> DataFrame:
     """Process everything available and return the last word on every row, open windows included.
 
