@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 DROPOUT = 0.1
-#: Stretches a worker keeps.
-CACHE = 200_000
+#: Stretches a worker keeps at most, and places it keeps free for those of one block.
+CACHE, FREE = 200_000, 1 << 16
 #: Longer stretches are merged one by one with a heap.
 SHORT = 48
 #: Characters that are encoded together, and rows that are merged together.
-BLOCK_CHARS, BLOCK_ROWS = 1 << 20, 1 << 14
+BLOCK_CHARS, BLOCK_ROWS = 1 << 18, 1 << 14
 _STRETCH = re.compile(r" *[^\W\d_\u00b2]+| *(?:[^\w ]|[\d_\u00b2])+| +")
 _MASK = (1 << 64) - 1
 
@@ -380,7 +380,7 @@ class Encoder:
         return np.concatenate(values), np.concatenate(counts)
 
     def _encode_block(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) >= CACHE:
+        if len(self.known) + FREE > CACHE:
             self._forget()
         stretches, per_text = [], []
         for t in texts:
@@ -391,9 +391,9 @@ class Encoder:
         node = np.fromiter(map(self.known.get, stretches, repeat(-1)), np.int64, len(stretches))
         new = np.flatnonzero(node < 0).tolist()
         if new:
-            short = dict.fromkeys(s for i in new if len(s := stretches[i]) <= SHORT)
-            if short:
-                self._learn(list(short))
+            short = list(dict.fromkeys(s for i in new if len(s := stretches[i]) <= SHORT))[: CACHE - len(self.known)]
+            if short:  # what finds no place is merged one by one, like the longer ones
+                self._learn(short)
                 node[new] = [self.known.get(stretches[i], -1) for i in new]
         long = np.flatnonzero(node < 0)
         home = np.maximum(node, 0)
@@ -467,3 +467,26 @@ def decode_column(vocabulary: Vocabulary, ids: Column) -> Column:
         return pa.array(out, pa.string())
 
     return decoded.asNondeterministic()(ids)
+
+
+def round_trip_column(vocabulary: Vocabulary, text: Column, dropout: float = DROPOUT, seed: int = 0) -> Column:
+    """struct<ids, lossless>: the ids of every text, and whether they decode to it. One worker does both."""
+    name = (zlib.crc32(repr(sorted(vocabulary.pieces.items())).encode()), dropout, seed)
+
+    @F.arrow_udf("struct<ids: array<int>, lossless: boolean>")
+    def told(texts: pa.Array) -> pa.Array:
+        encoder = _kept(name, lambda: Encoder(vocabulary, dropout, seed))
+        own = texts.to_pylist()
+        values, counts = encoder.encode_all(own)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        spelled = encoder.vocabulary.spelled
+        same = []
+        for t, a, b in zip(own, ends[:-1].tolist(), ends[1:].tolist()):
+            # the text behind a space, which is the model's own mark of a beginning; no text has no piece
+            want = b" " + t.encode("utf-8", "surrogatepass") if t else b""
+            same.append(t is None or b"".join(map(spelled.__getitem__, values[a:b].tolist())) == want)
+        mask = texts.is_null() if texts.null_count else None
+        ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values), mask=mask)
+        return pa.StructArray.from_arrays([ids, pa.array(same)], ["ids", "lossless"])
+
+    return told.asNondeterministic()(text)

@@ -130,14 +130,12 @@ def op8_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_sentencepiece")
 def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in pieces with merge-dropout (0.1, seed 1), and whether they decode to the text."""
-    vocabulary = pieces.read_model()
-    ids = pieces.encode_column(vocabulary, F.col("text"), pieces.DROPOUT, seed=1)
-    coded = table(spark, folder, "documents").select("doc_id", "text", ids.alias("ids"))
-    back = coded.withColumn("back", pieces.decode_column(vocabulary, F.col("ids")))
-    return back.select(
+    told = pieces.round_trip_column(pieces.read_model(), F.col("text"), pieces.DROPOUT, seed=1)
+    coded = table(spark, folder, "documents").select("doc_id", "text", told.alias("told"))
+    return coded.select(
         "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"),
-        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.hex(F.xxhash64("ids")).alias("ids_hash"),
-        F.col("back").eqNullSafe(F.col("text")).alias("lossless"),
+        F.coalesce(F.size("told.ids"), F.lit(0)).cast("long").alias("n_pieces"), F.hex(F.xxhash64("told.ids")).alias("ids_hash"),
+        "told.lossless",
     )
 
 

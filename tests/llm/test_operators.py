@@ -415,6 +415,9 @@ def test_pieces(spark, vocabulary):
         assert pieces.decode(vocabulary, one.encode(t)) == t
     df = frame(spark, list(enumerate(texts)) + [(900, None)])
     coded = df.withColumn("ids", pieces.encode_column(vocabulary, F.col("text"), 0.2, 1))
+    told = df.select("text", pieces.round_trip_column(vocabulary, F.col("text"), 0.2, 1).alias("told")).select("text", "told.ids", "told.lossless")
+    assert all(r["lossless"] for r in told.collect())
+    assert sorted((repr(r["text"]), repr(r["ids"])) for r in told.collect()) == sorted((repr(r["text"]), repr(r["ids"])) for r in coded.collect())
     back = coded.withColumn("back", pieces.decode_column(vocabulary, F.col("ids"))).collect()
     assert all(r["back"] == r["text"] for r in back) and len(back) == len(texts) + 1
     assert {r["doc_id"]: r["ids"] for r in back if r["text"]} == {i: one.encode(t).tolist() for i, t in enumerate(texts) if t}
