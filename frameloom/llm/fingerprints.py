@@ -5,7 +5,8 @@ selects, so an edit touches the pieces around it only. Each piece hashes to a wi
 fingerprint is the sum of the vectors in 32 bits per lane. Sums do not depend on the order, a piece is put in or
 taken out by adding or subtracting its vector, and the squared distance of two sums estimates how many pieces
 differ, which gives the likeness. A column value has less than 2^31 bytes and so at most 2^30 pieces: no lane
-can wrap, however often a piece is repeated, and equality and likeness hold for the whole sums.
+can wrap, however often a piece is repeated, and equality and likeness hold for the whole sums. Lanes are added up in
+slices of pieces, so a text of very many short lines takes no more memory than its words.
 
 Defined cases: null and empty texts have no pieces, the zero fingerprint and likeness 1 with each other;
 white space between words does not count; repeated rows have equal fingerprints; other columns are not read.
@@ -27,6 +28,10 @@ from frameloom.llm.words import U64, blocks, buffers, mix, run_hashes, spans
 LANES = 256
 #: A word in so many (a power of two) ends a piece.
 PIECE_WORDS = 8
+#: Pieces whose lanes are added up at once.
+SLICE = 1 << 12
+#: Rows of a run of ids.
+RUN_ROWS = 1 << 14
 #: Bytes of text that are fingerprinted together.
 FLUSH_BYTES = 2 << 20
 
@@ -50,11 +55,14 @@ def vectors(texts: list[str | None] | pa.Array) -> np.ndarray:
         begin = np.flatnonzero(opens)
         place = (np.arange(len(starts)) - np.repeat(begin, np.diff(np.r_[begin, len(starts)]))).astype(U64)
         pieces = np.add.reduceat(mix(words + place * U64(0x9E3779B97F4A7C15)), begin)
-        lanes = np.stack([mix(pieces, k + 1) for k in range(LANES // 64)], 1).view(np.uint8)
-        text = np.searchsorted(begin, heads)
-        sums = np.add.reduceat(np.unpackbits(lanes, axis=1), text, axis=0, dtype=np.int32)
-        counts = np.diff(np.r_[text, len(begin)])
-        out[np.flatnonzero(first[:-1] < first[1:]) + a] = 2 * sums - counts[:, None]
+        text, own = np.searchsorted(begin, heads), np.flatnonzero(first[:-1] < first[1:]) + a
+        for low in range(0, len(pieces), SLICE):  # however many pieces a text has, so many are unpacked at once
+            part = pieces[low : low + SLICE]
+            lanes = np.stack([mix(part, k + 1) for k in range(LANES // 64)], 1).view(np.uint8)
+            i, j = np.searchsorted(text, low, "right") - 1, np.searchsorted(text, low + len(part))
+            cuts = np.maximum(text[i:j] - low, 0)
+            counts = np.diff(np.r_[cuts, len(part)])
+            out[own[i:j]] += 2 * np.add.reduceat(np.unpackbits(lanes, axis=1), cuts, axis=0, dtype=np.int32) - counts[:, None].astype(np.int32)
     return out
 
 
@@ -88,13 +96,13 @@ def with_next(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """Rows in runs: (run, ahead, doc_id, tag, text), sorted inside partitions; every run is a range of ids
     and ends with a copy of the first row of the next run (``ahead`` = 1; the last run: of the first).
 
-    Bounds and first rows are as many as there are runs; only they pass through the driver.
+    Bounds and first rows are as many as there are runs, one for every ``RUN_ROWS`` rows; only they pass through the driver.
     """
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // (2 * RUN_ROWS))
     step = [i / (2 * parts) for i in range(1, 2 * parts)]
-    cuts = rows.agg(F.percentile_approx("doc_id", step, 10_000)).first()[0]
+    cuts = rows.agg(F.percentile_approx("doc_id", step, max(10_000, 20 * parts))).first()[0]
     bounds = np.unique(np.array(cuts or [0], np.int64))
 
     @F.arrow_udf("int")
