@@ -71,14 +71,21 @@ def licence_spans(docs: DataFrame, doc: str, text: str) -> DataFrame:
     known = templates(docs.sparkSession)
     grams = [r[0] for r in known.select("gram").distinct().collect()]  # a fixed, short list
     told = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("tag"), words(text).alias("words"))
-    hit = F.transform("words", lambda w, i: F.when(_gram(i).isin(grams), i))
-    hits = told.select("doc", "tag", "words", F.explode(F.array_compact(hit)).alias("pos"))
-    met = hits.withColumn("gram", _gram(F.col("pos"))).join(F.broadcast(known), "gram")
+    longest = max(len(text.split()) for text, _ in BASE)
+
+    def found(word: Column, at: Column) -> Column:
+        # a hit takes along the words that a phrase around it can have, not those of the whole text
+        low = F.greatest(at - (longest - GRAM), F.lit(0))
+        near = F.transform(F.sequence(low, at + longest - 1), lambda k: F.get("words", k))
+        return F.when(_gram(at).isin(grams), F.struct(at.alias("pos"), _gram(at).alias("gram"), low.alias("low"), near.alias("near")))
+
+    hits = told.select("doc", "tag", F.explode(F.array_compact(F.transform("words", found))).alias("hit")).select("doc", "tag", "hit.*")
+    met = hits.join(F.broadcast(known), "gram")
     start = F.col("pos") - F.col("at")
-    exact = (start >= 0) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("phrase")) == F.col("phrase"))
-    votes = met.groupBy("doc", "tag", "template", start.alias("diagonal")).agg(
+    exact = F.col("base") & (start >= 0) & (F.slice("near", F.greatest(start - F.col("low"), F.lit(0)) + 1, F.size("phrase")) == F.col("phrase"))
+    votes = met.withColumn("exact", exact).groupBy("doc", "tag", "template", start.alias("diagonal")).agg(
         F.first("label").alias("label"), F.first("base").alias("base"), F.first(F.size("phrase")).alias("length"),
-        F.max(exact).alias("exact"), F.collect_set("at").alias("runs"), F.min("pos").alias("low"), F.max("pos").alias("high"),
+        F.max("exact").alias("exact"), F.collect_set("at").alias("runs"), F.min("pos").alias("low"), F.max("pos").alias("high"),
     )
     order = Window.partitionBy("doc", "tag", "template").orderBy("diagonal")
     far = F.col("diagonal") - F.lag("diagonal").over(order) > NEAR

@@ -474,3 +474,15 @@ def test_toxicity(spark):
     assert all(r["toxicity"] < 0.5 for r in none)
     out = spark.range(2000).select("id", toxicity.held_out("id").alias("h")).collect()
     assert all(r["h"] == toxicity.is_held_out(r["id"]) for r in out)
+
+
+def test_one_text_with_very_many_pieces_or_hits(spark):
+    import resource
+
+    lines = "0\n1\n" * 1_000_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    one, two = fingerprints.vectors([lines, "0\n1\n" * 3])
+    assert (one * 3 == two * 1_000_000).all()
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # kilobytes
+    got = licences.licences(frame(spark, [(1, "cc by nc " * 50_000), (2, "under the mit x license under the mit license")])).collect()
+    assert {r["doc_id"]: (r["n_base"], r["first_word"], r["last_word"]) for r in got} == {1: (50_000, 0, 149_997), 2: (1, 5, 5)}
