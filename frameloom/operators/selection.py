@@ -90,6 +90,27 @@ def category_counts(df: DataFrame, category_col: str = "category") -> DataFrame:
     )
 
 
+def grouped_category_counts(df: DataFrame, group: str, path: str, score: str, usable: str) -> DataFrame:
+    """Photos per category straight from scored photos with their duplicate group: one aggregate a group.
+
+    All of a group but its best are duplicates, so only the best needs its own category and no row is joined back.
+    A photo without a group is the best of its own.
+    """
+    own = F.array_position(F.lit(list(CATEGORIES)), category(best_shot(F.col(score), F.col(usable), F.lit(False)), F.lit(False), F.col(usable)))
+    key = F.struct((-F.coalesce(F.col(score), F.lit(-1.0))).alias("q"), F.col(path).alias("p"))
+    rows = df.select(F.col(group).alias("g"), own.alias("own"), key.alias("key"))
+    groups = rows.where("g IS NOT NULL").groupBy("g").agg(F.min_by("own", "key").alias("own"), (F.count(F.lit(1)) - 1).alias("more"))
+    found = groups.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.sum("more").alias("more"))
+    alone = rows.where("g IS NULL").groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("more"))
+    names, copies = F.lit(list(CATEGORIES)), list(CATEGORIES).index("Duplicates") + 1
+    parts = F.explode(F.array(F.struct("own", "n"), F.struct(F.lit(copies).cast("long").alias("own"), F.col("more").alias("n"))))
+    summed = found.unionAll(alone).select(parts.alias("c")).groupBy("c.own").agg(F.sum("c.n").alias("photos"))
+    domain = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(CATEGORIES)], "ord int, category string")
+    return domain.join(summed.select(F.get(names, (F.col("own") - 1).cast("int")).alias("category"), "photos"), "category", "left").select(
+        "ord", "category", F.coalesce("photos", F.lit(0)).cast("long").alias("photos")
+    )
+
+
 def run_summary(records: DataFrame) -> DataFrame:
     """One row of totals. Expects the columns of ``inventory`` plus ``group_size``."""
     head = F.col("is_representative") & (F.col("group_size") >= 2)

@@ -170,7 +170,7 @@ def flags(spark, d):
     LEFT JOIN records r ON r.category = c.category GROUP BY c.category""",
 )
 def category_counts(spark, d):
-    return sel.category_counts(V.records(spark, d)).select("category", "photos")
+    return sel.grouped_category_counts(V.scored(spark, d), "dup_group", "path", "quality", "usable").select("category", "photos")
 
 
 @query(

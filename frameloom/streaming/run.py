@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from hashlib import md5
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.functions.scrub import scrub_json
@@ -104,6 +104,14 @@ def known_results(spark: SparkSession, folder: str) -> DataFrame | None:
         return None
 
 
+#: Parts of the cache; a batch reads those that its files fall into.
+PARTS = 64
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(PARTS)).cast("int").alias("part")
+
+
 def analyse_new_files(
     files: DataFrame, analyse: Callable[[DataFrame], DataFrame], cache_folder: str, progress: str,
 ) -> None:
@@ -111,8 +119,8 @@ def analyse_new_files(
 
     ``files`` streams (namespace, path, size, mtime_s). Each batch drops what the cache already has
     with the same signature, so a file that comes again unchanged is not analysed again, by this
-    stream or another one. A batch that is retried overwrites its own folder, so nothing is
-    stored twice.
+    stream or another one. The cache is partitioned by a hash of the key, and a batch reads the parts of its own
+    files only. A batch that is retried overwrites its own folder, so nothing is stored twice.
     """
     tag = md5(progress.encode()).hexdigest()[:12]
 
@@ -121,9 +129,11 @@ def analyse_new_files(
         fresh = df.dropDuplicates([*KEY, *SIGNATURE])
         known = known_results(spark, cache_folder)
         if known is not None:
+            touched = [r[0] for r in df.select(_part()).distinct().collect()]  # at most PARTS numbers
             mine = (F.col("run") == tag) & (F.col("batch") >= number)
-            fresh = to_recompute(fresh, known.filter(~mine).select(*KEY, *SIGNATURE))
-        analyse(fresh).write.mode("overwrite").parquet(f"{cache_folder}/run={tag}/batch={number}")
+            fresh = to_recompute(fresh, known.filter(F.col("part").isin(touched) & ~mine).select(*KEY, *SIGNATURE))
+        done = analyse(fresh)
+        done.select("*", _part()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{cache_folder}/run={tag}/batch={number}")
 
     query = files.writeStream.option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(batch).start()
     query.awaitTermination()
