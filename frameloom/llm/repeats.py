@@ -2,8 +2,10 @@
 
 A suffix is kept only at minimisers: the smallest eight-word hash of every 32 consecutive ones. Two equal
 passages of 50 words or more choose the same minimisers, the first within 31 words, so 19 words at least follow
-it. The kept suffixes of all documents are grouped by a 64-bit hash of those 19 words, which stands in for sorting
-them and comparing neighbours; suffixes that agree and belong to different documents extend: to the right by the whole 50 words from the minimiser, to the left, where the last minimiser did
+it. The kept suffixes of all documents are range-partitioned and sorted by their next 19 words (four bytes of hash a word), and
+neighbours are compared: where two of different documents share all 19 words, every suffix of that stretch of the array
+stays. What is left open at the ends of a partition, its first and its last stretch, is settled by two rows a partition.
+The suffixes that stay extend: to the right by the whole 50 words from the minimiser, to the left, where the last minimiser did
 not reach, by every 50-word window that begins up to 31 words before it. A word is in a repeat exactly if
 some 50-word window over it stands in another document. Windows that overlap or touch are one span.
 
@@ -56,7 +58,7 @@ def minimisers(grams: np.ndarray) -> np.ndarray:
 
 
 def _hashed(column: pa.Array):
-    """(row, words of a text as eight-word hashes) for texts long enough to hold a repeat."""
+    """(row, words of a text as eight-word hashes, and one by one) for texts long enough to hold a repeat."""
     data, offsets = buffers(column)
     for a, b in blocks(offsets):
         part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -65,7 +67,7 @@ def _hashed(column: pa.Array):
         grams = gram_hashes(words, GRAM)
         for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
             if y - x >= MIN_WORDS:
-                yield a + i, grams[x : y - GRAM + 1]
+                yield a + i, grams[x : y - GRAM + 1], words[x:y]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -73,27 +75,122 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(doc, place, ahead, whole): minimisers with the hash of the next 19 and of the next 50 words (0 past the end)."""
+    """(doc, place, words, whole): minimisers with the next 19 words and the hash of the next 50 (0 past the end)."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows, places, near, far = [], [], [], []
-        for row, grams in _hashed(batch.column(1)):
+        for row, grams, words in _hashed(batch.column(1)):
             at = minimisers(grams)
-            short, long = _window(grams, AHEAD), _window(grams, MIN_WORDS)
-            at = at[at < len(short)]
+            at = at[at <= len(words) - AHEAD]
+            long = _window(grams, MIN_WORDS)
             rows.append(np.full(len(at), row))
             places.append(at)
-            near.append(short[at])
+            near.append((words >> U64(32)).astype(">u4")[at[:, None] + np.arange(AHEAD)])
             far.append(np.where(at < len(long), long[np.minimum(at, len(long) - 1)], U64(0)))
         if not rows:
             return None
-        rows = pa.array(np.concatenate(rows))
+        rows, near = pa.array(np.concatenate(rows)), np.ascontiguousarray(np.concatenate(near))
+        fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * AHEAD), len(near), [None, pa.py_buffer(near.tobytes())])
         return pa.RecordBatch.from_arrays([
-            batch.column(0).take(rows), pa.array(np.concatenate(places).astype(np.int32)),
-            pa.array(_signed(np.concatenate(near))), pa.array(_signed(np.concatenate(far))),
-        ], ["doc", "place", "ahead", "whole"])
+            batch.column(0).take(rows), pa.array(np.concatenate(places).astype(np.int32)), fixed.cast(pa.binary()),
+            pa.array(_signed(np.concatenate(far))),
+        ], ["doc", "place", "words", "whole"])
+
+    return per_batch(docs, kernel, "doc long, place int, words binary, whole long")
+
+
+def _stretches(batches):
+    """Rows of a sorted partition whose 19 words stand in two documents; and its ends, which its neighbours settle.
+
+    Rows of the first and the last stretch that no second document has met here carry their words in ``open``; one more
+    row for each of the two (without a place) tells its words, first and last document.
+    """
+    names = ["doc", "place", "ahead", "whole", "open", "low", "high"]
+
+    def told(doc, place, words, whole, is_open):
+        n = len(doc)
+        ahead = mix(np.add.reduce(words.astype(U64) * np.cumprod(np.full(AHEAD, 0x9E3779B97F4A7C15, U64)), axis=1))
+        opened = [w.astype(">u4").tobytes() for w in words] if is_open else [None] * n
+        arrays = [pa.array(doc), pa.array(place), pa.array(_signed(ahead)), pa.array(whole), pa.array(opened, pa.binary())]
+        return pa.RecordBatch.from_arrays([*arrays, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+
+    def end(words, low, high):
+        arrays = [pa.array([None], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([words.astype(">u4").tobytes()]), pa.array([low]), pa.array([high])], names)
+
+    waiting, words, low, high, first = [], None, None, None, True  # the stretch that may go on in the next batch
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        doc, place, whole = (batch.column(k).to_numpy() for k in (0, 1, 3))
+        key = np.frombuffer(batch.column(2).cast(pa.binary(4 * AHEAD)).buffers()[1], ">u4")
+        key = key.reshape(-1, AHEAD)[batch.column(2).offset :][:n] if len(key) != n * AHEAD else key.reshape(n, AHEAD)
+        new = np.ones(n, bool)
+        new[1:] = (key[1:] != key[:-1]).any(1)
+        new[0] = words is None or bool((key[0] != words).any())
+        other = np.zeros(n, bool)
+        other[1:] = ~new[1:] & (doc[1:] != doc[:-1])
+        other[0] = not new[0] and doc[0] != high
+        starts = np.flatnonzero(new)
+        if new[0] and words is not None:  # the waiting stretch is over
+            if first:
+                yield end(words, low, high)
+                for rows in waiting:
+                    yield told(*rows, True)
+            waiting, first = [], False
+        heads = starts if new[0] else np.r_[0, starts]
+        shared = np.logical_or.reduceat(other, heads)
+        sizes = np.diff(np.r_[heads, n])
+        if not new[0]:
+            shared[0] |= low != high
+            if shared[0]:
+                for rows in waiting:
+                    yield told(*rows, False)
+                waiting = []
+        keep = np.repeat(shared, sizes)
+        undecided = np.zeros(n, bool)
+        if not shared[-1]:
+            undecided[heads[-1] :] = True  # the last stretch goes on
+        if not shared[0] and (first or not new[0]) and len(heads) > 1:  # the first ends here, unshared
+            rows = slice(0, heads[1])
+            if first:
+                yield end(key[0], doc[0] if new[0] else low, doc[heads[1] - 1])
+                for old in waiting:
+                    yield told(*old, True)
+                yield told(doc[rows], place[rows], key[rows], whole[rows], True)
+            waiting = []
+        elif first and len(heads) > 1:
+            yield end(key[0], doc[0] if new[0] else low, doc[heads[1] - 1])
+        if len(heads) > 1:
+            first = False
+        if keep.any():
+            yield told(doc[keep], place[keep], key[keep], whole[keep], False)
+        if undecided.any():
+            waiting.append((doc[undecided], place[undecided], key[undecided], whole[undecided]))
+        if len(heads) > 1 or new[0]:
+            low = doc[heads[-1]]
+        words, high = key[-1], doc[-1]
+    if words is not None:
+        yield end(words, low, high)
+        for rows in waiting:
+            yield told(*rows, True)
+
 
-    return per_batch(docs, kernel, "doc long, place int, ahead long, whole long")
+def neighbours(docs: DataFrame) -> DataFrame:
+    """(doc, place, ahead, whole): suffixes whose 19 words are those of a neighbour from another document."""
+    order = ["words", "doc", "place"]
+    rows = suffixes(docs).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = stored(rows.mapInArrow(_stretches, "doc long, place int, ahead long, whole long, open binary, low long, high long"), "neighbours")
+    ends: dict[bytes, list[int]] = {}
+    for row in found.where("place IS NULL").select("open", "low", "high").collect():  # two rows a partition
+        ends.setdefault(bytes(row["open"]), []).extend((row["low"], row["high"]))
+    shared = [(k,) for k, d in ends.items() if min(d) < max(d)]
+    kept = found.where("place IS NOT NULL AND open IS NULL")
+    if shared:
+        known = found.sparkSession.createDataFrame(shared, "open binary")
+        kept = kept.unionAll(found.where("place IS NOT NULL").join(F.broadcast(known), "open", "left_semi").select(*found.columns))
+    return kept.select("doc", "place", "ahead", F.when(F.col("whole") != 0, F.col("whole")).alias("whole"))
 
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
@@ -107,7 +204,7 @@ def _edges(met: DataFrame) -> DataFrame:
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         docs, starts, hashes = [], [], []
         places = batch.column(2)
-        for row, grams in _hashed(batch.column(1)):
+        for row, grams, _ in _hashed(batch.column(1)):
             long = _window(grams, MIN_WORDS)
             at = np.unique(np.asarray(places[row].values)[:, None] - np.arange(1, REACH)[None, :])
             at = at[(at >= 0) & (at < len(long))]
@@ -130,9 +227,7 @@ def repeats(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     ``other_doc`` is the smallest other document found for a part of the span.
     """
     docs = documents.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
-    kept = stored(suffixes(docs), "suffixes")
-    near = kept.join(_shared(kept, "ahead").select("ahead"), "ahead", "left_semi")
-    near = stored(near.select("doc", "place", "ahead", F.when(F.col("whole") != 0, F.col("whole")).alias("whole")), "neighbours")
+    near = neighbours(docs)
     # deep: the whole 50 words from here stand elsewhere; a chain of deep ones covers all words between them
     placed = near.join(_shared(near.where("whole IS NOT NULL"), "whole"), "whole", "left")
     order = Window.partitionBy("doc").orderBy("place")

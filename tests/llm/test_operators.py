@@ -486,3 +486,29 @@ def test_one_text_with_very_many_pieces_or_hits(spark):
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # kilobytes
     got = licences.licences(frame(spark, [(1, "cc by nc " * 50_000), (2, "under the mit x license under the mit license")])).collect()
     assert {r["doc_id"]: (r["n_base"], r["first_word"], r["last_word"]) for r in got} == {1: (50_000, 0, 149_997), 2: (1, 5, 5)}
+
+
+@pytest.mark.parametrize("rows_a_batch", [3, 50, 10_000])
+def test_sorted_suffixes_equal_grouped_ones(spark, corpus, rows_a_batch):
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows_a_batch)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    rng = random.Random(8)
+    common = " ".join(f"c{rng.randrange(10_000)}" for _ in range(90))
+    rows = [(i, t) for i, t in corpus if i is not None] + [(1000 + i, f"x{i} {common} y{i}") for i in range(70)] + [(2000, " ".join([common] * 9))]
+    docs = frame(spark, rows).select(F.col("doc_id").alias("doc"), "text")
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        all_of = repeats.suffixes(docs).collect()
+        by_words = defaultdict(set)
+        for r in all_of:
+            by_words[bytes(r["words"])].add(r["doc"])
+        want = sorted((r["doc"], r["place"]) for r in all_of if len(by_words[bytes(r["words"])]) > 1)
+        got = repeats.neighbours(docs).collect()
+        assert sorted((r["doc"], r["place"]) for r in got) == want and len(want) > 150
+        aheads = {(r["doc"], r["place"]): r["ahead"] for r in got}
+        words_of = {(r["doc"], r["place"]): bytes(r["words"]) for r in all_of}
+        assert len({(aheads[k], words_of[k]) for k in aheads}) == len({words_of[k] for k in aheads}) == len(set(aheads.values()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
