@@ -294,6 +294,60 @@ def test_secret_wider_than_its_pattern(spark):
     assert not secret_scan._covered(3, 20, [(0, 3, 30)])
 
 
+def test_gradient_of_the_field():
+    """Forward-backward against the sum over all tag sequences and against finite differences."""
+    rng = np.random.default_rng(3)
+    kinds = rng.integers(0, 9, (6, 7))
+    of, y = rng.integers(0, 6, (4, 5)), rng.integers(0, 3, (4, 5))
+    inside = np.arange(5) < np.array([5, 1, 3, 4])[:, None]
+    emission, move = rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
+
+    def slow(emission, move):
+        total = 0.0
+        for w in range(4):
+            n = int(inside[w].sum())
+            score = emission[kinds].sum(1)[of[w]]
+            of_tags = lambda t: sum(score[k, t[k]] for k in range(n)) + sum(move[a, b] for a, b in zip(t, t[1:]))  # noqa: B023, E731
+            total += of_tags(tuple(y[w, :n])) - np.logaddexp.reduce([of_tags(t) for t in itertools.product(range(3), repeat=n)])
+        return total
+
+    told, *grads = secret_scan.likelihood(emission, move, kinds, of, y * inside, inside)
+    assert abs(told - slow(emission, move)) < 1e-9
+    for value, grad in zip((emission, move), grads):
+        for at in np.ndindex(value.shape):
+            value[at] += 1e-5
+            high = slow(emission, move)
+            value[at] -= 2e-5
+            low = slow(emission, move)
+            value[at] += 1e-5
+            assert abs((high - low) / 2e-5 - grad[at]) < 1e-5
+
+
+def test_field_finds_what_no_pattern_names(spark):
+    """Secrets planted with another seed in texts of the given table that the field has not seen: recall and precision of its spans."""
+    texts = sorted({r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r["text"]})
+    hit = [bool(secret_scan.base_spans(t.encode())) for t in texts]
+    clean = [t for t, h in zip(texts, hit) if not h]
+    field = secret_scan.fit([t for t, h in zip(texts, hit) if h] + clean[::2])
+    named = caught = wrong = 0
+    for text in clean[1::2]:
+        raw, places = secret_scan.planted(text, 77)
+        at = lambda b: len(raw[:b].decode())  # noqa: B023, E731
+        places = [(at(s), at(e)) for s, e in places]
+        found = secret_scan.find(pa.array([raw.decode()]), field)[0]
+        named += len(places)
+        caught += sum(any(s < e2 and s2 < e for _, s2, e2 in found) for s, e in places)
+        wrong += sum(k == "crf" and not any(s < e2 and s2 < e for s, e in places) for k, s2, e2 in found)
+    assert caught >= 0.9 * named > 100 and wrong <= 0.05 * caught
+    for text, secret in [
+        ("use ghp_16C7e42F292c6912E7710c838347Ae178B4a now", "ghp_16C7e42F292c6912E7710c838347Ae178B4a"),
+        ("see postgres://admin:S3cr3tPassw0rd@db.example/main", "S3cr3tPassw0rd"),
+        ("pwd: hunter2secretX9", "hunter2secretX9"),
+        ("on 2024-05-17 order 12345678 at https://example.com/a-b/2023?id=77", None),
+    ]:
+        assert [text[s:e] for _, s, e in secret_scan.find(pa.array([text]), field)[0]] == ([secret] if secret else [])
+
+
 def test_rare_secrets_train_the_field(spark):
     """A sample that is small beside the table still holds its secrets, and copies do not fill it."""
     rng = random.Random(5)
