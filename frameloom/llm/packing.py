@@ -5,12 +5,14 @@ carries a bitmap of its sources and clusters, and the search goes on from the ti
 large enough to the first that is also compatible; failing that, a new bin is opened. A document longer
 than a bin is cut into full pieces, which fill bins of their own, and a rest, which is packed.
 
-Packing is done in shards of bounded size, drawn by a hash of the document, so no source or cluster, however
-large, meets in one task; the shards' bins are separate.
+Packing is done in shards of bounded size, drawn by a hash of the row and, for repeated rows, the number of the copy,
+so no source, cluster or group of equal rows, however large, meets in one task; the shards' bins are separate. Equal
+rows travel as one row with a count up to there.
 
 Defined cases: a null length counts as 0; a length of 0 takes no room but a place (its bin is bound by the
 conflicts like any other); null sources or clusters conflict with nothing; repeated rows are packed as rows
-of their own; other columns are dropped (join the bins back by id).
+of their own; ties in length go by id, then source and cluster; lengths of any size are cut, so a very long text gives as
+many pieces as it fills bins; an empty table gives no bins; other columns are dropped (join the bins back by id).
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from frameloom.llm.store import stored
 CAPACITY = 2048
 #: Documents in a shard, on average: bounds the memory and the time of a task whatever the skew.
 SHARD_ROWS = 4096
+#: Equal rows that are unfolded together.
+COPIES = 4096
 SCHEMA = "doc_id long, piece int, start long, length long, shard int, bin long, bin_left long"
 
 
@@ -88,6 +92,15 @@ def _pack_shard(rows: list[tuple], shard: int, capacity: int) -> list[tuple]:
     return [(*row, left[row[5]]) for row in out]
 
 
+def _unfolded(slim: DataFrame) -> DataFrame:
+    """The rows with ``copy``, the number of each among equal ones; large groups are dealt to tasks in parts."""
+    counted = slim.groupBy(*slim.columns).agg(F.count("*").alias("n"))
+    last = F.floor((F.col("n") - 1) / COPIES)
+    parts = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part")).repartition(*slim.columns, "part")
+    first = F.col("part") * COPIES
+    return parts.select(*slim.columns, F.explode(F.sequence(first, F.least(first + COPIES, "n") - 1)).alias("copy"))
+
+
 def pack(
     df: DataFrame, doc: str = "doc_id", length: str = "length", source: str = "source", cluster: str = "cluster",
     capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS,
@@ -97,11 +110,11 @@ def pack(
         F.col(doc).cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0)).alias("length"),
         F.col(source).cast("string").alias("source"), F.col(cluster).cast("string").alias("cluster"),
     )
-    slim = stored(slim, "pack")
+    slim = stored(_unfolded(slim), "pack")
     shards = max(1, -(-slim.count() // shard_rows))
     slots = slim.sparkSession.conf.get("spark.sql.shuffle.partitions")
     dealt = (
-        slim.withColumn("shard", F.pmod(F.xxhash64("doc_id", "length", "cluster", F.lit(3)), F.lit(shards)).cast("int"))
+        slim.withColumn("shard", F.pmod(F.xxhash64("doc_id", "length", "source", "cluster", "copy", F.lit(3)), F.lit(shards)).cast("int"))
         .repartition(max(1, min(shards, int(slots) * 8)), "shard")
         .sortWithinPartitions("shard", F.desc("length"), "doc_id", "source", "cluster")
     )

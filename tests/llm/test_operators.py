@@ -168,6 +168,15 @@ def test_best_fit():
         assert packing.best_fit(items, 100) == slow_best_fit(items, 100)
 
 
+def test_packing_deals_equal_rows(spark):
+    """20,000 equal rows beside others: every one is packed, and no shard holds many more than its share."""
+    rows = [(1, 40, "s", "c")] * 20_000 + [(i, i % 90, f"s{i}", None) for i in range(2, 400)] + [(None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, length int, source string, cluster string").withColumn("copy", F.lit("x")).withColumn("n", F.lit(1))
+    got = packing.pack(df, shard_rows=512).groupBy("shard").agg(F.count("*").alias("rows"), F.sum((F.col("doc_id") == 1).cast("int")).alias("equal"), F.countDistinct(F.when(F.col("doc_id") == 1, F.col("bin"))).alias("bins")).collect()
+    assert sum(r["rows"] for r in got) == len(rows) and sum(r["equal"] for r in got) == 20_000
+    assert all(r["bins"] == r["equal"] and r["rows"] < 800 for r in got)  # one source: a bin each
+
+
 def test_packing(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice([0, 5, 40, 90, 100, 101, 350, None]), "hot" if i % 3 == 0 else rng.choice(["a", "b", "c", None]), rng.choice([None, "k", f"u{i}"]), 1) for i in range(500)]

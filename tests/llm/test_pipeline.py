@@ -64,6 +64,14 @@ def test_copies_keep_their_lines(spark):
     assert [i for i in kept if i % 3 == 0] == [0] and kept[0] == page
 
 
+def test_different_texts_of_one_id_stay(spark):
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(30))
+    rows = [(1, words("a"), "en", "t", 9), (1, words("a"), "en", "s", 9), (1, words("b"), None, None, None), (1, None, "en", "s", 0), (2, words("c"), "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.drop_near_duplicates(spark, docs, FOLDER).collect()
+    assert sorted((tuple(r) for r in kept), key=repr) == sorted(rows[1:], key=repr)
+
+
 def test_run_and_empty(spark):
     assert pipeline.run(spark, FOLDER).count() > 0
     docs = queries.table(spark, FOLDER, "documents").limit(0)
