@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from frameloom.llm import jaccard, lines, packing, queries, secret_scan, toxicity
@@ -28,13 +27,16 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles (Jaccard 0.75 or more) the smallest doc_id stays."""
+    """Of each group of documents linked by five-word shingles (Jaccard 0.75 or more) the smallest doc_id stays.
+
+    Rows of that id stay once for each different text; of equal ones the smallest (source, lang, n_chars). Rows without an id all stay.
+    """
     docs = docs.select(*COLUMNS)
     found = jaccard.jaccard_components(docs)
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang", "n_chars"))
-    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").withColumn("at", first).where("at = 1")
-    return kept.select(*COLUMNS).unionAll(docs.where("doc_id IS NULL"))
+    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").groupBy("doc_id", "text")
+    kept = kept.agg(F.min(F.struct("source", "lang", "n_chars")).alias("first"))
+    return kept.select("doc_id", "text", "first.lang", "first.source", "first.n_chars").unionAll(docs.where("doc_id IS NULL"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
