@@ -17,6 +17,8 @@ BUCKET_PAIRS = 4_000_000
 # Splits of a bucket by its remaining bits; the table of choices has 56 ** DEPTH rows at most. At five bits
 # 16 bits are then open. A bucket that is still busy is dealt to SALTS tasks.
 DEPTH, SALTS = 2, 32
+# Limits of BANDS up to FLIP_LIMIT bits meet in FLIP_BANDS wide bands that may differ by a few bits each.
+FLIP_BANDS, FLIP_LIMIT = 3, 10
 # Distinct hashes settled in the first pass of the founder search; each later pass is
 # three times as large, so the number of passes grows with the logarithm of the data.
 FIRST_PASS = 200_000
@@ -81,13 +83,16 @@ def hamming_join(
 
     Both sides are one-column frames of distinct hashes (column ``hash``). Up to 7 bits the
     join runs on shared bands, and a bucket that too many hashes share is split again by
-    its remaining bits. Looser limits compare blocks of bounded size.
+    its remaining bits. From 8 to 10 bits it runs on wide bands with few bits flipped on each
+    side. Looser limits, under which most pairs share any such bucket, compare blocks of bounded size.
     """
     if distance == 0:
         same = left.join(right, "hash", "left_semi")
         return same.select(
             F.col("hash").alias("a"), F.col("hash").alias("b"), F.lit(0).cast("long").alias("distance")
         )
+    if BANDS <= distance <= FLIP_LIMIT:
+        return _flip_join(left, right, distance, bits, bucket_pairs)
     if distance >= BANDS:
         return _cells(left, right, distance)
     a = left.select(F.col("hash").alias("a"))
@@ -156,6 +161,61 @@ def _meet(a: DataFrame, b: DataFrame, keys: list[str], bits: int, distance: int,
     return found.unionByName(deep.select("a", "b", "distance", *keys))
 
 
+def _radii(distance: int) -> list[int]:
+    """Bits by which each wide band may differ: if all differed by more, the sum would exceed ``distance``."""
+    total = distance + 1 - FLIP_BANDS
+    return [total // FLIP_BANDS + (i < total % FLIP_BANDS) for i in range(FLIP_BANDS)]
+
+
+def _flips(width: int, most: int) -> list[int]:
+    return [sum(1 << bit for bit in chosen) for n in range(most + 1) for chosen in combinations(range(width), n)]
+
+
+def _flip_join(left: DataFrame, right: DataFrame, distance: int, bits: int, limit: int) -> DataFrame:
+    """Pairs that differ by few bits in one of three wide bands.
+
+    Each side offers its band with up to half of those bits flipped, so both meet half way. The left side flips the
+    lower half of the differing bits and the right side the upper, which leaves one meeting place a band, and a
+    pair is reported in its first band that is near enough. Busy buckets are dealt to salts.
+    """
+    radii = _radii(distance)
+    edges = [round(i * bits / FLIP_BANDS) for i in range(FLIP_BANDS + 1)]
+    widths = [b - a for a, b in zip(edges, edges[1:])]
+
+    def part(value: Column, band: int) -> Column:
+        return F.shiftrightunsigned(value, edges[band]).bitwiseAND((1 << widths[band]) - 1)
+
+    def offered(df: DataFrame, value: str, flip: str, most: list[int]) -> DataFrame:
+        def way(band: int) -> Column:
+            flips = F.array(*map(F.lit, _flips(widths[band], most[band]))).cast("array<bigint>")
+            own = part(F.col(value), band)
+            return F.transform(flips, lambda u: F.struct(F.lit(band).alias("band"), own.bitwiseXOR(u).alias("key"), u.alias(flip)))
+
+        ways = [way(band) for band in range(FLIP_BANDS)]
+        return df.select(F.col("hash").alias(value)).select(value, F.inline(F.concat(*ways)))
+
+    a = offered(left, "a", "u", [(r + 1) // 2 for r in radii])
+    b = offered(right, "b", "v", [r // 2 for r in radii])
+    on = ["band", "key"]
+    u, v, difference = F.col("u"), F.col("v"), F.col("a").bitwiseXOR(F.col("b"))
+    half = (u.bitwiseAND(v) == 0) & (F.bit_count(u) - F.bit_count(v)).isin(0, 1) & ((v == 0) | (u < v.bitwiseAND(-v)))
+    first = F.lit(True)
+    for i, radius in enumerate(radii[:-1]):
+        first &= (F.col("band") <= i) | (F.bit_count(part(difference, i)) > radius)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        found = pairs.where(half & first).withColumn("distance", F.bit_count(difference).cast("long"))
+        return found.where(F.col("distance") <= distance).select("a", "b", "distance")
+
+    sizes = a.groupBy(*on).agg(F.count(F.lit(1)).alias("na")).join(b.groupBy(*on).agg(F.count(F.lit(1)).alias("nb")), on)
+    busy = cut(sizes.where(F.col("na") * F.col("nb") > limit).select(*on))
+    if not busy.take(1):
+        return near(a.join(b, on))
+    one = a.join(busy, on, "left_semi").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    two = b.join(busy, on, "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return near(a.join(busy, on, "left_anti").join(b, on)).unionByName(near(one.join(two, [*on, "salt"])))
+
+
 def _cells(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
     import numpy as np
     import pandas as pd

@@ -249,6 +249,16 @@ def hamming_pairs_loose(spark, d):
     return D.hamming_pairs(V.hashes(spark, d), "path", "hash", 18).select("a", "b", "distance")
 
 
+@query(
+    "J3_hamming_pairs_wide",
+    with_views(V.HASHES) + """, u AS (SELECT DISTINCT hash FROM hashes)
+    SELECT x.hash AS a, y.hash AS b, CAST(bit_count(xor(x.hash, y.hash)) AS BIGINT) AS distance
+    FROM u x JOIN u y ON x.hash < y.hash AND bit_count(xor(x.hash, y.hash)) <= 10""",
+)
+def hamming_pairs_wide(spark, d):
+    return D.hamming_pairs(V.hashes(spark, d), "path", "hash", 10).select("a", "b", "distance")
+
+
 FOUNDERS = """, items AS (SELECT hash, min(path) AS p FROM hashes GROUP BY hash),
     ordered AS (SELECT p, hash, row_number() OVER (ORDER BY p) AS n FROM items),
     walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS found
@@ -270,6 +280,11 @@ def near_duplicates_loose(spark, d):
     return D.near_duplicate_groups(V.hashes(spark, d), "path", "hash", 18)
 
 
+@query("C1_near_duplicate_groups_wide", with_views(V.HASHES).replace("WITH ", "WITH RECURSIVE ", 1) + FOUNDERS.format(d=10))
+def near_duplicates_wide(spark, d):
+    return D.near_duplicate_groups(V.hashes(spark, d), "path", "hash", 10)
+
+
 # -- sources --------------------------------------------------------------------- #
 URL_SUFFIX = """CASE WHEN regexp_extract(url, '[^/]*$') LIKE '%.%' THEN lower(regexp_extract(regexp_extract(url, '[^/]*$'), '[^.](\\.[^.]+)$', 1)) ELSE '' END"""
 

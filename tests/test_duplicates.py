@@ -47,7 +47,7 @@ def frame(spark, data):
     return spark.createDataFrame(data, "path string, hash long").cache()
 
 
-@pytest.mark.parametrize("distance,limit", [(5, 10**6), (5, 300), (3, 10**6), (7, 500), (12, 10**6), (0, 10**6)])
+@pytest.mark.parametrize("distance,limit", [(5, 10**6), (5, 300), (3, 10**6), (7, 500), (12, 10**6), (0, 10**6), (8, 10**6), (9, 200), (10, 10**6)])
 def test_join_is_exact(spark, data, distance, limit):
     unique = sorted({h for _, h in data})
     side = spark.createDataFrame([(h,) for h in unique], "hash long")
@@ -77,3 +77,23 @@ def test_rerank_ties_and_missing(spark):
     df = spark.createDataFrame([("g", "b", 70.0), ("g", "a", 70.0), ("g", "c", None), ("h", "z", None)], "g string, path string, q double")
     out = {r.path: (r.representative, r.is_representative) for r in D.rerank(df, "g", "path", "q").collect()}
     assert out == {"a": ("a", True), "b": ("a", False), "c": ("a", False), "z": ("z", True)}
+
+
+def test_wide_bands_and_the_sign_bit(spark):
+    rnd = random.Random(11)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    unique = set()
+    for _ in range(60):
+        base = rnd.getrandbits(64)
+        for _ in range(6):
+            near = base
+            for bit in rnd.sample([63, 62, 0, *range(64)], rnd.randint(0, 9)):
+                near ^= 1 << bit
+            unique.add(near)
+    one, two = sorted(unique)[::2], sorted(unique)[1::2]
+    side = lambda hashes: spark.createDataFrame([(signed(h),) for h in hashes], "hash long")
+    for limit in (8, 9, 10):
+        got = [(r.a, r.b, r.distance) for r in D.hamming_join(side(one), side(two), limit).collect()]
+        want = {(signed(a), signed(b), gap(a, b)) for a in one for b in two if gap(a, b) <= limit}
+        assert len(got) == len(set(got)) and set(got) == want
+    assert D.hamming_join(side([]).limit(0), side(two), 9).count() == 0
