@@ -70,6 +70,18 @@ def unique_inserts(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]
 
 
 # -- licence checks --------------------------------------------------------------- #
+def _dealt_left_join(left: DataFrame, right: DataFrame, keys: list[str], lost: Column) -> DataFrame:
+    """Left join in which the rows that ``lost`` marks match nothing and spread over all partitions by ``__row``.
+
+    Both sides also join on a hash of the keys; lost rows bring their own. A constant there would be folded away and
+    the rows would meet under null again.
+    """
+    types = {k: right.schema[k].dataType.simpleString() for k in keys}
+    own = F.xxhash64(*[F.col(k).try_cast(types[k]) for k in keys])
+    left = left.withColumn("__deal", F.when(F.coalesce(lost, F.lit(False)), F.col("__row")).otherwise(own))
+    return left.join(right.withColumn("__deal", F.xxhash64(*keys)), [*keys, "__deal"], "left").drop("__deal")
+
+
 def validate_seats(
     requests: DataFrame, licences: DataFrame, devices: DataFrame, activations: DataFrame, moment: Column,
 ) -> DataFrame:
@@ -83,12 +95,11 @@ def validate_seats(
     )
     dev = devices.select("user", "fingerprint", "device", F.col("status").alias("d_status"))
     act = activations.filter(F.col("status") == "ACTIVE").select("licence", "device").distinct().withColumn("active", F.lit(True))
-    joined = (
-        requests.join(lic, "key_hash", "left")
-        .withColumn("fingerprint", F.trim(F.coalesce("fingerprint", F.lit(""))))
-        .join(dev, ["user", "fingerprint"], "left")
-        .join(act, ["licence", "device"], "left")
-    )
+    # Rows that can match nothing any more (no key, no print, unknown licence) are dealt out instead of meeting under null.
+    asked = requests.withColumn("fingerprint", F.trim(F.coalesce("fingerprint", F.lit("")))).withColumn("__row", F.xxhash64(*requests.columns))
+    joined = _dealt_left_join(asked, lic, ["key_hash"], F.coalesce("key_hash", F.lit("")) == "")
+    joined = _dealt_left_join(joined, dev, ["user", "fingerprint"], F.col("licence").isNull() | (F.col("fingerprint") == ""))
+    joined = _dealt_left_join(joined, act, ["licence", "device"], F.col("device").isNull())
     reason = licence_reject_reason(F.col("l_status"), F.col("starts"), F.col("expires"), moment)
     verdict = (
         F.when(F.coalesce("key_hash", F.lit("")) == "", "no_key")
@@ -129,6 +140,61 @@ def previous_activation(activations: DataFrame, keys: Sequence[str], ended: str,
     return first_row(gone, list(keys), F.struct(ended, tie), largest=True)
 
 
+def activate_seats(
+    requests: DataFrame, activations: DataFrame, order: Sequence[str], limit: Column, new_id: Column,
+) -> dict[str, DataFrame]:
+    """Give seats to a batch of requests; the latest deactivated row of a device opens again before a new one is made.
+
+    requests (seq, licence, device, at), ``seq`` unique; activations (activation, licence, device, status, activated_at,
+    deactivated_at). Verdicts: reused (the device holds a seat, or got one earlier in the batch), reactivated, created,
+    limit, and refused where licence or device is null. ``limit`` and ``new_id`` are columns of the device's first
+    request. Seats held before count, one a row. Returns activations, verdicts and audit; the audit names no refusals.
+    """
+    keys = ["licence", "device"]
+    asked = requests.filter(F.col("licence").isNotNull() & F.col("device").isNotNull())
+    active = activations.filter(F.col("status") == "ACTIVE")
+    holders = active.select(*keys).distinct().withColumn("__holds", F.lit(True))
+    used = active.groupBy("licence").agg(F.count(F.lit(1)).alias("__used"))
+    at = F.struct(*order, "seq")
+    first = asked.groupBy(*keys).agg(
+        F.min(at).alias("__order"), F.min_by(F.struct("seq", "at", limit.alias("limit"), new_id.alias("id")), at).alias("__first")
+    )
+    known = first.join(holders, keys, "left").join(used, "licence", "left").withColumn("__holds", F.coalesce("__holds", F.lit(False)))
+    seats = OrderedGroups(known, ["licence"], [F.col("__order"), F.col("device")])
+    seats = seats.running_sum((~F.col("__holds")).cast("int"), "__seat").df
+    before = previous_activation(activations.filter(F.col("licence").isNotNull()), keys, "deactivated_at", "activation")
+    seats = seats.join(before.select(*keys, F.col("activation").alias("__previous")), keys, "left")
+    given = (
+        F.when(F.col("__holds"), "reused")
+        .when(F.coalesce("__used", F.lit(0)) + F.col("__seat") > F.col("__first.limit"), "limit")
+        .when(F.col("__previous").isNotNull(), "reactivated")
+        .otherwise("created")
+    )
+    seats = seats.withColumn("__given", given)
+    judged = asked.join(seats.select(*keys, "__given", F.col("__first.seq").alias("__seq")), keys)
+    verdict = F.when((F.col("__seq") == F.col("seq")) | (F.col("__given") == "limit"), F.col("__given")).otherwise("reused")
+    verdicts = judged.select(*requests.columns, verdict.alias("verdict"))
+    opened = seats.filter(F.col("__given") == "reactivated").select(F.col("__previous").alias("activation"), F.col("__first.at").alias("__at"))
+    hit = F.col("__at").isNotNull()
+    changed = activations.join(opened, "activation", "left").withColumns({
+        "status": F.when(hit, "ACTIVE").otherwise(F.col("status")),
+        "activated_at": F.when(hit, F.col("__at")).otherwise(F.col("activated_at")),
+        "deactivated_at": F.when(~hit, F.col("deactivated_at")),
+    }).select(*activations.columns)
+    made = seats.filter(F.col("__given") == "created").select(
+        F.col("__first.id").alias("activation"), *keys, F.lit("ACTIVE").alias("status"), F.col("__first.at").alias("activated_at")
+    )
+    action = F.when(F.col("verdict") == "reused", "LICENSE_ACTIVATION_REUSED").otherwise("LICENSE_ACTIVATED")
+    audit = verdicts.filter(F.col("verdict") != "limit").select(
+        "seq", action.alias("action"), F.lit("license").alias("target_type"), F.col("licence").cast("string").alias("target_id"), "at"
+    )
+    refused = requests.filter(F.col("licence").isNull() | F.col("device").isNull()).withColumn("verdict", F.lit("refused"))
+    return {
+        "activations": changed.unionByName(made, allowMissingColumns=True),
+        "verdicts": verdicts.unionByName(refused), "audit": audit,
+    }
+
+
 def current_releases(releases: DataFrame, by: Sequence[str], published: str, tie: str) -> DataFrame:
     """The latest published release per group; drafts and yanked ones never count."""
     live = releases.filter((F.col("status") == "PUBLISHED") & F.col(published).isNotNull())

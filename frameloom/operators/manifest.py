@@ -221,6 +221,38 @@ def live_sessions(sessions: DataFrame) -> DataFrame:
     return sessions.filter(F.col("revoked_at").isNull())
 
 
+def end_sessions(tokens: DataFrame, logouts: DataFrame, reason: str = "logout") -> dict[str, DataFrame]:
+    """Log out: a shown token ends its session, that is every live token of it, whatever its own state.
+
+    tokens (token, session, revoked_at, revoked_reason), logouts (seq, token, at), ``seq`` unique. Of several logouts of a
+    session the first ends it. Every logout gets an outcome row: ``revoked`` tokens and ``ended``; an unknown or null token,
+    and a session without live tokens, give 0 and false. Returns tokens, outcomes and audit (sessions that ended).
+    """
+    at = F.struct("seq", "at")
+    # Only the first showing of a token can end anything, so a token shown often is one row before it meets the table.
+    shown = logouts.filter(F.col("token").isNotNull()).groupBy("token").agg(F.min(at).alias("__shown"))
+    can_end = F.col("revoked_at").isNull() & F.col("session").isNotNull()
+    live = tokens.filter(can_end).groupBy("session").agg(F.count(F.lit(1)).alias("__live"))
+    owned = tokens.filter(F.col("session").isNotNull()).select("token", "session")
+    ended = shown.join(owned, "token").groupBy("session").agg(F.min("__shown").alias("__shown")).join(live, "session")
+    ended = ended.select("session", F.col("__shown.seq").alias("seq"), F.col("__shown.at").alias("__at"), F.col("__live").alias("revoked"))
+    # Tokens already revoked do not move.
+    hit = F.col("__at").isNotNull()
+    open_now = tokens.filter(can_end).join(ended.select("session", "__at"), "session", "left").withColumns({
+        "revoked_at": F.when(hit, F.col("__at")),
+        "revoked_reason": F.when(hit, F.lit(reason)).otherwise(F.col("revoked_reason")),
+    })
+    outcomes = logouts.join(ended.select("seq", "revoked"), "seq", "left").withColumn("revoked", F.coalesce("revoked", F.lit(0)).cast("long"))
+    audit = ended.select(
+        "seq", F.lit("LOGOUT").alias("action"), F.lit("session").alias("target_type"), F.col("session").cast("string").alias("target_id"),
+        F.col("__at").alias("at"),
+    )
+    return {
+        "tokens": open_now.select(*tokens.columns).unionByName(tokens.filter(~can_end)),
+        "outcomes": outcomes.select(*logouts.columns, "revoked", (F.col("revoked") > 0).alias("ended")), "audit": audit,
+    }
+
+
 def deactivate_devices(commands: DataFrame, activations: DataFrame, devices: DataFrame) -> dict[str, DataFrame]:
     """Close one seat each: the active activation of (licence, device), its device and an audit row.
 

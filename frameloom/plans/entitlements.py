@@ -294,6 +294,51 @@ def previous_activation(spark, d):
     return E.previous_activation(act, ["licence", "device"], "deactivated_at", "tie").select("licence", "device", "part", "deactivated_at")
 
 
+# Every seat asks again 60 days later, and the customer of every order asks with a device of their own.
+SEAT_REQUESTS = """acts AS (SELECT concat_ws('-', licence, device, line, part, CAST(round(price * 100) AS BIGINT)) AS activation, licence, device, status, activated_at, deactivated_at FROM activations),
+  asks AS (SELECT concat('again-', activation) AS seq, licence, device, activated_at + INTERVAL 60 DAY AS moment FROM acts
+    UNION ALL SELECT concat('own-', o_orderkey), o_orderkey, -o_custkey, o_orderdate + INTERVAL 90 DAY FROM orders),
+  holders AS (SELECT DISTINCT licence, device FROM acts WHERE status = 'ACTIVE'), used AS (SELECT licence, count(*) AS used FROM acts WHERE status = 'ACTIVE' GROUP BY licence),
+  firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY licence, device ORDER BY moment, seq) AS r FROM asks) WHERE r = 1),
+  seats AS (SELECT f.*, h.device IS NOT NULL AS holds, coalesce(used, 0) AS used, sum(CASE WHEN h.device IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY f.licence ORDER BY f.moment, f.seq) AS seat
+    FROM firsts f LEFT JOIN holders h ON h.licence = f.licence AND h.device = f.device LEFT JOIN used u ON u.licence = f.licence),
+  before AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY licence, device ORDER BY deactivated_at DESC, activation DESC) AS r FROM acts WHERE status = 'DEACTIVATED') WHERE r = 1),
+  given AS (SELECT s.*, b.activation AS previous, CASE WHEN holds THEN 'reused' WHEN used + seat > 4 THEN 'limit' WHEN b.activation IS NOT NULL THEN 'reactivated' ELSE 'created' END AS given
+    FROM seats s LEFT JOIN before b ON b.licence = s.licence AND b.device = s.device)"""
+
+
+def activated(spark, d):
+    act = V.activations(spark, d)
+    name = F.concat_ws("-", "licence", "device", "line", "part", F.round(F.col("price") * 100).cast("long"))
+    acts = act.select(name.alias("activation"), "licence", "device", "status", "activated_at", "deactivated_at")
+    again = acts.select(
+        F.concat(F.lit("again-"), "activation").alias("seq"), "licence", "device", (F.col("activated_at") + F.expr("INTERVAL 60 DAYS")).alias("at")
+    )
+    own = table(spark, d, "orders").select(
+        F.concat(F.lit("own-"), F.col("o_orderkey").cast("string")).alias("seq"), F.col("o_orderkey").alias("licence"), (-F.col("o_custkey")).alias("device"),
+        (F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS")).alias("at"),
+    )
+    return E.activate_seats(again.unionByName(own), acts, ["at"], F.lit(4), F.concat(F.lit("new-"), "seq"))
+
+
+@query(
+    "W9_reactivate_seats",
+    with_views(V.ACTIVATIONS, SEAT_REQUESTS) + """SELECT a.activation, CASE WHEN g.previous IS NULL THEN a.status ELSE 'ACTIVE' END AS status, CASE WHEN g.previous IS NULL THEN a.activated_at ELSE g.moment END AS activated_at,
+      CASE WHEN g.previous IS NULL THEN a.deactivated_at END AS deactivated_at FROM acts a LEFT JOIN given g ON g.previous = a.activation AND g.given = 'reactivated'
+    UNION ALL SELECT concat('new-', seq), 'ACTIVE', moment, NULL FROM given WHERE given = 'created'""",
+)
+def reactivate_seats(spark, d):
+    return activated(spark, d)["activations"].select("activation", "status", "activated_at", "deactivated_at")
+
+
+@query(
+    "W9_activation_verdicts",
+    with_views(V.ACTIVATIONS, SEAT_REQUESTS) + """SELECT a.seq, CASE WHEN g.seq = a.seq OR g.given = 'limit' THEN g.given ELSE 'reused' END AS verdict FROM asks a JOIN given g ON g.licence = a.licence AND g.device = a.device""",
+)
+def activation_verdicts(spark, d):
+    return activated(spark, d)["verdicts"].select("seq", "verdict")
+
+
 RELEASES = "releases AS (SELECT o_orderkey AS release, o_orderpriority AS channel, o_custkey % 3 AS platform, CASE o_orderstatus WHEN 'O' THEN 'PUBLISHED' WHEN 'F' THEN 'DRAFT' ELSE 'YANKED' END AS status, CASE WHEN o_orderstatus <> 'F' THEN o_orderdate END AS published_at, CAST(NULL AS VARCHAR) AS notes FROM orders)"
 
 
@@ -320,6 +365,41 @@ def revoked_counts(spark, d):
     return M.revoked_counts(tokens(spark, d), "user_id", "revoked_at", commands)
 
 
+# A login is a user's day; every error is answered with a logout, some with a token that was never given out.
+LOGOUTS = """sess AS (SELECT event_id AS token, user_id * 1000 + dayofyear(ts) AS session, revoked_at FROM toks JOIN events USING (event_id, user_id)),
+  logouts AS (SELECT event_id AS seq, CASE WHEN event_id % 7 = 0 THEN -1 - event_id ELSE event_id END AS token, ts AS moment FROM events WHERE event_type = 'error'),
+  firsts AS (SELECT session, min(seq) AS seq, arg_min(moment, seq) AS moment FROM logouts JOIN sess USING (token) GROUP BY session),
+  live AS (SELECT session, count(*) AS n FROM sess WHERE revoked_at IS NULL GROUP BY session)"""
+
+
+def logged_out(spark, d):
+    events = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    shown = F.when(F.col("event_id") % 7 == 0, -1 - F.col("event_id")).otherwise(F.col("event_id"))
+    logouts = events.filter("event_type = 'error'").select(F.col("event_id").alias("seq"), shown.alias("token"), F.col("ts").alias("at"))
+    session = (F.col("user_id") * 1000 + F.dayofyear("ts")).alias("session")
+    sess = events.select(
+        F.col("event_id").alias("token"), session, F.when(F.col("event_id") % 3 == 0, F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("revoked_at")
+    )
+    return M.end_sessions(sess.withColumn("revoked_reason", F.when(F.col("revoked_at").isNotNull(), "rotated")), logouts)
+
+
+@query(
+    "A17_session_logout",
+    with_views(TOKENS, LOGOUTS) + """SELECT s.token, coalesce(s.revoked_at, f.moment) AS revoked_at, CASE WHEN s.revoked_at IS NOT NULL THEN 'rotated' WHEN f.seq IS NOT NULL THEN 'logout' END AS revoked_reason
+    FROM sess s LEFT JOIN firsts f USING (session)""",
+)
+def session_logout(spark, d):
+    return logged_out(spark, d)["tokens"].select("token", "revoked_at", "revoked_reason")
+
+
+@query(
+    "A17_logout_outcome",
+    with_views(TOKENS, LOGOUTS) + """SELECT l.seq, coalesce(n, 0)::BIGINT AS revoked, coalesce(n, 0) > 0 AS ended FROM logouts l LEFT JOIN firsts f ON f.seq = l.seq LEFT JOIN live USING (session)""",
+)
+def logout_outcome(spark, d):
+    return logged_out(spark, d)["outcomes"].select("seq", "revoked", "ended")
+
+
 # -- sequences ----------------------------------------------------------------------------------- #
 LIMITER = """hits AS (SELECT {key} AS key, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n, {reset} AS reset FROM events),
   walk AS (SELECT key, 0::BIGINT AS n, 0::BIGINT AS cnt, NULL::DOUBLE AS start, NULL::BIGINT AS event_id, NULL::DOUBLE AS t FROM (SELECT DISTINCT key FROM hits)

@@ -177,7 +177,28 @@ def spread_budget(spark, d):
     return L.spread_budget(kinds(spark, d), ["project"], "kind", "photos").select("project", "kind", "per_spread")
 
 
-@query("C9_pace_counts")
+# One photo moves a step: first to the empty spreads from the fullest, then from the overfull to the emptiest.
+PACED = """budget AS (SELECT project, coalesce(sum(photos) FILTER (kind <> 'cover'), 0) AS t FROM kinds GROUP BY project),
+  base AS (SELECT project, kind, CAST(photos AS BIGINT) AS t, CAST(CASE WHEN kind = 'cover' THEN 1 ELSE greatest(CASE kind WHEN 'portraits' THEN 2 WHEN 'family' THEN 4 ELSE 3 END, CASE WHEN b.t <= 0 THEN 3 ELSE greatest(2, ceil(b.t / 24)) END) END AS BIGINT) AS p
+    FROM kinds JOIN budget b USING (project) WHERE photos > 0),
+  sections AS (SELECT *, CAST(ceil(t / p) AS BIGINT) AS n FROM base),
+  spreads AS (SELECT *, p > 1 AND n >= 3 AND n * 6 >= t AS paced FROM sections, unnest(range(0, n)) AS u(spread)),
+  raw AS (SELECT *, w * (t / sum(w) OVER (PARTITION BY project, kind)) AS r FROM (SELECT *, [1.35e0, 1e0, 1.3e0, 0.35e0][spread % 4 + 1] AS w FROM spreads WHERE paced)),
+  dealt AS (SELECT *, row_number() OVER (PARTITION BY project, kind ORDER BY round(r - floor(r), 9) DESC, spread) AS place, t - sum(floor(r)) OVER (PARTITION BY project, kind) AS short FROM raw),
+  starts AS (SELECT project, kind, list(CAST(floor(r) AS BIGINT) + CASE WHEN place <= short THEN 1 ELSE 0 END ORDER BY spread) AS c FROM dealt GROUP BY project, kind),
+  moves AS (SELECT project, kind, c, 0 AS step FROM starts
+    UNION ALL SELECT project, kind, [x + CASE WHEN i = gain THEN 1 ELSE 0 END - CASE WHEN i = loss THEN 1 ELSE 0 END FOR x, i IN c], step + 1
+    FROM (SELECT *, CASE WHEN list_min(c) < 1 THEN list_position(c, 0) ELSE list_position(c, list_min(c)) END AS gain,
+        CASE WHEN list_min(c) < 1 THEN list_position(c, list_max(c)) ELSE list_position([x > 6 FOR x IN c], true) END AS loss
+      FROM moves WHERE (list_min(c) < 1 AND list_max(c) > 1) OR (list_min(c) >= 1 AND list_min(c) < 6 AND list_max(c) > 6))),
+  done AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, kind ORDER BY step DESC) AS last FROM moves) WHERE last = 1)"""
+
+
+@query(
+    "C9_pace_counts",
+    with_views(V.ALBUM, TOTALS, PACED).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT project, kind, spread, least(p, t - spread * p) AS photos FROM spreads WHERE NOT paced
+    UNION ALL SELECT project, kind, unnest(range(0, len(c))) AS spread, unnest(c) AS photos FROM done""",
+)
 def pace_counts(spark, d):
     k = L.spread_budget(kinds(spark, d), ["project"], "kind", "photos")
     return L.pace_counts(k, ["project", "kind"], "photos", "per_spread", 6)

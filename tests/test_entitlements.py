@@ -88,3 +88,92 @@ def test_running_balance_hot(spark, hot):
         total[u] = total.get(u, 0) + i * (-1) ** i
         want[i] = total[u]
     assert got == want
+
+
+ACTIVATIONS = "activation string, licence int, device string, status string, activated_at int, deactivated_at int"
+
+
+def test_activation_against_a_loop(spark, hot):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(120):
+        status = rnd.choice(["ACTIVE", "DEACTIVATED", "DEACTIVATED", "REVOKED"])
+        ended = rnd.randrange(9) if status == "DEACTIVATED" else None
+        rows.append((f"a{i:03}", rnd.choice([1, 1, 2, 3, None]), rnd.choice([*"abcdefgh", None]), status, i, ended))
+    asks = [(i, rnd.choice([1, 1, 2, 3, 4, None]), rnd.choice([*"abcdefghijk", None]), 1000 + rnd.randrange(50)) for i in range(200)]
+    table = {r[0]: list(r) for r in rows}
+    want = {}
+    for seq, licence, device, at in sorted(asks, key=lambda r: (r[3], r[0])):
+        mine = [r for r in table.values() if r[1] == licence and r[2] == device]
+        gone = [r for r in mine if r[3] == "DEACTIVATED"]
+        if licence is None or device is None:
+            want[seq] = "refused"
+        elif any(r[3] == "ACTIVE" for r in mine):
+            want[seq] = "reused"
+        elif sum(r[1] == licence and r[3] == "ACTIVE" for r in table.values()) >= 12:
+            want[seq] = "limit"
+        elif gone:
+            max(gone, key=lambda r: (r[5], r[0]))[3:] = ["ACTIVE", at, None]
+            want[seq] = "reactivated"
+        else:
+            table[f"n{seq}"] = [f"n{seq}", licence, device, "ACTIVE", at, None]
+            want[seq] = "created"
+    requests = spark.createDataFrame(asks, "seq int, licence int, device string, at int")
+    new_id = F.concat(F.lit("n"), F.col("seq").cast("string"))
+    out = E.activate_seats(requests, spark.createDataFrame(rows, ACTIVATIONS), ["at"], F.lit(12), new_id)
+    assert {r.seq: r.verdict for r in out["verdicts"].collect()} == want
+    assert set(want.values()) == {"refused", "reused", "limit", "reactivated", "created"}
+    assert sorted(map(tuple, out["activations"].collect()), key=repr) == sorted(map(tuple, table.values()), key=repr)
+    told = [r for r in out["audit"].collect()]
+    assert len(told) == sum(v not in ("limit", "refused") for v in want.values())
+
+
+def test_activation_of_empty_tables(spark):
+    requests = spark.createDataFrame([], "seq int, licence int, device string, at int")
+    out = E.activate_seats(requests, spark.createDataFrame([], ACTIVATIONS), ["at"], F.lit(1), F.lit("n"))
+    assert all(not part.collect() for part in out.values())
+
+
+def test_logout_against_a_loop(spark):
+    from frameloom.operators import manifest as M
+
+    rnd = random.Random(9)
+    rows = [
+        (f"t{i}", rnd.choice([1, 1, 2, 3, 4, None]), rnd.choice([None, None, 5]), None) for i in range(60)
+    ] + [("gone", 9, 5, "rotated"), ("lone", None, None, None), (None, 2, None, None)]
+    rows = [(t, s, at, "rotated" if at else None) for t, s, at, _ in rows]
+    shown = ["gone", "lone", "nobody", None, *(f"t{rnd.randrange(60)}" for _ in range(12))]
+    logouts = [(i, t, 100 + i) for i, t in enumerate(shown)]
+    state = {i: list(r) for i, r in enumerate(rows)}
+    want = {}
+    for seq, token, at in logouts:
+        session = next((r[1] for r in rows if token is not None and r[0] == token), None)
+        hit = [r for r in state.values() if session is not None and r[1] == session and r[2] is None]
+        for r in hit:
+            r[2:] = [at, "logout"]
+        want[seq] = (len(hit), bool(hit))
+    tokens = spark.createDataFrame(rows, "token string, session int, revoked_at int, revoked_reason string")
+    out = M.end_sessions(tokens, spark.createDataFrame(logouts, "seq int, token string, at int"))
+    assert {r.seq: (r.revoked, r.ended) for r in out["outcomes"].collect()} == want
+    assert sorted(map(tuple, out["tokens"].collect()), key=repr) == sorted(map(tuple, state.values()), key=repr)
+    assert sorted(r.seq for r in out["audit"].collect()) == sorted(s for s, (n, _) in want.items() if n)
+
+
+def test_requests_without_a_partner_are_dealt(spark):
+    requests = spark.range(20000).select(
+        F.col("id").alias("request"), F.lit(1).alias("user"), F.when(F.col("id") % 2 == 0, "nokey").alias("key_hash"), F.lit(" ").alias("fingerprint")
+    )
+    lic = spark.createDataFrame([("k", 1, 1, "ACTIVE", 0, 9)], "key_hash string, licence int, owner int, status string, starts int, expires int")
+    dev = spark.createDataFrame([(1, "fp", 1, "ACTIVE")], "user int, fingerprint string, device int, status string")
+    act = spark.createDataFrame([(1, 1, "ACTIVE")], "licence int, device int, status string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = E.validate_seats(requests, lic, dev, act, F.lit(5))
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    verdicts = {r.verdict: r["count"] for r in out.groupBy("verdict").count().collect()}
+    assert verdicts == {"unknown_key": 10000, "no_key": 10000}
+    assert len(sizes) > 1 and max(sizes) < 2 * 20000 / len(sizes)
