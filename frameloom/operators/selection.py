@@ -302,10 +302,26 @@ def sticky_edits(
     return ranked(joined, by, order).select(*by, "pos", "path")
 
 
-def _section(df: DataFrame, by: list[str], n: int, name: str, path: str, order: list[Column], hot: HotGroups) -> DataFrame:
-    return ranked(df, by, order, hot=hot).select(
-        *by, F.lit(n).alias("ordinal"), F.lit(name).alias("section"), "pos", F.col(path).alias("path")
-    )
+def _told(df: DataFrame, by: list[str], path: str, score: str, time: str, sections: Sequence[tuple]) -> DataFrame:
+    """Every row once for each section that wants it; a section is (ordinal, name, test, whether time orders it)."""
+    moment = df.schema[time].dataType
+    wanted = [
+        F.when(test, F.struct(
+            F.lit(n).alias("ordinal"), F.lit(name).alias("section"),
+            F.when(F.lit(not timed), F.coalesce(F.col(score), F.lit(0.0))).cast("double").alias("__q"),
+            F.when(F.lit(timed), F.col(time)).cast(moment).alias("__t"),
+        ))
+        for n, name, test, timed in sections
+    ]
+    return df.select(*by, F.col(path).alias("path"), F.inline(F.array_compact(F.array(*wanted))))
+
+
+def _in_sections(told: Sequence[DataFrame], by: list[str], any_hot: bool) -> DataFrame:
+    """(by, ordinal, section, pos, path): places in all sections by one ordering."""
+    order = [F.col("__q").desc_nulls_first(), F.col("__t").asc_nulls_first(), F.col("path")]
+    rows = reduce(DataFrame.unionByName, told)
+    placed = ranked(rows, [*by, "ordinal", "section"], order, hot=None if any_hot else HotGroups(None, False))
+    return placed.select(*by, "ordinal", "section", "pos", "path")
 
 
 def story(
@@ -313,20 +329,20 @@ def story(
 ) -> DataFrame:
     """Sections of an album without known people, as (by, ordinal, section, pos, path)."""
     by = list(by)
-    q, t = quality_order(score, path), time_order(time, path)
     front = cover(pool, by, path, score, best, faces)
-    # Measured once: every section is a part of the pool, and the short ones are cut already.
-    hot, short = hot_groups(pool, by), []
-    faces_on = F.coalesce(F.col(face_count), F.lit(0))
-    parts = [
-        _section(front, by, 0, "Cover", path, q, short),
-        _section(highlights(pool, by, path, score, best, front), by, 1, "Highlights", path, q, short),
-        _section(pool, by, 2, "Ceremony", path, t, hot),
-        _section(pool.filter(faces_on >= FAMILY_FACES), by, 3, "Family", path, q, hot),
-        _section(pool.filter(faces_on == PORTRAIT_FACES), by, 4, "Portraits", path, q, hot),
-        _section(closing(pool, by, time, path), by, 5, "Closing", path, t, short),
+    every, faces_on = F.lit(True), F.coalesce(F.col(face_count), F.lit(0))
+    long = [
+        (2, "Ceremony", every, True), (3, "Family", faces_on >= FAMILY_FACES, False),
+        (4, "Portraits", faces_on == PORTRAIT_FACES, False),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    told = [
+        _told(pool, by, path, score, time, long),
+        _told(front, by, path, score, time, [(0, "Cover", every, False)]),
+        _told(highlights(pool, by, path, score, best, front), by, path, score, time, [(1, "Highlights", every, False)]),
+        _told(closing(pool, by, time, path), by, path, score, time, [(5, "Closing", every, True)]),
+    ]
+    # Every section is a part of the pool, so without a hot group there no section needs to be counted.
+    return _in_sections(told, by, bool(hot_groups(pool, by)))
 
 
 # The person sections of an album with known people.
@@ -343,24 +359,22 @@ PERSON_SECTIONS = (
 def story_with_people(pool: DataFrame, by: Sequence[str], path: str, score: str, time: str, present: str) -> DataFrame:
     """Sections of an album with labelled people; highlights draw on every photo by quality."""
     by = list(by)
-    q, t = quality_order(score, path), time_order(time, path)
     couple = has_all(F.col(present), F.lit(["bride", "groom"]))
     key = F.struct((~couple).cast("int").alias("c"), (-F.coalesce(F.col(score), F.lit(0.0))).alias("q"), F.col(path).alias("p"))
     front = first_row(pool, by, key)
-    hot, short = hot_groups(pool, by), []
+    hot = hot_groups(pool, by)
     people = rule_sections(pool, PERSON_SECTIONS, by, path, score, present, hot=hot).withColumn(
         "ordinal", F.col("ordinal") + 1
     )
-    rest = top_n(pool.join(front.select(*by, path), [*by, path], "left_anti"), by, q, HIGHLIGHTS)
-    n = len(PERSON_SECTIONS)
-    parts = [
-        _section(front, by, 0, "Cover", path, q, short),
-        people,
-        _section(rest, by, n + 1, "Highlights", path, q, short),
-        _section(pool, by, n + 2, "Ceremony", path, t, hot),
-        _section(closing(pool, by, time, path), by, n + 3, "Closing", path, t, short),
+    rest = top_n(pool.join(front.select(*by, path), [*by, path], "left_anti"), by, quality_order(score, path), HIGHLIGHTS)
+    n, every = len(PERSON_SECTIONS), F.lit(True)
+    told = [
+        _told(pool, by, path, score, time, [(n + 2, "Ceremony", every, True)]),
+        _told(front, by, path, score, time, [(0, "Cover", every, False)]),
+        _told(rest, by, path, score, time, [(n + 1, "Highlights", every, False)]),
+        _told(closing(pool, by, time, path), by, path, score, time, [(n + 3, "Closing", every, True)]),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return _in_sections(told, by, bool(hot)).unionByName(people)
 
 
 def all_photos(sections: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -58,3 +58,25 @@ def test_fold_sorted_keeps_state_across_batches(spark, rows):
         assert {tuple(r) for r in out.collect()} == {tuple(r) for r in want.select("g", "i", "n").collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_story_places_hot_groups_alike(spark, monkeypatch):
+    from frameloom.operators import ordered
+    from frameloom.operators import selection as sel
+
+    pool = spark.range(400).select(
+        F.when(F.col("id") % 40 != 0, F.col("id") % 3).alias("project"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"),
+        F.when(F.col("id") % 7 != 0, (F.col("id") * 37 % 101).cast("double")).alias("quality"),
+        F.when(F.col("id") % 11 != 0, F.col("id") * 53 % 97).alias("taken"), (F.col("id") % 5 == 0).alias("best"),
+        (F.col("id") % 2 == 0).alias("faces"), (F.col("id") % 6).alias("n"),
+    )
+    told = []
+    for limit in (10**9, 40):
+        monkeypatch.setattr(ordered, "HOT_ROWS", limit)
+        rows = sel.story(pool, ["project"], "path", "quality", "taken", "best", "faces", "n").collect()
+        told.append(sorted(map(tuple, rows), key=repr))
+    assert told[0] == told[1]
+    for section in ("Ceremony", "Family", "Portraits", "Closing", "Highlights", "Cover"):
+        assert any(r[2] == section for r in told[0])
+    for project in (0, 1, 2, None):
+        assert sorted(r[3] for r in told[0] if r[0] == project and r[2] == "Ceremony") == list(range(pool.filter(F.col("project").eqNullSafe(F.lit(project))).count()))
