@@ -72,6 +72,16 @@ def _first_choice(difference: Column, bands: Column, distance: int) -> Column:
     return F.element_at(F.lit(table), agreed + 1)
 
 
+def _dealt(side: DataFrame) -> DataFrame:
+    """Hashes over all tasks ahead of their explosion: their table is small and would be read by one."""
+    return side.repartition(int(side.sparkSession.conf.get("spark.sql.shuffle.partitions")), "hash")
+
+
+def _merged(side: DataFrame) -> DataFrame:
+    """To the planner exploded rows are as small as the table they come from; it would broadcast them."""
+    return side.hint("merge")
+
+
 def hamming_join(
     left: DataFrame,
     right: DataFrame,
@@ -95,8 +105,8 @@ def hamming_join(
         return _flip_join(left, right, distance, bits, bucket_pairs)
     if distance >= BANDS:
         return _cells(left, right, distance)
-    a = left.select(F.col("hash").alias("a"))
-    b = right.select(F.col("hash").alias("b"))
+    a = _dealt(left).select(F.col("hash").alias("a"))
+    b = _dealt(right).select(F.col("hash").alias("b"))
     return _meet(a, b, [], bits, distance, bucket_pairs).select("a", "b", "distance")
 
 
@@ -109,13 +119,16 @@ def _meet(a: DataFrame, b: DataFrame, keys: list[str], bits: int, distance: int,
         rows, ", ".join([*(f"{p} int" for p in path), f"{bands} array<long>"])
     )
 
+    # Above the first split the bands are the same for all rows, and no row carries them.
+    masked = F.col(bands) if path else F.lit(rows[0][0])
+
     def spread(df: DataFrame, value: str) -> DataFrame:
-        wide = df.join(F.broadcast(table), path) if path else df.withColumn(bands, F.lit(rows[0][0]))
+        wide = df.join(F.broadcast(table), path) if path else df
         masks = []
         for chosen in _choices(distance):
             mask = F.lit(0).cast("long")
             for i in chosen:
-                mask = mask.bitwiseOR(F.col(bands)[i])
+                mask = mask.bitwiseOR(masked[i])
             masks.append(mask)
         return (
             wide.select("*", F.posexplode(F.array(*masks)).alias(choice, "__mask"))
@@ -127,7 +140,7 @@ def _meet(a: DataFrame, b: DataFrame, keys: list[str], bits: int, distance: int,
     on = [*keys, choice, bucket]
     load = (
         a.groupBy(*on).agg(F.count(F.lit(1)).alias("na"))
-        .join(b.groupBy(*on).agg(F.count(F.lit(1)).alias("nb")), on)
+        .join(_merged(b.groupBy(*on).agg(F.count(F.lit(1)).alias("nb"))), on)
         .filter(F.col("na") * F.col("nb") > limit)
         .select(*on)
     )
@@ -140,18 +153,18 @@ def _meet(a: DataFrame, b: DataFrame, keys: list[str], bits: int, distance: int,
         return (
             pairs.withColumn("distance", F.bit_count(difference).cast("long"))
             .filter(F.col("distance") <= distance)
-            .filter(F.col(choice) == _first_choice(difference, F.col(bands), distance))
+            .filter(F.col(choice) == _first_choice(difference, masked, distance))
             .select("a", "b", "distance", *keys)
         )
 
-    found = near(plain.join(b, on))
+    found = near(plain.join(_merged(b), on))
     if busy is None:
         return found
     if depth == DEPTH:
         # What is left open tells too few apart to split further: one side is dealt to salts, the other copied.
         left = a.join(busy, on, "left_semi").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
         right = b.join(busy, on, "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return found.unionByName(near(left.join(right, [*on, "salt"])))
+        return found.unionByName(near(left.join(_merged(right), [*on, "salt"])))
     crowded_a = a.join(busy, on, "left_semi").drop(bands)
     crowded_b = b.join(busy, on, "left_semi")
     here = table.withColumnRenamed(bands, "__here")
@@ -194,8 +207,8 @@ def _flip_join(left: DataFrame, right: DataFrame, distance: int, bits: int, limi
         ways = [way(band) for band in range(FLIP_BANDS)]
         return df.select(F.col("hash").alias(value)).select(value, F.inline(F.concat(*ways)))
 
-    a = offered(left, "a", "u", [(r + 1) // 2 for r in radii])
-    b = offered(right, "b", "v", [r // 2 for r in radii])
+    a = offered(_dealt(left), "a", "u", [(r + 1) // 2 for r in radii])
+    b = offered(_dealt(right), "b", "v", [r // 2 for r in radii])
     on = ["band", "key"]
     u, v, difference = F.col("u"), F.col("v"), F.col("a").bitwiseXOR(F.col("b"))
     half = (u.bitwiseAND(v) == 0) & (F.bit_count(u) - F.bit_count(v)).isin(0, 1) & ((v == 0) | (u < v.bitwiseAND(-v)))
@@ -207,13 +220,13 @@ def _flip_join(left: DataFrame, right: DataFrame, distance: int, bits: int, limi
         found = pairs.where(half & first).withColumn("distance", F.bit_count(difference).cast("long"))
         return found.where(F.col("distance") <= distance).select("a", "b", "distance")
 
-    sizes = a.groupBy(*on).agg(F.count(F.lit(1)).alias("na")).join(b.groupBy(*on).agg(F.count(F.lit(1)).alias("nb")), on)
+    sizes = a.groupBy(*on).agg(F.count(F.lit(1)).alias("na")).join(_merged(b.groupBy(*on).agg(F.count(F.lit(1)).alias("nb"))), on)
     busy = cut(sizes.where(F.col("na") * F.col("nb") > limit).select(*on))
     if not busy.take(1):
-        return near(a.join(b, on))
+        return near(a.join(_merged(b), on))
     one = a.join(busy, on, "left_semi").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
     two = b.join(busy, on, "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return near(a.join(busy, on, "left_anti").join(b, on)).unionByName(near(one.join(two, [*on, "salt"])))
+    return near(a.join(busy, on, "left_anti").join(_merged(b), on)).unionByName(near(one.join(_merged(two), [*on, "salt"])))
 
 
 def _cells(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:

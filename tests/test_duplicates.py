@@ -56,6 +56,15 @@ def test_join_is_exact(spark, data, distance, limit):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("distance", [5, 10])
+def test_exploded_hashes_are_not_broadcast(spark, data, tmp_path, distance):
+    spark.createDataFrame([(h,) for h in sorted({h for _, h in data})], "hash long").write.parquet(str(tmp_path / "hashes"))
+    side = spark.read.parquet(str(tmp_path / "hashes"))  # a file of known, small size
+    joined = D.hamming_join(side, side, distance)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 @pytest.mark.parametrize("first_pass", [10**6, 60])
 def test_groups_equal_the_sequential_rule(frame, data, first_pass):
     got = {r.path: r.representative for r in D.near_duplicate_groups(frame, "path", "hash", 5, first_pass=first_pass).collect()}
