@@ -11,8 +11,7 @@ from frameloom.streaming import keyed, run
 
 
 def events_stream(spark, d):
-    schema = table(spark, d, "events").schema
-    rows = run.file_stream(spark, d, "events.parquet", schema)
+    rows = run.table_stream(table(spark, d, "events"), d, "events.parquet")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -104,11 +103,10 @@ def sessions(spark, d):
 
 @query("ST7_incremental_analysis", "SELECT source AS namespace, CAST(doc_id AS VARCHAR) AS path, n_chars AS size, len(string_split(text, ' ')) AS words FROM documents")
 def incremental(spark, d):
-    schema = table(spark, d, "documents").schema
     place = scratch_dir(spark, "analysis")
 
     def files():
-        docs = run.file_stream(spark, d, "documents.parquet", schema)
+        docs = run.table_stream(table(spark, d, "documents"), d, "documents.parquet")
         return docs.select(
             F.col("source").alias("namespace"), F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"),
             F.lit(0).cast("long").alias("mtime_s"), "text",

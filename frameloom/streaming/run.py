@@ -24,6 +24,14 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_pe
     )
 
 
+def table_stream(table: DataFrame, folder: str, name: str) -> DataFrame:
+    """``table``, read from ``name`` in ``folder``, as a stream, be it one file or a folder of files; a stream reads folders only."""
+    spark, folder = table.sparkSession, folder.rstrip("/")
+    if any(file.endswith(f"/{name}") for file in table.inputFiles()):
+        return file_stream(spark, folder, name, table.schema)
+    return file_stream(spark, f"{folder}/{name}", "*", table.schema)
+
+
 def drain(stream: DataFrame, label: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Process everything available into a parquet table in the shared folder and read it back."""
     spark = stream.sparkSession

@@ -85,3 +85,19 @@ def test_only_new_or_changed_files_are_analysed(spark, tmp_path):
     go([("q", "a", 1, 1), ("q", "b", 2, 1), ("q", "c", 1, 1)], "second")
     assert seen == [("a", 1), ("b", 1), ("b", 2), ("c", 1)]
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 4
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_a_table_is_one_file_or_a_folder_of_files(spark, tmp_path, folder):
+    import pandas as pd
+
+    from frameloom.plans import QUERIES
+
+    rows = pd.DataFrame({"doc_id": [1, 2, 3], "text": ["a b", "c", ""], "lang": "en", "source": "s", "n_chars": [3, 1, 0]})
+    place = tmp_path / "documents.parquet"
+    if folder:
+        place.mkdir()
+    for n in range(3 if folder else 1):
+        (rows[n:n + 1] if folder else rows).to_parquet(place / f"part-{n}.parquet" if folder else place, index=False)
+    got = QUERIES["ST7_incremental_analysis"](spark, str(tmp_path)).collect()
+    assert sorted((r.path, r["size"], r.words) for r in got) == [("1", 3, 2), ("2", 1, 1), ("3", 0, 1)]
