@@ -29,7 +29,8 @@ def pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
 
 
 def luma(bgr: np.ndarray) -> np.ndarray:
-    return np.rint(bgr @ np.array([0.114, 0.587, 0.299]))
+    # Summed blue first, pixel by pixel: a matrix product may add in another order, and halves then round apart.
+    return np.rint(0.114 * bgr[..., 0] + 0.587 * bgr[..., 1] + 0.299 * bgr[..., 2])
 
 
 def laplacian_variance(gray: np.ndarray) -> float:

@@ -170,3 +170,10 @@ def test_scrubbing(spark):
     assert out["Token"] == "[redacted]" and out["list"][0]["my_secret"] == "[redacted]"
     assert out["list"][0]["ok"].endswith("…[truncated]") and len(out["list"][0]["ok"]) == 2012
     assert out["a"]["b"]["c"]["d"]["e"]["f"] == {"g": "[redacted]"}
+
+
+def test_halves_of_luma_round_as_the_sum_from_blue_to_red():
+    tied = [(0, 20, 240), (0, 110, 70), (1, 98, 140), (2, 16, 120)]
+    bgr = np.array(tied * 16, np.uint8).reshape(8, 8, 3)
+    want = [round(0.114 * b + 0.587 * g + 0.299 * r) for b, g, r in tied]
+    assert images.luma(bgr).reshape(-1).tolist() == want * 16
