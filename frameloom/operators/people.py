@@ -301,7 +301,9 @@ def _pair_cells(df, by, key, vector, label, block_rows, histogram):
                 near = np.rint(values * 1000).astype("int64")
                 reach = np.where(values <= near / 1000.0, near, near + 1)
                 for name, marks in (("reach", reach), ("candidate", near)):
-                    at, n = np.unique(marks, return_counts=True)
+                    n = np.bincount(marks)  # distances lie in 0..2
+                    at = np.flatnonzero(n)
+                    n = n[at]
                     out.append(pd.DataFrame({"kind": kind, "mark": name, "milli": at, "n": n}))
             out = pd.concat(out)
             names = ["kind", "mark", "milli", "n"]
