@@ -13,6 +13,8 @@ from frameloom.operators.entitlements import POLICY, flush_fold, limiter_fold, s
 
 #: Counters are swept when idle for an hour; seats, sessions and usage totals when idle for half a year.
 IDLE_MS, KEPT_MS = 3_600_000, 183 * 86_400_000
+#: Rows of a key that are Python objects at one time; the rest of a batch waits in arrays.
+FOLD_ROWS = 50_000
 
 
 def stateful(
@@ -22,7 +24,7 @@ def stateful(
     """Fold the rows of every key over a stream, micro-batch by micro-batch, in order inside each.
 
     ``fold`` is that of the batch operator. State is one small JSON text a key; the state of a key that stays quiet for
-    ``idle_ms`` behind the watermark of ``time`` is swept.
+    ``idle_ms`` behind the watermark of ``time`` is swept. A busy key is sorted as arrays and folded ``FOLD_ROWS`` at a time.
     """
     import pandas as pd
 
@@ -33,17 +35,22 @@ def stateful(
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(batches)).sort_values(order)
-        columns = {n: pdf[n].tolist() for n in pdf.columns}
-        out = [[None] * len(pdf) for _ in results]
-        kept = fold(columns, 0, len(pdf), json.loads(state.get[0]) if state.exists else None, out)
+        # All rows have the same key, so it is left out until a part is folded.
+        pdf = pd.concat([b.drop(columns=key) for b in batches], ignore_index=True)
+        pdf = pdf.sort_values(order, ignore_index=True)
+        kept = json.loads(state.get[0]) if state.exists else None
+        for at in range(0, len(pdf), FOLD_ROWS):
+            part = pdf[at : at + FOLD_ROWS]
+            columns = {key: [group[0]] * len(part), **{n: part[n].tolist() for n in part.columns}}
+            out = [[None] * len(part) for _ in results]
+            kept = fold(columns, 0, len(part), kept, out)
+            yield pd.DataFrame({**{n: columns[n] for n in carried}, **{n: o for (n, _), o in zip(results, out)}})
         if kept is not None:
             state.update((json.dumps(kept),))
             last = int(pdf[time].max().value // 1_000_000)
             state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({**{n: columns[n] for n in carried}, **{n: o for (n, _), o in zip(results, out)}})
 
     return rows.groupBy(key).applyInPandasWithState(run, schema, "kept string", "append", GroupStateTimeout.EventTimeTimeout)
 

@@ -101,3 +101,19 @@ def test_a_table_is_one_file_or_a_folder_of_files(spark, tmp_path, folder):
         (rows[n:n + 1] if folder else rows).to_parquet(place / f"part-{n}.parquet" if folder else place, index=False)
     got = QUERIES["ST7_incremental_analysis"](spark, str(tmp_path)).collect()
     assert sorted((r.path, r["size"], r.words) for r in got) == [("1", 3, 2), ("2", 1, 1), ("3", 0, 1)]
+
+
+def test_a_busy_key_is_folded_in_parts(spark, tmp_path):
+    spark.range(120_000).selectExpr("'k' AS key", "id AS ord", "timestamp_micros(1700000000000000 + id * 1000) AS ts").coalesce(1).write.parquet(str(tmp_path / "hits"))
+    rows = run.file_stream(spark, str(tmp_path / "hits"), "*.parquet", "key string, ord long, ts timestamp").withWatermark("ts", "1 minute")
+
+    def fold(columns, start, stop, state, out):
+        n = state or 0
+        for i in range(start, stop):
+            assert columns["ord"][i] == n  # in order over all parts
+            out[0][i], n = stop, n + 1
+        return n
+
+    out = keyed.stateful(rows, "key", ["ts", "ord"], fold, [("held", "long")], ["key", "ord"], "ts")
+    got = run.drain(out, "parts").agg(F.count("key"), F.countDistinct("ord"), F.max("held")).first()
+    assert tuple(got) == (120_000, 120_000, keyed.FOLD_ROWS)
