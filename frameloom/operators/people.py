@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from frameloom.functions.scalar import role_tokens
 from frameloom.functions.vectors import cosine_distance, norm, unit
-from frameloom.operators import pivots
 from frameloom.operators.blocks import BLOCK_ROWS, per_cell
 from frameloom.operators.ordered import OrderedGroups
 from frameloom.session import cut
@@ -60,8 +59,35 @@ def cosine_pairs(df: DataFrame, by: Sequence[str], key: str, vector: str, limit:
 
 
 # -- clusters ------------------------------------------------------------------ #
+# What one task merges to the end: clusters of a group, and rows of either side of a cell of the search among more.
+TASK_ROWS, CELL_ROWS = 64_000, 16_000
+TILE_CELLS = 4_000_000
+
+
+def _nearest_rows(asking, means, own):
+    """Nearest row of ``means`` to every row of ``asking`` and its distance, tile by tile; the first of equals.
+
+    ``own`` is the place of the asking row itself among ``means``, or -1.
+    """
+    import numpy as np
+
+    near, apart = np.zeros(len(asking), dtype=int), np.full(len(asking), np.inf)
+    step = max(1, TILE_CELLS // max(1, len(means)))
+    for i in range(0, len(asking), step):
+        like = asking[i : i + step] @ means.T
+        at, mine = np.arange(len(like)), own[i : i + step]
+        like[at[mine >= 0], mine[mine >= 0]] = -np.inf
+        near[i : i + step] = np.argmax(like, axis=1)
+        apart[i : i + step] = 1.0 - like[at, near[i : i + step]]
+    return near, apart
+
+
 def _finished(active: DataFrame, by: list[str], limit: float, key_type: str) -> DataFrame:
-    """(by, cluster, into): average linkage to its end in groups that one task holds, by their matrix."""
+    """(by, cluster, into): average linkage to its end in groups that one task holds.
+
+    A cluster keeps its nearest one until either of them is merged: a mean distance to a merged cluster is
+    never below the smaller of the distances to its parts.
+    """
     import numpy as np
     import pandas as pd
 
@@ -71,23 +97,30 @@ def _finished(active: DataFrame, by: list[str], limit: float, key_type: str) ->
         pdf = pdf.sort_values("cluster")
         keys, size, mean = pdf["cluster"].to_numpy(), pdf["size"].to_numpy().astype(float), _matrix(pdf, "mean")
         own = np.arange(len(keys))
-        live = own
+        near, apart = np.zeros(len(keys), dtype=int), np.full(len(keys), np.inf)
+        live = asking = own
         while len(live) > 1:
-            gap = 1.0 - mean[live] @ mean[live].T
-            np.fill_diagonal(gap, np.inf)
-            near = np.argmin(gap, axis=1)  # of equals the smaller key, as rows are in key order
-            at = np.arange(len(live))
-            pairs = np.flatnonzero((near[near] == at) & (at < near) & (gap[at, near] <= limit))
-            if not len(pairs):
+            if len(asking):
+                found, apart[asking] = _nearest_rows(mean[asking], mean[live], np.searchsorted(live, asking))
+                near[asking] = live[found]  # of equals the smaller key, as rows are in key order
+            live = live[apart[live] <= limit]  # the others are final
+            if not len(live):
                 break
-            a, b = live[pairs], live[near[pairs]]
+            a = live[(near[near[live]] == live) & (live < near[live])]
+            if not len(a):  # equal distances that differ in a last bit: the closest pair is right in any case
+                first = live[np.argmin(apart[live])]
+                a, b = np.array([min(first, near[first])]), np.array([max(first, near[first])])
+            else:
+                b = near[a]
             mean[a] = (mean[a] * size[a, None] + mean[b] * size[b, None]) / (size[a] + size[b])[:, None]
             size[a] += size[b]
             into = np.arange(len(keys))
             into[b] = a
             own = into[own]
-            near_enough = (gap[at, near] <= limit) | np.isin(live, a)
-            live = np.setdiff1d(live[near_enough], b)
+            changed = np.zeros(len(keys), dtype=bool)
+            changed[a] = changed[b] = True
+            live = np.setdiff1d(np.union1d(live, a), b)
+            asking = live[changed[live] | changed[near[live]]]
         moved = np.flatnonzero(keys[own] != keys)
         out = pd.DataFrame({"cluster": keys[moved], "into": keys[own[moved]]})
         for n, value in zip(by, group):
@@ -97,17 +130,63 @@ def _finished(active: DataFrame, by: list[str], limit: float, key_type: str) ->
     return active.select(*by, "cluster", "size", "mean").groupBy(*by).applyInPandas(run, schema)
 
 
+def _nearest(rows: DataFrame, by: list[str], limit: float, key_type: str, cell_rows: int) -> DataFrame:
+    """(by, cluster, other, distance) of the ``stale`` rows: their nearest among all rows of the group, within ``limit``.
+
+    Both sides are dealt to blocks of about ``cell_rows``; a cell holds one block of each and returns a row an asking row.
+    """
+    import numpy as np
+    import pandas as pd
+
+    group = by or ["__all"]
+    rows = rows if by else rows.withColumn("__all", F.lit(0))
+    parts = lambda n: F.ceil(n / F.lit(cell_rows)).cast("long")
+    sizes = rows.groupBy(*group).agg(
+        parts(F.count(F.lit(1))).alias("__blocks"), F.greatest(parts(F.count_if("stale")), F.lit(1)).alias("__lots")
+    )
+    placed = rows.join(sizes, group)
+    lot, block = F.pmod(F.xxhash64("cluster"), F.col("__lots")), F.pmod(F.xxhash64("cluster"), F.col("__blocks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asking = placed.where("stale").withColumn("__lot", lot.cast("long")).withColumn("__block", every("__blocks"))
+    members = placed.withColumn("__block", block.cast("long")).withColumn("__lot", every("__lots"))
+    cell = [*group, "__lot", "__block"]
+    types = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in by]
+
+    def run(k, ask, all_rows):
+        ask, all_rows = ask.sort_values("cluster"), all_rows.sort_values("cluster")
+        out = pd.DataFrame({"cluster": ask["cluster"], "other": ask["cluster"], "distance": np.inf})
+        if len(ask) and len(all_rows):
+            keys, asked = all_rows["cluster"].to_numpy(), ask["cluster"].to_numpy()
+            at = np.searchsorted(keys, asked)
+            own = np.where(keys[np.minimum(at, len(keys) - 1)] == asked, at, -1)
+            near, apart = _nearest_rows(_matrix(ask, "mean"), _matrix(all_rows, "mean"), own)
+            out["other"], out["distance"] = keys[near], apart
+        out = out[out["distance"] <= limit]
+        for n, value in zip(by, k):
+            out[n] = value
+        return out[[*by, "cluster", "other", "distance"]]
+
+    names = [*cell, "cluster", "mean"]
+    one, two = asking.select(*names).toDF(*names), members.select(*names).toDF(*names)
+    met = one.groupBy(*cell).cogroup(two.groupBy(*cell)).applyInPandas(
+        run, ", ".join([*types, f"cluster {key_type}", f"other {key_type}", "distance double"])
+    )
+    best = met.groupBy(*by, "cluster").agg(F.min(F.struct("distance", "other")).alias("best"))
+    return best.select(*by, "cluster", "best.other", "best.distance")
+
+
 def average_linkage_clusters(
     df: DataFrame, by: Sequence[str], key: str, vector: str, limit: float, dim: int,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Average-linkage clusters cut at ``limit``: rows of ``df`` plus ``cluster`` (its smallest key).
 
-    ``df`` holds unit vectors. The mean distance of two clusters is one minus the dot product of
-    their mean vectors, so a cluster is one row (sum, size) however many faces it has. While a group has more than
+    ``df`` holds unit vectors of ``dim`` elements. The mean distance of two clusters is one minus the dot product of
+    their mean vectors, so a cluster is one row (mean, size) however many faces it has. While a group has more than
     ``block_rows`` clusters it goes through rounds over all tasks: each merges all its mutually nearest
-    clusters, found by pivots, which gives the same tree as merging one pair at a time; a cluster with nothing inside ``limit`` is
-    final and leaves. What fits in one task is merged there to the end, by the same rule.
+    clusters, which gives the same tree as merging one pair at a time; a cluster with nothing inside ``limit`` is
+    final and leaves, and only clusters that were merged, or whose nearest was, search again. What fits in one task is
+    merged there to the end, by the same rule.
     """
     by = list(by)
     key_type = df.schema[key].dataType.simpleString()
@@ -119,7 +198,9 @@ def average_linkage_clusters(
     match = [F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*by, "mean")]
     joined = faces.alias("f").join(start.alias("s"), match)
     owner = joined.select(*(F.col(f"f.{c}") for c in by), "f.face", "s.cluster")
-    active, steps = start, []
+    active, steps = start.withColumns({
+        "other": F.lit(None).cast(key_type), "distance": F.lit(None).cast("double"), "stale": F.lit(True),
+    }), []
     while True:
         counts = active.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
         large = cut(counts.where(F.col("n") > block_rows).select(*by, F.lit(True).alias("large")))
@@ -129,25 +210,39 @@ def average_linkage_clusters(
         steps.append(cut(_finished(few, by, limit, key_type)))
         if many is None:
             break
-        near = cut(pivots.nearest(many, by, limit, block_rows))
+        known = many.where("NOT stale").select(*by, "cluster", "other", "distance")
+        near = cut(known.unionByName(_nearest(many, by, limit, key_type, min(block_rows, CELL_ROWS))))
         back = near.select(*by, F.col("cluster").alias("other"), F.col("other").alias("cluster"))
         moved = cut(
             near.join(back, [*by, "cluster", "other"]).filter(F.col("cluster") < F.col("other"))
             .select(*by, F.col("other").alias("cluster"), F.col("cluster").alias("into"))
         )
-        if not moved.take(1):
-            break
+        if not moved.take(1):  # nothing is left, or equal distances differ in a last bit: then the closest pair is right
+            pair = F.struct("distance", F.greatest("cluster", "other").alias("cluster"), F.least("cluster", "other").alias("into"))
+            least = near.groupBy(*by).agg(F.min(pair).alias("pair")).where("pair IS NOT NULL")
+            moved = cut(least.select(*by, "pair.cluster", "pair.into"))
+            if not moved.take(1):
+                break
         steps.append(moved)
-        alive = many.join(near.select(*by, "cluster"), [*by, "cluster"], "left_semi")
-        joined = alive.join(moved, [*by, "cluster"], "left").withColumn("cluster", F.coalesce("into", "cluster"))
-        sums = [F.sum(F.col("mean")[i] * F.col("size")).alias(f"s{i}") for i in range(dim)]
-        active = cut(
-            joined.groupBy(*by, "cluster").agg(F.sum("size").alias("size"), *sums)
-            .select(*by, "cluster", "size", F.array(*[F.col(f"s{i}") / F.col("size") for i in range(dim)]).alias("mean"))
-        )
-
-    for moved in steps:  # who ended where, one equi-join per round
+        gone = moved.select(*by, "cluster")
+        touched = gone.unionByName(moved.select(*by, F.col("into").alias("cluster"))).withColumnRenamed("cluster", "other")
+        told = many.select(*by, "cluster", "size", "mean").join(near, [*by, "cluster"], "left")
+        lost = told.join(moved, [*by, "cluster"]).select(*by, F.col("into").alias("cluster"), F.col("size").alias("size2"), F.col("mean").alias("mean2"))
+        left = told.join(gone, [*by, "cluster"], "left_anti").join(lost, [*by, "cluster"], "left")
+        left = left.where("other IS NOT NULL OR size2 IS NOT NULL")
+        left = left.join(touched.withColumn("touched", F.lit(True)), [*by, "other"], "left")
+        # Names of their own: inside a lambda a column of this select would go before one of the table.
+        left = left.withColumnsRenamed({"size": "size1", "mean": "mean1"})
+        whole = F.col("size1") + F.col("size2")
+        mixed = F.zip_with("mean1", "mean2", lambda x, y: (x * F.col("size1") + y * F.col("size2")) / whole)
+        active = cut(left.select(
+            *by, "cluster", F.coalesce(whole, "size1").alias("size"), F.coalesce(mixed, "mean1").alias("mean"), "other", "distance",
+            (F.col("size2").isNotNull() | F.col("touched").isNotNull()).alias("stale"),
+        ))
+
+    for n, moved in enumerate(steps, 1):  # who ended where, one equi-join per round
         owner = owner.join(moved, [*by, "cluster"], "left").select(*by, "face", F.coalesce("into", "cluster").alias("cluster"))
+        owner = owner if n % 8 else cut(owner)
     return df.join(owner.withColumnRenamed("face", key), [*by, key])
 
 

@@ -121,3 +121,31 @@ def test_everyone_when_nobody_is_seen_often(spark):
     many = spark.createDataFrame([(i, f"i{i % 3}", 0) for i in range(4)] + [(9, "x", 1)], "id int, image string, cluster int")
     got = {tuple(r) for r in P.group_by_person(many, many, [], "image", 3).collect()}
     assert got == {("Person 1", "i0"), ("Person 1", "i1"), ("Person 1", "i2")}
+
+
+def test_linkage_searches_again_only_where_something_merged(spark):
+    """Rounds over cells and one task give the same clusters, also where distances tie."""
+    rnd = np.random.default_rng(5)
+    v = rnd.normal(size=(900, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, i % 2, [float(x) for x in row]) for i, row in enumerate(v)] + [(2000 + i, i % 2, [float(x) for x in v[i % 50 + i % 2]]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, project int, v array<double>").cache()
+    told = []
+    for block in (64_000, 300):
+        out = P.average_linkage_clusters(df, ["project"], "id", "v", 0.5, 8, block_rows=block)
+        told.append(sorted((r.project, r.id, r.cluster) for r in out.collect()))
+    assert told[0] == told[1] and len(told[0]) == len(rows)
+
+
+def test_a_large_group_is_merged_in_one_task_by_kept_neighbours(monkeypatch):
+    """A group of 3,000 clusters took a full matrix a round before; now only what changed is searched again."""
+    rnd = np.random.default_rng(3)
+    v = rnd.normal(size=(1500, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near, apart = P._nearest_rows(v, v, np.arange(len(v)))
+    gap = 1.0 - v @ v.T
+    np.fill_diagonal(gap, np.inf)
+    assert (near == gap.argmin(axis=1)).all() and np.allclose(apart, gap.min(axis=1))
+    monkeypatch.setattr(P, "TILE_CELLS", 7_000)
+    again, _ = P._nearest_rows(v[:100], v, np.arange(100))
+    assert (again == near[:100]).all()
