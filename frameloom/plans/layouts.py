@@ -122,7 +122,9 @@ def pair_by_rank(spark, d):
 def hero(spark, d):
     df = V.boxed(spark, d).withColumn("boxes", B.clip_boxes("boxes"))
     face = F.array_max(F.transform("boxes", lambda b: b["w"] * b["h"]))
-    return L.hero_pick(df, ["l_orderkey"], "path", face, F.col("l_extendedprice")).select("l_orderkey", "path")
+    # Only what decides moves: the rest of a photo would go through the aggregate with it.
+    few = df.select("l_orderkey", "path", face.alias("face"), F.col("l_extendedprice").alias("pixels"))
+    return L.hero_pick(few, ["l_orderkey"], "path", F.col("face"), F.col("pixels")).select("l_orderkey", "path")
 
 
 # Spreads of four consecutive parts; frames depend on the spread.
