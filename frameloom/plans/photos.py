@@ -733,7 +733,9 @@ def _third_sql(lo, hi):
     SELECT path, round(x0, 6) AS x, round(y0, 6) AS y, round(x1 - x0, 6) AS w, round(y1 - y0, 6) AS h FROM f""".format(*_third_sql("lx", "hx"), *_third_sql("ly", "hy")),
 )
 def third_rule(spark, d):
-    df = V.boxed(spark, d).withColumn("c", B.third_rule_crop(B.clip_boxes("boxes"))).filter(F.col("c").isNotNull())
+    # Boxes are clipped once and photos without any leave first; a filter on the crop would compute it again.
+    df = V.boxed(spark, d).filter("n_boxes > 0").withColumn("clipped", B.clip_boxes("boxes")).filter(F.size("clipped") > 0)
+    df = df.withColumn("c", B.third_rule_crop("clipped"))
     return df.select("path", *[F.round(F.col(f"c.{s}"), 6).alias(s) for s in ("x", "y", "w", "h")])
 
 
