@@ -86,17 +86,34 @@ def _contenders(scored: DataFrame, by: list[str], photo: str, slots: int) -> Dat
     )
 
 
+# Groups of up to this many cells are listed as they are; larger ones are pruned to their contenders first.
+LISTED_CELLS = 320
+
+
+def _cell_lists(scored: DataFrame, by: list[str], photo: str, slots: int, cell: Column, name: str) -> DataFrame:
+    """(by, ``name``): the sorted cells of every group, of a large one those of the contenders only."""
+    rows = scored.select(*by, photo, "slot", "score")
+    hot = hot_groups(rows, by, LISTED_CELLS)
+    if hot and by:
+        keys = hot.keys.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(by)))
+        same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)))
+        large = rows.join(keys, same, "left_semi")
+        rows = rows.join(keys, same, "left_anti").unionByName(_contenders(large, by, photo, slots))
+    elif hot:
+        rows = _contenders(rows, by, photo, slots)
+    return rows.groupBy(*by).agg(F.sort_array(F.collect_list(cell)).alias(name))
+
+
 def greedy_assignment(scored: DataFrame, by: Sequence[str], photo: str, slots: int = len(SLOTS)) -> DataFrame:
     """(by, slot, photo, score): take triples by score, photo, slot while both ends are free.
 
-    Per group at most slots * slots triples remain after pruning, so the fold over them is a
+    A group has at most ``LISTED_CELLS`` triples, or slots * slots after pruning, so the fold over them is a
     small array expression however many photos the group has.
     """
     by = list(by)
-    few = _contenders(scored, by, photo, slots)
     triple = F.struct((-F.col("score")).alias("cost"), F.col(photo).alias("photo"), F.col("slot").alias("slot"))
-    lists = few.groupBy(*by).agg(F.sort_array(F.collect_list(triple)).alias("__t"))
-    element = few.select(triple.alias("t")).schema["t"].dataType.simpleString()
+    lists = _cell_lists(scored, by, photo, slots, triple, "__t")
+    element = scored.select(triple.alias("t")).schema["t"].dataType.simpleString()
     taken = F.aggregate(
         "__t",
         F.array().cast(f"array<{element}>"),
