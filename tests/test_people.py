@@ -137,8 +137,8 @@ def test_linkage_searches_again_only_where_something_merged(spark):
     assert told[0] == told[1] and len(told[0]) == len(rows)
 
 
-def test_a_large_group_is_merged_in_one_task_by_kept_neighbours(monkeypatch):
-    """A group of 3,000 clusters took a full matrix a round before; now only what changed is searched again."""
+def test_nearest_rows_are_found_tile_by_tile(monkeypatch):
+    """The search of some rows among all equals the full matrix, whatever the tile; a row is not its own neighbour."""
     rnd = np.random.default_rng(3)
     v = rnd.normal(size=(1500, 16))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
