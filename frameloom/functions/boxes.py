@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -145,6 +147,66 @@ def crop_loss(boxes: Column | str, crop: Column | str) -> Column:
     return F.when(whole > 0, clamp(1.0 - inside / whole, 0.0, 1.0)).otherwise(F.lit(0.0))
 
 
+def crop_losses(boxes: Column | str, photo_aspect: Column | str, frames: Sequence[float]) -> Column:
+    """``crop_loss`` of the ``cover_crop`` of one photo into each of a few frame aspects, as an array.
+
+    An Arrow kernel over the boxes of many photos at once; where an aspect or a box is null or not finite the column
+    expressions decide.
+    """
+    shapes = [float(f) if f > 0 else 1.0 for f in frames]
+
+    @F.arrow_udf("array<double>")
+    def losses(photos: pa.Array, listed: pa.Array) -> pa.Array:
+        def doubles(values):
+            return values.cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)  # null: nan
+
+        sizes = np.asarray(listed.value_lengths().fill_null(0), dtype=np.int64)
+        flat = listed.flatten()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        x, y, w, h = (doubles(flat.field(k)) for k in ("x", "y", "w", "h"))
+        aspect = doubles(photos)
+        odd = ~np.isfinite(aspect) | np.asarray(listed.is_null())
+        odd[row[~np.isfinite(x + y + w + h)]] = True
+        photo = np.where(aspect > 0, aspect, 1.0)
+        filled = np.flatnonzero(sizes)
+        starts = (np.cumsum(sizes) - sizes)[filled]
+
+        def span(at, size, before, after):
+            low = np.maximum(0.0, at - size * before)
+            high = low + (np.minimum(1.0, at + size * (1.0 + after)) - low)
+            ends = np.zeros((2, len(sizes)))
+            if len(filled):
+                ends[0, filled], ends[1, filled] = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+            return ends
+
+        def start(size, low, high):
+            slack = np.maximum(0.0, 1.0 - size)
+            a, b = np.maximum(0.0, high - size), np.minimum(slack, low)
+            fitting = (np.minimum(a, b) + np.maximum(a, b)) / 2.0
+            wanted = np.where(high - low <= size + EPS, fitting, (low + high) / 2.0 - size / 2.0)
+            wanted = np.where(size >= 1.0 - EPS, (1.0 - size) / 2.0, wanted)
+            return np.minimum(np.maximum(wanted, 0.0), slack)
+
+        out = np.zeros((len(sizes), len(shapes)))
+        with np.errstate(all="ignore"):
+            across, down = span(x, w, PAD_SIDE, PAD_SIDE), span(y, h, PAD_UP, PAD_DOWN)
+            whole = np.bincount(row, w * h, len(sizes))
+            for k, frame in enumerate(shapes):
+                wide = photo > frame
+                cw = np.minimum(np.where(wide, frame / photo, 1.0), 1.0)
+                ch = np.minimum(np.where(wide, 1.0, photo / frame), 1.0)
+                cx, cy = start(cw, *across), start(ch, *down)
+                iw = np.minimum(x + w, (cx + cw)[row]) - np.maximum(x, cx[row])
+                ih = np.minimum(y + h, (cy + ch)[row]) - np.maximum(y, cy[row])
+                inside = np.bincount(row, np.where((iw > 0) & (ih > 0), iw * ih, 0.0), len(sizes))
+                out[:, k] = np.where(whole > 0, np.maximum(0.0, np.minimum(1.0, 1.0 - inside / whole)), 0.0)
+        ends = np.arange(len(sizes) + 1, dtype=np.int32) * len(shapes)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()), mask=pa.array(odd))
+
+    each = F.transform(F.lit(shapes), lambda frame: crop_loss(boxes, cover_crop(photo_aspect, frame, boxes)))
+    return F.coalesce(losses(col(photo_aspect), col(boxes)), each)
+
+
 # Head size in units of the distance between the eyes.
 HEAD_WIDTH, CROWN, CHIN = 2.2, 1.5, 2.6
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.functions.boxes import cover_crop, crop_loss, orientation, padded_span
+from frameloom.functions.boxes import cover_crop, crop_loss, crop_losses, orientation
 from frameloom.operators.ordered import HOT_ROWS, HotGroups, OrderedGroups, first_row, hot_groups, listed_groups, top_n
 
 # The five default slots (name, aspect, ideal compositions, face range).
@@ -41,9 +41,12 @@ def slot_structs(slots: Sequence[tuple] = SLOTS) -> Column:
 
 def slot_score(
     composition: Column, faces: Column, aspect: Column, boxes: Column, slot: Column, recent: Column | None = None,
-    span: Column | None = None,
+    loss: Column | None = None,
 ) -> Column:
-    """How well a photo fits a slot; cropping through faces costs most."""
+    """How well a photo fits a slot; cropping through faces costs most.
+
+    ``loss`` is the loss of the crop into the slot, for callers that know it.
+    """
     relative = F.create_map(*[F.lit(x) for p in RELATIVES.items() for x in p])[composition]
     kind = (
         F.when(F.array_contains(slot["ideal"], composition), 1.0)
@@ -59,7 +62,7 @@ def slot_score(
     if recent is not None:
         fresh = (F.size(recent) > 0) & ~F.array_contains(recent, composition)
         score = score + F.when(fresh, W_VARIETY).otherwise(0.0)
-    loss = crop_loss(boxes, cover_crop(aspect, slot["aspect"], boxes, span=span))
+    loss = crop_loss(boxes, cover_crop(aspect, slot["aspect"], boxes)) if loss is None else loss
     return score - F.when(F.size(boxes) > 0, loss * W_SAFETY).otherwise(0.0)
 
 
@@ -68,10 +71,12 @@ def score_slots(df: DataFrame, slots: Sequence[tuple] = SLOTS) -> DataFrame:
 
     Expects composition, face_count, aspect and boxes. The slots are exploded from a literal.
     """
-    # What depends on the photo alone is computed before it meets the slots.
-    each = df.withColumn("__span", padded_span("boxes")).withColumn("__s", F.explode(slot_structs(slots)))
+    # The crops of a photo into all slots are measured at once, before it meets them.
+    losses = crop_losses("boxes", "aspect", [aspect for _, aspect, *_ in slots])
+    each = df.withColumn("__losses", losses).withColumn("__s", F.explode(slot_structs(slots)))
     score = slot_score(
-        F.col("composition"), F.col("face_count"), F.col("aspect"), F.col("boxes"), F.col("__s"), span=F.col("__span")
+        F.col("composition"), F.col("face_count"), F.col("aspect"), F.col("boxes"), F.col("__s"),
+        loss=F.get("__losses", F.col("__s.slot")),
     )
     return each.select(*df.columns, F.col("__s.slot").alias("slot"), F.col("__s.name").alias("slot_name"), score.alias("score"))
 
