@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import combinations
+from math import comb
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +101,7 @@ LISTED_CELLS = 320
 
 
 def _cell_lists(scored: DataFrame, by: list[str], photo: str, slots: int, cell: Column, name: str) -> DataFrame:
-    """(by, ``name``): the sorted cells of every group, of a large one those of the contenders only."""
+    """(by, ``name``): the cells of every group, of a large one those of the contenders only."""
     rows = scored.select(*by, photo, "slot", "score")
     hot = hot_groups(rows, by, LISTED_CELLS)
     if hot and by:
@@ -106,7 +111,7 @@ def _cell_lists(scored: DataFrame, by: list[str], photo: str, slots: int, cell:
         rows = rows.join(keys, same, "left_anti").unionByName(_contenders(large, by, photo, slots))
     elif hot:
         rows = _contenders(rows, by, photo, slots)
-    return rows.groupBy(*by).agg(F.sort_array(F.collect_list(cell)).alias(name))
+    return rows.groupBy(*by).agg(F.collect_list(cell).alias(name))
 
 
 def greedy_assignment(scored: DataFrame, by: Sequence[str], photo: str, slots: int = len(SLOTS)) -> DataFrame:
@@ -126,7 +131,7 @@ def greedy_assignment(scored: DataFrame, by: Sequence[str], photo: str, slots: i
             F.exists(acc, lambda a: (a["photo"] == t["photo"]) | (a["slot"] == t["slot"])), acc
         ).otherwise(F.concat(acc, F.array(t))),
     )
-    return lists.select(*by, F.explode(taken).alias("t")).select(
+    return lists.withColumn("__t", F.sort_array("__t")).select(*by, F.explode(taken).alias("t")).select(
         *by, F.col("t.slot").alias("slot"), F.col("t.photo").alias(photo), (-F.col("t.cost")).alias("score")
     )
 
@@ -138,20 +143,117 @@ def best_assignment(scored: DataFrame, by: Sequence[str], photo: str, slots: int
     photos. Equal totals go to the smaller photo, slot by slot.
     """
     by = list(by)
-    few = _contenders(scored, by, photo, slots)
     photo_type = scored.schema[photo].dataType.simpleString()
-    cell = F.struct(F.col("slot").alias("slot"), F.col(photo).alias("photo"), F.col("score").alias("score"))
-    lists = few.groupBy(*by).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    cell = F.struct(F.col("slot").cast("int").alias("slot"), F.col(photo).alias("photo"), F.col("score").cast("double").alias("score"))
+    lists = _cell_lists(scored, by, photo, slots, cell, "cells")
 
-    @F.pandas_udf(f"array<struct<slot:int,photo:{photo_type},score:double>>")
-    def match(cells: pd.Series) -> pd.Series:
-        return cells.map(lambda c: _best_matching(c, slots))
+    @F.arrow_udf(f"array<struct<slot:int,photo:{photo_type},score:double>>")
+    def match(cells: pa.Array) -> pa.Array:
+        return _best_matchings(cells, slots)
 
     return lists.select(*by, F.explode(match("cells")).alias("m")).select(
         *by, F.col("m.slot").alias("slot"), F.col("m.photo").alias(photo), F.col("m.score").alias("score")
     )
 
 
+# Sets of used photos that are followed at once; groups that need more are matched one by one.
+MATCHED_SETS = 200_000
+
+
+def _best_matchings(lists: pa.Array, slots: int) -> pa.Array:
+    """``_best_matching`` of many groups: those with as many photos and slots go through the sets of used photos together."""
+    sizes = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+    flat = lists.flatten()
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    told = flat.field("photo").dictionary_encode(null_encoding="encode")
+    rank = np.empty(len(told.dictionary), dtype=np.int64)
+    rank[np.asarray(pc.sort_indices(told.dictionary))] = np.arange(len(rank))
+    photo = rank[np.asarray(told.indices)]
+    score = flat.field("score").to_numpy(zero_copy_only=False).astype(float)
+    kinds, slot = np.unique(np.asarray(flat.field("slot")), return_inverse=True)
+    # A slot needs no more than its best few photos.
+    by = np.lexsort((photo, -score, slot, group))
+    new = np.flatnonzero(np.r_[True, (np.diff(group[by]) != 0) | (np.diff(slot[by]) != 0)][: len(by)])
+    place = np.arange(len(by)) - np.repeat(new, np.diff(np.r_[new, len(by)]))
+    few = by[place < slots]
+    group, slot, photo, score = group[few], slot[few], photo[few], score[few]
+    first_few, at = np.unique(group * max(1, len(rank)) + photo, return_index=True)
+    owner = group[at]
+    begins = np.searchsorted(owner, np.arange(len(sizes)))
+    local = np.searchsorted(first_few, group * max(1, len(rank)) + photo) - begins[group]
+    photos = np.bincount(owner, minlength=len(sizes))
+    slots_of = np.bincount(np.unique(group * max(1, len(kinds)) + slot) // max(1, len(kinds)), minlength=len(sizes))
+    must = np.minimum(photos, slots_of)
+    cell_at = np.searchsorted(group, np.arange(len(sizes) + 1))
+    rows: list[tuple] = []  # group, slot, cell of the photo, score; as arrays
+    for n, m in sorted(set(zip(photos.tolist(), must.tolist())) - {(0, 0)}):
+        those = np.flatnonzero((photos == n) & (must == m))
+        sets = sum(comb(n, k) for k in range(m + 1))
+        if sets > MATCHED_SETS or (n + 1) ** len(kinds) >= 2**62:
+            for g in those:
+                mine = range(cell_at[g], cell_at[g + 1])
+                picks = _best_matching([{"photo": int(local[c]), "slot": int(slot[c]), "score": float(score[c])} for c in mine], slots)
+                rows += [([g], [p["slot"]], [at[begins[g] + p["photo"]]], [p["score"]]) for p in picks]
+            continue
+        step = max(1, MATCHED_SETS // sets)
+        for part in (those[i : i + step] for i in range(0, len(those), step)):
+            value = np.full((len(kinds), n, len(part)), -np.inf)
+            number = np.full(len(sizes), -1)
+            number[part] = np.arange(len(part))
+            mine = np.flatnonzero(number[group] >= 0)
+            np.fmax.at(value, (slot[mine], local[mine], number[group[mine]]), score[mine])
+            picks = _matched(value, m)
+            for k in range(len(kinds)):
+                hit = np.flatnonzero(picks[k] < n)
+                rows.append((part[hit], np.full(len(hit), k), at[begins[part[hit]] + picks[k][hit]], value[k, picks[k][hit], hit]))
+    g, k, c, v = (np.concatenate([np.asarray(r[i]) for r in rows]) if rows else np.empty(0, int) for i in range(4))
+    order = np.lexsort((k, g))
+    ends = np.r_[0, np.cumsum(np.bincount(g[order].astype(np.int64), minlength=len(sizes)))].astype(np.int32)
+    names = flat.field("photo").take(pa.array(few[c[order].astype(np.int64)]))
+    made = pa.StructArray.from_arrays(
+        [pa.array(kinds[k[order].astype(np.int64)], pa.int32()), names, pa.array(v[order], pa.float64())], ["slot", "photo", "score"]
+    )
+    return pa.ListArray.from_arrays(pa.array(ends), made)
+
+
+def _matched(value: np.ndarray, must: int) -> np.ndarray:
+    """The photo of every slot in the best matching of each group, or their number for none.
+
+    ``value`` is (slot, photo, group). A set of used photos keeps its best total and, for equal totals, the smallest
+    picks, read as the digits of one number.
+    """
+    count, n, groups = value.shape
+    marks = np.array(sorted(sum(1 << p for p in c) for k in range(must + 1) for c in combinations(range(n), k)), dtype=np.int64)
+    size = np.array([int(x).bit_count() for x in marks])
+    total, code = np.full((len(marks), groups), -np.inf), np.zeros((len(marks), groups), dtype=np.int64)
+    total[0] = 0.0
+
+    def better(t, c, other, its):
+        return (t > other + 1e-9) | ((np.abs(t - other) <= 1e-9) & (c < its))
+
+    with np.errstate(invalid="ignore"):
+        for k in range(count):
+            grown, picks = total.copy(), code * (n + 1) + n
+            # Sets that the slots left cannot fill any more go nowhere.
+            live = (size < must) & (size <= k) & (size + count - k >= must)
+            for p in range(n):
+                source = np.flatnonzero(live & (marks >> p & 1 == 0))
+                target = np.searchsorted(marks, marks[source] | 1 << p)
+                t, c = total[source] + value[k, p], code[source] * (n + 1) + p
+                keep = better(t, c, grown[target], picks[target])
+                grown[target] = np.where(keep, t, grown[target])
+                picks[target] = np.where(keep, c, picks[target])
+            total, code = grown, picks
+    full = np.flatnonzero(size == must)
+    top = total[full].max(axis=0)
+    best = np.where(total[full] >= top - 1e-9, code[full], np.iinfo(np.int64).max).min(axis=0)
+    short = np.flatnonzero(np.isneginf(top))  # too few cells to fill that many slots
+    out = np.array([best // (n + 1) ** (count - 1 - k) % (n + 1) for k in range(count)])
+    if len(short):
+        out[:, short] = _matched(value[:, :, short], must - 1) if must else n
+    return out
+
+
 def _best_matching(cells, slots: int) -> list[dict]:
     """Best matching of a few (slot, photo, score) cells; a state is the set of used photos."""
     names = sorted({c["photo"] for c in cells})
