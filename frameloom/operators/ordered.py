@@ -20,6 +20,8 @@ from frameloom.session import cut
 
 # A group is hot above this many rows: what one task sorts with ease.
 HOT_ROWS = 2_000_000
+# Hashes by which rows are counted to find hot groups.
+MARKS = 4_096
 
 _SLOT = "__slot"
 
@@ -35,11 +37,20 @@ class HotGroups:
 
 
 def hot_groups(df: DataFrame, by: Sequence[str], hot_rows: int | None = None) -> HotGroups:
-    """All groups of more than ``hot_rows`` rows; the keys stay in Spark, however many there are."""
+    """All groups of more than ``hot_rows`` rows; the keys stay in Spark, however many there are.
+
+    Rows are counted by a hash of their key first, of which a task sends at most ``MARKS``; a hash with few rows has no
+    hot key, so keys are counted only under the others.
+    """
     floor = HOT_ROWS if hot_rows is None else hot_rows
     if not by:
         return HotGroups(None, df.count() > floor)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > floor)
+    mark = F.pmod(F.xxhash64(*by), F.lit(MARKS))
+    marks = df.groupBy(mark.alias("__mark")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > floor)
+    busy = [r[0] for r in marks.select("__mark").collect()]  # at most MARKS numbers
+    if not busy:
+        return HotGroups(None, False)
+    sizes = df.filter(mark.isin(busy)).groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > floor)
     return listed_groups(sizes.select(*by))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,7 +41,12 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """A given table that is one file of one row group, which Spark cannot split, dealt to all cores by ``keys``.
 
     Only for the bindings of such files, ahead of heavy work per row; no operator does this, and a table
-    of as many files as cores is read as it is. ``keys`` should tell rows apart.
+    of as many files as cores is read as it is. So is one whose row groups already spread over the cores: no task
+    reads more than twice its share (told by the footers alone). ``keys`` should tell rows apart.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
+    if len(df.inputFiles()) >= cores:
+        return df
+    parts = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    largest, rows = parts.agg(F.max("n"), F.sum("n")).first()
+    return df if largest is not None and largest * cores <= 2 * rows else df.repartition(cores, *keys)
