@@ -132,12 +132,20 @@ def admit_seats(requests: DataFrame, licence: str, device: str, order: Sequence[
     per row of a licence; its value at the first request of the device counts.
     """
     at = F.struct(*order)
-    firsts = requests.groupBy(licence, device).agg(F.min(at).alias("__at"), F.min_by(limit, at).alias("__limit"))
-    seats = OrderedGroups(firsts, [licence], [F.col("__at"), F.col(device)]).position("__seat").df
-    joined = requests.join(seats.select(licence, device, "__seat", "__limit", F.col("__at").alias("__first")), [licence, device])
+    # One smallest row carries order and limit; a licence has no more devices than requests, so those are counted.
+    firsts = requests.groupBy(licence, device).agg(F.min(F.struct(at.alias("at"), limit.alias("limit"))).alias("__one"), F.count(F.lit(1)).alias("__n"))
+    firsts = firsts.select(licence, device, F.col("__one.at").alias("__at"), F.col("__one.limit").alias("__limit"), "__n")
+    hot = hot_groups(requests, [licence])
+    seats = OrderedGroups(firsts, [licence], [F.col("__at"), F.col(device)], hot=hot).position("__seat").df
+    # A request that is the only one of its device is the first, so only the others need its order.
+    seats = seats.select(
+        licence, device, (F.col("__seat") >= F.col("__limit")).alias("__over"), (F.col("__n") == 1).alias("__only"),
+        F.when(F.col("__n") > 1, F.col("__at")).alias("__first"),
+    )
+    joined = requests.join(seats, [licence, device])
     verdict = (
-        F.when(F.col("__seat") >= F.col("__limit"), "limit")
-        .when(F.struct(*order) == F.col("__first"), "activated")
+        F.when(F.col("__over"), "limit")
+        .when(F.col("__only") | (at == F.col("__first")), "activated")
         .otherwise("reused")
     )
     return joined.select(*requests.columns, verdict.alias("verdict"))
