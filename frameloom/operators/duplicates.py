@@ -376,7 +376,7 @@ def rerank(df: DataFrame, group: str, path: str, quality: str) -> DataFrame:
     """
     key = F.struct((-F.coalesce(F.col(quality), F.lit(-1.0))).alias("q"), F.col(path).alias("p"))
     grouped, alone = df.where(F.col(group).isNotNull()), df.where(F.col(group).isNull())
-    best = grouped.groupBy(group).agg(F.min_by(path, key).alias("representative"), F.count(F.lit(1)).alias("group_size"))
+    best = grouped.groupBy(group).agg(F.min(key)["p"].alias("representative"), F.count(F.lit(1)).alias("group_size"))
     marked = grouped.join(best, group).unionByName(
         alone.withColumns({"representative": F.col(path), "group_size": F.lit(1).cast("long")})
     )

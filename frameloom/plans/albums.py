@@ -160,7 +160,7 @@ def spread_selection(spark, d):
 
 @query("W4_spread_selection_shoot", PHOTOS + W4_SQL.format(src="records", count=9))
 def spread_selection_shoot(spark, d):
-    return sel.spread_selection(V.records(spark, d), ["project"], "path", "quality", 9).select("project", "path", "pick")
+    return sel.spread_selection(V.records(spark, d).select("project", "path", "quality"), ["project"], "path", "quality", 9).select("project", "path", "pick")
 
 
 @query(
