@@ -15,6 +15,8 @@ from frameloom.operators.entitlements import POLICY, flush_fold, limiter_fold, s
 IDLE_MS, KEPT_MS = 3_600_000, 183 * 86_400_000
 #: Rows of a key that are Python objects at one time; the rest of a batch waits in arrays.
 FOLD_ROWS = 50_000
+#: Parts that hold the spent tokens of a session; each is read and written in one call.
+TOKEN_PARTS = 8
 
 
 def stateful(
@@ -110,8 +112,8 @@ def token_stream(
 ) -> DataFrame:
     """Outcome of each presented refresh token; a session's tokens share its expiry.
 
-    Spent tokens are a map state, one entry a token, so a batch reads and writes the tokens it holds and no others. A
-    timer sweeps a session that stays quiet for ``idle_ms`` (longer than any session lives), so the state holds living
+    Spent tokens are a map state of ``TOKEN_PARTS`` entries by a hash of the token, so the calls of a batch are bounded
+    however many tokens it holds, and it reads and writes only the parts that its tokens fall into. A timer sweeps a session that stays quiet for ``idle_ms`` (longer than any session lives), so the state holds living
     sessions only. The session has to name the RocksDB state store (``run.keyed_state``).
     """
     import pandas as pd
@@ -122,24 +124,32 @@ def token_stream(
         F.col(session).alias("session"), F.col(token).alias("token"), F.col(order).alias("ord"), F.col(time).alias("ts"),
         seconds(time).alias("t"), seconds(expires).alias("expires_t"),
         (F.lit(True) if available is None else F.coalesce(available, F.lit(False))).alias("available"),
+        F.pmod(F.xxhash64(token), F.lit(TOKEN_PARTS)).cast("int").alias("part"),
     )
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     class Sessions(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
-            self.spent = handle.getMapState("spent", f"token {types['token']}", "t double")
+            self.spent = handle.getMapState("spent", "part int", f"tokens array<{types['token']}>")
             self.burned = handle.getValueState("burned", "burned boolean")
 
         def handleInputRows(self, key, batches, timers):
             pdf = pd.concat(list(batches)).sort_values("ord")
             columns = {n: pdf[n].tolist() for n in pdf.columns}
-            known = {k for k in set(columns["token"]) if self.spent.containsKey((k,))}
+            part_of, parts = dict(zip(columns["token"], columns["part"])), {}
+            if self.spent.exists():
+                parts = {p: list(self.spent.getValue((p,))[0]) for p in set(columns["part"]) if self.spent.containsKey((p,))}
+            known = {k for tokens in parts.values() for k in tokens}
             was_burned = self.burned.exists()
             out = [[None] * len(pdf)]
             spent, burned = token_fold(columns, 0, len(pdf), (known, was_burned), out)
+            grown = set()
             for k in set(spent) - known:
-                self.spent.updateValue((k,), (columns["t"][0],))
+                grown.add(part_of[k])
+                parts.setdefault(part_of[k], []).append(k)
+            for p in grown:
+                self.spent.updateValue((p,), (parts[p],))
             if burned and not was_burned:
                 self.burned.update((True,))
             for at in list(self.handle.listTimers()):
