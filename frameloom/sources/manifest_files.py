@@ -31,11 +31,11 @@ PARTS = {
 
 
 def write_manifest(parts: Mapping[str, DataFrame], folder: str, mode: str = "overwrite") -> None:
-    """Write each given part under ``folder``; a project of any size is many lines, never one."""
+    """Write each given part under ``folder`` as gzipped lines; a project of any size is many lines, never one."""
     for name, df in parts.items():
         if name not in PARTS:
             raise ValueError(f"unknown manifest part {name!r}")
-        df.write.mode(mode).json(f"{folder.rstrip('/')}/{name}")
+        df.write.mode(mode).option("compression", "gzip").json(f"{folder.rstrip('/')}/{name}")
 
 
 def read_manifest(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
