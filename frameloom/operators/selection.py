@@ -43,6 +43,16 @@ def flag_members(df: DataFrame, path: str, members: DataFrame, flag: str) -> Dat
     )
 
 
+def flag_lists(df: DataFrame, path: str, members: Mapping[str, DataFrame]) -> DataFrame:
+    """``flag_members`` for several lists at once: they move together as bits of one number a path, and ``df`` moves once."""
+    bits = {flag: F.lit(1 << i).cast("long") for i, flag in enumerate(members)}
+    listed = reduce(DataFrame.unionAll, (m.select(F.col(m.columns[0]).alias("__m"), bits[flag].alias("__bit")) for flag, m in members.items()))
+    marks = listed.groupBy("__m").agg(F.bit_or("__bit").alias("__bits"))
+    joined = df.join(marks, F.col(path) == F.col("__m"), "left")
+    found = F.coalesce("__bits", F.lit(0).cast("long"))
+    return joined.withColumns({flag: found.bitwiseAND(bit) != 0 for flag, bit in bits.items()}).drop("__m", "__bits")
+
+
 def quality_with_faces(scored: DataFrame, faces: DataFrame, path: str) -> DataFrame:
     """Attach the face verdict; a photo without one has no face."""
     return scored.join(faces, path, "left").withColumns(

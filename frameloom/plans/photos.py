@@ -13,7 +13,7 @@ from frameloom.operators import duplicates as D
 from frameloom.operators import selection as sel
 from frameloom.plans import views as V
 from frameloom.plans.registry import query, table, with_views
-from frameloom.session import scratch_dir
+from frameloom.session import scratch_dir, stored
 from frameloom.sources import cache, manifest_files, scan, sinks, vision
 
 PHOTOS = with_views(*V.PHOTOS)
@@ -152,16 +152,14 @@ def with_faces(spark, d):
     PHOTOS + "SELECT path, is_best_shot AS best, is_duplicate AS duplicate, NOT usable AS blurry FROM records",
 )
 def flags(spark, d):
-    ranked = V.ranked_media(spark, d)
-    out = ranked.select("path")
+    # All lists come from one table, which is computed once.
+    ranked = stored(V.ranked_media(spark, d).select("path", "quality", "usable", "is_duplicate", "is_representative"), "ranked")
     members = {
-        "best": sel.best_shots(ranked, "path", "quality", "usable", "is_duplicate").select("path"),
+        "best": ranked.filter(sel.best_shot(F.col("quality"), F.col("usable"), F.col("is_duplicate"))).select("path"),
         "duplicate": D.duplicate_paths(ranked, "path"),
         "blurry": ranked.filter(~F.col("usable")).select("path"),
     }
-    for flag, paths in members.items():
-        out = sel.flag_members(out, "path", paths, flag)
-    return out
+    return sel.flag_lists(ranked.select("path"), "path", members)
 
 
 @query(
