@@ -18,6 +18,8 @@ USAGE_EVENTS = (
     "collage_auto_build_used", "collage_shape_used", "preset_saved", "crash",
 )
 FLUSH_AT = 25
+# Numbers over which rows that match nothing are dealt.
+DEALS = 8_192
 
 
 # -- listings ------------------------------------------------------------------- #
@@ -77,9 +79,20 @@ def _dealt_left_join(left: DataFrame, right: DataFrame, keys: list[str], lost: C
     the rows would meet under null again.
     """
     types = {k: right.schema[k].dataType.simpleString() for k in keys}
-    own = F.xxhash64(*[F.col(k).try_cast(types[k]) for k in keys])
+    own = _deal(*[F.col(k).try_cast(types[k]) for k in keys])
     left = left.withColumn("__deal", F.when(F.coalesce(lost, F.lit(False)), F.col("__row")).otherwise(own))
-    return left.join(right.withColumn("__deal", F.xxhash64(*keys)), [*keys, "__deal"], "left").drop("__deal")
+    return left.join(right.withColumn("__deal", _deal(*keys)), [*keys, "__deal"], "left").drop("__deal")
+
+
+def _deal(*columns: Column | str) -> Column:
+    """A small number from a hash, which spreads rows as well as the whole hash and packs better."""
+    return F.pmod(F.xxhash64(*columns), F.lit(DEALS)).cast("int")
+
+
+def _packed(key: str) -> Column:
+    """A text key as bytes, lower-case hex at half its length; a first byte tells the two forms apart, so keys stay distinct."""
+    text = F.col(key).cast("string")
+    return F.when(text.rlike("^([0-9a-f]{2})+$"), F.concat(F.lit(b"\x01"), F.unhex(text))).otherwise(F.concat(F.lit(b"\x00"), text.cast("binary")))
 
 
 def validate_seats(
@@ -91,17 +104,19 @@ def validate_seats(
     expires), devices (device, user, fingerprint, status), activations (licence, device, status).
     """
     lic = licences.select(
-        "key_hash", "licence", "owner", F.col("status").alias("l_status"), "starts", "expires"
+        _packed("key_hash").alias("__key"), "licence", "owner", F.col("status").alias("l_status"), "starts", "expires"
     )
     dev = devices.select("user", "fingerprint", "device", F.col("status").alias("d_status"))
     act = activations.filter(F.col("status") == "ACTIVE").select("licence", "device").distinct().withColumn("active", F.lit(True))
     # Rows that can match nothing any more (no key, no print, unknown licence) are dealt out instead of meeting under null.
-    asked = requests.withColumn("fingerprint", F.trim(F.coalesce("fingerprint", F.lit("")))).withColumn("__row", F.xxhash64(*requests.columns))
-    joined = _dealt_left_join(asked, lic, ["key_hash"], F.coalesce("key_hash", F.lit("")) == "")
+    asked = requests.withColumn("fingerprint", F.trim(F.coalesce("fingerprint", F.lit("")))).withColumns(
+        {"__row": _deal(*requests.columns), "__key": F.when(F.col("key_hash") != "", _packed("key_hash")), "__no_key": F.coalesce("key_hash", F.lit("")) == ""}
+    )
+    joined = _dealt_left_join(asked, lic, ["__key"], F.col("__no_key"))
     reason = licence_reject_reason(F.col("l_status"), F.col("starts"), F.col("expires"), moment)
     # A request is judged as soon as it can be; then it takes neither the licence nor its keys along.
     settled = (
-        F.when(F.coalesce("key_hash", F.lit("")) == "", "no_key")
+        F.when(F.col("__no_key"), "no_key")
         .when(F.col("licence").isNull(), "unknown_key")
         .when(~F.col("owner").eqNullSafe(F.col("user")), "wrong_owner")
         .when(reason.isNotNull(), reason)
