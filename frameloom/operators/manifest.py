@@ -45,13 +45,20 @@ def keyed_update(table: DataFrame, changes: DataFrame, keys: Sequence[str], colu
 
 
 def set_retouch(assets: DataFrame, commands: DataFrame, order: str, path: str = "path") -> tuple[DataFrame, DataFrame]:
-    """(assets, rejects): unknown states and unknown paths are rejected with a reason."""
+    """(assets, rejects): unknown states and unknown paths are rejected with a reason.
+
+    The last state of a path is found by its number: two numbers a path are hashed, where a text would have all
+    commands of a task sorted. Commands for unknown paths meet no asset and need no check.
+    """
     known = assets.select(path).distinct().withColumn("__known", F.lit(True))
     judged = commands.join(known, path, "left").withColumn(
         "reason",
         F.when(~F.col("status").isin(*RETOUCH), "unknown_status").when(F.col("__known").isNull(), "unknown_path"),
     )
-    good = latest(judged.filter("reason IS NULL").select(*commands.columns), [path], order)
+    states = F.lit(list(RETOUCH))
+    valid = commands.filter(F.coalesce(F.col("status").isin(*RETOUCH), F.lit(True)))
+    good = valid.groupBy(path).agg(F.max_by(F.array_position(states, F.col("status")).cast("int"), order).alias("__state"))
+    good = good.select(path, F.element_at(states, F.col("__state")).alias("status"))
     updated = keyed_update(assets, good, [path], "retouch_status", "status")
     return updated, judged.filter("reason IS NOT NULL").select(*commands.columns, "reason")
 
