@@ -4,19 +4,22 @@ Used only where a distance limit is too loose for an index to help. Rows of a gr
 spread over blocks by hash; a cell holds two blocks and meets them tile by tile, so the kernel sees at
 most ``block_rows`` rows a side. A group has at most ``MOST_BLOCKS`` blocks, which bounds the copies of a row, until
 a block would exceed ``MOST_TILES`` tiles. Cells return reduced rows (nearest neighbour, histogram, pairs under a limit),
-never every pair.
+never every pair; where many pairs are under the limit their rows leave the task in parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 2_000
 # A row is copied once for each block of its group: up to 32 blocks the copies grow, then the blocks do, to 64,000 rows.
 MOST_BLOCKS, MOST_TILES = 32, 32
+# Rows found in the tiles of a cell are handed on as soon as there are so many.
+FOUND_ROWS = 1_000_000
 
 
 def in_cells(rows: DataFrame, group: list[str], key: str, block_rows: int) -> DataFrame:
@@ -50,18 +53,16 @@ def per_cell(
     ``left`` and ``right`` are pandas frames of ``key`` and ``columns``; on the diagonal both
     are the same tile. The kernel returns a pandas frame with ``schema``.
     """
-    import pandas as pd
-
     by = list(by)
     group = by or ["__all"]
     rows = df.select(*by, key, *columns)
     if not by:
         rows = rows.withColumn("__all", F.lit(0))
-    placed = in_cells(rows, group, key, block_rows)
+    placed, most = in_cells(rows, group, key, block_rows), FOUND_ROWS
     cell = [*group, "__low", "__high"]
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
-    def run(k, pdf):
+    def run(k: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(parts, ignore_index=True)
         low, high = k[-2], k[-1]
         left = pdf[pdf["__own"] == low]
         if low == high:
@@ -73,7 +74,14 @@ def per_cell(
                 (left[i : i + block_rows], right[j : j + block_rows], False)
                 for i in range(0, len(left), block_rows) for j in range(0, len(right), block_rows)
             ]
-        found = [kernel(k[: len(by)], one, two, diagonal) for one, two, diagonal in pairs]
-        return pd.concat(found) if found else pd.DataFrame(columns=names)
+        found, rows = [], 0
+        for one, two, diagonal in pairs:
+            found.append(kernel(k[: len(by)], one, two, diagonal))
+            rows += len(found[-1])
+            if rows >= most:
+                yield pd.concat(found)
+                found, rows = [], 0
+        if found:
+            yield pd.concat(found)
 
     return placed.groupBy(*cell).applyInPandas(run, schema)

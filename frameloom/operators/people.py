@@ -15,6 +15,8 @@ from frameloom.session import cut
 
 MIN_CLUSTER = 2
 LABEL_DISTANCE = 0.4
+# Far above what the order of its terms changes in the dot product of two unit vectors.
+LAST_BITS = 1e-9
 
 
 def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
@@ -31,23 +33,29 @@ def _matrix(frame, name):
 def cosine_pairs(df: DataFrame, by: Sequence[str], key: str, vector: str, limit: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Pairs (by, a, b, distance) of unit vectors at most ``limit`` apart, a < b.
 
-    Identical vectors are one row with their smallest key, so copies do not multiply. The limits
-    in use are far too loose for an exact index; blocks bound the memory of a task.
+    Every row meets every other of its group, copies of a vector and rows of a repeated key too; only rows
+    of one key are no pair, and rows without a key are in none. The limits in use are far too loose for an
+    exact index; blocks bound the memory of a task. They are dealt by key, so copies of one vector spread.
     """
     import numpy as np
     import pandas as pd
 
     by = list(by)
-    once = df.groupBy(*by, vector).agg(F.min(key).alias(key))
     key_type = df.schema[key].dataType.simpleString()
     by_types = [f"{c} {df.schema[c].dataType.simpleString()}" for c in by]
 
     def kernel(group, one, two, diagonal):
-        gap = 1.0 - _matrix(one, vector) @ _matrix(two, vector).T
-        i, j = np.nonzero(gap <= limit)
+        left, right = _matrix(one, vector), _matrix(two, vector)
+        gap = 1.0 - left @ right.T
+        i, j = np.nonzero(gap <= limit + LAST_BITS)
+        d = gap[i, j]
+        # The last bits of a product depend on its tile: next to the limit the terms are added in order.
+        edge = np.flatnonzero(d >= limit - LAST_BITS)
+        p, q = i[edge], j[edge]
+        d[edge] = 1.0 - sum(left[p, n] * right[q, n] for n in range(left.shape[1]))
         x, y = one[key].to_numpy()[i], two[key].to_numpy()[j]
-        keep = x < y if diagonal else np.ones(len(x), bool)
-        x, y, d = x[keep], y[keep], gap[i, j][keep]
+        keep = (d <= limit) & (x < y if diagonal else x != y)
+        x, y, d = x[keep], y[keep], d[keep]
         swap = x > y
         out = pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y), "distance": d})
         for n, value in zip(by, group):
@@ -55,7 +63,7 @@ def cosine_pairs(df: DataFrame, by: Sequence[str], key: str, vector: str, limit:
         return out[[*by, "a", "b", "distance"]]
 
     schema = ", ".join([*by_types, f"a {key_type}", f"b {key_type}", "distance double"])
-    return per_cell(once, by, key, [vector], kernel, schema, block_rows)
+    return per_cell(df.filter(F.col(key).isNotNull()), by, key, [vector], kernel, schema, block_rows)
 
 
 # -- clusters ------------------------------------------------------------------ #

@@ -22,7 +22,7 @@ DOT = SUM.format(a="x.v", b="y.v")
     FACES + f"SELECT x.vec_id AS a, y.vec_id AS b, round(1e0 - {DOT}, 6) AS distance FROM faces x JOIN faces y ON x.vec_id < y.vec_id WHERE 1e0 - {DOT} <= {LIMIT}e0",
 )
 def cosine_pairs(spark, d):
-    return P.cosine_pairs(V.faces(spark, d), [], "vec_id", "v", LIMIT).withColumn("distance", F.round("distance", 6))
+    return P.cosine_pairs(V.faces(spark, d, filled=True), [], "vec_id", "v", LIMIT).withColumn("distance", F.round("distance", 6))
 
 
 # Known people stand for clusters where a cluster is only an input.

@@ -173,11 +173,13 @@ FACES = """faces AS (SELECT vec_id, vec_id // 4 AS image, label, list_transform(
     FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)) WHERE n2 > 0)"""
 
 
-def faces(spark: SparkSession, d: str) -> DataFrame:
+def faces(spark: SparkSession, d: str, filled: bool = False) -> DataFrame:
+    """``filled``: a null element counts as zero, as the sums of the SQL skip it; else its vector drops out."""
     from frameloom.operators.people import unit_vectors
 
+    vector = F.transform("embedding", lambda x: F.coalesce(x, F.lit(0.0).cast("float"))) if filled else F.col("embedding")
     rows = table(spark, d, "embeddings").select(
-        "vec_id", F.floor(F.col("vec_id") / 4).alias("image"), "label", F.col("embedding").alias("v")
+        "vec_id", F.floor(F.col("vec_id") / 4).alias("image"), "label", vector.alias("v")
     )
     return unit_vectors(rows, "v")
 

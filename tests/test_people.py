@@ -100,6 +100,39 @@ def test_pairs_and_thresholds(faces, block):
     assert (stats.same_mean, stats.diff_min) == pytest.approx((np.mean(same), min(diff)))
 
 
+@pytest.mark.parametrize("block", [2000, 7])
+def test_pairs_of_copies_and_repeated_keys_are_all_there(spark, block):
+    """Copies of a vector pair with each other and with all near ones; a repeated key pairs with others, not with itself."""
+    v, _ = sample(n=12)
+    rows = [(3 * i + k, [float(x) for x in v[i]]) for i in range(12) for k in range(3)] + [(5, [float(x) for x in v[1]]), (5, [float(x) for x in v[7]])]
+    rows += [(100 + i, [float(x) for x in v[0]]) for i in range(20)]
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "id long, v array<double>")
+    want = sorted((a, b) for a, x in rows for b, y in rows if a < b and 1.0 - np.dot(x, y) <= 0.3)
+    got = P.cosine_pairs(df, [], "id", "v", 0.3, block).collect()
+    assert sorted((r.a, r.b) for r in got) == want
+    assert sum(abs(r.distance) < 1e-12 for r in got) >= 23 * 22 / 2
+
+
+@pytest.mark.parametrize("block", [2000, 150])
+def test_pairs_at_the_limit_do_not_depend_on_the_tile(spark, block):
+    """Pairs exactly at the limit are those whose terms, added in order, meet it."""
+    rnd = np.random.default_rng(2)
+    v = rnd.integers(-2, 3, (400, 6)).astype(float)
+    v = sorted({tuple(x / sum(y * y for y in row) ** 0.5 for x in row) for row in v.tolist() if any(row)})
+    gap = {(i, j): 1.0 - sum_in_order(x, y) for j, y in enumerate(v) for i, x in enumerate(v[:j])}
+    rows = spark.createDataFrame([(i, list(row)) for i, row in enumerate(v)], "id long, v array<double>")
+    got = P.cosine_pairs(rows, [], "id", "v", 0.6, block).collect()
+    assert {(r.a, r.b) for r in got} == {p for p, d in gap.items() if d <= 0.6}
+    assert any(0 < abs(d - 0.6) < 1e-12 for d in gap.values())
+
+
+def sum_in_order(x, y):
+    total = 0.0
+    for a, b in zip(x, y):
+        total += a * b
+    return total
+
+
 def test_labels_choose_in_order(spark):
     e = lambda *x: [float(v) for v in np.array(x) / np.linalg.norm(x)]
     labels = spark.createDataFrame(
